@@ -94,3 +94,59 @@ def tokens(d, view: str) -> str:
     SELECT book, page, token FROM (
       SELECT book, page, {d.unnest(token_list(d, visible_text(d)))} AS token FROM ({view}) v) t
     WHERE {keep_token(d)}"""
+
+
+# ---------------------------------------------------------------- assets
+
+
+def _linked(d, css_page: str, image: str, script: str, srcset: str) -> str:
+    """The page's navigation links turned into asset references of one kind per id."""
+    pat = '<a href="/([^"]*)">'
+    return f"""CASE page % 4
+             WHEN 0 THEN {d.replace_all('html', pat, css_page)}
+             WHEN 1 THEN {d.replace_all('html', pat, image)}
+             WHEN 2 THEN {d.replace_all('html', pat, script)}
+             ELSE {d.replace_all('html', pat, srcset)} END"""
+
+
+def asset_pages(d) -> str:
+    html = _linked(
+        d,
+        '<link rel="stylesheet" href="../assets/$1.css?v=2">',
+        '<img src="../assets/images/$1.png"><img src="https://cdn.example.com/$1.png"><a>',
+        '<script src="../assets/$1.js#x"></script><a>',
+        '<img srcset="../assets/images/$1.png 1x, ../assets/images/hi%20res/$1.png 2x"><a>',
+    )
+    return f"""
+    SELECT book, lang, page, concat('/library/', book, '/output/', lang) AS base_dir,
+           concat('/library/', book, '/output') AS out_dir, {html} AS html
+    FROM ({corpus(d)}) c"""
+
+
+def asset_names(d) -> str:
+    names = d.extract_all("html", '<a href="/([^"]*)">', 1)
+    return f"SELECT book, lang, page, {d.unnest(names)} AS name FROM ({corpus(d)}) c"
+
+
+def inventory(d) -> str:
+    """Files on disk: names whose length is not a multiple of three exist, some are empty."""
+    kinds = " UNION ALL ".join(
+        f"SELECT concat('/library/', book, '/output/assets/', {path}) AS path, name FROM n"
+        for path in (
+            "name, '.css'", "'images/', name, '.png'", "name, '.js'", "'images/hi res/', name, '.png'"
+        )
+    )
+    return f"""
+    WITH n AS (SELECT DISTINCT book, name FROM ({asset_names(d)}) a WHERE length(name) % 3 <> 0)
+    SELECT path, CAST((length(name) * 10) % 50 AS BIGINT) AS size FROM ({kinds}) k"""
+
+
+def rewrite_pages(d) -> str:
+    html = _linked(
+        d,
+        '<a href="assets/$1.css" data-x="assets/no">',
+        '<img src="assets/images/$1.png"><a href="../assets/$1">',
+        '<div style="background:url(assets/$1.png)"></div><a href="https://x.example/assets/$1">',
+        '<img srcset="assets/$1.png 1x, assets/hi/$1.png 2x,assets/max/$1.png 3x"><a>',
+    )
+    return f"SELECT book, lang, page, {html} AS html FROM ({corpus(d)}) c"

@@ -47,6 +47,7 @@ def job(name: str, check: Callable[[DuckDialect], str] | None = None):
 
 MODULES = [
     "corpus_jobs",
+    "asset_jobs",
 ]
 
 
