@@ -183,6 +183,11 @@ def tag_array(html: Column) -> Column:
     return F.regexp_extract_all(without_raw_text(html), F.lit(TAG), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Trim all ASCII white space, not only blanks."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def slugify(text: Column) -> Column:
     base = F.btrim(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.coalesce(F.nullif(base, F.lit("")), F.lit("book"))

@@ -113,9 +113,8 @@ def top_missing_tokens(inp: Inputs):
     return fidelity.top_missing_tokens(loss, KEYS)
 
 
-@job(
-    "content_gate",
-    lambda d: f"""
+def gate_sql(d) -> str:
+    return f"""
     SELECT book, page, has_shell, has_article, has_marker, has_content,
            has_shell AND has_article AND NOT has_marker AND has_content AS valid
     FROM (SELECT book, page, lower(html) LIKE '%<main%' AND lower(html) LIKE '%book-page%' AS has_shell,
@@ -123,8 +122,10 @@ def top_missing_tokens(inp: Inputs):
                  html NOT LIKE '%<article hidden%' AND regexp_matches(
                    {dv.visible_text(d, "regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")},
                    '[\\p{{L}}\\p{{N}}]') AS has_content
-          FROM ({dv.published(d)}) p) q""",
-)
+          FROM ({dv.published(d)}) p) q"""
+
+
+@job("content_gate", gate_sql)
 def content_gate(inp: Inputs):
     return corpus.content_gate(inp.derive(dv.published), KEYS)
 

@@ -150,3 +150,71 @@ def rewrite_pages(d) -> str:
         '<img srcset="assets/$1.png 1x, assets/hi/$1.png 2x,assets/max/$1.png 3x"><a>',
     )
     return f"SELECT book, lang, page, {html} AS html FROM ({corpus(d)}) c"
+
+
+# ---------------------------------------------------------------- pipeline events
+
+VALUE = "CAST(floor(value) AS BIGINT)"
+
+
+def process_events(d) -> str:
+    """events as status writes: book = user, page = props.k + 1, seq = event id."""
+    k = f"CAST({d.json_text('props', 'k')} AS BIGINT)"
+    return f"""
+    SELECT concat('book', user_id) AS book, {k} + 1 AS page, event_id AS seq, ts, {VALUE} AS v, event_type,
+           CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
+                           WHEN 'purchase' THEN 'done' ELSE 'failed' END AS state,
+           CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'starting' WHEN 'click' THEN 'render_page'
+                           WHEN 'purchase' THEN 'done' ELSE 'failed' END AS step,
+           concat('step ', {d.ntext(f'{VALUE} % 4')}) AS message,
+           CASE WHEN event_type <> 'error' THEN NULL WHEN {VALUE} % 3 = 0 THEN 'RESOURCE_EXHAUSTED: resets in 2h'
+                WHEN {VALUE} % 3 = 1 THEN 'OAuth session ended, not logged in' ELSE 'Render timeout' END AS error,
+           CASE WHEN event_type = 'purchase' THEN concat('✓ write: part', {d.ntext(f'{VALUE} % 7')})
+                WHEN event_type = 'view' THEN '▶ read' ELSE concat('text ', {d.ntext(VALUE)}) END AS chunk
+    FROM {d.table('events')}"""
+
+
+def raw_status(d) -> str:
+    """Status payloads of which some have an unknown state, no step or a foreign page."""
+    return f"""
+    SELECT book, page, seq, error, CASE WHEN v % 7 = 3 THEN 'paused' ELSE state END AS state,
+           CASE WHEN v % 11 = 4 THEN '' ELSE step END AS step,
+           CASE WHEN v % 13 = 5 THEN page + 1 ELSE page END AS payload_page
+    FROM ({process_events(d)}) e"""
+
+
+def process_books(d) -> str:
+    return f"SELECT book, max(page) AS page_count FROM ({process_events(d)}) e GROUP BY book"
+
+
+def live_log(d) -> str:
+    """events as live-log chunks of a few busy pages, with repeats and long fragments."""
+    k = f"CAST({d.json_text('props', 'k')} AS BIGINT)"
+    return f"""
+    SELECT concat('book', user_id % 8) AS book, {k} % 4 AS page, event_id AS seq, ts,
+           CASE event_type WHEN 'purchase' THEN concat('✓ write: part', {d.ntext(f'{VALUE} % 3')})
+                WHEN 'signup' THEN '[note] queued' WHEN 'view' THEN '▶ read'
+                WHEN 'error' THEN repeat('long fragment ', 12)
+                ELSE concat('text ', {d.ntext(f'{VALUE} % 5')}) END AS chunk
+    FROM {d.table('events')}"""
+
+
+def failure_lines(d) -> str:
+    """Checker output: page failures, extractor failures and lines that are neither."""
+    return f"""
+    SELECT book, page AS at_page, seq, CASE event_type
+      WHEN 'error' THEN concat('FAIL ', CASE WHEN v % 2 = 0 THEN 'en' ELSE 'vi' END, '/page_', {d.pad4('page')}, '.html: ',
+        CASE v % 6 WHEN 0 THEN 'horizontal overflow by 9.0px near p' WHEN 1 THEN 'Missing image: a.png'
+          WHEN 2 THEN 'HTML article has no meaningful visible content (blank page shell)' WHEN 3 THEN 'Missing CSS: b.css'
+          WHEN 4 THEN 'Empty image file: c.png' ELSE 'HTML missing semantic article' END)
+      WHEN 'click' THEN concat('FAIL extractor did not create referenced figure: page ', {d.ntext('page')}, ': images/f.png')
+      WHEN 'view' THEN concat('FAIL page ', {d.ntext('page')}, ' unreadable')
+      ELSE 'OK checked' END AS line
+    FROM ({process_events(d)}) e"""
+
+
+def usage(d) -> str:
+    return f"""
+    SELECT book AS account, event_type AS grp, CASE WHEN v % 2 = 0 THEN 'Daily Limit' ELSE 'Weekly Limit' END AS limit_name,
+           ts, seq, v % 101 AS percent
+    FROM ({process_events(d)}) e"""

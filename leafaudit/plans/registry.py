@@ -48,6 +48,8 @@ def job(name: str, check: Callable[[DuckDialect], str] | None = None):
 MODULES = [
     "corpus_jobs",
     "asset_jobs",
+    "issue_jobs",
+    "state_jobs",
 ]
 
 
