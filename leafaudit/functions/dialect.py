@@ -44,7 +44,8 @@ class SparkDialect:
     def ntext(self, expr: str) -> str:
         return f"CAST({expr} AS STRING)"
 
-    backref = "$"
+    def string_agg(self, expr: str, sep: str, order: str) -> str:
+        return f"listagg({expr}, '{sep}') WITHIN GROUP (ORDER BY {order})"
 
 
 class DuckDialect:
@@ -80,4 +81,5 @@ class DuckDialect:
     def ntext(self, expr: str) -> str:
         return f"CAST({expr} AS VARCHAR)"
 
-    backref = "\\"
+    def string_agg(self, expr: str, sep: str, order: str) -> str:
+        return f"string_agg({expr}, '{sep}' ORDER BY {order})"

@@ -25,15 +25,16 @@ def ordered_columns(
     *,
     rank: str | None = None,
     lags: dict[str, str] | None = None,
+    leads: dict[str, str] | None = None,
     sums: dict[str, str] | None = None,
     lasts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add exact per-group columns over a total order whose first part drives `bucket`.
 
-    rank: name of a row_number column. lags: {new: column} previous row's value.
-    sums: {new: column} running sum including the row. lasts: {new: column} latest
+    rank: name of a row_number column. lags / leads: {new: column} value of the
+    previous / next row. sums: {new: column} running sum including the row. lasts: {new: column} latest
     non-null value up to the row."""
-    lags, sums, lasts = lags or {}, sums or {}, lasts or {}
+    lags, leads, sums, lasts = lags or {}, leads or {}, sums or {}, lasts or {}
     rows = df.withColumn(BUCKET, bucket)
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     sofar = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -43,12 +44,15 @@ def ordered_columns(
         "*",
         F.row_number().over(inside).alias("_rn"),
         *[F.lag(c).over(inside).alias(f"_lag_{n}") for n, c in lags.items()],
+        *([F.lead(F.lit(1)).over(inside).isNull().alias("_end")] if leads else []),
+        *[F.lead(c).over(inside).alias(f"_lead_{n}") for n, c in leads.items()],
         *[F.sum(c).over(sofar).alias(f"_sum_{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(sofar).alias(f"_last_{n}") for n, c in lasts.items()],
     )
     summary = rows.groupBy(*keys, BUCKET).agg(
         F.count("*").alias("_n"),
         *[F.max_by(c, key).alias(f"_l_{n}") for n, c in lags.items()],
+        *[F.min_by(c, key).alias(f"_f_{n}") for n, c in leads.items()],
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
         *[
             F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), key)).alias(f"_v_{n}")
@@ -62,6 +66,7 @@ def ordered_columns(
         BUCKET,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.lag(f"_l_{n}").over(across).alias(f"_l0_{n}") for n in lags],
+        *[F.lead(f"_f_{n}").over(across).alias(f"_f0_{n}") for n in leads],
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s0_{n}") for n in sums],
         *[F.last(f"_v_{n}", ignorenulls=True).over(before).alias(f"_v0_{n}") for n in lasts],
     )
@@ -69,6 +74,7 @@ def ordered_columns(
     added = [
         *([(F.col("_rn") + F.col("_n0")).cast("bigint").alias(rank)] if rank else []),
         *[F.when(F.col("_rn") == 1, F.col(f"_l0_{n}")).otherwise(F.col(f"_lag_{n}")).alias(n) for n in lags],
+        *[F.when(F.col("_end"), F.col(f"_f0_{n}")).otherwise(F.col(f"_lead_{n}")).alias(n) for n in leads],
         *[(F.coalesce(F.col(f"_sum_{n}"), F.lit(0)) + F.col(f"_s0_{n}")).alias(n) for n in sums],
         *[F.coalesce(F.col(f"_last_{n}"), F.col(f"_v0_{n}")).alias(n) for n in lasts],
     ]

@@ -218,3 +218,147 @@ def usage(d) -> str:
     SELECT book AS account, event_type AS grp, CASE WHEN v % 2 = 0 THEN 'Daily Limit' ELSE 'Weekly Limit' END AS limit_name,
            ts, seq, v % 101 AS percent
     FROM ({process_events(d)}) e"""
+
+
+# ---------------------------------------------------------------- library
+
+
+def manifest_docs(d) -> str:
+    """One manifest per (source, lang); some are missing and some are cut off."""
+    n = d.ntext("n")
+    return f"""
+    SELECT folder, n, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN '{{"slug": "cut'
+      WHEN n % 3 = 0 THEN concat('{{"title": "Volume ', folder, '", "page_count": ', {n}, '}}')
+      ELSE concat('{{"slug": "', folder, '", "title": "Volume ', folder, '", "page_count": ', {n},
+        ', "source_lang": "', lang, '", "languages": [{{"code": "', lang, '", "role": "primary"}}, {{"code": "vi", "role": "translation"}}]}}')
+      END AS json
+    FROM (SELECT concat(source, '-', lang) AS folder, lang, count(*) AS n FROM {d.table('documents')} GROUP BY source, lang) g"""
+
+
+def page_specs(d) -> str:
+    n, half = d.ntext("n"), d.ntext("CAST(floor(n / 2) AS BIGINT)")
+    return f"""SELECT folder AS book, n AS page_count, concat('1-', {half}, ', ', {n}, ',x,', {n}, '–', {d.ntext('n + 5')}) AS spec
+               FROM ({manifest_docs(d)}) m"""
+
+
+def doc_pages(d) -> str:
+    return f"SELECT concat(source, '-', lang) AS book, doc_id % 40 + 1 AS page, doc_id FROM {d.table('documents')}"
+
+
+def host_books(d) -> str:
+    """Books per host with the primary language, expected pages and catalogue state."""
+    return f"""
+    SELECT book, CASE WHEN count(*) % 2 = 0 THEN concat('The ', book) ELSE '' END AS title, 'en' AS source_lang,
+           CASE count(*) % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'active' END AS library_state,
+           sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS page_count, count(*) AS n
+    FROM ({corpus(d)}) c GROUP BY book"""
+
+
+def detect_docs(d) -> str:
+    return f"""SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN 'fr-FR' ELSE 'und' END AS declared
+               FROM {d.table('documents')}"""
+
+
+def authors(d) -> str:
+    return f"""
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('Author ', lang) ELSE '' END AS manifest_author,
+           CASE doc_id % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN ' Ana Lee ' END AS document_author,
+           CASE WHEN doc_id % 2 = 0 THEN concat('tale-by-', source, '-press') ELSE source END AS slug, source
+    FROM {d.table('documents')}"""
+
+
+# ---------------------------------------------------------------- page objects and plans
+
+
+def page_objects(d) -> str:
+    """lineitem as page objects: unique (order, line) keys, eight orders to a page."""
+    return f"""
+    SELECT concat('vol', {d.ntext('CAST(floor(ok / 4000) AS BIGINT)')}) AS book, CAST(floor(ok / 8) AS BIGINT) % 500 AS page, obj_id, kind,
+           CASE WHEN cover THEN CAST(0 AS DOUBLE) ELSE x0 END AS x0, CASE WHEN cover THEN CAST(0 AS DOUBLE) ELSE y0 END AS y0,
+           CASE WHEN cover THEN CAST(612 AS DOUBLE) ELSE x0 + 10 + q * 2 END AS x1,
+           CASE WHEN cover THEN CAST(792 AS DOUBLE) ELSE y0 + 10 + (pk * 13) % 60 END AS y1,
+           CASE WHEN kind <> 'text' THEN '' WHEN obj_id % 7 = 0 THEN concat('Figure ', {d.ntext('obj_id % 50')}, '. Plate')
+                WHEN obj_id % 7 = 1 THEN concat({d.ntext('obj_id % 20')}, '. Step') WHEN obj_id % 7 = 2 THEN 'class Node'
+                WHEN obj_id % 7 = 3 THEN 'visit www.press.example now' WHEN obj_id % 21 = 4 THEN 'Listing 3-1'
+                WHEN obj_id % 21 = 11 THEN 'Copyright 2024 House' ELSE 'plain words of prose' END AS text,
+           n_items, CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h, pk
+    FROM (SELECT l_orderkey AS ok, l_orderkey * 10 + l_linenumber AS obj_id, pk, q,
+                 CASE rf WHEN 'A' THEN 'image' WHEN 'R' THEN 'drawing' ELSE 'text' END AS kind,
+                 CAST((pk * 37) % 500 AS DOUBLE) AS x0, CAST((sk * 53 + l_orderkey * 7) % 700 AS DOUBLE) AS y0,
+                 pk % 40 + 1 AS n_items,
+                 rf = 'A' AND CAST(floor(l_orderkey / 8) AS BIGINT) % 500 = 1 AND l_linenumber = 1 AS cover
+          FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity) AS q, min(l_returnflag) AS rf
+                FROM {d.table('lineitem')} GROUP BY l_orderkey, l_linenumber) u) o"""
+
+
+def plan_figures(d) -> str:
+    """Planned figures: every non-text object, with id spellings, types, faults and boxes."""
+    return f"""
+    SELECT book, page, obj_id,
+           CASE WHEN obj_id % 97 = 0 THEN 'dup' WHEN obj_id % 89 = 0 THEN ''
+                WHEN obj_id % 3 = 0 THEN concat('F', {d.ntext('obj_id')}, '.1')
+                WHEN obj_id % 3 = 1 THEN concat('f', {d.ntext('obj_id')}, '-1') ELSE concat('f', {d.ntext('obj_id')}, '_1') END AS figure_id,
+           CASE obj_id % 9 WHEN 0 THEN 'map' WHEN 1 THEN 'icon' WHEN 2 THEN 'Flow chart' WHEN 3 THEN 'diagram' WHEN 4 THEN 'wiring-diagram'
+                WHEN 5 THEN 'artwork' WHEN 6 THEN 'photo' WHEN 7 THEN 'Technical_Drawing' ELSE 'company-icon' END AS type,
+           CASE WHEN obj_id % 11 = 0 THEN 'Family tree of kings' ELSE 'Plate' END AS label,
+           CASE WHEN pk % 3 = 0 THEN 'basic' ELSE '' END AS complexity,
+           CASE WHEN obj_id % 83 = 0 THEN 'guess' WHEN pk % 2 = 0 THEN 'extract-raster' ELSE 'reconstruct-html-svg' END AS strategy,
+           CASE WHEN obj_id % 79 = 0 THEN x1 / 612 ELSE x0 / 612 END AS nx0, y0 / 792 AS ny0, x1 / 612 AS nx1, y1 / 792 AS ny1,
+           x0 + obj_id % 5 - 2 AS x0, y0 + obj_id % 7 - 3 AS y0, x1 + obj_id % 3 AS x1, y1 + obj_id % 4 - 1 AS y1, page_w, page_h
+    FROM ({page_objects(d)}) o WHERE kind <> 'text'"""
+
+
+def figure_refs(d) -> str:
+    """What the page HTML refers to: most planned figures plus some that nobody planned."""
+    return f"""
+    SELECT book, page, figure_id, obj_id % 2 = 0 AS as_image, obj_id % 13 = 0 AS says_icon
+    FROM ({plan_figures(d)}) f WHERE figure_id <> '' AND label = 'Plate'
+    UNION ALL
+    SELECT book, page, concat('x', {d.ntext('obj_id')}) AS figure_id, obj_id % 2 = 0 AS as_image, false AS says_icon
+    FROM ({page_objects(d)}) o WHERE text = 'class Node'"""
+
+
+def figure_pages(d) -> str:
+    """Page HTML holding those references."""
+    img = f"""concat('<img alt="', CASE WHEN says_icon THEN 'Exercise marker' ELSE 'plate' END,
+              '" src="../assets/images/page_', {d.pad4('page')}, '_fig_', figure_id, '.png">')"""
+    tag = """concat('<figure data-visual-id="', figure_id, '"></figure>')"""
+    item = f"CASE WHEN as_image THEN {img} ELSE {tag} END"
+    return f"SELECT book, page, {d.string_agg(item, '', item)} AS html FROM ({figure_refs(d)}) r GROUP BY book, page"
+
+
+def plan_docs(d) -> str:
+    """Plan JSON per page: figures and layout; some are cut off, some are not objects."""
+    fig = f"""concat('{{"id": "', figure_id, '", "type": "', type, '", "label": "', label, '", "complexity": "', complexity,
+              '", "strategy": "', strategy, '"}}')"""
+    return f"""
+    SELECT book, page, CASE WHEN page % 31 = 3 THEN '{{"figures": [' WHEN page % 37 = 5 THEN '[1, 2]'
+           ELSE concat('{{"page": ', {d.ntext('page')}, ', "figures": [', figs, ']}}') END AS json
+    FROM (SELECT book, page, {d.string_agg(fig, ', ', 'obj_id')} AS figs FROM ({plan_figures(d)}) f WHERE figure_id <> '' GROUP BY book, page) g"""
+
+
+def plan_layout(d) -> str:
+    """Page layouts: mode and facsimile flag per page."""
+    return f"""
+    SELECT book, page, CASE WHEN page % 23 = 2 THEN 'grid' WHEN page % 2 = 0 THEN 'source-anchored' ELSE 'flow' END AS mode,
+           page % 29 = 1 AS facsimile
+    FROM ({page_objects(d)}) o GROUP BY book, page"""
+
+
+def plan_regions(d) -> str:
+    """Layout regions: the longer text lines of a page, with faults."""
+    return f"""
+    SELECT book, page, CASE WHEN obj_id % 41 = 0 THEN 'main' ELSE concat('r', {d.ntext('obj_id')}) END AS region_id,
+           x0 / 612 AS nx0, CASE WHEN obj_id % 43 = 0 THEN y1 / 792 ELSE y0 / 792 END AS ny0, x1 / 612 AS nx1, y1 / 792 AS ny1,
+           CASE WHEN obj_id % 47 = 0 THEN '' ELSE '#fff' END AS fill_color, '' AS stroke_color, '' AS text_color
+    FROM ({page_objects(d)}) o WHERE text LIKE 'plain%'"""
+
+
+def layout_metrics(d) -> str:
+    """Measured geometry per page object row standing for one rendered page."""
+    return f"""
+    SELECT book, page, obj_id AS sheet, CASE WHEN obj_id % 53 = 0 THEN 0 WHEN obj_id % 59 = 0 THEN 2 ELSE 1 END AS sheet_count,
+           790 + CAST(pk % 8 AS DOUBLE) AS width, 1116 + CAST(obj_id % 10 AS DOUBLE) AS height,
+           x0 / 100 AS o_left, y0 / 100 AS o_right, x1 / 90 AS o_top, y1 / 110 AS o_bottom, pk % 6 = 0 AS tall_ok,
+           CASE WHEN obj_id % 5 = 0 THEN 'p.note' END AS clip_sel, x1 / 50 AS clip_x, y1 / 60 AS clip_y
+    FROM ({page_objects(d)}) o"""

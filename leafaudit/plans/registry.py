@@ -50,6 +50,8 @@ MODULES = [
     "asset_jobs",
     "issue_jobs",
     "state_jobs",
+    "library_jobs",
+    "box_jobs",
 ]
 
 
