@@ -212,20 +212,26 @@ def content_bounds_density(inp: Inputs):
     return boxes.content_bounds_density(objects(inp))
 
 
+def _front_pages(d) -> str:
+    """Every page as the first page of its own one-page book."""
+    return f"""SELECT concat(book, '/', {d.ntext('page')}) AS book, 1 AS page, obj_id, kind, x0, y0, text,
+                      CAST(700 AS DOUBLE) AS page_h FROM ({dv.page_objects(d)}) o"""
+
+
 @job(
     "chrome_detect",
     lambda d: f"""
-    WITH t AS (SELECT * FROM ({dv.page_objects(d)}) o WHERE page = 1 AND kind = 'text'),
+    WITH t AS (SELECT * FROM ({_front_pages(d)}) o WHERE page = 1 AND kind = 'text'),
     m AS (SELECT book,
       arg_min(regexp_extract(text, '(?i)(www\\.\\S+|[\\w.-]+\\.(?:com|org|net|edu)\\b)', 1), (y0, x0, obj_id)) FILTER (WHERE y0 < 140 AND text LIKE '%www.%') AS head_left,
-      arg_min(text, (y0, x0, obj_id)) FILTER (WHERE y0 > 712 AND text NOT LIKE '%Copyright%' AND length(text) > 3) AS foot_left,
-      arg_max(text, (y0, x0, obj_id)) FILTER (WHERE y0 > 712 AND text LIKE '%Copyright%') AS foot_right
+      arg_min(text, (y0, x0, obj_id)) FILTER (WHERE y0 > 620 AND text NOT LIKE '%Copyright%' AND length(text) > 3) AS foot_left,
+      arg_max(text, (y0, x0, obj_id)) FILTER (WHERE y0 > 620 AND text LIKE '%Copyright%') AS foot_right
       FROM t GROUP BY book)
     SELECT book, coalesce(head_left, '') AS head_left, coalesce(foot_left, '') AS foot_left, coalesce(foot_right, '') AS foot_right
     FROM m WHERE coalesce(head_left, foot_left, foot_right) IS NOT NULL""",
 )
 def chrome_detect(inp: Inputs):
-    return boxes.chrome_detect(objects(inp))
+    return boxes.chrome_detect(inp.derive(_front_pages))
 
 
 def bands_sql(d) -> str:

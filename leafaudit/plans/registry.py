@@ -52,6 +52,7 @@ MODULES = [
     "state_jobs",
     "library_jobs",
     "box_jobs",
+    "figure_jobs",
 ]
 
 
