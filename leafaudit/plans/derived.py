@@ -362,3 +362,36 @@ def layout_metrics(d) -> str:
            x0 / 100 AS o_left, y0 / 100 AS o_right, x1 / 90 AS o_top, y1 / 110 AS o_bottom, pk % 6 = 0 AS tall_ok,
            CASE WHEN obj_id % 5 = 0 THEN 'p.note' END AS clip_sel, x1 / 50 AS clip_x, y1 / 60 AS clip_y
     FROM ({page_objects(d)}) o"""
+
+
+# ---------------------------------------------------------------- lexicon and text runs
+
+
+def english(d) -> str:
+    return f"SELECT doc_id, source AS book, text FROM {d.table('documents')} WHERE lang = 'en'"
+
+
+def word_rows(d) -> str:
+    words = d.extract_all("lower(text)", "[a-z]+")
+    return f"SELECT DISTINCT doc_id, book, word FROM (SELECT doc_id, book, {d.unnest(words)} AS word FROM ({english(d)}) e) w"
+
+
+def lexicon_lines(d) -> str:
+    """Lexicon lines from English words: reversed word as pronunciation, later lines win."""
+    return f"""
+    SELECT doc_id AS seq, CASE WHEN length(word) % 5 = 4 THEN concat(word, chr(9), 'x', chr(9), 'y')
+      ELSE concat(' ', upper(word), chr(9), '/', reverse(word), CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'o' END, '/, /alt/') END AS line
+    FROM ({word_rows(d)}) w WHERE length(word) % 4 <> 0"""
+
+
+def overrides(d) -> str:
+    return f"SELECT DISTINCT book, word, concat('own', word) AS ipa FROM ({word_rows(d)}) w WHERE length(word) % 7 = 3"
+
+
+def assembly_pages(d) -> str:
+    """Valid pages in the full shell; some languages of a host hold a page with the forbidden marker."""
+    return f"""
+    SELECT book, lang, page, replace(replace(html, '<article>', CASE WHEN url LIKE '%?page=%'
+             THEN '<main class="book-page book-page--sheet"><!-- pdf-render --><article>' ELSE '<main class="book-page book-page--sheet"><article>' END),
+           '</article>', '<img src="../assets/a.png"></article></main>') AS html
+    FROM ({corpus(d)}) c"""

@@ -53,6 +53,8 @@ MODULES = [
     "library_jobs",
     "box_jobs",
     "figure_jobs",
+    "lexicon_jobs",
+    "assembly_jobs",
 ]
 
 
