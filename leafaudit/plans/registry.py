@@ -55,6 +55,7 @@ MODULES = [
     "figure_jobs",
     "lexicon_jobs",
     "assembly_jobs",
+    "stream_jobs",
 ]
 
 
