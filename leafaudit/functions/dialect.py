@@ -8,11 +8,14 @@ from __future__ import annotations
 class SparkDialect:
     name = "spark"
 
-    def __init__(self, sf_dir: str):
+    def __init__(self, sf_dir: str, spread: dict[str, int] | None = None):
         self.sf_dir = sf_dir.rstrip("/")
+        self.spread = spread or {}
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.sf_dir}/{name}.parquet`"
+        path = f"parquet.`{self.sf_dir}/{name}.parquet`"
+        n = self.spread.get(name)
+        return f"(SELECT /*+ REPARTITION({n}) */ * FROM {path})" if n else path
 
     def lit(self, text: str) -> str:
         return f'r"{text}"' if "'" in text else f"r'{text}'"

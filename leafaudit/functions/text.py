@@ -74,20 +74,23 @@ def keep_token(token: str) -> bool:
     return not (len(token) <= 2 and not any(ch.isascii() for ch in token))
 
 
-def exact_tokens(text: str | None) -> list[str]:
+def exact_tokens(text: str, entities: bool = True) -> list[str]:
     """Entity decoding, NFKC, casefold and word split for one text (Arrow path helper)."""
-    if text is None:
-        return []
-    text = unicodedata.normalize("NFKC", html_lib.unescape(text))
+    text = unicodedata.normalize("NFKC", html_lib.unescape(text) if entities else text)
     text = text.replace("\u00ad", "").replace("\u2011", "-")
     return [t.casefold() for t in re.findall(r"[^\W_]+", text)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _exact_tokens_arrow(texts: pd.Series) -> pd.Series:
+def _exact_html_tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: exact_tokens(t) if t is not None else None)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _exact_text_tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: exact_tokens(t, entities=False) if t is not None else None)
+
+
 def strip_markup(html: Column) -> Column:
     """Visible text of an HTML page; elements and comments become blanks."""
     out = F.regexp_replace(html, COMMENT, " ")
@@ -118,7 +121,8 @@ def word_tokens(text: Column, *, entities: bool = False, exact_unicode: bool = T
         odd = text.rlike(needs_exact_pattern())
         if entities:
             odd = odd | text.rlike(OTHER_ENTITY)
-        tokens = F.coalesce(_exact_tokens_arrow(F.when(odd, text)), plain)
+        exact = _exact_html_tokens if entities else _exact_text_tokens
+        tokens = F.coalesce(exact(F.when(odd, text)), plain)
     else:
         tokens = plain
     return F.filter(tokens, _keep)

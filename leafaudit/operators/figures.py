@@ -30,6 +30,8 @@ BASIC_LABEL = (
 IMAGE_REF = r"(?i)page_(\d{4})_fig_([A-Za-z0-9_.-]+)\.png"
 VISUAL_ID = r"""(?i)data-visual-id=["']([^"']+)["']"""
 REGION_ID = r"""(?i)data-source-region=["']([^"']+)["']"""
+LAYOUT_MODE = r"""(?i)data-layout-mode=["']([^"']+)["']"""
+FACSIMILE_MARK = r"""(?i)data-page-facsimile=["']true["']"""
 FACSIMILE_TYPE = "composite-engineering-sheet"
 FIDELITY_TARGET = 0.99
 
@@ -295,6 +297,23 @@ def region_gap(layouts: DataFrame, regions: DataFrame, pages: DataFrame) -> Data
     return planned.subtract(pages.select(*PAGE, ids.alias("region_id")))
 
 
+def layout_marker_gap(layouts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of source-anchored plans without the layout-mode or facsimile marker."""
+    modes = F.transform(F.regexp_extract_all("html", F.lit(LAYOUT_MODE), F.lit(1)), lambda m: F.lower(F.trim(m)))
+    marks = pages.select(
+        *PAGE, F.array_contains(modes, "source-anchored").alias("_mode"), F.col("html").rlike(FACSIMILE_MARK).alias("_fac")
+    )
+    anchored = layouts.filter(F.col("mode") == "source-anchored").join(marks, PAGE)
+    lacks = F.filter(
+        F.array(
+            F.when(~F.col("_mode"), F.lit("data-layout-mode")),
+            F.when(F.col("facsimile") & ~F.col("_fac"), F.lit("data-page-facsimile")),
+        ),
+        lambda m: m.isNotNull(),
+    )
+    return anchored.select(*PAGE, F.explode(lacks).alias("marker"))
+
+
 def unplanned_ids(plan: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.select(*PAGE, "canon").distinct().subtract(plan.select(*PAGE, "canon"))
 

@@ -51,12 +51,11 @@ def run_tokens(text: Column) -> Column:
     return F.regexp_extract_all(flat, F.lit(RUN_TOKEN), F.lit(0))
 
 
-def _is_word(t: Column) -> Column:
-    return t.rlike(r"^[a-zA-Z']+$")
-
-
-def _is_punct(t: Column) -> Column:
-    return t.isNotNull() & ~t.rlike(r"^[a-zA-Z'\s]")
+def _token_class(t: Column) -> Column:
+    """w for a word, s for a blank, p for punctuation; the first character decides."""
+    c = F.substring(t, 1, 1)
+    word = c.between("a", "z") | c.between("A", "Z") | (c == "'")
+    return F.when(word, "w").when(t == " ", "s").otherwise("p")
 
 
 def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -64,30 +63,32 @@ def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text")
 
     Punctuation right after a word belongs to that word; otherwise one token right
     before a word belongs to it; anything else stands alone and is a pause. Everything
-    is decided inside the row, from neighbouring tokens."""
-    staged = runs.select(*keys, run_tokens(F.col(text)).alias("t"))
-    at = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: _is_word(F.get("t", i)))
-    staged = staged.filter(F.size("t") > 0).withColumn("w", at)
+    is decided inside the row, from the classes of neighbouring tokens."""
+    staged = runs.select(*keys, run_tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    staged = staged.withColumn("c", F.transform("t", _token_class))
+    staged = staged.withColumn(
+        "w", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("c", i) == "w")
+    )
+    is_class = lambda j, kind: F.coalesce(F.get("c", j) == kind, F.lit(False))
+
+    def leads(i: Column) -> Column:
+        """Token i - 1 is punctuation that no earlier word has taken."""
+        return (i > 0) & is_class(F.greatest(i - 1, F.lit(0)), "p") & ~(
+            (i > 1) & is_class(F.greatest(i - 2, F.lit(0)), "w")
+        )
 
     def shape(i: Column, k: Column) -> Column:
-        tok = lambda j: F.get("t", j)
         nxt = F.get("w", k + 1)
-        post = F.when(_is_punct(tok(i + 1)), tok(i + 1)).otherwise("")
-        own_pre = lambda j: (
-            F.when(
-                (j > 0) & _is_punct(F.get("t", F.greatest(j - 1, F.lit(0))))
-                & ~F.coalesce((j > 1) & _is_word(F.get("t", F.greatest(j - 2, F.lit(0)))), F.lit(False)),
-                F.get("t", F.greatest(j - 1, F.lit(0))),
-            ).otherwise("")
-        )
-        pre = own_pre(i)
-        next_pre = own_pre(nxt)
-        between = nxt - i - 1 - (post != "").cast("int") - (next_pre != "").cast("int")
-        middle = F.slice("t", i + 2 + (post != "").cast("int"), F.greatest(between, F.lit(0)))
-        alone = F.exists(middle, _is_punct)
-        pause = (between > 0) & ((post != "") | (next_pre != "") | alone)
+        has_post, has_pre, next_pre = is_class(i + 1, "p"), leads(i), F.coalesce(leads(nxt), F.lit(False))
+        first = i + 1 + has_post.cast("int")
+        between = nxt - first - next_pre.cast("int")
+        alone = F.array_contains(F.slice("c", first + 1, F.greatest(between, F.lit(0))), "p")
+        pause = (between > 0) & (has_post | next_pre | alone)
         return F.struct(
-            k.cast("bigint").alias("k"), tok(i).alias("word"), pre.alias("pre"), post.alias("post"),
+            k.cast("bigint").alias("k"),
+            F.get("t", i).alias("word"),
+            F.when(has_pre, F.get("t", F.greatest(i - 1, F.lit(0)))).otherwise("").alias("pre"),
+            F.when(has_post, F.get("t", i + 1)).otherwise("").alias("post"),
             F.when(nxt.isNotNull(), pause).alias("pause"),
         )
 

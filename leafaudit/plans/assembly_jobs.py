@@ -83,7 +83,7 @@ def _section(d) -> str:
 )
 def book_assembly(inp: Inputs):
     pages = inp.derive(dv.assembly_pages)
-    gate = corpus.content_gate(pages, ["book", "lang", "page"])
+    gate = inp.keep(corpus.content_gate(pages, ["book", "lang", "page"]).select("book", "lang", "page", "valid"), "gate")
     return assembly.book_assembly(pages, gate).withColumn("digest", F.md5("html")).drop("html")
 
 

@@ -16,6 +16,11 @@ def objects(inp: Inputs):
     return inp.derive(dv.page_objects).drop("pk")
 
 
+def stored_objects(inp: Inputs):
+    """Page objects as a table, for jobs that read them in several branches."""
+    return inp.stored(dv.page_objects, "page-objects").drop("pk")
+
+
 def d2(a: str, b: str) -> str:
     dx = f"greatest({a}.x0 - {b}.x1, {b}.x0 - {a}.x1, 0)"
     dy = f"greatest({a}.y0 - {b}.y1, {b}.y0 - {a}.y1, 0)"
@@ -38,7 +43,7 @@ def shared(a: str, b: str) -> str:
                   FROM ({dv.page_objects(d)}) o""",
 )
 def reading_order(inp: Inputs):
-    return boxes.reading_order(objects(inp)).select("book", "page", "obj_id", "rank")
+    return boxes.reading_order(stored_objects(inp)).select("book", "page", "obj_id", "rank")
 
 
 def caps_sql(d) -> str:
@@ -52,7 +57,7 @@ def caps_sql(d) -> str:
 
 @job("numbered_caption_filter", lambda d: f"SELECT book, page, obj_id, figure_id, text FROM ({caps_sql(d)}) c")
 def numbered_caption_filter(inp: Inputs):
-    return boxes.captions(objects(inp)).select("book", "page", "obj_id", "figure_id", "text")
+    return boxes.captions(stored_objects(inp)).select("book", "page", "obj_id", "figure_id", "text")
 
 
 def clusters_sql(d) -> str:
@@ -71,7 +76,7 @@ def clusters_sql(d) -> str:
 
 @job("visual_clusters", clusters_sql)
 def visual_clusters(inp: Inputs):
-    return boxes.visual_clusters(objects(inp))
+    return boxes.visual_clusters(stored_objects(inp))
 
 
 def nearest_sql(d) -> str:
@@ -91,7 +96,7 @@ def nearest_sql(d) -> str:
 
 
 def nearest(inp: Inputs):
-    objs = objects(inp)
+    objs = stored_objects(inp)
     return objs, boxes.caption_nearest(boxes.captions(objs), boxes.visual_clusters(objs))
 
 
@@ -176,7 +181,7 @@ def _snap_sql(d) -> str:
 
 @job("box_snap", _snap_sql)
 def box_snap(inp: Inputs):
-    objs = objects(inp)
+    objs = stored_objects(inp)
     return boxes.box_snap(inp.derive(_candidates), objs, boxes.visual_clusters(objs))
 
 
@@ -247,7 +252,7 @@ def bands_sql(d) -> str:
 
 
 def bands(inp: Inputs):
-    objs = objects(inp)
+    objs = stored_objects(inp)
     return objs, boxes.caption_bands(boxes.captions(objs), objs)
 
 
@@ -311,7 +316,7 @@ def _expected(d) -> str:
     WHERE NOT EXISTS (SELECT 1 FROM ({caps_sql(d)}) c WHERE c.book = e.book AND c.page = e.page)""",
 )
 def ordinal_pairing(inp: Inputs):
-    objs = objects(inp)
+    objs = stored_objects(inp)
     return boxes.ordinal_pairing(inp.derive(_expected), objs, boxes.captions(objs))
 
 
@@ -340,5 +345,5 @@ def _planned_crops(d) -> str:
     SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY y0, x0, canon, figure_id, x1, y1) AS rank FROM a""",
 )
 def expected_figure_fill(inp: Inputs):
-    caps = boxes.captions(objects(inp))
+    caps = boxes.captions(stored_objects(inp))
     return boxes.expected_figure_fill(caps, inp.derive(_page_expects), inp.derive(_planned_crops), canonical_id)

@@ -103,7 +103,11 @@ def _bad_box() -> str:
     UNION ALL SELECT book, page, 'facsimile sheet', '' FROM l WHERE facsimile""",
 )
 def plan_contract_violations(inp: Inputs):
-    return figures.plan_contract_violations(inp.derive(dv.plan_layout), inp.derive(dv.plan_regions), inp.derive(dv.plan_figures))
+    return figures.plan_contract_violations(
+        inp.stored(dv.plan_layout, "plan-layout"),
+        inp.stored(dv.plan_regions, "plan-regions"),
+        inp.stored(dv.plan_figures, "plan-figures"),
+    )
 
 
 def _kinds(d) -> str:
@@ -222,6 +226,24 @@ def region_gap(inp: Inputs):
     return figures.region_gap(inp.derive(dv.plan_layout), inp.derive(dv.plan_regions), inp.derive(region_pages))
 
 
+def marker_pages(d) -> str:
+    """Pages with layout markers; some miss one of them."""
+    return f"""
+    SELECT book, page, concat('<main', CASE WHEN page % 5 <> 0 THEN ' data-layout-mode="Source-Anchored"' ELSE '' END,
+             CASE WHEN page % 3 = 0 THEN ' data-page-facsimile="true"' ELSE '' END, '>') AS html
+    FROM ({dv.plan_layout(d)}) l"""
+
+
+@job(
+    "layout_marker_gap",
+    lambda d: f"""
+    SELECT book, page, 'data-layout-mode' AS marker FROM ({dv.plan_layout(d)}) l WHERE mode = 'source-anchored' AND page % 5 = 0
+    UNION ALL SELECT book, page, 'data-page-facsimile' FROM ({dv.plan_layout(d)}) l WHERE mode = 'source-anchored' AND facsimile AND page % 3 <> 0""",
+)
+def layout_marker_gap(inp: Inputs):
+    return figures.layout_marker_gap(inp.derive(dv.plan_layout), inp.derive(marker_pages))
+
+
 def _layout_sql(d) -> str:
     w, h6, h7 = layout.WIDTH, *layout.HEIGHTS
     fmt = lambda c: f"printf('%.1f', {c})"

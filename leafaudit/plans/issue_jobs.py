@@ -83,7 +83,8 @@ def page_issues(inp: Inputs):
     missing = pages.join(inp.derive(dv.rendered).select("book", "page"), ["book", "page"], "left_anti")
     gate = corpus.content_gate(inp.derive(dv.published), ["book", "lang", "page"])
     invalid = gate.filter("not valid").select("book", "lang", "page")
-    return missing.withColumn("kind", F.lit("missing")).unionByName(invalid.withColumn("kind", F.lit("invalid")))
+    found = missing.withColumn("kind", F.lit("missing")).unionByName(invalid.withColumn("kind", F.lit("invalid")))
+    return inp.keep(found, "page-issues")
 
 
 def _page_issues(d) -> str:

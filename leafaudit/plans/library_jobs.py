@@ -84,7 +84,7 @@ def overview_rollup(inp: Inputs):
 def language_readiness(inp: Inputs):
     books = inp.derive(dv.host_books).select("book", "page_count", F.array(F.lit("en"), F.lit("fr")).alias("languages"))
     gate = corpus.content_gate(inp.derive(dv.published), ["book", "lang", "page"])
-    return library.language_readiness(books, gate.select("book", "lang", "page", "valid"))
+    return library.language_readiness(books, inp.keep(gate.select("book", "lang", "page", "valid"), "gate"))
 
 
 def _status(d) -> str:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from leafaudit.functions.dialect import DuckDialect, SparkDialect
+from leafaudit.session import scratch_path
+
+TEXT_TABLES = ("pages", "documents")
 
 
 @dataclass
@@ -18,9 +22,14 @@ class Inputs:
     spark: SparkSession
     sf_dir: str
 
-    @property
+    @cached_property
     def dialect(self) -> SparkDialect:
-        return SparkDialect(self.sf_dir)
+        """Text tables that arrive in fewer splits than there are cores (one small file)
+        are spread over the cores, because parsing them is CPU work; a table with many
+        splits is left as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        thin = {t: cores for t in TEXT_TABLES if self.table(t).rdd.getNumPartitions() < cores}
+        return SparkDialect(self.sf_dir, thin)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
@@ -28,6 +37,16 @@ class Inputs:
     def derive(self, view: Callable[..., str], *args) -> DataFrame:
         return self.spark.sql(view(self.dialect, *args))
 
+    def stored(self, view: Callable[..., str], label: str) -> DataFrame:
+        """A derived input that several branches of one job read, written once to the
+        shared folder: each branch then scans only its own columns."""
+        return self.keep(self.derive(view), label)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
 
 JOBS: dict[str, Callable[[Inputs], DataFrame]] = {}
 CHECKS: dict[str, Callable[[DuckDialect], str]] = {}

@@ -27,7 +27,10 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Path, size and time of files; contents are never read (the column is pruned)."""
+    """Path, size and time of files; contents are never read (the column is pruned).
+
+    Spark's file sources leave out files of length 0, so an empty asset shows up as
+    missing when the inventory comes from here."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
