@@ -19,6 +19,7 @@ from leafaudit.functions.geometry import (
     similar_area,
 )
 from leafaudit.operators.ordered import ordered_columns
+from leafaudit.session import shared_root
 
 PAGE = ["book", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -86,8 +87,6 @@ def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP, max_rounds: i
     ).select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b"))
     half = touching.distinct()
     edges = half.unionByName(half.select(*PAGE, F.col("b").alias("a"), F.col("a").alias("b")))
-    from leafaudit.session import shared_root
-
     shared_root(spark)
     edges = edges.checkpoint()
     labels = edges.groupBy(*PAGE, "a").agg(F.least(F.min("a"), F.min("b")).alias("label"))
@@ -250,7 +249,7 @@ def box_snap(figures: DataFrame, objects: DataFrame, clusters: DataFrame, *, nea
     figs = figures.select(*PAGE, "figure_id", "strategy", *cand.columns())
     a, b = Box.of("l_"), Box.of("r_")
 
-    images = objects.filter("kind = 'image'").select(*PAGE, "obj_id", *BOX)
+    images = objects.filter("kind = 'image'").groupBy(*PAGE, *BOX).agg(F.min("obj_id").alias("obj_id"))
     left = prefixed(figs, PAGE, "l_")
     pairs = near_pairs(left.filter(F.col("l_strategy") == RASTER), prefixed(images, PAGE, "r_"), PAGE, near)
     good = (overlap_score(a, b) >= 0.2) & similar_area(a, b)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafaudit.functions.text import title_from_slug
-from leafaudit.operators.ordered import top_n
+from leafaudit.operators.ordered import explode_range, top_n
 
 # Letters and common words that point to a language. The Vietnamese
 # row is the original one; the others cover the languages of the sample corpus.
@@ -44,10 +44,7 @@ def page_spec_select(specs: DataFrame, pages: DataFrame, *, strict: bool = False
         parts = parts.filter(well_formed)
     low = F.regexp_extract("part", r"^(\d+)", 1).cast("bigint")
     high = F.coalesce(F.nullif(F.regexp_extract("part", r"-(\d+)$", 1), F.lit("")).cast("bigint"), low)
-    ranges = parts.select(
-        "book", F.greatest(low, F.lit(1)).alias("a"), F.least(high, F.col("page_count")).alias("b")
-    ).filter("a <= b")
-    wanted = ranges.select("book", F.explode(F.sequence("a", "b")).alias("page")).distinct()
+    wanted = explode_range(parts, ["book"], F.greatest(low, F.lit(1)), F.least(high, F.col("page_count")), "page").distinct()
     return pages.join(wanted, ["book", "page"], "left_semi")
 
 

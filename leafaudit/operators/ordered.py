@@ -122,6 +122,24 @@ def islands(df: DataFrame, keys: list[str], value: str, *, width: int = 1024) ->
     return runs.withColumn("n", F.col("last") - F.col("first") + 1)
 
 
+def explode_range(df: DataFrame, keep: list[str], low: Column, high: Column, out: str, *, step: int = 65536) -> DataFrame:
+    """One row per integer low..high.
+
+    A long range is first cut into pieces of `step` that are spread over the cluster
+    (a fixed partition number, so that tiny pieces are not merged again), then
+    expanded; a single huge book does not expand in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = (
+        df.withColumn("_a", low.cast("bigint"))
+        .withColumn("_z", high.cast("bigint"))
+        .filter("_a <= _z")
+        .select(*keep, "_z", F.explode(F.sequence("_a", "_z", F.lit(step).cast("bigint"))).alias("_from"))
+        .repartition(n, *keep, "_from")
+    )
+    last = F.least(F.col("_from") + (step - 1), F.col("_z"))
+    return pieces.select(*keep, F.explode(F.sequence("_from", last)).alias(out))
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rk") -> DataFrame:
     """The first n rows of every group; Spark keeps at most n per group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

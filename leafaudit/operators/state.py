@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafaudit.functions.text import strip
 from leafaudit.operators.issues import blocker_class
-from leafaudit.operators.ordered import by_width, islands, ordered_columns, top_n, trailing_window
+from leafaudit.operators.ordered import by_width, explode_range, islands, ordered_columns, top_n, trailing_window
 
 # Fixed values of the status contract.
 STATES = ["idle", "queued", "running", "done", "failed", "cancelled"]
@@ -85,8 +85,7 @@ def latest_status(events: DataFrame, expected: DataFrame) -> DataFrame:
 
 def expected_pages(books: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Pages 1..page_count of every book."""
-    pages = F.when(F.col("page_count") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("page_count").cast("bigint")))
-    return books.select("book", *(keep or []), F.explode(pages).alias("page"))
+    return explode_range(books, ["book", *(keep or [])], F.lit(1), F.col("page_count"), "page")
 
 
 def pending_pages(books: DataFrame, with_source: DataFrame, valid: DataFrame) -> DataFrame:

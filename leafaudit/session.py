@@ -29,14 +29,12 @@ def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach. The cluster names it in spark.checkpoint.dir;
     only where that is unset (single-machine tests) a fresh local folder is used."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
+    current = spark.sparkContext.getCheckpointDir()
+    if not current:
+        root = root or tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
-    return spark.conf.get("spark.checkpoint.dir", None) or root
+        current = spark.sparkContext.getCheckpointDir()
+    return root or current
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
