@@ -19,7 +19,7 @@ from leafaudit.functions.geometry import (
     similar_area,
 )
 from leafaudit.operators.ordered import ordered_columns
-from leafaudit.session import shared_root
+from leafaudit.session import scratch_path
 
 PAGE = ["book", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -65,51 +65,74 @@ def art_items(objects: DataFrame) -> DataFrame:
     return objects.filter("kind in ('drawing', 'image')").filter(~speck & ~((F.col("kind") == "drawing") & whole))
 
 
-def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP, max_rounds: int = 200) -> DataFrame:
+def _mix(x: Column) -> Column:
+    """Give 64-bit ids an unrelated order, one to one: three Feistel rounds over their halves."""
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    left, right = low(F.shiftrightunsigned(x, 32)), low(x)
+    for turn in range(3):
+        left, right = right, left.bitwiseXOR(low(F.xxhash64(right, F.lit(turn))))
+    return F.shiftleft(left, 32).bitwiseOR(right)
+
+
+def _table(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage through a table in the shared folder. Unlike a checkpoint it also
+    drops the constraints the optimizer would otherwise carry from round to round."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def component_labels(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+    """Contract a graph of (book, page, a, b) edges until none is left.
+
+    Each round every node points to the least id around it, pointers are doubled once,
+    and the edges are rewritten to what their ends point at. With mixed ids the edges
+    shrink by a factor per round, so late rounds are tiny; every round is
+    written to the shared folder. The maps of the rounds are then composed from the
+    last (smallest) one back. Returns (book, page, node, label) for nodes with edges."""
+    maps: list[DataFrame] = []
+    for _ in range(max_rounds):
+        both = edges.unionByName(edges.select(*PAGE, F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = both.groupBy(*PAGE, "a").agg(F.least(F.min("a"), F.min("b")).alias("p"))
+        grand = parent.select(*PAGE, F.col("a").alias("p"), F.col("p").alias("to"))
+        step = parent.join(grand, [*PAGE, "p"]).select(*PAGE, "a", "to")
+        step = _table(step, "component-map")
+        maps.append(step)
+        far = step.select(*PAGE, F.col("a").alias("b"), F.col("to").alias("tb"))
+        moved = edges.join(step, [*PAGE, "a"]).join(far, [*PAGE, "b"]).filter("to <> tb")
+        moved = moved.select(*PAGE, F.least("to", "tb").alias("a"), F.greatest("to", "tb").alias("b")).distinct()
+        edges = _table(moved, "component-edges")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    whole = maps.pop()
+    while maps:
+        after = whole.select(*PAGE, F.col("a").alias("to"), F.col("to").alias("end"))
+        whole = maps.pop().join(after, [*PAGE, "to"], "left").select(*PAGE, "a", F.coalesce("end", "to").alias("to"))
+        if maps:
+            whole = _table(whole, "component-map")
+    return whole.select(*PAGE, F.col("a").alias("node"), F.col("to").alias("label"))
+
+
+def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
     """Connected groups of touching drawings and images with union box and counts.
 
     Items whose centres share a cell of side gap/1.5 are closer than the gap, so
     each cell is contracted to one node first: a crowded page becomes a graph whose
     size follows its area, not its number of rows. Only distinct boxes of different
-    nodes are then compared, tile by tile, and min-labels with pointer jumping run
-    over the node edges until nothing changes."""
-    spark = objects.sparkSession
+    nodes are then compared, tile by tile, and the node graph is contracted."""
     side = gap / 1.5
     box = Box.of()
-    node = F.floor((box.x0 + box.x1) / 2 / side) * (1 << 24) + F.floor((box.y0 + box.y1) / 2 / side)
-    items = art_items(objects).select(
-        *PAGE, "obj_id", *BOX, "kind", "n_items", "page_w", "page_h", node.cast("bigint").alias("node")
-    )
+    cell = F.floor((box.x0 + box.x1) / 2 / side) * (1 << 24) + F.floor((box.y0 + box.y1) / 2 / side)
+    items = art_items(objects).select(*PAGE, "obj_id", *BOX, "kind", "n_items", _mix(cell.cast("bigint")).alias("node"))
     boxes = items.groupBy(*PAGE, "node", "x0", "x1", "y0").agg(F.max("y1").alias("y1"))
     pairs = near_pairs(prefixed(boxes, PAGE, "l_"), prefixed(boxes, PAGE, "r_"), PAGE, gap)
     touching = pairs.filter(
         (F.col("l_node") < F.col("r_node")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap)
     ).select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b"))
-    half = touching.distinct()
-    edges = half.unionByName(half.select(*PAGE, F.col("b").alias("a"), F.col("a").alias("b")))
-    shared_root(spark)
-    edges = edges.checkpoint()
-    labels = edges.groupBy(*PAGE, "a").agg(F.least(F.min("a"), F.min("b")).alias("label"))
-    for _ in range(max_rounds):
-        best = (
-            edges.join(labels.select(*PAGE, F.col("a").alias("b"), F.col("label").alias("nl")), [*PAGE, "b"])
-            .groupBy(*PAGE, "a")
-            .agg(F.min("nl").alias("nl"))
-        )
-        lower = labels.join(best, [*PAGE, "a"]).select(
-            *PAGE, "a", F.col("label").alias("was"), F.least("label", "nl").alias("low")
-        )
-        target = labels.select(*PAGE, F.col("a").alias("low"), F.col("label").alias("jump"))
-        labels = (
-            lower.join(target, [*PAGE, "low"], "left")
-            .select(*PAGE, "a", F.least("low", F.coalesce("jump", "low")).alias("label"), "was")
-            .checkpoint()
-        )
-        if labels.filter("label <> was").isEmpty():
-            break
-    else:
-        raise RuntimeError("cluster labels did not settle")
-    members = items.join(labels.select(*PAGE, F.col("a").alias("node"), "label"), [*PAGE, "node"], "left")
+    labels = component_labels(_table(touching.distinct(), "component-edges"))
+    members = items.join(labels, [*PAGE, "node"], "left")
     return (
         members.withColumn("_c", F.coalesce("label", "node"))
         .groupBy(*PAGE, "_c")

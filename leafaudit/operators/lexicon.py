@@ -95,21 +95,33 @@ def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text")
     return staged.select(*keys, F.inline(F.transform("w", shape)))
 
 
+def pronunciations(lexicon: DataFrame) -> DataFrame:
+    """Add the spoken form, the form tied to a following vowel, and whether it starts with one.
+
+    The rewrites run once per lexicon entry instead of once per word of the corpus."""
+    tied = standard_ipa(F.concat("ipa", F.lit(LIAISON)))
+    return lexicon.select(
+        "book", "word", "ipa",
+        standard_ipa(F.col("ipa")).alias("spoken"), tied.alias("tied"), starts_with_vowel(F.col("ipa")).alias("vowel"),
+    )
+
+
 def lexicon_lookup(words: DataFrame, lexicon: DataFrame, *, book: str | None = None) -> DataFrame:
-    """Add ipa: the book's override, else the base entry, else null.
+    """Add the lexicon columns (ipa, ...): the book's override, else the base entry, else null.
 
     The lexicon side is small or large; Spark decides from its size whether to
     broadcast, and splits frequent words at run time when it does not."""
-    key = F.lower("word")
-    base = lexicon.filter("book is null").select(F.col("word").alias("_w"), F.col("ipa").alias("_base"))
-    out = words.withColumn("_key", key).join(base, F.col("_key") == F.col("_w"), "left").drop("_w")
+    values = [c for c in lexicon.columns if c not in ("book", "word")]
+    entry = F.struct(*values)
+    base = lexicon.filter("book is null").select(F.col("word").alias("_w"), entry.alias("_e"))
+    out = words.withColumn("_key", F.lower("word")).join(base, F.col("_key") == F.col("_w"), "left").drop("_w")
     if book:
         own = lexicon.filter("book is not null").select(
-            F.col("book").alias("_b"), F.col("word").alias("_w"), F.col("ipa").alias("_own")
+            F.col("book").alias("_b"), F.col("word").alias("_w"), entry.alias("_own")
         )
-        out = out.join(own, (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left").drop("_w", "_b")
-        return out.withColumn("ipa", F.coalesce("_own", "_base")).drop("_own", "_base", "_key")
-    return out.withColumnRenamed("_base", "ipa").drop("_key")
+        out = out.join(own, (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
+        out = out.withColumn("_e", F.coalesce("_own", "_e"))
+    return out.select(*words.columns, "_e.*")
 
 
 def coverage(looked_up: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,9 +144,12 @@ def standard_ipa(ipa: Column) -> Column:
 
 
 def liaison_link(looked_up: DataFrame, keys: list[str]) -> DataFrame:
-    """Tie a word's pronunciation to the next one that starts with a vowel, unless a pause lies between."""
-    nxt = F.lead("ipa").over(Window.partitionBy(*keys).orderBy("k"))
-    tie = ~F.coalesce("pause", F.lit(True)) & F.coalesce(starts_with_vowel(F.col("_next")), F.lit(False))
-    linked = F.when(tie, F.concat("ipa", F.lit(LIAISON))).otherwise(F.col("ipa"))
-    spoken = F.concat(F.col("pre"), F.coalesce(standard_ipa(linked), F.lit(" ")), F.col("post"))
-    return looked_up.withColumn("_next", nxt).withColumn("ipa_text", spoken).drop("_next")
+    """Tie a word's pronunciation to the next one that starts with a vowel, unless a pause lies between.
+
+    looked_up carries the columns of pronunciations(); a run is one text row, so the
+    window never holds more than that row's words."""
+    nxt = F.lead("vowel").over(Window.partitionBy(*keys).orderBy("k"))
+    tie = ~F.coalesce("pause", F.lit(True)) & F.coalesce("_next", F.lit(False))
+    spoken = F.when(tie, F.col("tied")).otherwise(F.col("spoken"))
+    text = F.concat(F.col("pre"), F.coalesce(spoken, F.lit(" ")), F.col("post"))
+    return looked_up.withColumn("_next", nxt).withColumn("ipa_text", text).drop("_next")

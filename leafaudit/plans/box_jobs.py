@@ -97,7 +97,8 @@ def nearest_sql(d) -> str:
 
 def nearest(inp: Inputs):
     objs = stored_objects(inp)
-    return objs, boxes.caption_nearest(boxes.captions(objs), boxes.visual_clusters(objs))
+    caps = inp.keep(boxes.captions(objs), "captions")
+    return objs, inp.keep(boxes.caption_nearest(caps, boxes.visual_clusters(objs)), "nearest")
 
 
 @job("caption_nearest", lambda d: f"SELECT book, page, obj_id, figure_id, cluster_id, d2, caption_side FROM ({nearest_sql(d)}) n")
@@ -253,7 +254,8 @@ def bands_sql(d) -> str:
 
 def bands(inp: Inputs):
     objs = stored_objects(inp)
-    return objs, boxes.caption_bands(boxes.captions(objs), objs)
+    caps = inp.keep(boxes.captions(objs), "captions")
+    return objs, boxes.caption_bands(caps, objs)
 
 
 @job("caption_bands", lambda d: f"SELECT book, page, obj_id, above_y0, above_y1, below_y0, below_y1 FROM ({bands_sql(d)}) b")
@@ -296,6 +298,7 @@ def _gap(p: str) -> str:
 )
 def caption_crop_window(inp: Inputs):
     objs, found = bands(inp)
+    found = inp.keep(found, "bands")
     return boxes.caption_crop_window(found, boxes.band_union(found, objs))
 
 
@@ -317,7 +320,8 @@ def _expected(d) -> str:
 )
 def ordinal_pairing(inp: Inputs):
     objs = stored_objects(inp)
-    return boxes.ordinal_pairing(inp.derive(_expected), objs, boxes.captions(objs))
+    caps = inp.keep(boxes.captions(objs), "captions")
+    return boxes.ordinal_pairing(inp.stored(_expected, "expected"), objs, caps)
 
 
 def _page_expects(d) -> str:
@@ -345,5 +349,6 @@ def _planned_crops(d) -> str:
     SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY y0, x0, canon, figure_id, x1, y1) AS rank FROM a""",
 )
 def expected_figure_fill(inp: Inputs):
-    caps = boxes.captions(stored_objects(inp))
-    return boxes.expected_figure_fill(caps, inp.derive(_page_expects), inp.derive(_planned_crops), canonical_id)
+    caps = inp.keep(boxes.captions(stored_objects(inp)), "captions")
+    expects, crops = inp.stored(_page_expects, "expected"), inp.stored(_planned_crops, "crops")
+    return boxes.expected_figure_fill(caps, expects, crops, canonical_id)

@@ -73,9 +73,9 @@ def visible_text(d, expr: str = "html") -> str:
     for tag in ("script", "style", "head", "noscript", "template", "title"):
         out = d.replace_all(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     out = d.replace_all(out, r"<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    for name, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
         out = f"replace({out}, '{name}', '{char}')"
-    return out
+    return d.replace_all(out, "&amp;?", "&")
 
 
 def token_list(d, expr: str) -> str:

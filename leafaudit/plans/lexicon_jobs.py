@@ -84,4 +84,6 @@ def lexicon_lookup(inp: Inputs):
     SELECT book, doc_id, k, pre || coalesce(regexp_replace(tied, '\\b(d|r|b)i', '\\1ɪ', 'g'), ' ') || post AS ipa_text FROM t""",
 )
 def liaison_link(inp: Inputs):
-    return lexicon.liaison_link(looked_up(inp), KEYS).select("book", "doc_id", "k", "ipa_text")
+    words = lexicon.words_with_punctuation(inp.derive(dv.english), KEYS)
+    spoken = lexicon.lexicon_lookup(words, lexicon.pronunciations(table(inp)), book="book")
+    return lexicon.liaison_link(spoken, KEYS).select("book", "doc_id", "k", "ipa_text")

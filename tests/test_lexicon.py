@@ -81,4 +81,6 @@ def test_vowel_start_and_liaison(spark):
         [(1, 0, "an", "", "", False, "ən"), (1, 1, "egg", "", ",", True, "ɛg"), (1, 2, "is", "", "", False, "ɪz"), (1, 3, "q", "", ".", None, None)],
         "id long, k long, word string, pre string, post string, pause boolean, ipa string",
     )
-    assert rows(lexicon.liaison_link(words, ["id"]), "k", "ipa_text") == [(0, "ən‿"), (1, "eg,"), (2, "ɪz"), (3, " .")]
+    table = words.filter("ipa is not null").select(F.lit(None).cast("string").alias("book"), "word", "ipa")
+    spoken = lexicon.lexicon_lookup(words.drop("ipa"), lexicon.pronunciations(table))
+    assert rows(lexicon.liaison_link(spoken, ["id"]), "k", "ipa_text") == [(0, "ən‿"), (1, "eg,"), (2, "ɪz"), (3, " .")]
