@@ -129,7 +129,7 @@ def asset_names(d) -> str:
 
 
 def inventory(d) -> str:
-    """Files on disk: names whose length is not a multiple of three exist, some are empty."""
+    """Files on disk: names with an e exist, some are empty."""
     kinds = " UNION ALL ".join(
         f"SELECT concat('/library/', book, '/output/assets/', {path}) AS path, name FROM n"
         for path in (
@@ -137,7 +137,7 @@ def inventory(d) -> str:
         )
     )
     return f"""
-    WITH n AS (SELECT DISTINCT book, name FROM ({asset_names(d)}) a WHERE length(name) % 3 <> 0)
+    WITH n AS (SELECT DISTINCT book, name FROM ({asset_names(d)}) a WHERE name LIKE '%e%')
     SELECT path, CAST((length(name) * 10) % 50 AS BIGINT) AS size FROM ({kinds}) k"""
 
 
@@ -381,11 +381,11 @@ def lexicon_lines(d) -> str:
     return f"""
     SELECT doc_id AS seq, CASE WHEN length(word) % 5 = 4 THEN concat(word, chr(9), 'x', chr(9), 'y')
       ELSE concat(' ', upper(word), chr(9), '/', reverse(word), CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'o' END, '/, /alt/') END AS line
-    FROM ({word_rows(d)}) w WHERE length(word) % 4 <> 0"""
+    FROM ({word_rows(d)}) w WHERE word NOT LIKE '%on'"""
 
 
 def overrides(d) -> str:
-    return f"SELECT DISTINCT book, word, concat('own', word) AS ipa FROM ({word_rows(d)}) w WHERE length(word) % 7 = 3"
+    return f"SELECT DISTINCT book, word, concat('own', word) AS ipa FROM ({word_rows(d)}) w WHERE word LIKE '%ing'"
 
 
 def assembly_pages(d) -> str:

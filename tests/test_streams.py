@@ -81,3 +81,12 @@ def test_agent_events(spark):
     got = dict(agent_events.agent_event_decode(df).select("i", "chunk").collect())
     want = {i: w for i, (_, w) in enumerate(cases) if w} | {98: '{"type": "assistant", "cut\n', 97: "plain text\n"}
     assert got == want
+
+
+def test_recent_jobs_keeps_one_row_per_job(spark, tmp_path):
+    df = events(spark, range(6)).select((F.col("seq") % 3).alias("job_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id long, created_at timestamp").parquet(str(tmp_path / "in"))
+    out = status.recent_jobs(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    out.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "job_id") == [(0,), (1,), (2,)]
