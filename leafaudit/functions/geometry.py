@@ -74,9 +74,18 @@ def similar_area(a: Box, b: Box, max_ratio: float = 4.0) -> Column:
     return F.coalesce((small > 0) & (large <= small * max_ratio), F.lit(False))
 
 
+def tile_of(value: Column, tile: float) -> Column:
+    """Tile index along one axis. Indexes are clamped, so a box with absurd coordinates
+    covers a bounded number of tiles; the clamp keeps order, so no pair is lost."""
+    return F.least(F.greatest(F.floor(value / tile), F.lit(-64)), F.lit(192))
+
+
+def tiles_between(low: Column, high: Column, tile: float) -> Column:
+    return F.explode(F.when(low <= high, F.sequence(tile_of(low, tile), tile_of(high, tile))))
+
+
 def _tiled(df: DataFrame, box: Box, tile: float) -> DataFrame:
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / tile), F.floor(hi / tile)))
-    return df.withColumn("_tx", span(box.x0, box.x1)).withColumn("_ty", span(box.y0, box.y1))
+    return df.withColumn("_tx", tiles_between(box.x0, box.x1, tile)).withColumn("_ty", tiles_between(box.y0, box.y1, tile))
 
 
 def near_pairs(
@@ -97,8 +106,8 @@ def near_pairs(
         .filter(
             (corner_x <= F.least(grown.x1, other.x1))
             & (corner_y <= F.least(grown.y1, other.y1))
-            & (F.floor(corner_x / tile) == F.col("_tx"))
-            & (F.floor(corner_y / tile) == F.col("_ty"))
+            & (tile_of(corner_x, tile) == F.col("_tx"))
+            & (tile_of(corner_y, tile) == F.col("_ty"))
         )
         .drop("_tx", "_ty")
     )

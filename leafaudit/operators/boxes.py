@@ -17,6 +17,8 @@ from leafaudit.functions.geometry import (
     page_box,
     prefixed,
     similar_area,
+    tile_of,
+    tiles_between,
 )
 from leafaudit.operators.ordered import ordered_columns
 from leafaudit.session import scratch_path
@@ -429,11 +431,10 @@ def band_union(bands: DataFrame, objects: DataFrame, *, tile: float = 128.0) ->
         ),
     )
     lo, hi = F.least("b0", "b1"), F.greatest("b0", "b1")
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.floor(b / tile)))
-    left = sides.withColumn("_ty", span(lo, hi))
-    right = band_objects(objects).withColumn("_ty", span(F.col("y0"), F.col("y1")))
+    left = sides.withColumn("_ty", tiles_between(lo, hi, tile))
+    right = band_objects(objects).withColumn("_ty", tiles_between(F.col("y0"), F.col("y1"), tile))
     hits = left.join(right, [*PAGE, "_ty"]).filter(
-        (F.col("y1") >= F.col("b0")) & (F.col("y0") <= F.col("b1")) & (F.floor(F.greatest(lo, F.col("y0")) / tile) == F.col("_ty"))
+        (F.col("y1") >= F.col("b0")) & (F.col("y0") <= F.col("b1")) & (tile_of(F.greatest(lo, F.col("y0")), tile) == F.col("_ty"))
     )
     return hits.groupBy(*PAGE, "obj_id", "band").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")

@@ -236,3 +236,10 @@ def test_facsimile_needs_one_full_page_sheet(spark):
     )
     assert rows(figures.plan_contract_violations(layouts, regions, figs), "page", "rule") == [(2, "facsimile sheet")]
     assert F is not None
+
+
+def test_absurd_coordinates_stay_cheap_and_exact(spark):
+    far = [("b", 1, i, "image", 1e9 + 20.0 * i, -1e9, 1e9 + 20.0 * i + 10, -1e9 + 5, "", 1, 9e12, 9e12) for i in range(1, 6)]
+    wide = [("b", 1, 9, "image", -1e8, 0.0, 1e8, 4.0, "", 1, 9e12, 9e12), ("b", 1, 10, "image", 5.0, 10.0, 9.0, 20.0, "", 1, 9e12, 9e12)]
+    got = rows(boxes.visual_clusters(spark.createDataFrame(far + wide, SCHEMA)), "cluster_id", "image_count")
+    assert got == [(1, 5), (9, 2)]
