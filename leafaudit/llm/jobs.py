@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafaudit.llm import bpe, exact, html, packing, quality, search
+from leafaudit.llm import bpe, exact, html, lines, packing, quality, search, secrets
 from leafaudit.llm.common import read_table
 
 
@@ -21,10 +21,19 @@ def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", search.integer_components().alias("components"))
     return search.top_k(rows, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
@@ -54,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_encoding, op4_exact_dedup, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing)
+    for f in (op1_bpe_encoding, op2_line_dedup, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
