@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafaudit.llm import bpe, exact, html, lines, packing, quality, search, secrets
+from leafaudit.llm import bpe, exact, html, lines, near, packing, quality, search, secrets
 from leafaudit.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_components(read_table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_encoding, op2_line_dedup, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing)
+    for f in (op1_bpe_encoding, op2_line_dedup, op3_ngram_jaccard_join, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
