@@ -12,11 +12,11 @@ keys, so that two sets that link share a key:
 Short lists give their pairs. Long lists (of a shingle that many documents have) are not
 paired: their nodes are filed anew under the parts of a partition of their set, with one
 part more than two linked sets can differ in shingles, so linked sets share a part.
-A long list of a part is a group of near copies. Its members are compared with one of
-them, the pivot. If two members link and don't both link with the pivot, then their
-differences from the pivot meet; so the members of groups that hold an unlinked one are
-filed under the shingles in which they differ from the pivot, and the same is done
-again. Each candidate is then compared by parts (sets that differ in more parts than
+A long list of a part is a group of near copies. Its members are compared with the
+one in most groups, the pivot. If two members link and don't both link with the pivot,
+then their differences from the pivot meet; so the members of groups that hold an
+unlinked one are filed under shingles in which they differ from the pivot (as many as
+the link needs, those that the pivot lacks first), and the same is done again. Each candidate is then compared by parts (sets that differ in more parts than
 they may in shingles don't link), and what is left by whole sets.
 """
 
@@ -126,6 +126,27 @@ class Scheme:
     def part_count(self, last: int) -> int:
         return 2 * last * (self.den - self.num) // (self.den + self.num) + 1
 
+    def differing_keys(self, pivot: np.ndarray, tokens: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles in which a set differs from its group's pivot, as far as needed to meet
+        every partner B that may link with it (not both linked to the pivot).
+
+        With d the most that linked sets may differ by, the differences dA and dB from the
+        pivot have (dA + dB - d) / 2 shingles in common at least. So if dA <= dB the first
+        d/2 + 1 of A's differences must hold one of them (the first array), and else the
+        first d + 1 (with the second array); if A links with the pivot and B doesn't, half
+        of dA is enough. Shingles that the pivot lacks come first: few share them."""
+        added = np.setdiff1d(tokens, pivot, assume_unique=True)
+        lost = np.setdiff1d(pivot, tokens, assume_unique=True)
+        far = np.concatenate([added, lost])
+        s, n = len(tokens), len(far)
+        d = (s + self.den * s // self.num) * (self.den - self.num) // (self.den + self.num)
+        common = max(1, n - d)
+        if linked:
+            common = max(common, math.ceil((n + (len(pivot) - s) * (self.den - self.num) / (self.den + self.num)) / 2))
+        reach = max(0, n - common + 1)
+        short = min(reach, n - max(1, math.ceil(n - d / 2)) + 1)
+        return far[:short], far[short:reach]
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         s = len(tokens)
         out = []
@@ -187,16 +208,22 @@ def signatures(docs: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
 
 def split_lists(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Lists of (key, node) postings: the short ones as distinct sorted arrays of 2 nodes or
-    more, and the postings of the long ones. Lengths are counted before any row moves to
+    """Lists of (key, node, start, end) postings: the short ones as distinct sorted arrays of
+    2 nodes or more, and the postings of the long ones. A list counts only if it has a
+    posting marked start and one marked end. Lengths are counted before any row moves to
     its list, so a long list stays spread."""
-    counts = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    counts = counts.select("key", "c")
-    met = postings.join(counts, "key")
+    counts = postings.groupBy("key").agg(
+        F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("start").alias("s"), F.bool_or("end").alias("e")
+    )
+    met = postings.join(counts.filter("least <> most and s and e").select("key", "c"), "key")
     short = met.filter(F.col("c") <= most).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
     return short, met.filter(F.col("c") > most).select("key", "node")
 
 
+def plain(postings: DataFrame) -> DataFrame:
+    return postings.select("key", "node", F.lit(True).alias("start"), F.lit(True).alias("end"))
+
+
 def pairs_of(lists: DataFrame) -> DataFrame:
     """Distinct pairs a < b of the nodes of short lists."""
     firsts = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.slice("nodes", i + 2, F.size("nodes")).alias("rest")))
@@ -253,7 +280,7 @@ class Joiner:
                         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([packed[at : at + step].tobytes()], pa.binary())], ["at", "part"])
 
         filled = np.zeros(bits // 8, np.uint8)
-        for r in rows.coalesce(16).mapInArrow(marks, "at long, part binary").toLocalIterator():
+        for r in rows.coalesce(4).mapInArrow(marks, "at long, part binary").toLocalIterator():
             part = np.frombuffer(r.part, np.uint8)
             filled[r.at : r.at + len(part)] |= part
         shared = self.docs.sparkSession.sparkContext.broadcast(filled)
@@ -272,35 +299,39 @@ class Joiner:
 
     def compared(self, pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
         """(a, b, linked) by whole sets, and if asked for the shingles in which they differ."""
-        num, den = self.scheme.num, self.scheme.den
+        scheme = self.scheme
+        num, den = scheme.num, scheme.den
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("bt")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("at")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in each_batch(batches, 256):
-                linked, far = [], []
+                linked, far, further = [], [], []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(den * common >= num * (len(x) + len(y) - common))
-                    far.append(np.setxor1d(x, y, assume_unique=True) if differences else np.empty(0, np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), list_array(far)], ["a", "b", "linked", "far"])
+                    keys = scheme.differing_keys(x, y, linked[-1]) if differences else (x[:0], x[:0])
+                    far.append(keys[0])
+                    further.append(keys[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), list_array(far), list_array(further)], ["a", "b", "linked", "far", "further"])
 
-        return both.select("a", "b", "at", "bt").mapInArrow(run, "a long, b long, linked boolean, far array<long>")
+        return both.select("a", "b", "at", "bt").mapInArrow(run, "a long, b long, linked boolean, far array<long>, further array<long>")
 
     def links(self) -> DataFrame:
         """Edges (a, b) between nodes that join all linked nodes into their components."""
         nodes = self.signed.filter("n > 0")
-        short, long = split_lists(nodes.select(F.explode("keys").alias("key"), "node"), self.most)
+        short, long = split_lists(plain(nodes.select(F.explode("keys").alias("key"), "node")), self.most)
         crowded = stored(long.select("node").distinct(), "near-crowded")
         lists = stored(short, "near-lists")
         filed = nodes.join(crowded, "node", "left_semi").select("node", F.explode(F.concat("own", "up")).alias("key")).distinct()
-        short, long = split_lists(filed, self.most)
+        short, long = split_lists(plain(filed), self.most)
         lists = lists.unionByName(stored(short, "near-lists"))
         groups = stored(long, "near-groups")
         edges = None
         while True:
             pairs = stored(self.passing(stored(pairs_of(lists), "near-pairs")), "near-pairs")
-            pivots = groups.groupBy("key").agg(F.min("node").alias("a"))
+            central = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
+            pivots = central.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
             stars = stored(groups.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-stars")
             sets = self.sets(pairs.unionByName(stars))
             met = self.compared(pairs, sets, False).filter("linked").select("a", "b")
@@ -308,9 +339,13 @@ class Joiner:
             found = stored(met.unionByName(star.filter("linked").select("a", "b")), "near-links")
             edges = found if edges is None else edges.unionByName(found)
             open_pivots = star.filter("not linked").select("a").distinct()
-            differing = star.join(open_pivots, "a", "left_semi").select(F.col("b").alias("node"), "linked", F.explode(F.transform("far", lambda t: F.xxhash64("a", t))).alias("key"))
-            unlinked = differing.filter("not linked").select("key").distinct()
-            short, long = split_lists(differing.select("key", "node").distinct().join(unlinked, "key", "left_semi"), self.most)
+            differing = star.join(open_pivots, "a", "left_semi")
+            key = lambda c: F.transform(c, lambda t: F.xxhash64("a", t))
+            filed = differing.select(
+                F.col("b").alias("node"), (~F.col("linked")).alias("end"), F.explode(F.concat(F.transform(key("far"), lambda k: F.struct(k.alias("key"), F.lit(True).alias("start"))), F.transform(key("further"), lambda k: F.struct(k.alias("key"), F.lit(False).alias("start"))))).alias("k")
+            )
+            filed = filed.groupBy("k.key", "node").agg(F.bool_or("k.start").alias("start"), F.bool_or("end").alias("end"))
+            short, long = split_lists(filed, 4 * self.most)
             groups, lists = stored(long, "near-groups"), stored(short, "near-lists")
             if groups.isEmpty() and lists.isEmpty():
                 return edges
