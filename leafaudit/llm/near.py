@@ -12,12 +12,12 @@ keys, so that two sets that link share a key:
 Short lists give their pairs. Long lists (of a shingle that many documents have) are not
 paired: their nodes are filed anew under the parts of a partition of their set, with one
 part more than two linked sets can differ in shingles, so linked sets share a part.
-A long list of a part is a group of near copies. Its members are compared with the
-one in most groups, the pivot. If two members link and don't both link with the pivot,
-then their differences from the pivot meet; so the members of groups that hold an
-unlinked one are filed under shingles in which they differ from the pivot (as many as
-the link needs, those that the pivot lacks first), and the same is done again. Each candidate is then compared by parts (sets that differ in more parts than
-they may in shingles don't link), and what is left by whole sets.
+A long list of a part is a group of near copies. Its members are compared with the one
+in most groups, the pivot. Members that link with it are joined through it. In a group
+that has others, members are compared chunk by chunk, by the few shingles in which they
+differ from the pivot, inside tasks that give edges joining what links; no pair of the
+group becomes a row. Pairs of short lists are compared by parts first (sets that differ
+in more parts than they may in shingles don't link), and then by whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from leafaudit.operators.boxes import component_labels
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CACHE_WORDS = 400_000
+#: Mean members of a chunk of a group.
+CHUNK = 400
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -126,36 +128,16 @@ class Scheme:
     def part_count(self, last: int) -> int:
         return 2 * last * (self.den - self.num) // (self.den + self.num) + 1
 
-    def differing_keys(self, pivot: np.ndarray, tokens: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles in which a set differs from its group's pivot, as far as needed to meet
-        every partner B that may link with it (not both linked to the pivot).
-
-        With d the most that linked sets may differ by, the differences dA and dB from the
-        pivot have (dA + dB - d) / 2 shingles in common at least. So if dA <= dB the first
-        d/2 + 1 of A's differences must hold one of them (the first array), and else the
-        first d + 1 (with the second array); if A links with the pivot and B doesn't, half
-        of dA is enough. Shingles that the pivot lacks come first: few share them."""
-        added = np.setdiff1d(tokens, pivot, assume_unique=True)
-        lost = np.setdiff1d(pivot, tokens, assume_unique=True)
-        far = np.concatenate([added, lost])
-        s, n = len(tokens), len(far)
-        d = (s + self.den * s // self.num) * (self.den - self.num) // (self.den + self.num)
-        common = max(1, n - d)
-        if linked:
-            common = max(common, math.ceil((n + (len(pivot) - s) * (self.den - self.num) / (self.den + self.num)) / 2))
-        reach = max(0, n - common + 1)
-        short = min(reach, n - max(1, math.ceil(n - d / 2)) + 1)
-        return far[:short], far[short:reach]
-
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         s = len(tokens)
         out = []
         if s and s <= self.boundary:
-            total, spread = tokens.sum(dtype=np.uint64), mix(tokens, 3)
+            spread = mix(tokens, 3)
             total = spread.sum(dtype=np.uint64)
             for c in self.subset_sizes(s, self.boundary):
                 dropped = itertools.combinations(range(s), s - c)
-                sums = np.array([total - spread[list(d)].sum(dtype=np.uint64) for d in dropped], np.uint64)
+                sums = np.array([spread[list(d)].sum(dtype=np.uint64) for d in dropped], np.uint64)
+                sums = np.full(len(sums), total) - sums
                 out.append(mix(sums, 5 + c))
         if s and self.den * s >= self.num * (self.boundary + 1):
             out.append(mix(tokens[: self.prefix(s)], 2))
@@ -208,22 +190,15 @@ def signatures(docs: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
 
 def split_lists(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Lists of (key, node, start, end) postings: the short ones as distinct sorted arrays of
-    2 nodes or more, and the postings of the long ones. A list counts only if it has a
-    posting marked start and one marked end. Lengths are counted before any row moves to
+    """Lists of (key, node) postings: the short ones as distinct sorted arrays of 2 nodes or
+    more, and the postings of the long ones. Lengths are counted before any row moves to
     its list, so a long list stays spread."""
-    counts = postings.groupBy("key").agg(
-        F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("start").alias("s"), F.bool_or("end").alias("e")
-    )
-    met = postings.join(counts.filter("least <> most and s and e").select("key", "c"), "key")
+    counts = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most"))
+    met = postings.join(counts.filter("least <> most").select("key", "c"), "key")
     short = met.filter(F.col("c") <= most).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
     return short, met.filter(F.col("c") > most).select("key", "node")
 
 
-def plain(postings: DataFrame) -> DataFrame:
-    return postings.select("key", "node", F.lit(True).alias("start"), F.lit(True).alias("end"))
-
-
 def pairs_of(lists: DataFrame) -> DataFrame:
     """Distinct pairs a < b of the nodes of short lists."""
     firsts = F.transform("nodes", lambda x, i: F.struct(x.alias("a"), F.slice("nodes", i + 2, F.size("nodes")).alias("rest")))
@@ -239,17 +214,13 @@ class Joiner:
         self.scheme, self.width, self.most = scheme, width, most
         self.signed = stored(signatures(self.docs, scheme, width), "near-signatures")
 
-    def facts(self, prefix: str) -> DataFrame:
-        """One row per node with its parts."""
-        once = self.signed.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("last").alias("last"), F.any_value("own").alias("own"), F.any_value("up").alias("up"))
-        return once.select(*[F.col(c).alias(c if c == "node" else f"{prefix}{c}") for c in once.columns]).withColumnRenamed("node", prefix)
-
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and parts allow a link."""
         num, den = self.scheme.num, self.scheme.den
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        facts = stored(self.signed.join(wanted, "node", "left_semi").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "last", "own", "up", "row")]), "near-facts")
-        self.candidates = facts.select("node", "row")
+        # one byte of each part's value: equal bytes may hide a difference, but none is made up
+        met = self.signed.join(wanted, "node", "left_semi").select("node", "n", "last", *[F.transform(c, lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")).alias(c) for c in ("own", "up")])
+        facts = stored(met.dropDuplicates(["node"]), "near-facts")
         side = lambda p: facts.select(F.col("node").alias(p), *[F.col(c).alias(p + c) for c in ("n", "last", "own", "up")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         flip = F.col("an") > F.col("bn")
@@ -305,50 +276,79 @@ class Joiner:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in each_batch(batches, 256):
-                linked, far, further = [], [], []
+                linked, far, size = [], [], []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(den * common >= num * (len(x) + len(y) - common))
-                    keys = scheme.differing_keys(x, y, linked[-1]) if differences else (x[:0], x[:0])
-                    far.append(keys[0])
-                    further.append(keys[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), list_array(far), list_array(further)], ["a", "b", "linked", "far", "further"])
+                    far.append(np.setxor1d(x, y, assume_unique=True) if differences else x[:0])
+                    size.append(len(y))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), list_array(far), pa.array(size, pa.int64())], ["a", "b", "linked", "far", "size"])
 
-        return both.select("a", "b", "at", "bt").mapInArrow(run, "a long, b long, linked boolean, far array<long>, further array<long>")
+        return both.select("a", "b", "at", "bt").mapInArrow(run, "a long, b long, linked boolean, far array<long>, size long")
+
+    def within(self, star: DataFrame) -> DataFrame:
+        """Links within the groups that hold a member not linked to its pivot, as edges that
+        join what is linked. Members are dealt into chunks, and a task compares two chunks
+        of a group by the shingles in which they differ from the pivot: it holds two chunks,
+        and gives at most an edge for each of their members."""
+        num, den = self.scheme.num, self.scheme.den
+        sizes = star.groupBy("a").agg(F.count("*").alias("members"), F.bool_or(~F.col("linked")).alias("open")).filter("open")
+        chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+        dealt = star.join(sizes, "a").select("a", "b", "linked", "far", "size", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        dealt = dealt.select("a", "b", "linked", "far", "size", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            nodes, size = table.column("b").to_numpy(), table.column("size").to_numpy()
+            tied = table.column("linked").to_numpy(zero_copy_only=False).astype(bool)
+            far = table.column("far").combine_chunks()
+            length = far.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(nodes)), length)
+            _, at, met = np.unique(far.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            shared = met[at] > 1
+            names, column = np.unique(at[shared], return_inverse=True)
+            row, common = row[shared], np.zeros((len(nodes), len(nodes)), np.float32)
+            for slab in range(0, len(names), 4096):
+                part = (column >= slab) & (column < slab + 4096)
+                marks = np.zeros((len(nodes), min(4096, len(names) - slab)), np.float32)
+                marks[row[part], column[part] - slab] = 1
+                common += marks @ marks.T
+            both = (size[:, None] + size - (length[:, None] + length - 2 * common)) / 2
+            near = (den * both >= num * (size[:, None] + size - both)) & ~(tied[:, None] & tied)
+            np.fill_diagonal(near, False)
+            seen, edges = np.zeros(len(nodes), bool), []
+            for root in np.flatnonzero(near.any(axis=1)):
+                stack = [] if seen[root] else [root]
+                seen[root] = True
+                while stack:
+                    here = stack.pop()
+                    new = np.flatnonzero(near[here] & ~seen)
+                    seen[new] = True
+                    stack += new.tolist()
+                    edges += [(int(nodes[here]), int(nodes[x])) for x in new]
+            return pa.table([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], names=["a", "b"])
+
+        return dealt.groupBy("a", "low", "high").applyInArrow(run, "a long, b long")
 
     def links(self) -> DataFrame:
         """Edges (a, b) between nodes that join all linked nodes into their components."""
         nodes = self.signed.filter("n > 0")
-        short, long = split_lists(plain(nodes.select(F.explode("keys").alias("key"), "node")), self.most)
+        short, long = split_lists(nodes.select(F.explode("keys").alias("key"), "node"), self.most)
         crowded = stored(long.select("node").distinct(), "near-crowded")
         lists = stored(short, "near-lists")
         filed = nodes.join(crowded, "node", "left_semi").select("node", F.explode(F.concat("own", "up")).alias("key")).distinct()
-        short, long = split_lists(plain(filed), self.most)
+        short, long = split_lists(filed, self.most)
         lists = lists.unionByName(stored(short, "near-lists"))
         groups = stored(long, "near-groups")
-        edges = None
-        while True:
-            pairs = stored(self.passing(stored(pairs_of(lists), "near-pairs")), "near-pairs")
-            central = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
-            pivots = central.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-            stars = stored(groups.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-stars")
-            sets = self.sets(pairs.unionByName(stars))
-            met = self.compared(pairs, sets, False).filter("linked").select("a", "b")
-            star = stored(self.compared(stars, sets, True), "near-compared")
-            found = stored(met.unionByName(star.filter("linked").select("a", "b")), "near-links")
-            edges = found if edges is None else edges.unionByName(found)
-            open_pivots = star.filter("not linked").select("a").distinct()
-            differing = star.join(open_pivots, "a", "left_semi")
-            key = lambda c: F.transform(c, lambda t: F.xxhash64("a", t))
-            filed = differing.select(
-                F.col("b").alias("node"), (~F.col("linked")).alias("end"), F.explode(F.concat(F.transform(key("far"), lambda k: F.struct(k.alias("key"), F.lit(True).alias("start"))), F.transform(key("further"), lambda k: F.struct(k.alias("key"), F.lit(False).alias("start"))))).alias("k")
-            )
-            filed = filed.groupBy("k.key", "node").agg(F.bool_or("k.start").alias("start"), F.bool_or("end").alias("end"))
-            short, long = split_lists(filed, 4 * self.most)
-            groups, lists = stored(long, "near-groups"), stored(short, "near-lists")
-            if groups.isEmpty() and lists.isEmpty():
-                return edges
+        pairs = stored(self.passing(stored(pairs_of(lists), "near-pairs")), "near-pairs")
+        central = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        pivots = central.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+        stars = stored(groups.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-stars")
+        sets = self.sets(pairs.unionByName(stars))
+        met = self.compared(pairs, sets, False).filter("linked").select("a", "b")
+        star = stored(self.compared(stars, sets, True), "near-stars")
+        return met.unionByName(star.filter("linked").select("a", "b")).unionByName(self.within(star))
 
 
 def near_components(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, most: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
