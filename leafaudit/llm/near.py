@@ -193,9 +193,9 @@ def split_lists(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Lists of (key, node) postings: the short ones as distinct sorted arrays of 2 nodes or
     more, and the postings of the long ones. Lengths are counted before any row moves to
     its list, so a long list stays spread."""
-    counts = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most"))
-    met = postings.join(counts.filter("least <> most").select("key", "c"), "key")
-    short = met.filter(F.col("c") <= most).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
+    counts = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = postings.join(counts, "key")
+    short = met.filter(F.col("c") <= most).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).filter("size(nodes) > 1").select("nodes").distinct()
     return short, met.filter(F.col("c") > most).select("key", "node")
 
 
