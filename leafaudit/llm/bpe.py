@@ -15,8 +15,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from leafaudit.llm.common import each_batch, text_or_empty
 SPACE = r"\p{White_Space}"
 #: The split patterns that the two kinds of vocabulary files are made for.
 BYTE_LEVEL_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!\S)|{SPACE}+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+CACHES: dict[tuple[str, str], dict] = {}
 #: Marks of parts, lone surrogates that no text holds: a first part, a single word, a special string.
 FIRST, WORD, SPECIAL = "\ud800", "\ud801", "\udfff"
 #: White space of str.split() that the patterns don't know; white space beside a blank.
@@ -60,13 +62,14 @@ class Vocabulary:
     suffix: str
     normalized: bool
     word_pattern: str
-    _cache: tuple[dict, dict] = field(default_factory=lambda: ({}, {}))
+    digest: str
 
     @staticmethod
     def read(path: str) -> Vocabulary:
         """Read a tokenizers file with a BPE model over bytes."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            raw = f.read()
+        spec = json.loads(raw)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         ids = model["vocab"]
@@ -98,10 +101,15 @@ class Vocabulary:
             last=np.array([ids.get(c + suffix, -1) for c in alphabet], dtype=np.int64),
             keys=keys[order], ranks=rank[order], products=product[order],
             special=special, suffix=suffix, normalized=spec.get("normalizer") is not None, word_pattern=pattern,
+            digest=hashlib.sha256(raw).hexdigest(),
         )
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__ and k != "_cache"} | {"_cache": ({}, {})}
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+    def cache(self, kind: str) -> dict:
+        """A table that later tasks of the same worker find again."""
+        return CACHES.setdefault((self.digest, kind), {})
 
     @cached_property
     def token_bytes(self) -> list[bytes]:
@@ -215,7 +223,7 @@ class Vocabulary:
     def encode_keys(self, keys: set[str]) -> dict[str, tuple[bytes, bytes, int]]:
         """For each part its ids as bytes, its tokens joined by blanks, and its count; kept
         between batches in tables of bounded size."""
-        cache, known = self._cache
+        cache, known = self.cache("parts"), self.cache("words")
         new = [k for k in keys if k not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
@@ -243,6 +251,27 @@ class Vocabulary:
                 cache[k] = (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
         return cache
 
+    def encode_ids(self, keys: set[str]) -> dict[str, bytes]:
+        """For each part its ids as bytes, without the decoded text."""
+        cache, known = self.cache("part ids"), self.cache("word ids")
+        new = [k for k in keys if k not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = list(keys)
+        words = {k: self.words_in(k) for k in new if k[:1] != SPECIAL}
+        every = set(chain.from_iterable(words.values()))
+        missing = every - known.keys()
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            missing = every
+        for part, symbols, ends in self.merge_all(missing):
+            raw = symbols.astype("<u4").tobytes()
+            known.update((w, raw[4 * at : 4 * end]) for w, at, end in zip(part, [0, *ends], ends, strict=False))
+        get = known.__getitem__
+        cache.update((k, b"".join(map(get, ws))) for k, ws in words.items())
+        cache.update((k, np.array([self.special[k[1:]]], "<u4").tobytes()) for k in new if k[:1] == SPECIAL)
+        return cache
+
     def decode(self, ids: Iterable[int]) -> str:
         """Vocabulary strings joined by one blank, as a file without a decoder asks for."""
         return " ".join([self.tokens[i] for i in ids])
@@ -328,12 +357,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, limit: int = 512, doc
     whole = whole_tokens(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, int] = vocabulary.cache("counts")
         for batch in each_batch(batches, 512):
             keys = [vocabulary.keys_of(t) for t in batch.column(1).to_pylist()]
             every = set().union(*keys)
             new = [k for k in every if k not in known]
-            if len(known) + len(new) > 2 * CACHE_WORDS:
+            if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
                 new = list(every)
             rest: dict[str, list[str]] = {}

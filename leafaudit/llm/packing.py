@@ -105,9 +105,9 @@ def pack(docs: DataFrame, vocabulary_path: str, *, capacity: int = 2048, end_id:
         packer = Packer(capacity, TaskContext.get().partitionId())
         for batch in each_batch(batches, 512):
             words = [vocabulary.keys_of(t) for t in batch.column(1).to_pylist()]
-            table = vocabulary.encode_keys(set().union(*words))
+            table = vocabulary.encode_ids(set().union(*words))
             for doc, ws in zip(batch.column(0).to_pylist(), words, strict=True):
-                ids = b"".join([table[w][0] for w in ws]) + tail
+                ids = b"".join(map(table.__getitem__, ws)) + tail
                 start = 0
                 for n in cut_lengths(len(ids) // 4, capacity, cuts):
                     packer.add(doc, start, ids[4 * start : 4 * (start + n)], len(ids) // 4)
