@@ -84,7 +84,7 @@ def _table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def component_labels(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """Contract a graph of (book, page, a, b) edges until none is left.
 
     Each round every node points to the least id around it, pointers are doubled once,
@@ -93,7 +93,7 @@ def component_labels(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     written to the shared folder. The maps of the rounds are then composed from the
     last (smallest) one back. Returns (book, page, node, label) for nodes with edges."""
     maps: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(*PAGE, F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(*PAGE, "a").agg(F.least(F.min("a"), F.min("b")).alias("p"))
         grand = parent.select(*PAGE, F.col("a").alias("p"), F.col("p").alias("to"))
@@ -106,8 +106,6 @@ def component_labels(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
         edges = _table(moved, "component-edges")
         if edges.isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     whole = maps.pop()
     while maps:
         after = whole.select(*PAGE, F.col("a").alias("to"), F.col("to").alias("end"))
