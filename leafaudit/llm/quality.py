@@ -28,11 +28,22 @@ ONES = 4
 REACH = 2
 CACHE_WORDS = 120_000
 #: Kinds of characters for forms: a run of one kind leaves one letter, two or more a doubled one.
-KINDS = [(re.compile(r"[^\W\d_]+"), lambda m: "".join(("U" if m[0].isupper() else "L" if m[0].islower() else "C", "+" if len(m[0]) > 24 else ""))), (re.compile(r"\d+"), lambda m: "9")]
+KINDS = [(re.compile(r"[^\W\d_]+"), lambda m: kind(m[0])), (re.compile(r"\d+"), lambda m: "9")]
 RUNS = re.compile(r"([^\w])\1+")
 
 
+def kind(letters: str) -> str:
+    name = "L" if letters.islower() else "U" if letters.isupper() else "C"
+    return name + "+" if len(letters) > 24 else name
+
+
 def form(word: str) -> str:
+    """Kinds of a word's characters. Words of letters, with or without one mark after
+    them, are most of a text and need no pattern."""
+    if word.isalpha():
+        return kind(word)
+    if word[:-1].isalpha() and not word[-1:].isalnum():
+        return kind(word[:-1]) + word[-1]
     for pattern, name in KINDS:
         word = pattern.sub(name, word)
     return RUNS.sub(r"\1\1", word)[:12]
@@ -42,10 +53,11 @@ def index_vectors(words: list[str], width: int, seed: int) -> np.ndarray:
     """Sparse signed index vectors, the same on every worker."""
     out = np.zeros((len(words), width), np.float32)
     h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
+    rows = np.arange(len(words))
     for i in range(ONES):
         part = (h >> np.uint64(16 * i)) & np.uint64(0xFFFF)
         sign = np.where(part & np.uint64(1), 1.0, -1.0).astype(np.float32)
-        np.add.at(out, (np.arange(len(words)), ((part >> np.uint64(1)) % np.uint64(width)).astype(np.int64)), sign)
+        out[rows, ((part >> np.uint64(1)) % np.uint64(width)).astype(np.int64)] += sign
     return out
 
 
@@ -67,10 +79,12 @@ class WordTable:
             return
         made = np.zeros((len(new), 2 * WIDTH + FORM_WIDTH), np.float32)
         made[:, :WIDTH] = index_vectors(new, WIDTH, 1)
-        for i, w in enumerate(new):
-            if w in self.contexts:
-                made[i, WIDTH : 2 * WIDTH] = self.contexts[w]
-        made[:, 2 * WIDTH :] = index_vectors([form(w) for w in new], FORM_WIDTH, 2)
+        at = dict(zip(new, range(len(new)), strict=True))
+        for w in self.contexts.keys() & at.keys():
+            made[at[w], WIDTH : 2 * WIDTH] = self.contexts[w]
+        numbers: dict[str, int] = {}
+        which = [numbers.setdefault(f, len(numbers)) for f in map(form, new)]
+        made[:, 2 * WIDTH :] = index_vectors(list(numbers), FORM_WIDTH, 2)[which]
         if self.used + len(new) > len(self.vectors):
             grown = np.zeros((max(2 * len(self.vectors), self.used + len(new)), made.shape[1]), np.float32)
             grown[: self.used] = self.vectors[: self.used]
@@ -90,7 +104,7 @@ class WordTable:
         for i, (w, own) in enumerate(zip(words, sets, strict=True)):
             if w:
                 for at in range(0, len(w), 8192):
-                    out[i, :width] += self.vectors[list(map(get, w[at : at + 8192]))].sum(axis=0)
+                    out[i, :width] += self.vectors.take(list(map(get, w[at : at + 8192])), axis=0).sum(axis=0)
                 out[i, :width] /= len(w)
                 out[i, width:] = np.log1p(len(w)) / 5, len(own) / len(w), len(texts[i]) / len(w) / 10
         return out
