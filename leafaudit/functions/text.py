@@ -107,25 +107,21 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def word_tokens(text: Column, *, entities: bool = False, exact_unicode: bool = True) -> Column:
+def word_tokens(text: Column, *, entities: bool = False) -> Column:
     """Array of normalised word tokens.
 
     Rows made only of characters where lower() equals NFKC + casefold stay in the
-    JVM; with exact_unicode the other rows (and only their text) go through one
+    JVM; the other rows (and only their text) go through one
     Arrow UDF, so results are the same for any script."""
     decoded = decode_entities(text) if entities else text
     decoded = F.replace(decoded, F.lit("\u00ad"), F.lit(""))
     folded = F.replace(F.lower(decoded), F.lit("\u00df"), F.lit("ss"))
     plain = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
-    if exact_unicode:
-        odd = text.rlike(needs_exact_pattern())
-        if entities:
-            odd = odd | text.rlike(OTHER_ENTITY)
-        exact = _exact_html_tokens if entities else _exact_text_tokens
-        tokens = F.coalesce(exact(F.when(odd, text)), plain)
-    else:
-        tokens = plain
-    return F.filter(tokens, _keep)
+    odd = text.rlike(needs_exact_pattern())
+    if entities:
+        odd = odd | text.rlike(OTHER_ENTITY)
+    exact = _exact_html_tokens if entities else _exact_text_tokens
+    return F.filter(F.coalesce(exact(F.when(odd, text)), plain), _keep)
 
 
 def _keep(token: Column) -> Column:
@@ -135,8 +131,8 @@ def _keep(token: Column) -> Column:
     return ~lone & ~foreign
 
 
-def visible_words(html: Column, *, exact_unicode: bool = True) -> Column:
-    return word_tokens(strip_markup(html), entities=True, exact_unicode=exact_unicode)
+def visible_words(html: Column) -> Column:
+    return word_tokens(strip_markup(html), entities=True)
 
 
 def without_raw_text(html: Column) -> Column:

@@ -13,6 +13,7 @@ from leafaudit.operators.rewrite import book_asset_urls
 SHEET_LINES = 320
 HEADING_WEIGHT = 20
 FIGURE_WEIGHT = 60
+CHROME = r"(?is)<(header|footer)\b[^>]*>.*?</\1\s*>"
 BLOCK = r"(?is)<(p|h[1-6]|figure|table|pre|ul|ol)\b[^>]*>.*?</\1\s*>|<img\b[^>]*>"
 
 
@@ -66,26 +67,27 @@ def block_weight(block: Column) -> Column:
 
 
 def greedy_pagination(pages: DataFrame, keys: list[str], html: str = "html", limit: int = SHEET_LINES) -> DataFrame:
-    """Sheet of every block: filled in order, a block that would overflow starts a new sheet.
+    """Sheet of every block of the page's article, without its header and footer: filled in
+    order, a block that would overflow starts a new sheet.
 
     The running weight resets at each break, so it is a fold over the page's own blocks
-    and not a window sum; it runs inside the row."""
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(0)), lambda b: block_weight(b))
-    start = F.struct(
-        F.lit(1).alias("sheet"), F.lit(0).alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out")
-    )
+    and not a window sum; it runs inside the row. The fold keeps the number of blocks of
+    each full sheet, from which the sheet of every block is laid out once."""
+    body = F.regexp_replace(page_body(F.col(html)), CHROME, " ")
+    blocks = F.transform(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(0)), lambda b: block_weight(b))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("full"))
 
     def step(s: Column, w: Column) -> Column:
         turn = (s["used"] + w > limit) & (s["held"] > 0)
-        sheet = F.when(turn, s["sheet"] + 1).otherwise(s["sheet"])
         return F.struct(
-            sheet.alias("sheet"),
             F.when(turn, w).otherwise(s["used"] + w).alias("used"),
             F.when(turn, 1).otherwise(s["held"] + 1).alias("held"),
-            F.array_append(s["out"], sheet).alias("out"),
+            F.when(turn, F.array_append(s["full"], s["held"])).otherwise(s["full"]).alias("full"),
         )
 
-    folded = pages.select(*keys, blocks.alias("_w")).withColumn("_s", F.aggregate("_w", start, step)["out"])
+    sizes = F.aggregate("_w", start, step, lambda s: F.array_append(s["full"], s["held"]))
+    sheets = F.flatten(F.transform(sizes, lambda n, i: F.array_repeat((i + 1).cast("int"), n)))
+    folded = pages.select(*keys, blocks.alias("_w")).withColumn("_s", sheets)
     return folded.select(*keys, F.posexplode(F.arrays_zip(F.col("_w").alias("weight"), F.col("_s").alias("sheet")))).select(
         *keys, F.col("pos").cast("bigint").alias("block"), F.col("col.weight").alias("weight"), F.col("col.sheet").alias("sheet")
     )

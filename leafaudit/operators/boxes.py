@@ -60,9 +60,9 @@ def captions(objects: DataFrame) -> DataFrame:
 
 
 def art_items(objects: DataFrame) -> DataFrame:
-    """Drawings and images without specks and near-full-page drawings."""
+    """Drawings and images without specks, thin images and near-full-page drawings."""
     box = Box.of()
-    speck = (box.width < 3) & (box.height < 3)
+    speck = F.when(F.col("kind") == "image", (box.width < 3) | (box.height < 3)).otherwise((box.width < 3) & (box.height < 3))
     whole = (box.width > F.col("page_w") * 0.95) & (box.height > F.col("page_h") * 0.95)
     return objects.filter("kind in ('drawing', 'image')").filter(~speck & ~((F.col("kind") == "drawing") & whole))
 

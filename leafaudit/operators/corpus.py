@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafaudit.functions import text as tx
 
+#: Names of character references (as written, with or without their semicolon) for text without letters or digits.
+BLANK_REFERENCES = sorted(n for n, value in html5.items() if not any(c.isalnum() for c in value))
+NUMBERED = r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+NAMED = r"&([a-zA-Z][a-zA-Z0-9]*;?)"
+
 # Fixed values of the page contract.
 VOID_TAGS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -29,11 +36,9 @@ def page_scan(pages: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def visible_tokens(
-    pages: DataFrame, keys: list[str], html: str = "html", *, exact_unicode: bool = True
-) -> DataFrame:
+def visible_tokens(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Count of every normalised visible word per page."""
-    tokens = pages.select(*keys, F.explode(tx.visible_words(F.col(html), exact_unicode=exact_unicode)).alias("token"))
+    tokens = pages.select(*keys, F.explode(tx.visible_words(F.col(html))).alias("token"))
     return tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
@@ -59,17 +64,35 @@ def tag_signature(html: Column) -> Column:
     )
 
 
-def _attr(raw: Column, name: str) -> Column:
-    quoted = F.regexp_extract(raw, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)""", 1)
+def _attr(tag: Column, name: str) -> Column:
+    """Lower-cased value of a parsed tag's attribute, empty where it has none."""
+    at = F.array_position(tag["names"], name).cast("int")
+    quoted = F.when(at > 0, F.try_element_at(tag["values"], at)).otherwise("")
     return F.lower(F.regexp_replace(quoted, r"""^["']|["']$""", ""))
 
 
+def _has_words(text: Column) -> Column:
+    """Letters or digits in text, as written or as a character reference. A name that is
+    not one of a blank reference stays as it is read: letters."""
+    bare = F.regexp_replace(F.regexp_replace(text, NUMBERED, " "), NAMED, " ")
+    named = F.exists(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), lambda n: ~n.isin(BLANK_REFERENCES))
+
+    def letter(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "[&#;xX]", "")
+        code = F.when(F.lower(ref).contains("x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(32)), 8, "0")), "UTF-32").rlike(r"[\p{L}\p{N}]")
+
+    numbered = F.exists(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)), letter)
+    return bare.rlike(r"[\p{L}\p{N}]") | (text.contains("&") & (named | numbered))
+
+
 def _own_hidden(raw: Column, name: Column) -> Column:
     style = F.regexp_replace(_attr(raw, "style"), r"\s+", "")
     classes = F.split(F.trim(_attr(raw, "class")), r"\s+")
     return (
         name.isin(HIDDEN_TAGS)
-        | raw.rlike(r"""(?i)\shidden(?=[\s=/>])""")
+        | F.array_contains(raw["names"], "hidden")
         | (_attr(raw, "aria-hidden") == "true")
         | F.arrays_overlap(classes, F.array(*map(F.lit, CHROME_CLASSES)))
         | style.contains("display:none")
@@ -93,13 +116,17 @@ def _visual(raw: Column, name: Column) -> Column:
 
 def _events_for_gate(html: Column) -> Column:
     """Tags with the text that follows them, reduced to what the gate needs."""
-    known = "|".join(name.strip("&;") for name, _ in tx.ENTITIES)
 
-    def shape(event: Column) -> Column:
+    def parse(event: Column) -> Column:
         raw = F.regexp_extract(event, tx.TAG, 0)
-        name = tx.tag_name(raw)
-        tail = F.regexp_replace(F.substring(event, F.length(raw) + 1, F.length(event)), f"&(?:{known});", " ")
-        kind = tx.tag_kind(raw)
+        body = F.when(raw.startswith("</"), "").otherwise(F.regexp_replace(raw, r"^<[a-zA-Z][^\s/>]*|/?>$", ""))
+        names = F.regexp_extract_all(F.lower(body), F.lit(tx.ATTRIBUTE), F.lit(1))
+        values = F.regexp_extract_all(body, F.lit(tx.ATTRIBUTE), F.lit(2))
+        tail = F.substring(event, F.length(raw) + 1, F.length(event))
+        return F.struct(tx.tag_name(raw).alias("name"), tx.tag_kind(raw).alias("kind"), names.alias("names"), values.alias("values"), tail.alias("tail"))
+
+    def shape(raw: Column) -> Column:
+        name, kind = raw["name"], raw["kind"]
         blank = F.coalesce(
             F.nullif(_attr(raw, "data-intentionally-blank"), F.lit("")), _attr(raw, "data-blank-page")
         ).isin("1", "true", "yes")
@@ -113,10 +140,11 @@ def _events_for_gate(html: Column) -> Column:
             (start & _own_hidden(raw, name)).alias("hides"),
             (start & _visual(raw, name)).alias("visual"),
             (start & (name == "article") & blank).alias("blank"),
-            tail.rlike(r"[\p{L}\p{N}]").alias("words"),
+            _has_words(raw["tail"]).alias("words"),
         )
 
-    return F.transform(F.regexp_extract_all(tx.without_raw_text(html), F.lit(tx.TAG_WITH_TEXT), F.lit(0)), shape)
+    events = F.regexp_extract_all(tx.without_raw_text(html), F.lit(tx.TAG_WITH_TEXT), F.lit(0))
+    return F.transform(F.transform(events, parse), shape)
 
 
 def article_probe(html: Column) -> Column:

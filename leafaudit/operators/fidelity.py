@@ -9,7 +9,7 @@ from leafaudit.functions import text as tx
 from leafaudit.operators.corpus import tag_signature
 
 
-def token_loss(source: DataFrame, rendered: DataFrame, keys: list[str], *, exact_unicode: bool = True) -> DataFrame:
+def token_loss(source: DataFrame, rendered: DataFrame, keys: list[str]) -> DataFrame:
     """Multiset difference source - rendered of visible tokens, for pages that exist in both.
 
     Source tokens count +1 and rendered tokens -1 into one map-side combined
@@ -17,7 +17,7 @@ def token_loss(source: DataFrame, rendered: DataFrame, keys: list[str], *, exact
     Only the surviving tokens meet the rendered page keys."""
 
     def signed(pages: DataFrame, sign: int) -> DataFrame:
-        words = tx.visible_words(F.col("html"), exact_unicode=exact_unicode)
+        words = tx.visible_words(F.col("html"))
         return pages.select(*keys, F.explode(words).alias("token"), F.lit(sign).alias("d"))
 
     balance = (
@@ -31,12 +31,12 @@ def token_loss(source: DataFrame, rendered: DataFrame, keys: list[str], *, exact
 
 
 def no_source_text(
-    source: DataFrame, plans: DataFrame, keys: list[str], *, exact_unicode: bool = True
+    source: DataFrame, plans: DataFrame, keys: list[str]
 ) -> DataFrame:
     """Pages without any source token and without a raster figure or facsimile plan.
 
     plans has the keys and boolean has_raster / facsimile columns."""
-    words = tx.visible_words(F.col("html"), exact_unicode=exact_unicode)
+    words = tx.visible_words(F.col("html"))
     empty = source.filter(F.size(words) == 0).select(*keys)
     excused = plans.filter("has_raster or facsimile").select(*keys)
     return empty.join(excused, keys, "left_anti").withColumn(

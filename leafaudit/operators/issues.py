@@ -90,16 +90,16 @@ def repair_targets(
     )
 
 
-def verify_rollup(books: DataFrame, issues: DataFrame, assembly: DataFrame) -> DataFrame:
+def verify_rollup(books: DataFrame, issues: DataFrame, assembly: DataFrame, *, shown: int = 10) -> DataFrame:
     """Per book: missing and invalid counts, first missing pages, broken pages, ready flag.
 
-    issues(book, page, lang, kind) with kind missing or invalid; assembly(book, ok)."""
+    The summary names the first `shown` missing pages; broken_pages lists them all. issues(book, page, lang, kind) with kind missing or invalid; assembly(book, ok)."""
     counts = issues.groupBy("book").agg(
         F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "invalid").alias("invalid")
     )
     broken = issues.select("book", "page").distinct().groupBy("book").agg(F.count("*").alias("broken"))
     first = top_n(
-        issues.filter("kind = 'missing'").select("book", "page").distinct(), ["book"], [F.col("page").asc()], 10
+        issues.filter("kind = 'missing'").select("book", "page").distinct(), ["book"], [F.col("page").asc()], shown
     )
     first = first.groupBy("book").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ",").alias("first_missing")

@@ -70,15 +70,15 @@ def overview_rollup(books: DataFrame, page_files: DataFrame) -> DataFrame:
     )
 
 
-def language_readiness(books: DataFrame, pages: DataFrame) -> DataFrame:
+def language_readiness(books: DataFrame, pages: DataFrame, *, shown: int = 10) -> DataFrame:
     """Per required (book, lang): ready or the reason to skip it, and the book's verdict.
 
-    books(book, page_count, languages array); pages(book, lang, page, valid)."""
+    The reason names the first `shown` invalid pages. books(book, page_count, languages array); pages(book, lang, page, valid)."""
     required = books.select("book", "page_count", F.explode("languages").alias("lang"))
     counts = pages.groupBy("book", "lang").agg(
         F.count("*").alias("found"), F.count_if(~F.col("valid")).alias("invalid")
     )
-    first = top_n(pages.filter(~F.col("valid")).select("book", "lang", "page"), ["book", "lang"], [F.col("page").asc()], 10)
+    first = top_n(pages.filter(~F.col("valid")).select("book", "lang", "page"), ["book", "lang"], [F.col("page").asc()], shown)
     first = first.groupBy("book", "lang").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ", ").alias("bad")
     )
@@ -178,7 +178,8 @@ def lang_detect(docs: DataFrame, *, text: str = "text", declared: str = "declare
 
     Letters and words are counted inside the row over the whole text."""
     low = F.lower(F.col(text))
-    known = F.split(F.lower(F.coalesce(F.col(declared), F.lit(""))), "-")[0]
+    first = F.split(F.lower(F.coalesce(F.col(declared), F.lit(""))), "-")[0]
+    known = F.when(first == "vie", "vi").otherwise(first)
     scored = docs
     ranking = []
     for code, (marks, words) in LANGUAGE_MARKERS.items():

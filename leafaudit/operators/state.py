@@ -164,9 +164,11 @@ def resume_state(books: DataFrame, pending: DataFrame, runs: DataFrame, now: str
 
 
 def collapse_repeats(log: DataFrame) -> DataFrame:
-    """Drop a chunk identical to the one just before it on the same page."""
+    """Drop a chunk identical to the one just before it on the same page.
+
+    Before the first chunk stands an empty one, so a leading empty chunk goes as well."""
     seen = ordered_columns(log, PAGE, ["seq"], by_width("seq"), lags={"_prev": "chunk"})
-    return seen.filter(~F.col("_prev").eqNullSafe(F.col("chunk"))).drop("_prev")
+    return seen.filter(~F.coalesce("_prev", F.lit("")).eqNullSafe(F.col("chunk"))).drop("_prev")
 
 
 def running_tool_count(log: DataFrame) -> DataFrame:

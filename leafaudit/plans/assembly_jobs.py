@@ -38,11 +38,15 @@ def column_rebalance(inp: Inputs):
 def _blocks(d) -> str:
     tags = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "table", "pre", "ul", "ol"))
     words = "len(regexp_extract_all(regexp_replace(b, '<[^>]*>', ' ', 'g'), '[a-zA-Z'']+'))"
+    item = words.replace("(b,", "(x,")
+    listed = f"""list_sum(list_transform(regexp_extract_all(b, '(?is)<li\\b[^>]*>.*?</li\\s*>'),
+      lambda x: CASE WHEN {item} = 0 THEN 0 ELSE CAST(ceil({item} / 10.5) AS INTEGER) * 10 + 2 END))"""
     return f"""
-    SELECT book, page, i AS n, CASE WHEN b LIKE '<h%' THEN 20 WHEN NOT b LIKE '<p%' THEN 10 WHEN {words} = 0 THEN 0
-           ELSE CAST(ceil({words} / 10.5) AS INTEGER) * 10 + 2 END AS w
+    SELECT book, page, i AS n, CASE WHEN b LIKE '<h%' THEN 20 WHEN b LIKE '<ul%' THEN coalesce(nullif({listed}, 0), 10)
+           WHEN NOT b LIKE '<p%' THEN 10 WHEN {words} = 0 THEN 0 ELSE CAST(ceil({words} / 10.5) AS INTEGER) * 10 + 2 END AS w
     FROM (SELECT book, page, unnest(bl) AS b, generate_subscripts(bl, 1) AS i
-          FROM (SELECT book, page, regexp_extract_all(regexp_replace(html, '<ul>.*?</ul>', '<ul></ul>'), '(?is){tags}|<img\\b[^>]*>') AS bl FROM ({dv.corpus(d)}) c) x) y"""
+          FROM (SELECT book, page, regexp_extract_all(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '<header class="running-head">.*?</header>', ' ', 'g'),
+                                                   '(?is){tags}|<img\\b[^>]*>') AS bl FROM ({dv.paginated(d)}) c) x) y"""
 
 
 @job(
@@ -57,8 +61,7 @@ def _blocks(d) -> str:
     SELECT book, page, CAST(n - 1 AS BIGINT) AS block, CAST(w AS INTEGER) AS weight, CAST(sheet AS INTEGER) AS sheet FROM r""",
 )
 def greedy_pagination(inp: Inputs):
-    pages = inp.derive(dv.corpus).withColumn("html", F.regexp_replace("html", "<ul>.*?</ul>", "<ul></ul>"))
-    return assembly.greedy_pagination(pages, ["book", "page"])
+    return assembly.greedy_pagination(inp.derive(dv.paginated), ["book", "page"])
 
 
 def _gate(d) -> str:

@@ -63,7 +63,8 @@ def numbered_caption_filter(inp: Inputs):
 def clusters_sql(d) -> str:
     return f"""
     WITH RECURSIVE o AS MATERIALIZED (SELECT * FROM ({dv.page_objects(d)}) o WHERE kind IN ('image', 'drawing')
-        AND NOT (kind = 'drawing' AND x1 - x0 > page_w * 0.95 AND y1 - y0 > page_h * 0.95)),
+        AND NOT (kind = 'drawing' AND x1 - x0 > page_w * 0.95 AND y1 - y0 > page_h * 0.95)
+        AND NOT (kind = 'image' AND (x1 - x0 < 3 OR y1 - y0 < 3))),
     e AS MATERIALIZED (SELECT a.obj_id AS a, b.obj_id AS b FROM o a JOIN o b ON a.book = b.book AND a.page = b.page AND {d2('a', 'b')} <= 144),
     r AS (SELECT obj_id AS a, obj_id AS b FROM o UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
     l AS (SELECT a AS obj_id, min(b) AS c FROM r GROUP BY a)

@@ -120,7 +120,7 @@ def gate_sql(d) -> str:
     FROM (SELECT book, page, lower(html) LIKE '%<main%' AND lower(html) LIKE '%book-page%' AS has_shell,
                  lower(html) LIKE '%<article%' AS has_article, lower(html) LIKE '%pdf-render%' AS has_marker,
                  html NOT LIKE '%<article hidden%' AND regexp_matches(
-                   {dv.visible_text(d, "regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")},
+                   {dv.visible_text(d, "regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '&(#160|#xA0|emsp|mdash);', ' ', 'g')")},
                    '[\\p{{L}}\\p{{N}}]') AS has_content
           FROM ({dv.published(d)}) p) q"""
 

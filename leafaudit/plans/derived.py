@@ -55,7 +55,17 @@ def published(d) -> str:
         WHEN 5 THEN replace({shell}, '<h1>', '<h3 class="section-title">Notes.</h3> <p class="lead">body</p><h1>')
         WHEN 6 THEN replace({shell}, '<h1>', '<figure class="diagram"> <pre class="code-block">x = 1</pre></figure><h1>')
         WHEN 7 THEN replace({shell}, '<h1>', '<header class="running-head">by House Press</header><figure class="listing"><pre class="code-block">y</pre> <figcaption>L</figcaption></figure><h1>')
-        ELSE {shell} END AS html
+        ELSE CASE WHEN page % 2 = 0 THEN replace({shell}, '<article>', '<article class="flex hidden md:block" title="a hidden gem">')
+                  ELSE '<main class="book-page book-page--sheet"><article><p>&#160;&emsp;</p><p title="words">&#xA0;&mdash;</p></article></main>' END
+        END AS html
+    FROM ({corpus(d)}) c"""
+
+
+def paginated(d) -> str:
+    """pages whose articles hold lists in place of paragraphs, or a running head, by id."""
+    return f"""
+    SELECT book, page, CASE page % 3 WHEN 0 THEN replace(replace(html, '<p>', '<ul><li>'), '</p>', '</li></ul>')
+             WHEN 1 THEN replace(html, '</h1>', '</h1><header class="running-head"><p>House Press</p></header>') ELSE html END AS html
     FROM ({corpus(d)}) c"""
 
 
@@ -255,7 +265,7 @@ def host_books(d) -> str:
 
 
 def detect_docs(d) -> str:
-    return f"""SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN 'fr-FR' ELSE 'und' END AS declared
+    return f"""SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN 'fr-FR' WHEN doc_id % 8 = 2 THEN 'vie' ELSE 'und' END AS declared
                FROM {d.table('documents')}"""
 
 
@@ -271,7 +281,8 @@ def authors(d) -> str:
 
 
 def page_objects(d) -> str:
-    """lineitem as page objects: unique (order, line) keys, eight orders to a page."""
+    """lineitem as page objects, one each, eight orders to a page. Rows that share their
+    (order, line) are told apart by their rank among its rows."""
     return f"""
     SELECT concat('vol', {d.ntext('CAST(floor(ok / 4000) AS BIGINT)')}) AS book, CAST(floor(ok / 8) AS BIGINT) % 500 AS page, obj_id, kind,
            CASE WHEN cover THEN CAST(0 AS DOUBLE) ELSE x0 END AS x0, CASE WHEN cover THEN CAST(0 AS DOUBLE) ELSE y0 END AS y0,
@@ -282,13 +293,14 @@ def page_objects(d) -> str:
                 WHEN obj_id % 7 = 3 THEN 'visit www.press.example now' WHEN obj_id % 21 = 4 THEN 'Listing 3-1'
                 WHEN obj_id % 21 = 11 THEN 'Copyright 2024 House' ELSE 'plain words of prose' END AS text,
            n_items, CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h, pk
-    FROM (SELECT l_orderkey AS ok, l_orderkey * 10 + l_linenumber AS obj_id, pk, q,
+    FROM (SELECT l_orderkey AS ok, l_orderkey * 10 + l_linenumber + (nth - 1) * 1000000000000037 AS obj_id, pk, q,
                  CASE rf WHEN 'A' THEN 'image' WHEN 'R' THEN 'drawing' ELSE 'text' END AS kind,
                  CAST((pk * 37) % 500 AS DOUBLE) AS x0, CAST((sk * 53 + l_orderkey * 7) % 700 AS DOUBLE) AS y0,
                  pk % 40 + 1 AS n_items,
-                 rf = 'A' AND CAST(floor(l_orderkey / 8) AS BIGINT) % 500 = 1 AND l_linenumber = 1 AS cover
-          FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity) AS q, min(l_returnflag) AS rf
-                FROM {d.table('lineitem')} GROUP BY l_orderkey, l_linenumber) u) o"""
+                 rf = 'A' AND CAST(floor(l_orderkey / 8) AS BIGINT) % 500 = 1 AND l_linenumber = 1 AND nth = 1 AS cover
+          FROM (SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_suppkey AS sk, l_quantity AS q, l_returnflag AS rf,
+                       row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) AS nth
+                FROM {d.table('lineitem')}) u) o"""
 
 
 def plan_figures(d) -> str:
@@ -367,17 +379,17 @@ def layout_metrics(d) -> str:
 # ---------------------------------------------------------------- lexicon and text runs
 
 
-def english(d) -> str:
-    return f"SELECT doc_id, source AS book, text FROM {d.table('documents')} WHERE lang = 'en'"
+def prose(d) -> str:
+    return f"SELECT doc_id, source AS book, text FROM {d.table('documents')}"
 
 
 def word_rows(d) -> str:
     words = d.extract_all("lower(text)", "[a-z]+")
-    return f"SELECT DISTINCT doc_id, book, word FROM (SELECT doc_id, book, {d.unnest(words)} AS word FROM ({english(d)}) e) w"
+    return f"SELECT DISTINCT doc_id, book, word FROM (SELECT doc_id, book, {d.unnest(words)} AS word FROM ({prose(d)}) e) w"
 
 
 def lexicon_lines(d) -> str:
-    """Lexicon lines from English words: reversed word as pronunciation, later lines win."""
+    """Lexicon lines from the words of all documents: reversed word as pronunciation, later lines win."""
     return f"""
     SELECT doc_id AS seq, CASE WHEN length(word) % 5 = 4 THEN concat(word, chr(9), 'x', chr(9), 'y')
       ELSE concat(' ', upper(word), chr(9), '/', reverse(word), CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'o' END, '/, /alt/') END AS line

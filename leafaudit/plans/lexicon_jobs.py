@@ -35,7 +35,7 @@ def _tokens(d) -> str:
     return f"""
     SELECT book, doc_id, i, t, regexp_matches(t, '^[a-zA-Z'']+$') AS is_word, NOT regexp_matches(t, '^[a-zA-Z''\\s]') AS is_punct
     FROM (SELECT book, doc_id, unnest(tk) AS t, generate_subscripts(tk, 1) AS i
-          FROM (SELECT book, doc_id, regexp_extract_all({flat}, '[a-zA-Z'']+|\\s+|[^a-zA-Z''\\s]+') AS tk FROM ({dv.english(d)}) e) a) b"""
+          FROM (SELECT book, doc_id, regexp_extract_all({flat}, '[a-zA-Z'']+|\\s+|[^a-zA-Z''\\s]+') AS tk FROM ({dv.prose(d)}) e) a) b"""
 
 
 def words_sql(d) -> str:
@@ -57,7 +57,7 @@ def words_sql(d) -> str:
 
 @job("punct_attach", words_sql)
 def punct_attach(inp: Inputs):
-    return lexicon.words_with_punctuation(inp.derive(dv.english), KEYS)
+    return lexicon.words_with_punctuation(inp.derive(dv.prose), KEYS)
 
 
 def looked_up_sql(d) -> str:
@@ -67,7 +67,7 @@ def looked_up_sql(d) -> str:
 
 
 def looked_up(inp: Inputs):
-    words = lexicon.words_with_punctuation(inp.derive(dv.english), KEYS)
+    words = lexicon.words_with_punctuation(inp.derive(dv.prose), KEYS)
     return lexicon.lexicon_lookup(words, table(inp), book="book")
 
 
@@ -84,6 +84,6 @@ def lexicon_lookup(inp: Inputs):
     SELECT book, doc_id, k, pre || coalesce(regexp_replace(tied, '\\b(d|r|b)i', '\\1ɪ', 'g'), ' ') || post AS ipa_text FROM t""",
 )
 def liaison_link(inp: Inputs):
-    words = lexicon.words_with_punctuation(inp.derive(dv.english), KEYS)
+    words = lexicon.words_with_punctuation(inp.derive(dv.prose), KEYS)
     spoken = lexicon.lexicon_lookup(words, lexicon.pronunciations(table(inp)), book="book")
     return lexicon.liaison_link(spoken, KEYS).select("book", "doc_id", "k", "ipa_text")

@@ -147,7 +147,7 @@ def _detect_sql(d) -> str:
         w = " + ".join(f"(length(low) - length(replace(low, ' {x} ', ''))) // {len(x) + 2}" for x in words)
         arms.append(f"SELECT doc_id, '{code}' AS code, {m} AS m, {w} AS w FROM t")
     return f"""
-    WITH t AS (SELECT doc_id, lower(text) AS low, string_split(lower(declared), '-')[1] AS known FROM ({dv.detect_docs(d)}) x),
+    WITH t AS (SELECT doc_id, lower(text) AS low, CASE WHEN lower(declared) = 'vie' THEN 'vi' ELSE string_split(lower(declared), '-')[1] END AS known FROM ({dv.detect_docs(d)}) x),
     s AS ({' UNION ALL '.join(arms)}),
     b AS (SELECT doc_id, arg_max(code, (m + w, code)) AS code FROM s WHERE m >= 5 OR w >= 5 GROUP BY doc_id)
     SELECT t.doc_id, CASE WHEN known IN ('vi', 'fr', 'de', 'es') THEN known ELSE coalesce(b.code, 'en') END AS detected

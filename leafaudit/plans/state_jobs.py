@@ -170,7 +170,7 @@ def book_status_rollup(inp: Inputs):
     "collapse_repeats",
     lambda d: f"""SELECT book, page, seq, ts, chunk FROM (
       SELECT *, lag(chunk) OVER (PARTITION BY book, page ORDER BY seq) AS p FROM ({dv.live_log(d)}) l) q
-      WHERE p IS DISTINCT FROM chunk""",
+      WHERE coalesce(p, '') IS DISTINCT FROM chunk""",
 )
 def collapse_repeats(inp: Inputs):
     return state.collapse_repeats(inp.derive(dv.live_log))

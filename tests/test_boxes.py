@@ -38,7 +38,8 @@ def d2(a, b):
 
 
 def brute_clusters(data):
-    art = [o for o in data if o[3] != "text" and not (o[6] - o[4] < 3 and o[7] - o[5] < 3)]
+    narrow = {"image": any, "drawing": all}
+    art = [o for o in data if o[3] != "text" and not narrow[o[3]]([o[6] - o[4] < 3, o[7] - o[5] < 3])]
     parent = {o[2]: o[2] for o in art}
 
     def find(i):
