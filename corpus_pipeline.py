@@ -21,9 +21,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more are deleted; a document that loses all
+    """Later copies of repeated lines are deleted, however short; a document that loses all
     its text that way goes. n_chars follows the text."""
-    kept = lines.drop_repeated_lines(docs, min_words=50).filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    kept = lines.drop_repeated_lines(docs).filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 

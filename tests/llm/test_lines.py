@@ -48,3 +48,28 @@ def test_null_ids_empty_table_and_clashing_columns(spark):
     got = {(r.doc_id, r.first): (r.text, r.n_removed) for r in drop_repeated_lines(docs).collect()}
     assert got == {(None, "x"): ("b " * 60, 0), (1, "y"): ("", 1), (None, None): (None, 0)}
     assert drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_by_default_no_repeated_line_is_too_short(spark):
+    rnd = random.Random(6)
+    pool = [" ".join("abcdefgh"[rnd.randrange(8)] for _ in range(rnd.randrange(1, 5))) for _ in range(40)] + ["", "  "]
+    long = "\n".join(f"line {i}" for i in range(80))
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(14)))) for i in range(60)]
+    rows += [(7, rows[3][1]), (90, rows[3][1]), (91, None), (92, long), (93, "new\n" + long + "\nend"), (94, "x"), (95, "x\n\nx\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows, 1)
+    kept = [x.strip() for r in got if r.doc_id != 7 and r.text for x in r.text.split("\n") if x.strip()]
+    assert len(kept) == len(set(kept))
+
+
+def test_query_and_pipeline_stage_leave_no_short_repeated_line(spark, tmp_path):
+    import corpus_pipeline
+    from leafaudit.llm.jobs import op2_line_dedup
+
+    rows = [(1, "one\nall rights kept here", 24), (2, "all rights kept here\ntwo", 24), (3, "all rights kept here", 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_removed) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("two", 1), 3: ("", 1)}
+    assert sorted(map(tuple, corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect())) == [rows[0], (2, "two", 3)]
