@@ -110,8 +110,10 @@ class WordTable:
         return out
 
 
-def context_sums(texts: DataFrame, *, least: int, most: int) -> dict[str, np.ndarray]:
-    """Context vectors of the most frequent words of a DataFrame with one text column."""
+def context_sums(texts: DataFrame, *, least: int, most: int | None = None) -> dict[str, np.ndarray]:
+    """Context vectors of the most frequent words of a DataFrame with one text column.
+    Every word of every batch is counted, and least holds for the counts over all
+    batches, so neither their cut nor the partitions change the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 512):
@@ -125,16 +127,15 @@ def context_sums(texts: DataFrame, *, least: int, most: int) -> dict[str, np.nda
                 for d in range(1, min(REACH, len(ids) - 1) + 1):
                     np.add.at(sums, ids[d:], base[ids[:-d]])
                     np.add.at(sums, ids[:-d], base[ids[d:]])
-            met = np.flatnonzero(count >= 2)
-            names = list(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in met], pa.string()), pa.array(count[met]), pa.FixedSizeListArray.from_arrays(pa.array(sums[met].ravel()), WIDTH).cast(pa.list_(pa.float32()))],
+                [pa.array(list(rows), pa.string()), pa.array(count), pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), WIDTH).cast(pa.list_(pa.float32()))],
                 ["word", "n", "v"],
             )
 
     parts = texts.mapInArrow(run, "word string, n long, v array<float>")
     total = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)])
-    top = total.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    frequent = total.filter(F.col("n") >= least)
+    top = (frequent if most is None else frequent.orderBy(F.desc("n"), "word").limit(most)).collect()
     out = {}
     for r in top:
         v = np.array(r[2:], np.float32)

@@ -111,3 +111,19 @@ def test_html():
     )
     assert html.main_text(page) == "Title\n\nOne, two, three, four link five & six.\n\nSecond, quite long, with many words and commas, indeed."
     assert html.main_text("") == html.main_text("<p></p>") == ""
+
+
+def test_context_vectors_do_not_depend_on_the_layout(spark):
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rnd.integers(0, 300, 12)) for _ in range(200)] + ["once only", "", "rare w1"] + ["rare"] * 3
+    sums, counts = {}, {}
+    for words in map(str.split, texts):
+        for i, w in enumerate(words):
+            near = [words[j] for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)) if j != i]
+            counts[w] = counts.get(w, 0) + 1
+            sums[w] = sums.get(w, 0) + quality.index_vectors(near, quality.WIDTH, 1).sum(axis=0)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts in (1, 60):
+        got = quality.context_sums(docs.repartition(parts), least=4)
+        assert got.keys() == {w for w, n in counts.items() if n >= 4} and "rare" in got
+        assert all(np.allclose(v, 2 * sums[w] / (np.linalg.norm(sums[w]) or 1), atol=1e-5) for w, v in got.items())
