@@ -110,8 +110,8 @@ class WordTable:
         return out
 
 
-def context_sums(texts: DataFrame, *, least: int, most: int | None = None) -> dict[str, np.ndarray]:
-    """Context vectors of the most frequent words of a DataFrame with one text column.
+def context_sums(texts: DataFrame, *, least: int) -> dict[str, np.ndarray]:
+    """Context vectors of all words met least times or more in a DataFrame with one text column.
     Every word of every batch is counted, and least holds for the counts over all
     batches, so neither their cut nor the partitions change the result."""
 
@@ -134,13 +134,10 @@ def context_sums(texts: DataFrame, *, least: int, most: int | None = None) -> di
 
     parts = texts.mapInArrow(run, "word string, n long, v array<float>")
     total = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)])
-    frequent = total.filter(F.col("n") >= least)
-    top = (frequent if most is None else frequent.orderBy(F.desc("n"), "word").limit(most)).collect()
-    out = {}
-    for r in top:
-        v = np.array(r[2:], np.float32)
-        out[r.word] = v / (np.linalg.norm(v) or 1) * 2
-    return out
+    met = total.filter(F.col("n") >= least).select("word", *[F.col(f"v{i}").cast("float") for i in range(WIDTH)]).toArrow()
+    vectors = np.stack([c.to_numpy() for c in met.columns[1:]], axis=1)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return dict(zip(met.column(0).to_pylist(), vectors / np.where(norms > 0, norms, 1) * 2, strict=True))
 
 
 @dataclass
@@ -196,12 +193,13 @@ class Network:
         return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, *, sample_rows: int = 16_000, context_words: int = 20_000, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, *, sample_rows: int = 16_000, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Score every whole text: all columns of docs, with score and predicted after them.
 
     labels has doc_id and a 0/1 label; may_train (a condition on its doc_id) picks the rows
-    to learn from. At most sample_rows of them are used, those of least hashed id, and at
-    most context_words words get a context vector; both bounds are what the driver holds.
+    to learn from. At most sample_rows of them are used, those of least hashed id; the driver
+    holds their features and the context vectors of all words they hold four times or more.
+    Other words have index and form vectors only.
     Only the text is an input of a score. A null or empty text is scored like one without
     words. Labels that are null, or whose document is absent, are left out; if a document
     has several, the least counts. Without labels of both kinds every score is the share
@@ -212,7 +210,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_train: Column | None =
     picked = usable.groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     taught = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select("_id", "_y", text_or_empty(text).alias("_text"))
-    contexts = context_sums(taught.select("_text"), least=4, most=context_words)
+    contexts = context_sums(taught.select("_text"), least=4)
     table = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,13 @@ def test_context_vectors_do_not_depend_on_the_layout(spark):
         got = quality.context_sums(docs.repartition(parts), least=4)
         assert got.keys() == {w for w, n in counts.items() if n >= 4} and "rare" in got
         assert all(np.allclose(v, 2 * sums[w] / (np.linalg.norm(sums[w]) or 1), atol=1e-5) for w, v in got.items())
+
+
+def test_every_frequent_word_gets_a_context_vector(spark, monkeypatch):
+    words = [f"w{i}" for i in range(21_000)] * 4
+    docs = spark.createDataFrame([(i, " ".join(words[i::300])) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    found, sums = [], quality.context_sums
+    monkeypatch.setattr(quality, "context_sums", lambda *a, **b: found.append(sums(*a, **b)) or found[-1])
+    assert quality.score_quality(docs, labels).count() == 300
+    assert len(found[0]) == 21_000
