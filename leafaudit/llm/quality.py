@@ -166,11 +166,13 @@ class Network:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 24, epochs: int = 40, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Network:
-        if len(y) < 20 or y.min() == y.max():
+        if not len(y) or y.min() == y.max():
             return Network.constant(x.shape[1], float(y.mean()) if len(y) else 0.5)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(y))
-        held, used = order[: max(len(y) // 5, 1)], order[max(len(y) // 5, 1) :]
+        held, used = order[: len(y) // 5], order[len(y) // 5 :]
+        if len(y) < 20 or y[used].min() == y[used].max():
+            held, used = order[:0], order  # too few to hold any back
         mean, scale = x[used].mean(0), x[used].std(0) + 1e-3
         p = {"w1": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, hidden**-0.5, hidden), "b2": np.zeros(1)}
         m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
@@ -187,6 +189,8 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         out = Network(mean.astype(np.float32), scale.astype(np.float32), p["w1"].astype(np.float32), p["b1"].astype(np.float32), p["w2"].astype(np.float32), float(p["b2"][0]))
+        if not len(held):
+            return out
         margin = out.margin(x[held]).astype(np.float64)
         loss = lambda temp: np.logaddexp(0, np.where(y[held] > 0, -1, 1) * margin / temp).mean()
         out.temperature = float(min(np.geomspace(0.5, 8, 41), key=loss))
@@ -203,7 +207,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_train: Column | None =
     Only the text is an input of a score. A null or empty text is scored like one without
     words. Labels that are null, or whose document is absent, are left out; if a document
     has several, the least counts. Without labels of both kinds every score is the share
-    of label 1 (a half if there is none). Rows may repeat, and ids may be null. New columns
+    of label 1 (a half if there is none); of fewer than 20 all train, and the temperature
+    stays 1. Rows may repeat, and ids may be null. New columns
     replace input columns of the same name."""
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     usable = usable if may_train is None else usable.filter(may_train)

@@ -137,3 +137,12 @@ def test_every_frequent_word_gets_a_context_vector(spark, monkeypatch):
     monkeypatch.setattr(quality, "context_sums", lambda *a, **b: found.append(sums(*a, **b)) or found[-1])
     assert quality.score_quality(docs, labels).count() == 300
     assert len(found[0]) == 21_000
+
+
+def test_few_labels_of_both_kinds_train(spark):
+    good, bad = "the cat sat on the mat with the other cats", "%% $$ 19 ## 7 @@ !! 5 && 22"
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(30)], "doc_id long, text string")
+    for n in (2, 6, 19):
+        labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
+        got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+        assert all(got[i] > 0.6 if i % 2 else got[i] < 0.4 for i in range(30))
