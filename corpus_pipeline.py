@@ -6,6 +6,9 @@ Every stage keeps null-text and empty documents unless its own rule drops them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +16,31 @@ from leafaudit.llm import lines, near, packing, quality, secrets
 from leafaudit.llm.common import fresh, read_table, same_key, stored, text_or_empty
 from leafaudit.llm.jobs import held_out, vocabulary
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def own_columns(stage: Stage) -> Stage:
+    """Columns beyond those of documents bear fresh names inside the stage, whatever they
+    are called (`score`, `_before`, `TEXT`), and get their names and places back after it."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = list(docs.columns)
+        inside = [c if c in COLUMNS else fresh(f"own{i}")[0] for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*inside), sf_dir).select(*inside).toDF(*names)
+
+    return run_apart
+
 
+@own_columns
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.3) go. Labels serve for training only."""
     scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out())
     return scored.filter("predicted = 1").select(*docs.columns)
 
 
+@own_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines are deleted, however short; a document that loses all
     its text that way goes. n_chars follows the text."""
@@ -28,6 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@own_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents alike in five-word shingles (Jaccard 0.8), the one of
     least id stays; of rows that share id and text, one."""
@@ -39,17 +61,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keyed.join(copies, same_key(keyed, copies, [doc_id, row]), "left_anti").dropDuplicates([doc_id, row]).select(*docs.columns)
 
 
+@own_columns
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are masked; every document stays. n_chars follows the text."""
-    marked = docs.withColumn("_before", F.col("text"))
-    out = secrets.mask_secrets(marked)
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    (before,) = fresh("before")
+    out = secrets.mask_secrets(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Sequences of at most 2048 tokens. Columns beyond id and text take no part."""
+    return packing.pack(docs.toDF(*[c if c in COLUMNS else fresh(f"own{i}")[0] for i, c in enumerate(docs.columns)]), vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [

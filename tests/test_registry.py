@@ -6,13 +6,14 @@ from conftest import ROOT
 
 import __spark_entry__ as entry
 from leafaudit.plans import derived as dv
+from leafaudit.plans import registry
 from leafaudit.plans.library_jobs import page_listing
 from leafaudit.plans.registry import Inputs
 from leafaudit.operators import fidelity, library, state
 from tools.check import TABLES, canon
 
 SF = "/root/testdata/sf0.001"
-JOBS, CHECKS = entry.queries(), entry.oracle_sql()
+JOBS, CHECKS = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
