@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafaudit.llm import bpe, exact, html, lines, near, packing, quality, search, secrets
+from leafaudit.llm import bpe, exact, html, lines, merkle, near, packing, quality, search, secrets
 from leafaudit.llm.common import read_table
 
 
@@ -66,9 +66,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.merkle_manifest(docs, received={"text": F.when(struck, merkle.lower_ascii("text")).otherwise(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_encoding, op2_line_dedup, op3_ngram_jaccard_join, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing)
+    for f in (op1_bpe_encoding, op2_line_dedup, op3_ngram_jaccard_join, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing, op11_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +95,49 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS g, text, list_reduce(
+                    list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+                    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+            FROM documents),
+        l AS (
+            SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 3 = 0
+                        THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+                        ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS back
+            FROM d),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM l),
+        up AS (
+            SELECT 0 AS level, g, p, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT level + 1, g, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM up WHERE n > 1 GROUP BY level, g, p // 8, n),
+        subroots AS (
+            SELECT g, digest AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS p, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, p, n, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY level, p // 8, n),
+        sides AS (
+            SELECT level, g, p,
+                   coalesce(string_agg(digest, '') OVER (PARTITION BY level, g, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(digest, '') OVER (PARTITION BY level, g, p // 8 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM (SELECT level, g, p, n, digest FROM up WHERE n > 1 UNION ALL SELECT 1000 + level, NULL, p, n, digest FROM top WHERE n > 1)),
+        fold AS (
+            SELECT 0 AS level, g, p AS home, p, back AS h, '' AS proof FROM leaves
+            UNION ALL
+            SELECT f.level + 1, f.g, f.home, f.p // 8, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+            FROM fold f JOIN sides s ON s.level = f.level AND s.g = f.g AND s.p = f.p),
+        low AS (SELECT g, home, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM fold GROUP BY g, home),
+        high AS (
+            SELECT 1000 AS level, low.g, low.home, s.p, low.h, low.proof FROM low JOIN subroots s ON s.g = low.g
+            UNION ALL
+            SELECT f.level + 1, f.g, f.home, f.p // 8, sha256(s.l || f.h || s.r), f.proof || s.l || s.r
+            FROM high f JOIN sides s ON s.level = f.level AND s.g IS NULL AND s.p = f.p),
+        done AS (SELECT g, home, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM high GROUP BY g, home)
+        SELECT a.doc_id, a.leaf, s.subroot, t.digest AS root, sha256(done.proof) AS proof_sha256, done.h AS folded_root, done.h = t.digest AS verified
+        FROM leaves a JOIN done ON done.g = a.g AND done.home = a.p JOIN subroots s ON s.g = a.g JOIN top t ON t.n = 1""",
 }

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafaudit.llm.common import each_batch, text_or_empty
+from leafaudit.llm.common import each_batch, fresh, text_or_empty
 
 WIDTH = 32
 FORM_WIDTH = 16
@@ -210,11 +210,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_train: Column | None =
     of label 1 (a half if there is none); of fewer than 20 all train, and the temperature
     stays 1. Rows may repeat, and ids may be null. New columns
     replace input columns of the same name."""
+    own_id, own_label = fresh("id", "label")
     usable = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     usable = usable if may_train is None else usable.filter(may_train)
-    picked = usable.groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
-    picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    taught = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select("_id", "_y", text_or_empty(text).alias("_text"))
+    picked = usable.groupBy(F.col(doc_id).alias(own_id)).agg(F.min(F.col(label).cast("int")).alias(own_label))
+    picked = picked.orderBy(F.xxhash64(own_id), own_id).limit(sample_rows)
+    given = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
+    taught = given.join(F.broadcast(picked), F.col("_id") == F.col(own_id)).select("_id", F.col(own_label).alias("_y"), "_text")
     contexts = context_sums(taught.select("_text"), least=4)
     table = docs.sparkSession.sparkContext.broadcast(contexts)
 
