@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafaudit.llm import bpe, exact, html, lines, merkle, near, packing, quality, search, secrets
+from leafaudit.llm import bpe, exact, html, lines, merkle, near, negatives, packing, quality, search, secrets, warc
 from leafaudit.llm.common import read_table
+from leafaudit.session import scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -72,9 +73,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(docs, received={"text": F.when(struck, merkle.lower_ascii("text")).otherwise(F.col("text"))})
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legacy, archives = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(read_table(spark, sf_dir, "pages"), legacy)
+    warc.convert_arc(spark, legacy, archives)
+    found = warc.read_warc(spark, archives, payloads=False).filter("record_type <> 'warcinfo'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.mining_rows(read_table(spark, sf_dir, "embeddings"))
+    moved = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    rows = rows.withColumn("label", F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_encoding, op2_line_dedup, op3_ngram_jaccard_join, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing, op11_merkle_manifest)
+    for f in (op1_bpe_encoding, op2_line_dedup, op3_ngram_jaccard_join, op4_exact_dedup, op5_secret_scans, op6_top_k_search, op7_quality_classifier, op8_token_counts, op9_html_extraction, op10_packing, op11_merkle_manifest, op12_warc, op13_hard_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +156,36 @@ ORACLE_SQL: dict[str, str] = {
         done AS (SELECT g, home, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM high GROUP BY g, home)
         SELECT a.doc_id, a.leaf, s.subroot, t.digest AS root, sha256(done.proof) AS proof_sha256, done.h AS folded_root, done.h = t.digest AS verified
         FROM leaves a JOIN done ON done.g = a.g AND done.home = a.p JOIN subroots s ON s.g = a.g JOIN top t ON t.n = 1""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+                AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 5""",
+    "op12_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+                   row_number() OVER g AS place, first_value(page_id) OVER g AS last
+            FROM pages WINDOW g AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST))
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN last END AS refers_to
+        FROM p""",
 }
