@@ -14,6 +14,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def cuts(n: int, size: int) -> list[slice]:
 
 def in_order(table: pa.Table) -> pa.Table:
     """By id, unknown ids last, so that among equal scores the first is the one wanted."""
-    return table.take(pa.compute.sort_indices(table, sort_keys=[("vec_id", "ascending")], null_placement="at_end"))
+    return table.take(pc.sort_indices(table, sort_keys=[("vec_id", "ascending")], null_placement="at_end"))
 
 
 class Best:
