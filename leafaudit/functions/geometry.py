@@ -50,6 +50,21 @@ def page_box(w: str = "page_w", h: str = "page_h") -> Box:
     return Box(F.lit(0.0), F.lit(0.0), F.col(w), F.col(h))
 
 
+def valid_box(values: Column, *, unit: bool = False) -> Column:
+    """Whether an array is a box (x0, y0, x1, y1) with an area; unit: all within 0 and 1."""
+    v = [F.get(values, F.lit(i)) for i in range(4)]
+    good = (F.size(values) == 4) & (v[2] > v[0]) & (v[3] > v[1])
+    for x in v:
+        good = good & (x.between(0.0, 1.0) if unit else ~F.isnan(x))
+    return F.coalesce(good, F.lit(False))
+
+
+def normalised_box(values: Column, page: Box) -> Box:
+    """An array of shares of the page's width and height as a box on the page."""
+    at = lambda i, low, size: low + F.get(values, F.lit(i)) * size
+    return Box(at(0, page.x0, page.width), at(1, page.y0, page.height), at(2, page.x0, page.width), at(3, page.y0, page.height))
+
+
 def distance2(a: Box, b: Box) -> Column:
     """Squared distance of two boxes, 0 where they meet."""
     dx = F.greatest(a.x0 - b.x1, b.x0 - a.x1, F.lit(0.0))

@@ -76,7 +76,7 @@ def _mix(x: Column) -> Column:
     return F.shiftleft(left, 32).bitwiseOR(right)
 
 
-def _table(df: DataFrame, label: str) -> DataFrame:
+def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage through a table in the shared folder. Unlike a checkpoint it also
     drops the constraints the optimizer would otherwise carry from round to round."""
     path = scratch_path(df.sparkSession, label)
@@ -98,12 +98,12 @@ def component_labels(edges: DataFrame) -> DataFrame:
         parent = both.groupBy(*PAGE, "a").agg(F.least(F.min("a"), F.min("b")).alias("p"))
         grand = parent.select(*PAGE, F.col("a").alias("p"), F.col("p").alias("to"))
         step = parent.join(grand, [*PAGE, "p"]).select(*PAGE, "a", "to")
-        step = _table(step, "component-map")
+        step = shared_table(step, "component-map")
         maps.append(step)
         far = step.select(*PAGE, F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(step, [*PAGE, "a"]).join(far, [*PAGE, "b"]).filter("to <> tb")
         moved = moved.select(*PAGE, F.least("to", "tb").alias("a"), F.greatest("to", "tb").alias("b")).distinct()
-        edges = _table(moved, "component-edges")
+        edges = shared_table(moved, "component-edges")
         if edges.isEmpty():
             break
     whole = maps.pop()
@@ -111,7 +111,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
         after = whole.select(*PAGE, F.col("a").alias("to"), F.col("to").alias("end"))
         whole = maps.pop().join(after, [*PAGE, "to"], "left").select(*PAGE, "a", F.coalesce("end", "to").alias("to"))
         if maps:
-            whole = _table(whole, "component-map")
+            whole = shared_table(whole, "component-map")
     return whole.select(*PAGE, F.col("a").alias("node"), F.col("to").alias("label"))
 
 
@@ -131,7 +131,7 @@ def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
     touching = pairs.filter(
         (F.col("l_node") < F.col("r_node")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap)
     ).select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b"))
-    labels = component_labels(_table(touching.distinct(), "component-edges"))
+    labels = component_labels(shared_table(touching.distinct(), "component-edges"))
     members = items.join(labels, [*PAGE, "node"], "left")
     return (
         members.withColumn("_c", F.coalesce("label", "node"))

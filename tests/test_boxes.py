@@ -228,17 +228,6 @@ def test_plan_documents_that_cannot_be_used_are_issues(spark):
     ]
 
 
-def test_facsimile_needs_one_full_page_sheet(spark):
-    layouts = spark.createDataFrame([("b", 1, "flow", True), ("b", 2, "flow", True)], "book string, page long, mode string, facsimile boolean")
-    regions = spark.createDataFrame([], "book string, page long, region_id string, nx0 double, ny0 double, nx1 double, ny1 double, fill_color string, stroke_color string, text_color string")
-    figs = spark.createDataFrame(
-        [("b", 1, "1", "composite_engineering sheet", "extract-raster", 0.0, 0.0, 1.0, 1.0), ("b", 2, "1", "map", "extract-raster", 0.0, 0.0, 1.0, 1.0)],
-        "book string, page long, figure_id string, type string, strategy string, nx0 double, ny0 double, nx1 double, ny1 double",
-    )
-    assert rows(figures.plan_contract_violations(layouts, regions, figs), "page", "rule") == [(2, "facsimile sheet")]
-    assert F is not None
-
-
 def test_absurd_coordinates_stay_cheap_and_exact(spark):
     far = [("b", 1, i, "image", 1e9 + 20.0 * i, -1e9, 1e9 + 20.0 * i + 10, -1e9 + 5, "", 1, 9e12, 9e12) for i in range(1, 6)]
     wide = [("b", 1, 9, "image", -1e8, 0.0, 1e8, 4.0, "", 1, 9e12, 9e12), ("b", 1, 10, "image", 5.0, 10.0, 9.0, 20.0, "", 1, 9e12, 9e12)]
