@@ -1,4 +1,4 @@
-"""Rectangle expressions over four double columns, and the tile join for near boxes."""
+"""Rectangle expressions over four double columns, and the grid join for near boxes."""
 
 from __future__ import annotations
 
@@ -89,43 +89,67 @@ def similar_area(a: Box, b: Box, max_ratio: float = 4.0) -> Column:
     return F.coalesce((small > 0) & (large <= small * max_ratio), F.lit(False))
 
 
-def tile_of(value: Column, tile: float) -> Column:
-    """Tile index along one axis. Indexes are clamped, so a box with absurd coordinates
-    covers a bounded number of tiles; the clamp keeps order, so no pair is lost."""
-    return F.least(F.greatest(F.floor(value / tile), F.lit(-64)), F.lit(192))
-
-
-def tiles_between(low: Column, high: Column, tile: float) -> Column:
-    return F.explode(F.when(low <= high, F.sequence(tile_of(low, tile), tile_of(high, tile))))
+#: Tile sides of the grid levels, finest first; above them a level of one tile a page.
+TILES = (16.0, 128.0)
 
 
-def _tiled(df: DataFrame, box: Box, tile: float) -> DataFrame:
-    return df.withColumn("_tx", tiles_between(box.x0, box.x1, tile)).withColumn("_ty", tiles_between(box.y0, box.y1, tile))
+def tile_of(value: Column, tile: float) -> Column:
+    """Tile index along one axis."""
+    return F.floor(value / tile)
+
+
+def _level(box: Box, tiles: tuple[float, ...]) -> Column:
+    """Finest level whose tile is no smaller than the box, so that a box covers four tiles at most."""
+    size = F.greatest(box.width, box.height)
+    out = F.lit(len(tiles))
+    for i in range(len(tiles) - 1, -1, -1):
+        out = F.when(size <= tiles[i], i).otherwise(out)
+    return out
+
+
+def _cells(box: Box, tiles: tuple[float, ...], own: Column, meets: Column, probes: Column) -> Column:
+    """Cells (level, role, tx, ty) of a box: on its own level in the role `meets` (which may be
+    several), on each coarser one in the role `probes`."""
+    cells = []
+    for level in range(len(tiles) + 1):
+        roles = F.when(own == level, meets).when(own < level, probes)
+        if level < len(tiles):
+            low, high = tile_of(box.x0, tiles[level]), tile_of(box.x1, tiles[level])
+            xs, ys = F.sequence(low, high), F.sequence(tile_of(box.y0, tiles[level]), tile_of(box.y1, tiles[level]))
+        else:
+            xs = ys = F.array(F.lit(0).cast("bigint"))
+        grid = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
+        at = lambda r: F.transform(grid, lambda g: F.struct(F.lit(level).alias("_level"), r.alias("_role"), g["tx"].alias("_tx"), g["ty"].alias("_ty")))  # noqa: B023, E731
+        cells.append(F.when(own <= level, F.flatten(F.transform(roles, at))))
+    none = F.array().cast("array<struct<_level:int,_role:int,_tx:bigint,_ty:bigint>>")
+    return F.concat(*[F.coalesce(c, none) for c in cells])
 
 
 def near_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], gap: float | Column, *, lp: str = "l_", rp: str = "r_", tile: float = 128.0
+    left: DataFrame, right: DataFrame, keys: list[str], gap: float | Column, *, lp: str = "l_", rp: str = "r_", tiles: tuple[float, ...] = TILES
 ) -> DataFrame:
     """Pairs of boxes on the same page whose extents, grown by gap, meet.
 
-    Boxes go to the tiles they cover and meet by equi-join on (page, tile), so a
-    crowded page is spread over its tiles and far pairs never meet. A pair that
-    shares several tiles is kept only in the tile of its lower common corner.
-    left and right carry prefixed x0..y1 columns."""
-    grown = Box.of(lp).grow(gap)
-    other = Box.of(rp)
-    a, b = _tiled(left, grown, tile), _tiled(right, other, tile)
+    A box belongs to the grid level of its size and covers at most four tiles there. Two
+    boxes meet on the coarser of their levels: each looks up (role 0 or 1) the other side's
+    boxes of coarser levels, and only boxes of one level are compared tile by tile. So
+    small boxes of a crowded page meet in small tiles, however large other boxes or the
+    page are. A pair that shares several tiles is kept in the tile of its lower common
+    corner. left and right carry prefixed x0..y1 columns; a box with x1 < x0 or y1 < y0
+    after growing meets nothing."""
+    grown, other = Box.of(lp).grow(gap), Box.of(rp)
+    roles = lambda *r: F.array(*[F.lit(i) for i in r])
+    sound = lambda box: (box.x0 <= box.x1) & (box.y0 <= box.y1)
+    cell = ["_level", "_role", "_tx", "_ty"]
+    a = left.filter(sound(grown)).withColumn("_cell", F.explode(_cells(grown, tiles, _level(grown, tiles), roles(0, 1), roles(0))))
+    b = right.filter(sound(other)).withColumn("_cell", F.explode(_cells(other, tiles, _level(other, tiles), roles(0), roles(1))))
+    a, b = (df.select(*[c for c in df.columns if c != "_cell"], "_cell.*") for df in (a, b))
     corner_x, corner_y = F.greatest(grown.x0, other.x0), F.greatest(grown.y0, other.y0)
-    return (
-        a.join(b, [*keys, "_tx", "_ty"])
-        .filter(
-            (corner_x <= F.least(grown.x1, other.x1))
-            & (corner_y <= F.least(grown.y1, other.y1))
-            & (tile_of(corner_x, tile) == F.col("_tx"))
-            & (tile_of(corner_y, tile) == F.col("_ty"))
-        )
-        .drop("_tx", "_ty")
-    )
+    here = F.col("_level") == len(tiles)
+    for i, t in enumerate(tiles):
+        here = here | ((F.col("_level") == i) & (tile_of(corner_x, t) == F.col("_tx")) & (tile_of(corner_y, t) == F.col("_ty")))
+    meet = (corner_x <= F.least(grown.x1, other.x1)) & (corner_y <= F.least(grown.y1, other.y1))
+    return a.join(b, [*keys, *cell]).filter(meet & here).drop(*cell)
 
 
 def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:

