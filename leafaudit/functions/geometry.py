@@ -107,22 +107,21 @@ def _level(box: Box, tiles: tuple[float, ...]) -> Column:
     return out
 
 
-def _cells(box: Box, tiles: tuple[float, ...], own: Column, meets: Column, probes: Column) -> Column:
-    """Cells (level, role, tx, ty) of a box: on its own level in the role `meets` (which may be
-    several), on each coarser one in the role `probes`."""
-    cells = []
+def _in_cells(df: DataFrame, box: Box, tiles: tuple[float, ...], meets: tuple[int, ...], probes: tuple[int, ...]) -> DataFrame:
+    """One row per cell (level, role, tx, ty) of a box: on its own level in the roles `meets`,
+    on each coarser one in the roles `probes`."""
+    own = _level(box, tiles)
+    entries = []
     for level in range(len(tiles) + 1):
-        roles = F.when(own == level, meets).when(own < level, probes)
-        if level < len(tiles):
-            low, high = tile_of(box.x0, tiles[level]), tile_of(box.x1, tiles[level])
-            xs, ys = F.sequence(low, high), F.sequence(tile_of(box.y0, tiles[level]), tile_of(box.y1, tiles[level]))
-        else:
-            xs = ys = F.array(F.lit(0).cast("bigint"))
-        grid = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
-        at = lambda r: F.transform(grid, lambda g: F.struct(F.lit(level).alias("_level"), r.alias("_role"), g["tx"].alias("_tx"), g["ty"].alias("_ty")))  # noqa: B023, E731
-        cells.append(F.when(own <= level, F.flatten(F.transform(roles, at))))
-    none = F.array().cast("array<struct<_level:int,_role:int,_tx:bigint,_ty:bigint>>")
-    return F.concat(*[F.coalesce(c, none) for c in cells])
+        span = [tile_of(c, tiles[level]) for c in (box.x0, box.x1, box.y0, box.y1)] if level < len(tiles) else [F.lit(0).cast("bigint")] * 4
+        for role in (0, 1):
+            on = (own == level) if role in meets else F.lit(False)
+            on = on | (own < level) if role in probes else on
+            named = [c.alias(n) for c, n in zip(span, ("_x0", "_x1", "_y0", "_y1"), strict=True)]
+            entries.append(F.when(on, F.struct(F.lit(level).alias("_level"), F.lit(role).alias("_role"), *named)))
+    rows = df.select("*", F.inline(F.array_compact(F.array(*entries))))
+    rows = rows.withColumn("_tx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_ty", F.explode(F.sequence("_y0", "_y1")))
+    return rows.drop("_x0", "_x1", "_y0", "_y1")
 
 
 def near_pairs(
@@ -138,12 +137,10 @@ def near_pairs(
     corner. left and right carry prefixed x0..y1 columns; a box with x1 < x0 or y1 < y0
     after growing meets nothing."""
     grown, other = Box.of(lp).grow(gap), Box.of(rp)
-    roles = lambda *r: F.array(*[F.lit(i) for i in r])
     sound = lambda box: (box.x0 <= box.x1) & (box.y0 <= box.y1)
     cell = ["_level", "_role", "_tx", "_ty"]
-    a = left.filter(sound(grown)).withColumn("_cell", F.explode(_cells(grown, tiles, _level(grown, tiles), roles(0, 1), roles(0))))
-    b = right.filter(sound(other)).withColumn("_cell", F.explode(_cells(other, tiles, _level(other, tiles), roles(0), roles(1))))
-    a, b = (df.select(*[c for c in df.columns if c != "_cell"], "_cell.*") for df in (a, b))
+    a = _in_cells(left.filter(sound(grown)), grown, tiles, meets=(0, 1), probes=(0,))
+    b = _in_cells(right.filter(sound(other)), other, tiles, meets=(0,), probes=(1,))
     corner_x, corner_y = F.greatest(grown.x0, other.x0), F.greatest(grown.y0, other.y0)
     here = F.col("_level") == len(tiles)
     for i, t in enumerate(tiles):

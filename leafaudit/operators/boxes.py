@@ -27,6 +27,8 @@ BOX = ["x0", "y0", "x1", "y1"]
 # Caption wording and geometry limits of the page contract.
 CAPTION = r"(?i)^(?:(?:Figure|Fig\.|Hình)\s+([A-Za-z\d]+(?:[-.]\d+)?)|(\d{1,3})[.)])(?:\s|[:.]|$)"
 TOUCH_GAP = 12.0
+#: Distinct boxes beyond which a cell counts as crowded; results don't depend on it.
+FEW_BOXES = 8
 HIGHLIGHT_HEIGHT = (10.0, 20.0)
 CAPTION_IMAGE_GAP = 48.0
 DIAGRAM_PREFIXES = ["+ ", "- ", "«", "»", "void ", "class ", "struct ", "enum "]
@@ -61,22 +63,34 @@ def _champions(box: Box) -> list[Column]:
     return [box.x1, -box.x0, box.y1, -box.y0, box.x1 + box.y1, box.x1 - box.y0, box.y1 - box.x0, -box.x0 - box.y0]
 
 
-def _farthest() -> list[Column]:
+def _representatives(boxes: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct boxes (book, page, group, x0..y1), of crowded groups only the farthest ones;
+    and the keys of the crowded groups, None if there are none."""
+    keys = [*PAGE, *group]
+    crowded = shared_table(boxes.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > FEW_BOXES).drop("n"), "crowded")
+    if crowded.isEmpty():
+        return boxes, None
     corners = F.struct(*BOX)
-    return [F.max_by(corners, F.struct(reach, corners)).alias(f"c{i}") for i, reach in enumerate(_champions(Box.of()))]
+    farthest = [F.max_by(corners, F.struct(reach, corners)).alias(f"c{i}") for i, reach in enumerate(_champions(Box.of()))]
+    some = boxes.join(crowded, keys, "left_semi").groupBy(*keys).agg(*farthest)
+    some = some.select(*keys, F.inline(F.array_distinct(F.array(*[f"c{i}" for i in range(8)]))))
+    return boxes.join(crowded, keys, "left_anti").select(*keys, *BOX).unionByName(some), crowded
 
 
 def _near_any(asked: DataFrame, boxes: DataFrame, gap: float) -> DataFrame:
-    """Ids of asked boxes with any box within the gap. Of the boxes of a cell the farthest
-    in eight directions are tried first; only boxes they leave open meet all others."""
+    """Ids of asked boxes with any of the distinct boxes within the gap. Crowded cells are
+    tried by their farthest boxes first; only boxes that these leave open meet all others."""
 
     def hits(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = near_pairs(prefixed(left, PAGE, "l_"), prefixed(right, PAGE, "r_"), PAGE, gap)
+        pairs = near_pairs(prefixed(left, PAGE, "l_"), prefixed(right.select(*PAGE, *BOX), PAGE, "r_"), PAGE, gap)
         return pairs.filter(distance2(Box.of("l_"), Box.of("r_")) <= gap * gap).select(*PAGE, F.col("l_obj_id").alias("obj_id")).distinct()
 
     side = gap / 1.5
     cell = [F.floor((F.col(a) + F.col(b)) / 2 / side).alias(n) for n, a, b in (("_cx", "x0", "x1"), ("_cy", "y0", "y1"))]
-    few = boxes.groupBy(*PAGE, *cell).agg(*_farthest()).select(*PAGE, F.inline(F.array_distinct(F.array(*[f"c{i}" for i in range(8)]))))
+    boxes = boxes.select(*PAGE, *BOX, *cell)
+    few, crowded = _representatives(boxes, ["_cx", "_cy"])
+    if crowded is None:
+        return hits(asked, boxes)
     first = shared_table(hits(asked, few), "near-first")
     return first.unionByName(hits(asked.join(first, [*PAGE, "obj_id"], "left_anti"), boxes))
 
@@ -144,20 +158,21 @@ def _touching(left: DataFrame, right: DataFrame, gap: float) -> DataFrame:
     return near.select(*PAGE, F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
-def _links_left_over(items: DataFrame, nodes: DataFrame, gap: float) -> DataFrame:
-    """Links between nodes of different labels, by all their boxes: node pairs whose extents
-    are near, then boxes of either that are near the other's extent, then those boxes."""
-    extent = nodes.select(*PAGE, "node", "label", *BOX)
-    pairs = near_pairs(prefixed(extent, PAGE, "l_"), prefixed(extent, PAGE, "r_"), PAGE, gap)
-    pairs = pairs.filter((F.col("l_label") < F.col("r_label")) & (distance2(Box.of("l_"), Box.of("r_")) <= gap * gap))
-    open_pairs = shared_table(pairs, "open-node-pairs")
-    boxes = items.select(*PAGE, "node", *BOX).distinct()
-    close = distance2(Box.of("o_"), Box.of("l_")) <= gap * gap
-    first = open_pairs.select(*PAGE, "l_label", "r_label", F.col("l_node").alias("node"), "r_node", *[F.col(f"r_{c}").alias(f"l_{c}") for c in BOX])
+def _links_left_over(boxes: DataFrame, labels: DataFrame, crowded: DataFrame, gap: float) -> DataFrame:
+    """Links between nodes of different labels of which one is crowded, by all their boxes:
+    node pairs whose extents are near, then boxes of either near the other's extent."""
+    extent = boxes.groupBy(*PAGE, "node").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    extent = extent.join(labels, [*PAGE, "node"]).join(crowded.withColumn("full", F.lit(True)), [*PAGE, "node"], "left")
+    extent = shared_table(extent.withColumn("full", F.coalesce("full", F.lit(False))), "cluster-extents")
+    pairs = near_pairs(prefixed(extent.filter("full"), PAGE, "l_"), prefixed(extent, PAGE, "r_"), PAGE, gap)
+    near = lambda a, b: distance2(Box.of(a), Box.of(b)) <= gap * gap
+    pairs = shared_table(pairs.filter((F.col("l_label") != F.col("r_label")) & near("l_", "r_")), "open-node-pairs")
     own = boxes.select(*PAGE, "node", *[F.col(c).alias(f"o_{c}") for c in BOX])
-    first = first.join(own, [*PAGE, "node"]).filter(close).select(*PAGE, "l_label", "r_label", F.col("r_node").alias("node"), *[F.col(f"o_{c}").alias(f"l_{c}") for c in BOX])
-    found = first.join(own, [*PAGE, "node"]).filter(close)
-    return found.select(*PAGE, F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct()
+    first = pairs.select(*PAGE, "l_label", "r_label", F.col("l_node").alias("node"), "r_node", *[F.col(f"r_{c}") for c in BOX])
+    first = first.join(own, [*PAGE, "node"]).filter(near("o_", "r_"))
+    first = first.select(*PAGE, "l_label", "r_label", F.col("r_node").alias("node"), *[F.col(f"o_{c}").alias(f"l_{c}") for c in BOX])
+    found = first.join(own, [*PAGE, "node"]).filter(near("o_", "l_"))
+    return found.select(*PAGE, F.least("l_label", "r_label").alias("a"), F.greatest("l_label", "r_label").alias("b")).distinct()
 
 
 def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
@@ -165,28 +180,25 @@ def visual_clusters(objects: DataFrame, *, gap: float = TOUCH_GAP) -> DataFrame:
 
     Items whose centres share a cell of side gap/1.5 are closer than the gap, so
     each cell is contracted to one node first: a crowded page becomes a graph whose
-    size follows its area, not its number of rows. Nodes are first linked by the boxes
-    that reach farthest in eight directions, of which a node has a fixed number; that
-    joins nearly all of a crowded page. Only nodes that stay apart although their extents
-    are near are then compared by all their boxes, so no link is lost."""
+    size follows its area, not its number of rows. A node of many distinct boxes is first
+    linked by those that reach farthest in eight directions; that joins nearly all of a
+    crowded page. Only where such a node stays apart from another although their extents
+    are near are all their boxes compared, so no link is lost."""
     side = gap / 1.5
     box = Box.of()
     cell = F.floor((box.x0 + box.x1) / 2 / side) * (1 << 24) + F.floor((box.y0 + box.y1) / 2 / side)
     items = art_items(objects).select(*PAGE, "obj_id", *BOX, "kind", "n_items", _mix(cell.cast("bigint")).alias("node"))
-    nodes = items.groupBy(*PAGE, "node").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        *_farthest(),
-    )
-    nodes = shared_table(nodes, "cluster-nodes")
-    far = nodes.select(*PAGE, "node", F.inline(F.array_distinct(F.array(*[f"c{i}" for i in range(8)]))))
-    labels = component_labels(shared_table(_touching(far, far, gap), "component-edges"))
-    labelled = nodes.select(*PAGE, "node", *BOX).join(labels, [*PAGE, "node"], "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = shared_table(labelled, "cluster-labels")
-    rest = shared_table(_links_left_over(items, labelled, gap), "cluster-links")
-    if not rest.isEmpty():
-        joined = component_labels(rest).select(*PAGE, F.col("node").alias("label"), F.col("label").alias("_joined"))
-        labelled = labelled.join(joined, [*PAGE, "label"], "left").withColumn("label", F.coalesce("_joined", "label"))
-    members = items.join(labelled.select(*PAGE, "node", "label"), [*PAGE, "node"])
+    boxes = shared_table(items.select(*PAGE, "node", *BOX).distinct(), "cluster-boxes")
+    few, crowded = _representatives(boxes, ["node"])
+    labels = component_labels(shared_table(_touching(few, few, gap), "component-edges"))
+    if crowded is not None:
+        every = boxes.select(*PAGE, "node").distinct().join(labels, [*PAGE, "node"], "left")
+        labels = shared_table(every.withColumn("label", F.coalesce("label", "node")), "cluster-labels")
+        rest = shared_table(_links_left_over(boxes, labels, crowded, gap), "cluster-links")
+        if not rest.isEmpty():
+            joined = component_labels(rest).select(*PAGE, F.col("node").alias("label"), F.col("label").alias("_joined"))
+            labels = labels.join(joined, [*PAGE, "label"], "left").select(*PAGE, "node", F.coalesce("_joined", "label").alias("label"))
+    members = items.join(labels, [*PAGE, "node"], "left").withColumn("label", F.coalesce("label", "node"))
     return (
         members.groupBy(*PAGE, "label")
         .agg(
