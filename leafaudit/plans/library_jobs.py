@@ -180,7 +180,12 @@ def _vanished(d) -> str:
       AND NOT EXISTS (SELECT 1 FROM ({_vanished(d)}) v WHERE v.book = b.book AND v.page = b.page)""",
 )
 def keyed_upsert(inp: Inputs):
-    return sinks.keyed_upsert(inp.derive(_base), inp.derive(_updates), inp.derive(_vanished), ["book", "page"])
+    """The base is written as the first version of an index, the batch as the second."""
+    path = scratch_path(inp.spark, "index")
+    base = inp.derive(_base)
+    sinks.upsert_index(base, base.limit(0), path, ["book", "page"])
+    sinks.upsert_index(inp.derive(_updates), inp.derive(_vanished), path, ["book", "page"])
+    return sinks.read_index(inp.spark, path)
 
 
 @job(
