@@ -64,6 +64,27 @@ def status_aggregates() -> list[Column]:
     ]
 
 
+def status_partials() -> list[Column]:
+    """status_aggregates with the order of their picks, so that sums of parts can be merged."""
+    order = F.col("seq")
+    label = tool_label(F.col("chunk"))
+    return [*status_aggregates(), F.max(order).alias("now_at"), F.min(order).alias("first_at"), F.max(F.when(label.isNotNull(), order)).alias("tool_at")]
+
+
+def merged_status(parts: DataFrame) -> DataFrame:
+    """One row per page from status_partials of parts of its events."""
+    return parts.groupBy(*PAGE).agg(
+        F.max_by("now", "now_at").alias("now"),
+        F.max("last_start").alias("last_start"),
+        F.min_by("first_ts", "first_at").alias("first_ts"),
+        F.sum("tool_calls").alias("tool_calls"),
+        F.max_by("last_tool", "tool_at").alias("last_tool"),
+        F.max("now_at").alias("now_at"),
+        F.min("first_at").alias("first_at"),
+        F.max("tool_at").alias("tool_at"),
+    )
+
+
 def status_columns() -> list[Column]:
     return [
         F.coalesce("now.state", F.lit("idle")).alias("state"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafaudit.plans import derived as dv
 from leafaudit.plans.registry import Inputs, job
-from leafaudit.plans.state_jobs import latest_sql
+from leafaudit.plans.state_jobs import NOW, latest_sql
 from leafaudit.session import scratch_path
 from leafaudit.streaming import agent_events, logs, status
 
@@ -64,33 +64,71 @@ def _seen(d) -> str:
 
 @job("status_state", lambda d: latest_sql(d, expected=_seen))
 def status_state(inp: Inputs):
-    """Events in two deliveries; the kept state must equal the batch result."""
+    """Events in three deliveries, the log folded between them; it must equal the batch result."""
     root = scratch_path(inp.spark, "status")
     events = inp.derive(dv.process_events)
     schema = events.schema
-    half = F.col("event_type").isin("view", "purchase")
-    for part in (half, ~half):
+    parts = [F.col("event_type") == "view", F.col("event_type") == "purchase", ~F.col("event_type").isin("view", "purchase")]
+    for part in parts:
         events.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = inp.spark.readStream.schema(schema).parquet(f"{root}/in")
         status.status_state(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return status.current_status(inp.spark.read.parquet(f"{root}/out"))
+        status.compact_status(inp.spark, f"{root}/out")
+    return status.current_status(inp.spark, f"{root}/out")
+
+
+def _records(d) -> str:
+    """What was heard of jobs: their start, and for some running ones their end 36 hours later."""
+    return f"""
+    SELECT seq AS job_id, ts AS created_at, ts AS seen_at, event_type = 'view' AND v % 5 = 0 AS running FROM ({dv.process_events(d)}) e
+    UNION ALL
+    SELECT seq, ts, ts + INTERVAL '36' HOUR, false FROM ({dv.process_events(d)}) e WHERE event_type = 'view' AND v % 5 = 0 AND seq % 3 = 0"""
+
+
+@job(
+    "job_retention_stream",
+    lambda d: f"""
+    SELECT job_id, min(created_at) AS created_at FROM ({_records(d)}) r WHERE seen_at <= TIMESTAMP '{NOW}' GROUP BY job_id
+    HAVING epoch(TIMESTAMP '{NOW}') - floor(epoch(min(created_at))) <= 86400 OR max_by(running, seen_at)""",
+)
+def job_retention_stream(inp: Inputs):
+    """Records in three deliveries in order of time, the last with a tick of the clock at NOW."""
+    root = scratch_path(inp.spark, "retention")
+    records = inp.derive(_records).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "seen_at")})
+    now = F.lit(NOW).cast("timestamp")
+    records = records.filter(F.col("seen_at") <= now)
+    tick = inp.spark.range(1).select(F.lit(None).cast("bigint").alias("job_id"), now.alias("created_at"), now.alias("seen_at"), F.lit(False).alias("running"))
+    cuts = [F.lit(None), F.lit("2024-01-12").cast("timestamp"), F.lit("2024-01-22").cast("timestamp"), F.lit(None)]
+    schema = "job_id long, created_at timestamp, seen_at timestamp, running boolean"
+    for i in range(3):
+        low, high = (F.lit(True) if i == 0 else F.col("seen_at") >= cuts[i]), (F.lit(True) if i == 2 else F.col("seen_at") < cuts[i + 1])
+        part = records.filter(low & high)
+        (part.unionByName(tick) if i == 2 else part).write.mode("append").parquet(f"{root}/in")
+        stream = inp.spark.readStream.schema(schema).parquet(f"{root}/in")
+        logs.append_log_stream(status.job_retention_stream(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return status.retained_jobs(inp.spark.read.parquet(f"{root}/out")).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 def _sources(d) -> str:
-    return f"SELECT source, text FROM {d.table('documents')}"
+    return f"SELECT source, text, doc_id FROM {d.table('documents')}"
 
 
 @job(
     "inbox_stream",
-    lambda d: "SELECT source AS slug, CASE WHEN source LIKE 'src1%' THEN 'existing' ELSE 'created' END AS action FROM documents GROUP BY source",
+    lambda d: f"""
+    WITH f AS (SELECT source AS slug, doc_id % 3 = 0 AS late, count(*) AS n, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM ({_sources(d)}) s GROUP BY ALL)
+    SELECT slug, CAST(1 AS BIGINT) AS files, bytes, CASE WHEN slug LIKE 'src1%' OR (late AND EXISTS (SELECT 1 FROM f g WHERE g.slug = f.slug AND NOT g.late)) THEN 'existing' ELSE 'created' END AS action
+    FROM f""",
 )
 def inbox_stream(inp: Inputs):
-    """documents as text files in one folder per source, queued against a small catalogue."""
+    """documents as one text file per source, in two deliveries, against a small catalogue."""
     root = scratch_path(inp.spark, "inbox")
     docs = inp.derive(_sources)
-    docs.write.mode("overwrite").partitionBy("source").text(f"{root}/in")
-    catalogue = docs.filter("source like 'src1%'").select(F.col("source").alias("slug")).distinct()
-    files = logs.read_inbox_stream(inp.spark, f"{root}/in", "*.txt")
-    files = files.withColumn("path", F.regexp_replace("path", "/source=", "/"))
-    logs.inbox_stream(files, catalogue, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return inp.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out").select("slug", "action")
+    catalogue = inp.keep(docs.filter("source like 'src1%'").select(F.col("source").alias("slug")).distinct(), "catalogue")
+    late = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    for part in (~late, late):
+        docs.filter(part).select("source", "text").repartition("source").write.mode("append").partitionBy("source").text(f"{root}/in")
+        files = logs.read_inbox_stream(inp.spark, f"{root}/in", "*.txt")
+        files = files.withColumn("path", F.regexp_replace("path", "/source=([^/]+)/[^/]*$", "/$1.txt"))
+        logs.inbox_stream(files, catalogue, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return inp.spark.read.parquet(f"{root}/out").select("slug", "files", "bytes", "action")

@@ -100,15 +100,16 @@ def drop_old(spark: SparkSession, path: str, keep: int = 2) -> int:
         version = Version(**json.loads(spark.read.text(f"{_pointers(path)}/{name}", wholetext=True).first()[0]))
         used |= {folder.split("/data/")[1].split("/")[0] for folder in version.parts.values()}
     old = [n for n in _names(spark, f"{path.rstrip('/')}/data") if n not in used]
-    for folder in old:
-        target, fs = _hadoop(spark, f"{path.rstrip('/')}/data/{folder}")
-        fs.delete(target, True)
-    for name in names[:-keep]:
-        target, fs = _hadoop(spark, f"{_pointers(path)}/{name}")
-        fs.delete(target, False)
+    drop_folders(spark, [f"{path.rstrip('/')}/data/{n}" for n in old] + [f"{_pointers(path)}/{n}" for n in names[:-keep]])
     return len(old)
 
 
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        target, fs = _hadoop(spark, folder)
+        fs.delete(target, True)
+
+
 def bucket_of(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leafaudit.functions.text import slugify
 
@@ -52,32 +56,31 @@ def read_inbox_stream(spark: SparkSession, path: str, suffix: str = "*.{pdf,epub
     )
 
 
-def queue_inbox(files: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One queued job per new slug; action tells whether the catalogue already has the book."""
-    slugs = files.groupBy("slug").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    known = catalogue.select("slug").distinct().withColumn("_known", F.lit(True))
-    return slugs.join(known, "slug", "left").select(
-        "slug", "files", "bytes", F.when(F.col("_known"), "existing").otherwise("created").alias("action")
-    )
+INBOX_JOB = "slug string, files long, bytes long, action string"
 
 
-def inbox_stream(files: DataFrame, catalogue: DataFrame, out: str, checkpoint: str):
-    """Write the jobs of each batch under its batch id, so a repeated batch replaces itself.
+def inbox_jobs(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One job per book and batch of new files: (slug, files, bytes, action).
 
-    A slug queued by an earlier batch counts as existing."""
+    The slug is the file's name without its suffix, wherever it lies. The action is
+    created where the book is new, existing where the catalogue or an earlier batch has
+    it. What earlier batches had is kept as one flag per slug in the stream's state, so a
+    batch reads neither the history nor more of the state than its own slugs."""
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    known = catalogue.select("slug").distinct().withColumn("listed", F.lit(True))
+    named = files.select(slugify(stem).alias("slug"), "size").join(known, "slug", "left").select("slug", "size", F.coalesce("listed", F.lit(False)).alias("listed"))
 
-    def queue(batch: DataFrame, batch_id: int) -> None:
-        named = batch.withColumn("slug", slugify(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)))
-        known = catalogue.select("slug")
-        if batch_id > 0:
-            queued = "slug string, files bigint, bytes bigint, action string, batch bigint"
-            earlier = batch.sparkSession.read.schema(queued).parquet(out).filter(F.col("batch") < batch_id)
-            known = known.unionByName(earlier.select("slug"))
-        queue_inbox(named, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def queue(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = size = 0
+        listed = state.exists
+        for frame in frames:
+            n, size, listed = n + len(frame), size + int(frame["size"].sum()), listed or bool(frame["listed"].any())
+        state.update((True,))
+        yield pd.DataFrame({"slug": [key[0]], "files": [n], "bytes": [size], "action": ["existing" if listed else "created"]})
 
-    return (
-        files.writeStream.foreachBatch(queue)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return named.groupBy("slug").applyInPandasWithState(queue, INBOX_JOB, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def inbox_stream(files: DataFrame, catalogue: DataFrame, out: str, checkpoint: str):
+    """Write the jobs of new files, each exactly once (file sink with its commit log)."""
+    return append_log_stream(inbox_jobs(files, catalogue), out, checkpoint)

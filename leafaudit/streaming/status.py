@@ -1,45 +1,132 @@
-"""Current page status kept from the event stream."""
+"""Current page status kept from the event stream, and the retention of job records."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from leafaudit.operators.state import PAGE, merged_status, status_columns, status_partials
+from leafaudit.sources import versioned
 
-from leafaudit.operators.state import PAGE, status_aggregates, status_columns
+PARTIAL = "batch"
 
 
 def status_state(events: DataFrame, out: str, checkpoint: str):
-    """Keep started_at and tool fields per page in streaming state; write changed pages.
+    """Follow a stream of events into the status log at `out`.
 
-    Each batch writes its changed rows under its own batch folder (a repeated batch
-    replaces itself); current_status picks the newest row per page."""
+    What a page's events add up to can be merged, so each batch writes only the sums of
+    its own events, under its batch id (a repeated batch replaces itself): no state is
+    held between batches, and late events count like any other. current_status merges the
+    log; compact_status folds its past into one row per page."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*PAGE, *status_columns()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.groupBy(*PAGE).agg(*status_partials()).write.mode("overwrite").parquet(f"{out}/log/{PARTIAL}={batch_id}")
 
     return (
-        events.groupBy(*PAGE)
-        .agg(*status_aggregates())
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_status(changes: DataFrame) -> DataFrame:
-    """Newest row per page of the change log (batch is its partition column)."""
-    cols = [c for c in changes.columns if c not in (*PAGE, "batch")]
-    latest = changes.groupBy(*PAGE).agg(F.max_by(F.struct(*cols), "batch").alias("s"))
-    return latest.select(*PAGE, "s.*")
+def _log(spark: SparkSession, out: str) -> tuple[DataFrame | None, versioned.Version | None, list[int]]:
+    """Rows of the folded past and of the batches after it; and those batches."""
+    base = versioned.current(spark, f"{out}/base")
+    last = base.epoch if base else -1
+    batches = [int(k) for k in versioned.written_parts(spark, f"{out}/log", PARTIAL)]
+    after = sorted(b for b in batches if b > last)
+    rows = spark.read.parquet(*[f"{out}/log/{PARTIAL}={b}" for b in after]) if after else None
+    if base and base.parts:
+        past = versioned.read_parts(spark, base)
+        rows = past if rows is None else past.unionByName(rows)
+    return rows, base, after
+
+
+def current_status(spark: SparkSession, out: str) -> DataFrame | None:
+    """Status of every page that has events; None before the first batch."""
+    rows, _, _ = _log(spark, out)
+    return None if rows is None else merged_status(rows).select(*PAGE, *status_columns())
 
 
-def compact_status(changes: DataFrame, out: str) -> None:
-    """Rewrite the change log as one row per page."""
-    current_status(changes).withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(out)
+def compact_status(spark: SparkSession, out: str) -> int:
+    """Fold the finished batches into the base, one row per page; how many it folded.
+
+    The base names its last batch, and readers skip batches up to it, so a stop before
+    the pointer moves or before the old folders are gone changes no result. The newest
+    batch is left alone: a restarted stream may write it again."""
+    rows, base, after = _log(spark, out)
+    done = after[:-1]
+    if not done:
+        return 0
+    folder, past = versioned.new_folder(f"{out}/base"), spark.read.parquet(*[f"{out}/log/{PARTIAL}={b}" for b in done])
+    past = past.unionByName(versioned.read_parts(spark, base)) if base else past
+    merged = merged_status(past)
+    merged.write.parquet(folder)
+    number = base.number + 1 if base else 0
+    versioned.publish(spark, f"{out}/base", versioned.Version(number, past.schema.json(), {"": folder}, epoch=done[-1]))
+    versioned.drop_folders(spark, [f"{out}/log/{PARTIAL}={b}" for b in done])
+    versioned.drop_old(spark, f"{out}/base", keep=1)
+    return len(done)
 
 
 def recent_jobs(jobs: DataFrame) -> DataFrame:
     """Stream of job records, one per job id; ids older than 24 hours leave the state."""
     return jobs.withWatermark("created_at", "24 hours").dropDuplicatesWithinWatermark(["job_id"])
+
+
+def job_retention_stream(records: DataFrame, *, seconds: int = 86400, delay: str = "0 seconds") -> DataFrame:
+    """Changes to the set of retained jobs: (job_id, created_at, action), action kept or dropped.
+
+    records(job_id, created_at, seen_at, running): what was heard of a job and when;
+    seen_at drives the clock, and the record seen last tells whether the job runs. Each
+    job sets a timer at the end of its time; a job that still runs has none and is held
+    until it is heard to have ended. Dropped jobs leave the state. Records without an id
+    only move the clock. Records later than `delay` behind the clock are ignored."""
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def say(created: pd.Timestamp, action: str) -> pd.DataFrame:
+            return pd.DataFrame({"job_id": [key[0]], "created_at": [created], "action": [action]})
+
+        if state.hasTimedOut:
+            created, _, _ = state.get
+            state.remove()
+            yield say(created, "dropped")
+            return
+        heard = pd.concat(list(frames))
+        if pd.isna(key[0]):
+            return
+        created, running, seen = state.get if state.exists else (None, False, None)
+        if not state.exists:
+            created = heard["created_at"].min()
+            yield say(created, "kept")
+        newest = heard.loc[heard["seen_at"].idxmax()]
+        if seen is None or newest["seen_at"] >= seen:
+            running, seen = bool(newest["running"]), newest["seen_at"]
+        ends = (int(created.timestamp() // 1) + seconds + 1) * 1000 - 1
+        if not running and ends < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield say(created, "dropped")
+            return
+        state.update((created, running, seen))
+        if not running:
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+
+    return (
+        records.withWatermark("seen_at", delay)
+        .groupBy("job_id")
+        .applyInPandasWithState(
+            follow, "job_id long, created_at timestamp, action string", "created_at timestamp, running boolean, seen_at timestamp", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
+
+def retained_jobs(changes: DataFrame) -> DataFrame:
+    """Jobs that were kept and not dropped since: (job_id, created_at)."""
+    n = F.sum(F.when(F.col("action") == "kept", 1).otherwise(-1))
+    return changes.groupBy("job_id").agg(F.max("created_at").alias("created_at"), n.alias("n")).filter("n > 0").drop("n")

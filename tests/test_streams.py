@@ -1,9 +1,12 @@
 import json
+from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from leafaudit.operators import state
+from leafaudit.sources import versioned
 from leafaudit.streaming import agent_events, logs, status
 
 EVENTS = "book string, page long, seq long, ts timestamp_ntz, state string, step string, message string, error string, chunk string"
@@ -21,19 +24,63 @@ def events(spark, ids):
     )
 
 
+def follow(spark, tmp_path, part):
+    events(spark, part).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    status.status_state(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+
+
 def test_status_stream_equals_batch_over_restarts(spark, tmp_path):
-    parts = [range(0, 10), range(20, 33), range(10, 20)]
-    for part in parts:
-        events(spark, part).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
-        status.status_state(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    changes = spark.read.parquet(str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    assert status.current_status(spark, out) is None and status.compact_status(spark, out) == 0
     expected = spark.createDataFrame([("b", p) for p in range(3)], "book string, page long")
-    batch = rows(state.latest_status(events(spark, range(33)), expected))
-    assert rows(status.current_status(changes)) == batch
-    status.compact_status(changes, str(tmp_path / "small"))
-    small = spark.read.parquet(str(tmp_path / "small"))
-    assert small.count() == 3 and rows(status.current_status(small)) == batch
+    seen, folded = [], []
+    for part in (range(20, 33), range(0, 10), range(10, 20), range(40, 41)):  # late events count too
+        follow(spark, tmp_path, part)
+        seen += part
+        folded.append(status.compact_status(spark, out))
+        assert rows(status.current_status(spark, out)) == rows(state.latest_status(events(spark, seen), expected))
+    assert folded == [0, 1, 1, 1]
+    assert len(list((tmp_path / "out" / "log").glob("batch=*"))) == 1
+
+
+def test_folding_the_status_log_may_stop_anywhere(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    for part in (range(0, 9), range(9, 20), range(20, 30)):
+        follow(spark, tmp_path, part)
+    want = rows(status.current_status(spark, out))
+    for step in ("publish", "drop_folders"):
+        with monkeypatch.context() as m:
+            m.setattr(versioned, step, lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+            with pytest.raises(RuntimeError, match="stopped"):
+                status.compact_status(spark, out)
+        assert rows(status.current_status(spark, out)) == want
+    follow(spark, tmp_path, range(30, 31))
+    status.compact_status(spark, out)
+    assert rows(status.current_status(spark, out), "tool_calls") == rows(state.latest_status(events(spark, range(31)), status.current_status(spark, out).select("book", "page")), "tool_calls")
+
+
+RECORDS = "job_id long, created_at timestamp, seen_at timestamp, running boolean"
+
+
+def test_jobs_leave_after_a_day_unless_they_run(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    parts = [
+        [(1, at(0), at(0), False), (2, at(0), at(0), True), (3, at(5), at(5), True), (4, at(6), at(6), False)],
+        [(3, at(5), at(20), False), (5, at(25), at(25), False), (None, at(25), at(25), False)],
+        [(2, at(0), at(31), False), (6, at(31), at(31), True), (None, at(31), at(31), False)],
+        [(None, at(90), at(90), False)],
+    ]
+    kept, sizes = [], []
+    for part in parts:
+        spark.createDataFrame(part, RECORDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(RECORDS).parquet(str(tmp_path / "in"))
+        query = logs.append_log_stream(status.job_retention_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        kept.append(sorted(r.job_id for r in status.retained_jobs(spark.read.parquet(str(tmp_path / "out"))).collect()))
+    assert kept == [[1, 2, 3, 4], [2, 3, 4, 5], [5, 6], [6]]
+    assert sizes == [4, 4, 2, 1]  # the state shrinks with the set
 
 
 def test_log_stream_reads_each_line_once(spark, tmp_path):
@@ -46,18 +93,17 @@ def test_log_stream_reads_each_line_once(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(lines)
 
 
-def test_inbox_queues_new_slugs_once(spark, tmp_path):
+def test_inbox_queues_each_file_by_its_own_name(spark, tmp_path):
     catalogue = spark.createDataFrame([("old-book",)], "slug string")
-    for folder in ("Old Book", "New Book", "New Book"):
-        d = tmp_path / "in" / folder
-        d.mkdir(parents=True, exist_ok=True)
-        (d / f"f{len(list(d.iterdir()))}.pdf").write_text("pdf")
-        (d / "notes.doc").write_text("no")
-        files = logs.read_inbox_stream(spark, str(tmp_path / "in"), "*.pdf")
-        files = files.withColumn("path", F.url_decode("path"))
+    steps = [["x/Old Book.pdf", "x/New Book.pdf", "x/notes.doc"], ["y/New Book.epub", "z/new_book.pdf", "z/Other.v2.pdf"], ["w/Other.v2.pdf", "w/noname"]]
+    for n, step in enumerate(steps):
+        for i, name in enumerate(step):
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name).write_text("x" * (10 * n + i + 1))
+        files = logs.read_inbox_stream(spark, str(tmp_path / "in")).withColumn("path", F.url_decode("path"))
         logs.inbox_stream(files, catalogue, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got, "batch", "slug", "action") == [(0, "old-book", "existing"), (1, "new-book", "created"), (2, "new-book", "existing")]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted([("old-book", 1, 1, "existing"), ("new-book", 1, 2, "created"), ("new-book", 2, 11 + 12, "existing"), ("other-v2", 1, 13, "created"), ("other-v2", 1, 21, "existing")])
 
 
 def test_agent_events(spark):
