@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,28 +167,44 @@ def crop_box(diagnosed: Column, fallback: Column, computed: Column) -> Column:
     return F.coalesce(diagnosed, fallback, computed)
 
 
-def _occurrences(text: Column, part: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+MARKER_WORDS = [w for _, words in LANGUAGE_MARKERS.values() for w in words]
+
+
+def _marker_counts(parts: Column) -> Column:
+    """How many marker words of each language stand between the blanks a text is split at.
+
+    One pass over the words keeps the markers and their places. A blank serves one of two
+    equal words, so of equal words in a row every other one counts."""
+    found = F.transform(parts, lambda w, i: F.when(w.isin(MARKER_WORDS), F.struct(i.alias("at"), w.alias("word"))))
+    inner = F.filter(found, lambda m: m.isNotNull() & (m["at"] > 0) & (m["at"] < F.size(parts) - 1))
+    zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("word"), F.lit(False).alias("counted"), *[F.lit(0).alias(code) for code in LANGUAGE_MARKERS])
+
+    def step(acc: Column, m: Column) -> Column:
+        counted = ~((m["at"] == acc["at"] + 1) & (m["word"] == acc["word"]) & acc["counted"])
+        sums = [(acc[code] + (counted & m["word"].isin(words)).cast("int")).alias(code) for code, (_, words) in LANGUAGE_MARKERS.items()]
+        return F.struct(m["at"].alias("at"), m["word"].alias("word"), counted.alias("counted"), *sums)
+
+    return F.aggregate(inner, zero, step)
 
 
 def lang_detect(docs: DataFrame, *, text: str = "text", declared: str = "declared") -> DataFrame:
     """Declared language if it is a known one, else the best language with enough markers.
 
-    Letters and words are counted inside the row over the whole text."""
+    A whole text is gone through inside its row, once for the marker words and once for
+    its letters beyond ASCII, in which the marker letters of all languages are counted."""
     low = F.lower(F.col(text))
     first = F.split(F.lower(F.coalesce(F.col(declared), F.lit(""))), "-")[0]
     known = F.when(first == "vie", "vi").otherwise(first)
-    scored = docs
+    sure = F.coalesce(known.isin(list(LANGUAGE_MARKERS)), F.lit(False))
+    scored = docs.withColumn("_low", F.when(~sure, low))
+    scored = scored.withColumn("_parts", F.split("_low", " ", -1))
+    scored = scored.withColumn("_words", _marker_counts(F.col("_parts"))).withColumn("_letters", F.regexp_replace("_low", r"[\x00-\x7f]+", ""))
     ranking = []
-    for code, (marks, words) in LANGUAGE_MARKERS.items():
-        n_marks = F.length(low) - F.length(F.translate(low, marks, ""))
-        n_words = reduce(lambda a, b: a + b, [_occurrences(low, f" {w} ") for w in words]).cast("int")
-        scored = scored.withColumn(f"_m_{code}", n_marks).withColumn(f"_w_{code}", n_words)
-        m, w = F.col(f"_m_{code}"), F.col(f"_w_{code}")
+    for code, (marks, _) in LANGUAGE_MARKERS.items():
+        m, w = F.length("_letters") - F.length(F.translate("_letters", marks, "")), F.col(f"_words.{code}")
         enough = (m >= MARKER_THRESHOLD) | (w >= MARKER_THRESHOLD)
         ranking.append(F.when(enough, F.struct((m + w).alias("score"), F.lit(code).alias("code"))))
     best = F.array_max(F.array(*ranking))
     return scored.withColumn("_best", best).withColumn(
-        "detected",
-        F.when(known.isin(list(LANGUAGE_MARKERS)), known).otherwise(F.coalesce("_best.code", F.lit(DEFAULT_LANGUAGE))),
-    ).drop("_best", *[f"_{x}_{c}" for c in LANGUAGE_MARKERS for x in "mw"])
+        "detected", F.when(sure, known).otherwise(F.coalesce("_best.code", F.lit(DEFAULT_LANGUAGE)))
+    ).drop("_best", "_words", "_letters", "_low", "_parts")
