@@ -19,7 +19,7 @@ from leafaudit.functions.geometry import (
     similar_area,
 )
 from leafaudit.operators.ordered import ordered_columns
-from leafaudit.session import scratch_path
+from leafaudit.session import shared_table
 
 PAGE = ["book", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -112,14 +112,6 @@ def _mix(x: Column) -> Column:
     return F.shiftleft(left, 32).bitwiseOR(right)
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder. Unlike a checkpoint it also
-    drops the constraints the optimizer would otherwise carry from round to round."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def component_labels(edges: DataFrame) -> DataFrame:
     """Contract a graph of (book, page, a, b) edges until none is left.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafaudit.operators.ordered import join_unique
+from leafaudit.session import shared_table
+
 # Vowel letters, symbol simplification and ordered rewrites of the
 # pronunciation alphabet.
 VOWELS = "ɑæʌɔɛɪiuɜəɝaeoʊɒy"
@@ -27,6 +30,11 @@ REWRITES = [
 ]
 LIAISON = "‿"
 RUN_TOKEN = r"[a-zA-Z']+|\s+|[^a-zA-Z'\s]+"
+PUNCTUATION = r"[^a-zA-Z'\s]"
+#: Blanks, and punctuation that no word follows.
+GAP = rf"(?:\s|{PUNCTUATION}++(?![a-zA-Z']))*+"
+WORD_WITH_PARTS = rf"({PUNCTUATION}*+)([a-zA-Z']++)({PUNCTUATION}*+)({GAP})"
+MAPS = 16
 
 
 def lexicon_scan(lines: DataFrame) -> DataFrame:
@@ -45,54 +53,36 @@ def effective_lexicon(base: DataFrame, overrides: DataFrame) -> DataFrame:
     return base.select(F.lit(None).cast("string").alias("book"), "word", "ipa").unionByName(own)
 
 
-def run_tokens(text: Column) -> Column:
-    """Word, blank and punctuation tokens of a text run, in order."""
-    flat = F.translate(F.regexp_replace(text, r"(?U)\s+", " "), "’‘`", "'''")
-    return F.regexp_extract_all(flat, F.lit(RUN_TOKEN), F.lit(0))
+def run_parts(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, parts): for each word of a run, an array of the punctuation taken before it,
+    the word, the punctuation taken after it, and the gap up to the next word's share.
+
+    Punctuation right after a word belongs to that word; otherwise one token right before a
+    word belongs to it; anything else lies in a gap. Runs are flattened to single blanks
+    first, so that line feed and tab can separate what one pattern finds."""
+    flat = F.translate(F.regexp_replace(F.col(text), r"(?U)\s+", " "), "’‘`", "'" * 3)
+    worded = F.regexp_replace(flat, f"^{GAP}", "")
+    marked = F.regexp_replace(worded, WORD_WITH_PARTS, "$1\t$2\t$3\t$4\n")
+    rows = runs.select(*keys, F.split(marked, "\n", -1).alias("_lines")).filter(F.size("_lines") > 1)
+    lines = F.slice("_lines", F.lit(1), F.size("_lines") - 1)
+    return rows.select(*keys, F.transform(lines, lambda line: F.split(line, "\t", 4)).alias("parts"))
 
 
-def _token_class(t: Column) -> Column:
-    """w for a word, s for a blank, p for punctuation; the first character decides."""
-    c = F.substring(t, 1, 1)
-    word = c.between("a", "z") | c.between("A", "Z") | (c == "'")
-    return F.when(word, "w").when(t == " ", "s").otherwise("p")
+def _pause(part: Column, nxt: Column) -> Column:
+    """Whether a pause follows a word, null after the last."""
+    gap = part[3]
+    return F.when(nxt.isNotNull(), (gap != "") & ((part[2] != "") | (nxt[0] != "") | (F.trim(gap) != "")))
 
 
 def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per word with its attached punctuation and whether a pause follows it.
-
-    Punctuation right after a word belongs to that word; otherwise one token right
-    before a word belongs to it; anything else stands alone and is a pause. Everything
-    is decided inside the row, from the classes of neighbouring tokens."""
-    staged = runs.select(*keys, run_tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
-    staged = staged.withColumn("c", F.transform("t", _token_class))
-    staged = staged.withColumn(
-        "w", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("c", i) == "w")
-    )
-    is_class = lambda j, kind: F.coalesce(F.get("c", j) == kind, F.lit(False))
-
-    def leads(i: Column) -> Column:
-        """Token i - 1 is punctuation that no earlier word has taken."""
-        return (i > 0) & is_class(F.greatest(i - 1, F.lit(0)), "p") & ~(
-            (i > 1) & is_class(F.greatest(i - 2, F.lit(0)), "w")
-        )
-
-    def shape(i: Column, k: Column) -> Column:
-        nxt = F.get("w", k + 1)
-        has_post, has_pre, next_pre = is_class(i + 1, "p"), leads(i), F.coalesce(leads(nxt), F.lit(False))
-        first = i + 1 + has_post.cast("int")
-        between = nxt - first - next_pre.cast("int")
-        alone = F.array_contains(F.slice("c", first + 1, F.greatest(between, F.lit(0))), "p")
-        pause = (between > 0) & (has_post | next_pre | alone)
-        return F.struct(
-            k.cast("bigint").alias("k"),
-            F.get("t", i).alias("word"),
-            F.when(has_pre, F.get("t", F.greatest(i - 1, F.lit(0)))).otherwise("").alias("pre"),
-            F.when(has_post, F.get("t", i + 1)).otherwise("").alias("post"),
-            F.when(nxt.isNotNull(), pause).alias("pause"),
-        )
-
-    return staged.select(*keys, F.inline(F.transform("w", shape)))
+    """One row per word with its attached punctuation and whether a pause follows it, all
+    decided inside the row."""
+
+    def shape(part: Column, k: Column) -> Column:
+        pause = _pause(part, F.get("parts", k + 1))
+        return F.struct(k.cast("bigint").alias("k"), part[1].alias("word"), part[0].alias("pre"), part[2].alias("post"), pause.alias("pause"))
+
+    return run_parts(runs, keys, text).select(*keys, F.inline(F.transform("parts", shape)))
 
 
 def pronunciations(lexicon: DataFrame) -> DataFrame:
@@ -109,25 +99,42 @@ def pronunciations(lexicon: DataFrame) -> DataFrame:
 def lexicon_lookup(words: DataFrame, lexicon: DataFrame, *, book: str | None = None) -> DataFrame:
     """Add the lexicon columns (ipa, ...): the book's override, else the base entry, else null.
 
-    The lexicon side is small or large; Spark decides from its size whether to
-    broadcast, and splits frequent words at run time when it does not."""
+    Frequent words don't meet in one task (join_unique)."""
     values = [c for c in lexicon.columns if c not in ("book", "word")]
     entry = F.struct(*values)
-    base = lexicon.filter("book is null").select(F.col("word").alias("_w"), entry.alias("_e"))
-    out = words.withColumn("_key", F.lower("word")).join(base, F.col("_key") == F.col("_w"), "left").drop("_w")
+    base = lexicon.filter("book is null").select(F.col("word").alias("_key"), entry.alias("_e"))
+    out = join_unique(words.withColumn("_key", F.lower("word")), base, "_key")
     if book:
-        own = lexicon.filter("book is not null").select(
-            F.col("book").alias("_b"), F.col("word").alias("_w"), entry.alias("_own")
-        )
+        own = lexicon.filter("book is not null").select(F.col("book").alias("_b"), F.col("word").alias("_w"), entry.alias("_own"))
         out = out.join(own, (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
         out = out.withColumn("_e", F.coalesce("_own", "_e"))
     return out.select(*words.columns, "_e.*")
 
 
+def annotated_runs(runs: DataFrame, lexicon: DataFrame, keys: list[str], *, book: str | None = None, text: str = "text") -> DataFrame:
+    """(keys, parts, entries): the words of each run and, at the same places, their lexicon
+    entries (null for unknown words).
+
+    Each distinct word of a run is looked up once. What is found comes back to the run as
+    maps, one for each of MAPS hash values, as a look-up goes through a map's keys in turn."""
+    values = [c for c in lexicon.columns if c not in ("book", "word")]
+    staged = shared_table(run_parts(runs, keys, text).withColumn("_run", F.monotonically_increasing_id()), "runs")
+    words = F.array_distinct(F.transform("parts", lambda p: F.lower(p[1])))
+    asked = staged.select("_run", *([book] if book else []), F.explode(words).alias("word"))
+    found = lexicon_lookup(asked, lexicon, book=book).filter(F.col("ipa").isNotNull())
+    place = lambda word: F.pmod(F.xxhash64(word), F.lit(MAPS)).cast("int")
+    listed = found.groupBy("_run").agg(F.collect_list(F.struct("word", F.struct(*values).alias("entry"), place(F.col("word")).alias("at"))).alias("_found"))
+    own = lambda i: F.filter("_found", lambda x: x["at"] == i)
+    maps = F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda i: F.map_from_entries(F.transform(own(i), lambda x: F.struct(x["word"], x["entry"]))))
+    rows = staged.join(listed.select("_run", maps.alias("_maps")), "_run", "left")
+    entry = lambda p: F.try_element_at(F.get("_maps", place(F.lower(p[1]))), F.lower(p[1]))
+    return rows.select(*keys, "parts", F.transform("parts", entry).alias("entries"))
+
+
 def coverage(looked_up: DataFrame, keys: list[str]) -> DataFrame:
-    return looked_up.groupBy(*keys).agg(
-        F.count("*").alias("words"), F.count("ipa").alias("known")
-    )
+    """Words and known words of annotated runs, summed by key."""
+    known = F.size(F.filter("entries", lambda e: e["ipa"].isNotNull()))
+    return looked_up.groupBy(*keys).agg(F.sum(F.size("parts")).cast("bigint").alias("words"), F.sum(known).cast("bigint").alias("known"))
 
 
 def starts_with_vowel(ipa: Column) -> Column:
@@ -143,13 +150,16 @@ def standard_ipa(ipa: Column) -> Column:
     return ipa
 
 
-def liaison_link(looked_up: DataFrame, keys: list[str]) -> DataFrame:
-    """Tie a word's pronunciation to the next one that starts with a vowel, unless a pause lies between.
+def liaison_link(annotated: DataFrame, keys: list[str]) -> DataFrame:
+    """Spoken words (keys, k, ipa_text) of runs annotated with the columns of pronunciations().
+
+    A word is tied to the next one if that starts with a vowel and no pause lies between;
+    both are in the same row."""
+
+    def speak(part: Column, k: Column) -> Column:
+        entry, after = F.get("entries", k), F.get("entries", k + 1)
+        tie = ~F.coalesce(_pause(part, F.get("parts", k + 1)), F.lit(True)) & F.coalesce(after["vowel"], F.lit(False))
+        spoken = F.when(tie, entry["tied"]).otherwise(entry["spoken"])
+        return F.struct(k.cast("bigint").alias("k"), F.concat(part[0], F.coalesce(spoken, F.lit(" ")), part[2]).alias("ipa_text"))
 
-    looked_up carries the columns of pronunciations(); a run is one text row, so the
-    window never holds more than that row's words."""
-    nxt = F.lead("vowel").over(Window.partitionBy(*keys).orderBy("k"))
-    tie = ~F.coalesce("pause", F.lit(True)) & F.coalesce("_next", F.lit(False))
-    spoken = F.when(tie, F.col("tied")).otherwise(F.col("spoken"))
-    text = F.concat(F.col("pre"), F.coalesce(spoken, F.lit(" ")), F.col("post"))
-    return looked_up.withColumn("_next", nxt).withColumn("ipa_text", text).drop("_next")
+    return annotated.select(*keys, F.inline(F.transform("parts", speak)))

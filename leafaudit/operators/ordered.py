@@ -144,3 +144,18 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     """The first n rows of every group; Spark keeps at most n per group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, *, floor: int = 10_000) -> DataFrame:
+    """Left join to a table with one row per key, when some keys may hold much of the left side.
+
+    Keys of more than a thousandth of the rows (and of the floor) are at most a thousand;
+    their rows of the right side are broadcast, all other keys are joined by shuffle."""
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.count()
+    hot = [r[0] for r in counts.filter(F.col("_n") > max(floor, total // 1000)).select(key).collect() if r[0] is not None]
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(right.filter(F.col(key).isin(hot)))
+    return left.filter(is_hot).join(few, key, "left").unionByName(left.filter(~is_hot).join(right, key, "left"))

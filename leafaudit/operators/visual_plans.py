@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from leafaudit.functions.geometry import Box, normalised_box, page_box, valid_box
 from leafaudit.functions.text import word_tokens
-from leafaudit.operators.boxes import PAGE, RASTER, box_snap, full_page_cover, protected_region_exclude, shared_table
+from leafaudit.operators.boxes import PAGE, RASTER, box_snap, full_page_cover, protected_region_exclude
 from leafaudit.operators.figures import FACSIMILE_TYPE, LAYOUT_MODES, STRATEGIES, normal_type, requires_pixels, requires_reconstruction, strategy_override
+from leafaudit.session import shared_table
 
 FIGURE_TEXT = ["id", "type", "label", "complexity", "strategy"]
 FIGURE_BOXES = {"norm": "bbox_normalized", "art": "art_bbox", "crop": "crop_bbox", "caption": "caption_bbox_normalized"}

@@ -66,14 +66,10 @@ def looked_up_sql(d) -> str:
     LEFT JOIN ({_base(d)}) b ON b.word = lower(w.word) LEFT JOIN ({dv.overrides(d)}) o ON o.word = lower(w.word) AND o.book = w.book"""
 
 
-def looked_up(inp: Inputs):
-    words = lexicon.words_with_punctuation(inp.derive(dv.prose), KEYS)
-    return lexicon.lexicon_lookup(words, table(inp), book="book")
-
-
 @job("lexicon_lookup", lambda d: f"SELECT book, doc_id, count(*) AS words, count(ipa) AS known FROM ({looked_up_sql(d)}) l GROUP BY book, doc_id")
 def lexicon_lookup(inp: Inputs):
-    return lexicon.coverage(looked_up(inp), KEYS)
+    found = lexicon.annotated_runs(inp.derive(dv.prose), inp.keep(table(inp), "lexicon"), KEYS, book="book")
+    return lexicon.coverage(found, KEYS)
 
 
 @job(
@@ -84,6 +80,6 @@ def lexicon_lookup(inp: Inputs):
     SELECT book, doc_id, k, pre || coalesce(regexp_replace(tied, '\\b(d|r|b)i', '\\1ɪ', 'g'), ' ') || post AS ipa_text FROM t""",
 )
 def liaison_link(inp: Inputs):
-    words = lexicon.words_with_punctuation(inp.derive(dv.prose), KEYS)
-    spoken = lexicon.lexicon_lookup(words, lexicon.pronunciations(table(inp)), book="book")
-    return lexicon.liaison_link(spoken, KEYS).select("book", "doc_id", "k", "ipa_text")
+    entries = inp.keep(lexicon.pronunciations(table(inp)), "pronunciations")
+    spoken = lexicon.annotated_runs(inp.derive(dv.prose), entries, KEYS, book="book")
+    return lexicon.liaison_link(spoken, KEYS)

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from leafaudit.operators import lexicon
+from leafaudit.operators.ordered import join_unique
 
 
 def brute(text):
@@ -77,10 +78,16 @@ def test_rewrites(spark):
 def test_vowel_start_and_liaison(spark):
     df = spark.createDataFrame([("ˈæpəl", True), ("ˌˈ", False), ("kæt", False), ("ː1ə", True), ("", False)], "i string, v boolean")
     assert all(r.g == r.v for r in df.select(lexicon.starts_with_vowel(F.col("i")).alias("g"), "v").collect())
-    words = spark.createDataFrame(
-        [(1, 0, "an", "", "", False, "ən"), (1, 1, "egg", "", ",", True, "ɛg"), (1, 2, "is", "", "", False, "ɪz"), (1, 3, "q", "", ".", None, None)],
-        "id long, k long, word string, pre string, post string, pause boolean, ipa string",
-    )
-    table = words.filter("ipa is not null").select(F.lit(None).cast("string").alias("book"), "word", "ipa")
-    spoken = lexicon.lexicon_lookup(words.drop("ipa"), lexicon.pronunciations(table))
-    assert rows(lexicon.liaison_link(spoken, ["id"]), "k", "ipa_text") == [(0, "ən‿"), (1, "eg,"), (2, "ɪz"), (3, " .")]
+    runs = spark.createDataFrame([(1, "An egg, is q."), (2, ""), (2, "egg Egg (an"), (1, "An egg, is q.")], "id long, text string")
+    table = spark.createDataFrame([(None, "an", "ən"), (None, "egg", "ɛg"), (None, "is", "ɪz")], "book string, word string, ipa string")
+    spoken = lexicon.annotated_runs(runs, lexicon.pronunciations(table), ["id"])
+    one = [(1, 0, "ən‿"), (1, 1, "eg,"), (1, 2, "ɪz"), (1, 3, " .")]
+    assert rows(lexicon.liaison_link(spoken, ["id"]), "id", "k", "ipa_text") == sorted(one * 2 + [(2, 0, "eg‿"), (2, 1, "eg"), (2, 2, "(ən")])
+    assert rows(lexicon.coverage(spoken, ["id"])) == [(1, 8, 6), (2, 3, 3)]
+
+
+def test_lookup_of_a_hot_word(spark):
+    words = spark.range(300).select(F.when(F.col("id") % 3 > 0, "the").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("word"))
+    table = spark.createDataFrame([("the", 1), ("w3", 2)], "word string, n int")
+    got = join_unique(words, table, "word", floor=50)
+    assert got.groupBy("n").count().orderBy("n").collect() == [(None, 99), (1, 200), (2, 1)]
