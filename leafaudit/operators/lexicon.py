@@ -54,8 +54,9 @@ def effective_lexicon(base: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def run_parts(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, parts): for each word of a run, an array of the punctuation taken before it,
-    the word, the punctuation taken after it, and the gap up to the next word's share.
+    """(keys, parts): for each word of a run, in one string with tabs between them, the
+    punctuation taken before it, the word, the punctuation taken after it, and the gap up
+    to the next word's share.
 
     Punctuation right after a word belongs to that word; otherwise one token right before a
     word belongs to it; anything else lies in a gap. Runs are flattened to single blanks
@@ -63,15 +64,30 @@ def run_parts(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     flat = F.translate(F.regexp_replace(F.col(text), r"(?U)\s+", " "), "’‘`", "'" * 3)
     worded = F.regexp_replace(flat, f"^{GAP}", "")
     marked = F.regexp_replace(worded, WORD_WITH_PARTS, "$1\t$2\t$3\t$4\n")
-    rows = runs.select(*keys, F.split(marked, "\n", -1).alias("_lines")).filter(F.size("_lines") > 1)
-    lines = F.slice("_lines", F.lit(1), F.size("_lines") - 1)
-    return rows.select(*keys, F.transform(lines, lambda line: F.split(line, "\t", 4)).alias("parts"))
+    # no filter here: it would be pushed below and find the words a second time
+    return runs.select(*keys, F.filter(F.split(marked, "\n", -1), lambda line: line != "").alias("parts"))
+
+
+def _pre(part: Column) -> Column:
+    return F.substring_index(part, "\t", 1)
+
+
+def _word(part: Column) -> Column:
+    return F.substring_index(F.substring_index(part, "\t", 2), "\t", -1)
+
+
+def _post(part: Column) -> Column:
+    return F.substring_index(F.substring_index(part, "\t", -2), "\t", 1)
+
+
+def _gap(part: Column) -> Column:
+    return F.substring_index(part, "\t", -1)
 
 
 def _pause(part: Column, nxt: Column) -> Column:
     """Whether a pause follows a word, null after the last."""
-    gap = part[3]
-    return F.when(nxt.isNotNull(), (gap != "") & ((part[2] != "") | (nxt[0] != "") | (F.trim(gap) != "")))
+    sign = (_post(part) != "") | ~nxt.startswith("\t") | (F.trim(_gap(part)) != "")
+    return F.when(nxt.isNotNull(), ~part.endswith("\t") & sign)
 
 
 def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -80,7 +96,7 @@ def words_with_punctuation(runs: DataFrame, keys: list[str], text: str = "text")
 
     def shape(part: Column, k: Column) -> Column:
         pause = _pause(part, F.get("parts", k + 1))
-        return F.struct(k.cast("bigint").alias("k"), part[1].alias("word"), part[0].alias("pre"), part[2].alias("post"), pause.alias("pause"))
+        return F.struct(k.cast("bigint").alias("k"), _word(part).alias("word"), _pre(part).alias("pre"), _post(part).alias("post"), pause.alias("pause"))
 
     return run_parts(runs, keys, text).select(*keys, F.inline(F.transform("parts", shape)))
 
@@ -118,16 +134,16 @@ def annotated_runs(runs: DataFrame, lexicon: DataFrame, keys: list[str], *, book
     Each distinct word of a run is looked up once. What is found comes back to the run as
     maps, one for each of MAPS hash values, as a look-up goes through a map's keys in turn."""
     values = [c for c in lexicon.columns if c not in ("book", "word")]
-    staged = shared_table(run_parts(runs, keys, text).withColumn("_run", F.monotonically_increasing_id()), "runs")
-    words = F.array_distinct(F.transform("parts", lambda p: F.lower(p[1])))
-    asked = staged.select("_run", *([book] if book else []), F.explode(words).alias("word"))
+    staged = shared_table(run_parts(runs, keys, text).withColumn("_run", F.monotonically_increasing_id()), "runs").filter(F.size("parts") > 0)
+    words = F.array_distinct(F.transform("parts", lambda p: F.lower(_word(p))))
+    asked = shared_table(staged.select("_run", *([book] if book else []), F.explode(words).alias("word")), "run-words")
     found = lexicon_lookup(asked, lexicon, book=book).filter(F.col("ipa").isNotNull())
     place = lambda word: F.pmod(F.xxhash64(word), F.lit(MAPS)).cast("int")
     listed = found.groupBy("_run").agg(F.collect_list(F.struct("word", F.struct(*values).alias("entry"), place(F.col("word")).alias("at"))).alias("_found"))
     own = lambda i: F.filter("_found", lambda x: x["at"] == i)
     maps = F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda i: F.map_from_entries(F.transform(own(i), lambda x: F.struct(x["word"], x["entry"]))))
     rows = staged.join(listed.select("_run", maps.alias("_maps")), "_run", "left")
-    entry = lambda p: F.try_element_at(F.get("_maps", place(F.lower(p[1]))), F.lower(p[1]))
+    entry = lambda p: F.try_element_at(F.get("_maps", place(F.lower(_word(p)))), F.lower(_word(p)))
     return rows.select(*keys, "parts", F.transform("parts", entry).alias("entries"))
 
 
@@ -160,6 +176,6 @@ def liaison_link(annotated: DataFrame, keys: list[str]) -> DataFrame:
         entry, after = F.get("entries", k), F.get("entries", k + 1)
         tie = ~F.coalesce(_pause(part, F.get("parts", k + 1)), F.lit(True)) & F.coalesce(after["vowel"], F.lit(False))
         spoken = F.when(tie, entry["tied"]).otherwise(entry["spoken"])
-        return F.struct(k.cast("bigint").alias("k"), F.concat(part[0], F.coalesce(spoken, F.lit(" ")), part[2]).alias("ipa_text"))
+        return F.struct(k.cast("bigint").alias("k"), F.concat(_pre(part), F.coalesce(spoken, F.lit(" ")), _post(part)).alias("ipa_text"))
 
     return annotated.select(*keys, F.inline(F.transform("parts", speak)))

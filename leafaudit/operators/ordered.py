@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafaudit.session import shared_table
+
 BUCKET = "_bucket"
 
 
@@ -151,8 +153,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, *, floor: int = 10_
 
     Keys of more than a thousandth of the rows (and of the floor) are at most a thousand;
     their rows of the right side are broadcast, all other keys are joined by shuffle."""
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
+    counts = shared_table(left.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = [r[0] for r in counts.filter(F.col("_n") > max(floor, total // 1000)).select(key).collect() if r[0] is not None]
     if not hot:
         return left.join(right, key, "left")
