@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafaudit.llm.common import document_key, fresh, same_key, stored, text_or_empty
+from leafaudit.operators.ordered import join_unique
 
 KEYWORD = r"(?i:(?=[psta])(password|passwd|secret|token|api_?key))"
 ASSIGN = KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Rules in report order: name, pattern, least length of the value and the group that is the value.
 RULES = [("assign", ASSIGN, 6, 2), ("access", r"AKIA[A-Z0-9]{16,}", 20, 0), ("hex", r"[0-9a-f]{24,}", 24, 0)]
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 OPAQUE_ORDER = len(RULES)
 BLOCK = 256
 SPAN = "struct<start:bigint,`order`:int,stop:bigint,value:string>"
@@ -82,34 +83,41 @@ def find_spans(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
     out = out.withColumns({span: long_spans(pair, order, rule[2]) for order, (span, pair, rule) in enumerate(zip(spans, pairs, rules, strict=True))}).drop(*pairs)
     base, more = fresh("base", "candidates")
     out = out.withColumn(base, F.array_sort(F.concat(*spans[:OPAQUE_ORDER])))
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     covered = lambda s: F.exists(F.col(base), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    out = out.withColumn(more, F.filter(F.col(spans[OPAQUE_ORDER]), lambda s: ~covered(s)))
+    out = out.withColumn(more, F.filter(F.col(spans[OPAQUE_ORDER]), lambda s: mixed(s) & ~covered(s)))
     return out.drop(*spans), base, more
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """(value_id, n_repositories, n_owners) from rows (value_id, owner, repository). Counted
-    by value and owner first, so a value that is everywhere stays spread."""
-    once = values.distinct()
-    by_owner = once.groupBy("value_id", "owner").agg(F.count("*").alias("n"))
+    """(value_id, n_repositories, n_owners) from rows (value_id, owner, repository). A
+    repository counts once, for its least owner; counted by value and owner first, so a
+    value that is everywhere stays spread."""
+    once = values.groupBy("value_id", "repository").agg(F.min(F.struct(F.col("owner").isNull().alias("unknown"), "owner")).alias("o"))
+    by_owner = once.groupBy("value_id", "o").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value_id").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, *, most_owners: int = 1, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
+def scan_secrets(docs: DataFrame, *, most_owners: int = 2, most_repositories: int = 8, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
     """Spans of secrets in every whole text: one row per document with
     (doc_id, text_hash, base, spans). base holds the rule matches; spans also the opaque
-    tokens of at most most_owners owners; both are arrays of (start, order, stop, value,
-    n_repositories, n_owners), by start and rule.
+    tokens that look live: those of at most most_owners owners and most_repositories
+    repositories. A repository is a distinct text (exact copies count once) unless a column
+    is named. Both are arrays of (start, order, stop, value, n_repositories, n_owners), by
+    start and rule.
 
-    Null texts count as empty; a null owner or repository is one of its own. Repeated
+    A missing owner column makes all rows of one owner. Null texts count as empty; a null owner or repository is one of its own. Repeated
     rows each give a row. Offsets are code points, the end excluded. Nothing is capped."""
     (rid,) = fresh("rid")
-    picked = docs.select(*document_key(doc_id, text), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text_or_empty(text).alias("body"))
+    owned = F.col(owner).cast("string") if owner in docs.columns else F.lit(None).cast("string")
+    kept_in = F.col(repository).cast("string") if repository else F.xxhash64(text_or_empty(text)).cast("string")
+    picked = docs.select(*document_key(doc_id, text), owned.alias("owner"), kept_in.alias("repository"), text_or_empty(text).alias("body"))
     found, base, more = find_spans(picked, "body")
     rows = stored(found.drop("body").withColumnsRenamed({base: "base", more: "candidates"}), "secret-spans").withColumn(rid, F.monotonically_increasing_id())
     spans = rows.select(rid, "doc_id", "text_hash", "owner", "repository", F.explode(F.concat("base", "candidates")).alias("s")).withColumn("value_id", F.sha2(F.col("s.value"), 256))
     counts = ownership(spans.select("value_id", "owner", "repository"))
-    judged = spans.join(counts, "value_id").filter((F.col("s.order") < OPAQUE_ORDER) | (F.col("n_owners") <= most_owners))
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+    judged = join_unique(spans, counts, "value_id").filter((F.col("s.order") < OPAQUE_ORDER) | live)
     entry = F.struct("s.start", "s.order", "s.stop", "s.value", "n_repositories", "n_owners")
     per_row = judged.groupBy(rid).agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.array_sort(F.collect_list(entry)).alias("spans"))
     kind = dict(per_row.dtypes)["spans"]

@@ -78,7 +78,7 @@ def test_secrets(spark):
     text = f"password = hunter22 AKIA{'Q' * 16} é token:abc api_key='{'0f' * 14}' {key}"
     rows = [(1, text, "a"), (2, text.replace(key, "w8" * 12), "a"), (3, "w8" * 12, "b"), (4, None, None), (4, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in secrets.secret_digests(secrets.scan_secrets(docs)).collect()}
+    got = {r.doc_id: r for r in secrets.secret_digests(secrets.scan_secrets(docs, most_owners=1)).collect()}
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (2, 1, 1)
     assert "opaque" in got[1].spans and "opaque" not in got[2].spans and got[3].spans == "" and got[4].n_hex == 0
     kind, start, stop = got[1].spans.split(",")[-1].split(":")
@@ -90,6 +90,40 @@ def test_secrets(spark):
     assert spans == ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=abcdef12", many))
 
 
+RULES = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]
+
+
+def brute_secrets(rows, most_owners=2, most_repositories=8):
+    found, seen = [], {}
+    for doc_id, text, source in rows:
+        text = text or ""
+        base = [(m.start(), n, m.end(), m.group(g)) for n, (_, p, least, g) in enumerate(RULES) for m in re.finditer(p, text) if len(m.group(g)) >= least]
+        more = [(m.start(), 3, m.end(), m.group()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}", text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+        more = [s for s in more if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        found.append((doc_id, base, more))
+        for s in base + more:
+            seen.setdefault(s[3], {}).setdefault(text, set()).add(source)
+    live = {v: len(t) <= most_repositories and len({min(o, key=lambda x: (x is None, x or "")) for o in t.values()}) <= most_owners for v, t in seen.items()}
+    kinds = ["assign", "access", "hex", "opaque"]
+    return sorted((d, ",".join(f"{kinds[n]}:{a}:{z}" for a, n, z, _ in sorted(base + [m for m in more if live[m[3]]]))) for d, base, more in found)
+
+
+def test_secrets_match_brute_force_with_ownership(spark):
+    rng = np.random.default_rng(8)
+    late = "L" * 200 + "1" + "x" * 30  # its first digit comes after 200 letters
+    values = ["".join(rng.choice(list("abcXYZ019_-"), 24)) + "a1" for _ in range(12)] + [late, "9" * 300 + "Z", "letters" * 6, "12345678901234567890123"]
+    rows = [(i, " ".join(rng.choice([*values, "word", "é", "token = abc123xyz", "AKIA" + "Q" * 18, "0f" * 13], 4)), f"s{int(rng.integers(4))}") for i in range(60)]
+    rows += [(100, f"one {late}y copy", "a"), (101, f"one {late}y copy", "b"), (102, None, None), (103, "", "a")]
+    rows += [(200 + i, f"hot source {i} example0123456789abcdefgh", "a") for i in range(50)]  # an example all over one source
+    rows += [(300, "copied live0credential99887766XY", "a"), (301, "copied live0credential99887766XY", "b"), (302, "copied live0credential99887766XY", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.doc_id, r.spans) for r in secrets.secret_digests(secrets.scan_secrets(docs)).collect())
+    assert got == brute_secrets(rows)
+    by = dict(got)
+    assert "opaque" in by[100] and "opaque" in by[301] and by[210] == ""
+    assert secrets.scan_secrets(docs.drop("source").limit(0)).count() == 0
+
+
 def test_quality_learns_and_bears_odd_rows(spark):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
