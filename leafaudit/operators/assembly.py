@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafaudit.functions import text as tx
 from leafaudit.functions.text import page_key, strip
 from leafaudit.operators.ordered import by_width, ordered_columns
 from leafaudit.operators.rewrite import book_asset_urls
@@ -13,8 +14,11 @@ from leafaudit.operators.rewrite import book_asset_urls
 SHEET_LINES = 320
 HEADING_WEIGHT = 20
 FIGURE_WEIGHT = 60
-CHROME = r"(?is)<(header|footer)\b[^>]*>.*?</\1\s*>"
-BLOCK = r"(?is)<(p|h[1-6]|figure|table|pre|ul|ol)\b[^>]*>.*?</\1\s*>|<img\b[^>]*>"
+CHROME_CLASS = r"""(?i)\sclass\s*=\s*["']?[^"'>]*(running-head|book-footer)"""
+CHILDLESS = ["img", "br", "hr", "input", "meta", "link", "base", "col", "embed"]
+APOSTROPHE = r"&(#39|#x27|apos);"
+REFERENCE = r"&#?[a-zA-Z0-9]+;"
+LEAD_TAG = "x-lead"
 
 
 def fixed_chunks(pages: DataFrame, keys: list[str], size: int = 40, page: str = "page") -> DataFrame:
@@ -39,31 +43,129 @@ def column_rebalance(entries: DataFrame, keys: list[str], order: str, columns: i
     ).drop("_rn", "_n")
 
 
-def _words(html: Column) -> Column:
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
-    return F.size(F.regexp_extract_all(text, F.lit(r"[a-zA-Z']+"), F.lit(0)))
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _prose_weight(html: Column) -> Column:
-    words = _words(html)
-    return F.when(words == 0, 0).otherwise(F.ceil(words / 10.5).cast("int") * 10 + 2)
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def block_weight(block: Column) -> Column:
-    """Estimated tenths of lines a block takes."""
-    tag = F.lower(F.regexp_extract(block, r"^<([a-zA-Z0-9]+)", 1))
-    items = F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<li\b[^>]*>.*?</li\s*>"), F.lit(0)), _prose_weight)
-    listed = F.aggregate(items, F.lit(0), lambda a, x: a + x)
-    code = strip(F.regexp_replace(block, r"<[^>]*>", ""))
-    lines = F.length(code) - F.length(F.replace(code, F.lit("\n"), F.lit(""))) + 1
-    return (
-        F.when(tag == "p", _prose_weight(block))
-        .when(tag.rlike("^h[1-6]$"), HEADING_WEIGHT)
-        .when(tag.isin("figure", "table", "img"), FIGURE_WEIGHT)
-        .when(tag == "pre", lines * 15 + 20)
-        .otherwise(F.when(listed == 0, 10).otherwise(listed))
-        .cast("int")
+def _events(body: Column) -> Column:
+    """Tags in order, each with what its element is and with the text behind it."""
+
+    def shape(event: Column) -> Column:
+        raw = F.regexp_extract(event, tx.TAG, 0)
+        tag, text = tx.tag_name(raw), F.substring(event, F.length(raw) + 1, F.length(event))
+        spoken = F.regexp_replace(F.regexp_replace(text, APOSTROPHE, "'"), REFERENCE, " ")
+        kind = F.when(tag.isin("header", "footer") | raw.rlike(CHROME_CLASS), "chrome").when(tag.isin("p", "li"), "prose").when(tag.rlike("^h[1-6]$"), "heading")
+        return F.struct(
+            tag.alias("tag"),
+            F.when(tag == LEAD_TAG, "lead").when(raw.startswith("</"), "end").when(raw.endswith("/>") | tag.isin(*CHILDLESS), "whole").otherwise("start").alias("step"),
+            kind.when(tag.isin("figure", "table", "img"), "figure").when(tag == "pre", "code").otherwise("group").alias("kind"),
+            F.size(F.regexp_extract_all(spoken, F.lit(r"[a-zA-Z']+"), F.lit(0))).alias("words"),
+            text.rlike(r"\S").alias("full"),
+            _newlines(text).alias("lines"),
+            _newlines(F.regexp_extract(text, r"^\s*", 0)).alias("before"),
+            _newlines(F.regexp_extract(text, r"\s*$", 0)).alias("after"),
+        )
+
+    led = F.concat(F.lit(f"<{LEAD_TAG}/>"), tx.without_raw_text(body))
+    return F.transform(F.regexp_extract_all(led, F.lit(tx.TAG_WITH_TEXT), F.lit(0)), shape)
+
+
+def _weight_after(total: Column, words: Column, lines: Column, kind: Column, since: Column, words_since: Column) -> Column:
+    """The running weight after an element ends: its own weight replaces that of its children."""
+    said, inner = words - words_since, total - since
+    own = (
+        F.when(kind == "chrome", 0)
+        .when(kind == "prose", F.when(said == 0, 0).otherwise(F.ceil(said / 10.5).cast("int") * 10 + 2))
+        .when(kind == "heading", HEADING_WEIGHT)
+        .when(kind == "figure", FIGURE_WEIGHT)
+        .when(kind == "code", (lines + 1) * 15 + 20)
+        .otherwise(F.when(inner == 0, 10).otherwise(inner))
     )
+    return since + own
+
+
+FRAMES = "array<struct<tag:string,kind:string,weight:int,words:int>>"
+FOLD_START = {
+    "open": f"CAST(array() AS {FRAMES})", "weight": "0", "words": "0", "lines": "0", "blank": "0", "begun": "false",
+    "recent": "CAST(array() AS array<int>)", "done": "CAST(array() AS array<array<int>>)",
+}
+
+
+def block_weights(body: Column) -> Column:
+    """Weights of the blocks of a page, in tenths of lines: its top elements, and text between them.
+
+    One fold over the page's tags with the open elements, innermost first, as its stack. An
+    end tag closes its nearest open element and what is still open inside it; one without an
+    open element is ignored; what is open at the end is closed then. An element without a
+    weight of its own (a list, section, quotation or span) weighs what it holds, at any
+    depth, and one line if that is nothing; a list item counts all its words, those of lists
+    inside it too. Headers and footers weigh nothing and are no blocks on top, nor are comments."""
+
+    def with_block(s: Column, when: Column, weight: Column) -> list[Column]:
+        # Parts of 256 weights, so that adding one never copies all that came before.
+        turn = F.size(s["recent"]) >= 256
+        return [
+            F.when(when & turn, F.array(weight)).when(when, F.array_append(s["recent"], weight)).otherwise(s["recent"]).alias("recent"),
+            F.when(when & turn, F.array_append(s["done"], s["recent"])).otherwise(s["done"]).alias("done"),
+        ]
+
+    def ended(s: Column, depth: Column) -> Column:
+        """Close the `depth` innermost elements."""
+        total = F.aggregate(F.slice(s["open"], F.lit(1), depth), s["weight"], lambda w, f: _weight_after(w, s["words"], s["lines"], f["kind"], f["weight"], f["words"]))
+        outer = F.element_at(s["open"], -1)
+
+        def leave(weight: Column) -> Column:
+            top = (depth == F.size(s["open"])) & (outer["kind"] != "chrome")
+            rest = F.filter(s["open"], lambda f, i: i >= depth)
+            return F.struct(rest.alias("open"), weight.alias("weight"), *[s[c].alias(c) for c in ("words", "lines", "blank", "begun")], *with_block(s, top, weight - outer["weight"]))
+
+        return _let(total, leave)
+
+    def started(s: Column, e: Column) -> Column:
+        frame = F.struct(e["tag"].alias("tag"), e["kind"].alias("kind"), s["weight"].alias("weight"), s["words"].alias("words"))
+        fresh = (e["kind"] == "code") & ~F.exists(s["open"], lambda f: f["kind"] == "code")
+        return F.struct(
+            F.concat(F.array(frame), s["open"]).alias("open"), s["weight"].alias("weight"), s["words"].alias("words"),
+            F.when(fresh, 0).otherwise(s["lines"]).alias("lines"), F.when(fresh, 0).otherwise(s["blank"]).alias("blank"),
+            (s["begun"] & ~fresh).alias("begun"), s["recent"].alias("recent"), s["done"].alias("done"),
+        )
+
+    def whole(s: Column, e: Column) -> Column:
+        def add(weight: Column) -> Column:
+            top = (F.size(s["open"]) == 0) & (e["kind"] != "chrome")
+            return F.struct(*[s[c].alias(c) if c != "weight" else weight.alias(c) for c in list(FOLD_START)[:-2]], *with_block(s, top, weight - s["weight"]))
+
+        return _let(_weight_after(s["weight"], s["words"], F.lit(0), e["kind"], s["weight"], s["words"]), add)
+
+    def read(s: Column, e: Column) -> Column:
+        """The text behind a tag; lines are those of the code block it stands in, if any."""
+        lines = F.when(s["begun"], s["blank"] + e["before"]).otherwise(0) + e["lines"] - e["before"] - e["after"]
+        return F.struct(
+            s["open"].alias("open"), s["weight"].alias("weight"), (s["words"] + e["words"]).alias("words"),
+            F.when(e["full"], s["lines"] + lines).otherwise(s["lines"]).alias("lines"),
+            F.when(e["full"], e["after"]).otherwise(s["blank"] + e["lines"]).alias("blank"),
+            (s["begun"] | e["full"]).alias("begun"),
+            *with_block(s, e["full"] & (F.size(s["open"]) == 0), F.lit(0)),
+        )
+
+    def tagged(s: Column, e: Column) -> Column:
+        at = F.array_position(s["open"]["tag"], e["tag"]).cast("int")
+        return F.when(e["step"] == "start", started(s, e)).when(e["step"] == "whole", whole(s, e)).when(e["step"] == "end", _let(at, lambda k: F.when(k > 0, ended(s, k)).otherwise(s))).otherwise(s)
+
+    def step(s: Column, e: Column) -> Column:
+        return _let(tagged(s, e), lambda t: F.when(e["lines"].isNotNull() & (e["full"] | (e["lines"] > 0)), read(t, e)).otherwise(t))
+
+    def finish(s: Column) -> Column:
+        rest = F.when(F.size(s["open"]) > 0, ended(s, F.size(s["open"]))).otherwise(s)
+        return _let(rest, lambda t: F.flatten(F.array_append(t["done"], t["recent"])))
+
+    start = F.struct(*[F.expr(v).alias(c) for c, v in FOLD_START.items()])
+    return F.aggregate(_events(body), start, step, finish)
 
 
 def greedy_pagination(pages: DataFrame, keys: list[str], html: str = "html", limit: int = SHEET_LINES) -> DataFrame:
@@ -73,8 +175,6 @@ def greedy_pagination(pages: DataFrame, keys: list[str], html: str = "html", lim
     The running weight resets at each break, so it is a fold over the page's own blocks
     and not a window sum; it runs inside the row. The fold keeps the number of blocks of
     each full sheet, from which the sheet of every block is laid out once."""
-    body = F.regexp_replace(page_body(F.col(html)), CHROME, " ")
-    blocks = F.transform(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(0)), lambda b: block_weight(b))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("full"))
 
     def step(s: Column, w: Column) -> Column:
@@ -87,7 +187,7 @@ def greedy_pagination(pages: DataFrame, keys: list[str], html: str = "html", lim
 
     sizes = F.aggregate("_w", start, step, lambda s: F.array_append(s["full"], s["held"]))
     sheets = F.flatten(F.transform(sizes, lambda n, i: F.array_repeat((i + 1).cast("int"), n)))
-    folded = pages.select(*keys, blocks.alias("_w")).withColumn("_s", sheets)
+    folded = pages.select(*keys, block_weights(page_body(F.col(html))).alias("_w")).withColumn("_s", sheets)
     return folded.select(*keys, F.posexplode(F.arrays_zip(F.col("_w").alias("weight"), F.col("_s").alias("sheet")))).select(
         *keys, F.col("pos").cast("bigint").alias("block"), F.col("col.weight").alias("weight"), F.col("col.sheet").alias("sheet")
     )

@@ -36,17 +36,19 @@ def column_rebalance(inp: Inputs):
 
 
 def _blocks(d) -> str:
-    tags = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "table", "pre", "ul", "ol"))
-    words = "len(regexp_extract_all(regexp_replace(b, '<[^>]*>', ' ', 'g'), '[a-zA-Z'']+'))"
-    item = words.replace("(b,", "(x,")
-    listed = f"""list_sum(list_transform(regexp_extract_all(b, '(?is)<li\\b[^>]*>.*?</li\\s*>'),
-      lambda x: CASE WHEN {item} = 0 THEN 0 ELSE CAST(ceil({item} / 10.5) AS INTEGER) * 10 + 2 END))"""
+    """Blocks from the given paragraphs themselves and what each kind of page makes of them."""
+    count = lambda x: f"len(regexp_extract_all(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[a-zA-Z'']+'))"
+    weight = lambda n: f"CASE WHEN {n} = 0 THEN 0 ELSE CAST(ceil(({n}) / 10.5) AS INTEGER) * 10 + 2 END"
+    group = lambda w: f"CASE WHEN {w} = 0 THEN 10 ELSE {w} END"
     return f"""
-    SELECT book, page, i AS n, CASE WHEN b LIKE '<h%' THEN 20 WHEN b LIKE '<ul%' THEN coalesce(nullif({listed}, 0), 10)
-           WHEN NOT b LIKE '<p%' THEN 10 WHEN {words} = 0 THEN 0 ELSE CAST(ceil({words} / 10.5) AS INTEGER) * 10 + 2 END AS w
-    FROM (SELECT book, page, unnest(bl) AS b, generate_subscripts(bl, 1) AS i
-          FROM (SELECT book, page, regexp_extract_all(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '<header class="running-head">.*?</header>', ' ', 'g'),
-                                                   '(?is){tags}|<img\\b[^>]*>') AS bl FROM ({dv.paginated(d)}) c) x) y"""
+    SELECT book, page, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM (
+      SELECT book, page, list_prepend(20, CASE page % 6 WHEN 0 THEN list_transform(ns, lambda n: {group(weight('n'))}) WHEN 1 THEN list_transform(ns, lambda n: {weight('n')})
+               WHEN 2 THEN CASE WHEN len(ns) = 0 THEN [] ELSE [{weight('list_sum(ns)')}] END
+               WHEN 3 THEN list_transform(ns, lambda n: {weight('n + 1')})
+               WHEN 4 THEN [coalesce(list_sum(list_transform(ns, lambda n: {group(weight('n'))})), 10)]
+               ELSE list_transform(ns, lambda n: {weight('n')} + 12) END) AS ws
+      FROM (SELECT book, page, list_transform(string_split(a, '<p>')[2:], lambda x: {count('x')}) AS ns
+            FROM (SELECT book, page, regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '</?(b|br)>|</p>', ' ', 'g') AS a FROM ({dv.corpus(d)}) c) x) y) z"""
 
 
 @job(

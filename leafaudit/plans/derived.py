@@ -62,10 +62,18 @@ def published(d) -> str:
 
 
 def paginated(d) -> str:
-    """pages whose articles hold lists in place of paragraphs, or a running head, by id."""
+    """pages whose articles hold, by id, lists, a running head, paragraphs left open (as given),
+    lists in lists, a quotation of nested sections, or sections with notes."""
+    closed = d.replace_all("html", "</?(b|br)>|</p>", "")
+    wrap = lambda before, after: d.replace_all(closed, "<p>([^<]*)", f"{before}$1{after}")
+    sections = wrap("<section><div><p>", "</p></div></section>")
     return f"""
-    SELECT book, page, CASE page % 3 WHEN 0 THEN replace(replace(html, '<p>', '<ul><li>'), '</p>', '</li></ul>')
-             WHEN 1 THEN replace(html, '</h1>', '</h1><header class="running-head"><p>House Press</p></header>') ELSE html END AS html
+    SELECT book, page, CASE page % 6 WHEN 0 THEN {wrap("<ul><li>", "</li></ul>")}
+             WHEN 1 THEN replace({wrap("<p>", "</p>")}, '</h1>', '</h1><header class="running-head"><p>House Press</p></header>')
+             WHEN 2 THEN html
+             WHEN 3 THEN {wrap("<ol><li>x<ul><li>", "</li></ul></ol>")}
+             WHEN 4 THEN replace(replace({sections}, '</h1>', '</h1><blockquote>'), '</article>', '</blockquote></article>')
+             ELSE {wrap("<section><p>", "</p><p>a note</p></section>")} END AS html
     FROM ({corpus(d)}) c"""
 
 
