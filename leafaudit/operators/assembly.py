@@ -19,6 +19,7 @@ CHILDLESS = ["img", "br", "hr", "input", "meta", "link", "base", "col", "embed"]
 APOSTROPHE = r"&(#39|#x27|apos);"
 REFERENCE = r"&#?[a-zA-Z0-9]+;"
 LEAD_TAG = "x-lead"
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
 def fixed_chunks(pages: DataFrame, keys: list[str], size: int = 40, page: str = "page") -> DataFrame:
@@ -55,24 +56,28 @@ def _let(value: Column, body) -> Column:
 def _events(body: Column) -> Column:
     """Tags in order, each with what its element is and with the text behind it."""
 
+    def part(event: Column) -> Column:
+        return _let(F.regexp_extract(event, tx.TAG, 0), lambda raw: F.struct(raw.alias("raw"), tx.tag_name(raw).alias("tag"), F.substring(event, F.length(raw) + 1, F.length(event)).alias("text")))
+
     def shape(event: Column) -> Column:
-        raw = F.regexp_extract(event, tx.TAG, 0)
-        tag, text = tx.tag_name(raw), F.substring(event, F.length(raw) + 1, F.length(event))
-        spoken = F.regexp_replace(F.regexp_replace(text, APOSTROPHE, "'"), REFERENCE, " ")
-        kind = F.when(tag.isin("header", "footer") | raw.rlike(CHROME_CLASS), "chrome").when(tag.isin("p", "li"), "prose").when(tag.rlike("^h[1-6]$"), "heading")
+        raw, tag, text = event["raw"], event["tag"], event["text"]
+        spoken = F.when(text.contains("&"), F.regexp_replace(F.regexp_replace(text, APOSTROPHE, "'"), REFERENCE, " ")).otherwise(text)
+        chrome = tag.isin("header", "footer") | (raw.contains("-") & raw.rlike(CHROME_CLASS))
+        kind = F.when(chrome, "chrome").when(tag.isin("p", "li"), "prose").when(tag.isin(*HEADINGS), "heading")
+        broken = text.contains("\n")
         return F.struct(
             tag.alias("tag"),
             F.when(tag == LEAD_TAG, "lead").when(raw.startswith("</"), "end").when(raw.endswith("/>") | tag.isin(*CHILDLESS), "whole").otherwise("start").alias("step"),
             kind.when(tag.isin("figure", "table", "img"), "figure").when(tag == "pre", "code").otherwise("group").alias("kind"),
-            F.size(F.regexp_extract_all(spoken, F.lit(r"[a-zA-Z']+"), F.lit(0))).alias("words"),
-            text.rlike(r"\S").alias("full"),
-            _newlines(text).alias("lines"),
-            _newlines(F.regexp_extract(text, r"^\s*", 0)).alias("before"),
-            _newlines(F.regexp_extract(text, r"\s*$", 0)).alias("after"),
+            F.when(text == "", 0).otherwise(F.size(F.regexp_extract_all(spoken, F.lit(r"[a-zA-Z']+"), F.lit(0)))).alias("words"),
+            ((text != "") & text.rlike(r"\S")).alias("full"),
+            F.when(broken, _newlines(text)).otherwise(0).alias("lines"),
+            F.when(broken, _newlines(F.regexp_extract(text, r"^\s*", 0))).otherwise(0).alias("before"),
+            F.when(broken, _newlines(F.regexp_extract(text, r"\s*$", 0))).otherwise(0).alias("after"),
         )
 
     led = F.concat(F.lit(f"<{LEAD_TAG}/>"), tx.without_raw_text(body))
-    return F.transform(F.regexp_extract_all(led, F.lit(tx.TAG_WITH_TEXT), F.lit(0)), shape)
+    return F.transform(F.transform(F.regexp_extract_all(led, F.lit(tx.TAG_WITH_TEXT), F.lit(0)), part), shape)
 
 
 def _weight_after(total: Column, words: Column, lines: Column, kind: Column, since: Column, words_since: Column) -> Column:
@@ -158,7 +163,7 @@ def block_weights(body: Column) -> Column:
         return F.when(e["step"] == "start", started(s, e)).when(e["step"] == "whole", whole(s, e)).when(e["step"] == "end", _let(at, lambda k: F.when(k > 0, ended(s, k)).otherwise(s))).otherwise(s)
 
     def step(s: Column, e: Column) -> Column:
-        return _let(tagged(s, e), lambda t: F.when(e["lines"].isNotNull() & (e["full"] | (e["lines"] > 0)), read(t, e)).otherwise(t))
+        return _let(tagged(s, e), lambda t: F.when(e["full"] | (e["lines"] > 0), read(t, e)).otherwise(t))
 
     def finish(s: Column) -> Column:
         rest = F.when(F.size(s["open"]) > 0, ended(s, F.size(s["open"]))).otherwise(s)
