@@ -241,3 +241,13 @@ def book_assembly(pages: DataFrame, valid: DataFrame, *, size: int = 40) -> Data
 def refused_books(valid: DataFrame) -> DataFrame:
     """Books that cannot be assembled, with the number of pages that stand in the way."""
     return valid.filter(~F.col("valid")).groupBy("book", "lang").agg(F.count("*").alias("invalid_pages"))
+
+
+def assembly_verdicts(expected: DataFrame, valid: DataFrame) -> DataFrame:
+    """Whether each (book, lang) of `expected` can be assembled: it has pages, and none is invalid.
+
+    The same rule by which book_assembly leaves books out, from the gate's flags alone, so
+    that no page body is read for it."""
+    keys = ["book", "lang"]
+    built = valid.groupBy(*keys).agg(F.bool_and("valid").alias("ok"))
+    return expected.select(*keys).distinct().join(built, keys, "left").select(*keys, F.coalesce("ok", F.lit(False)).alias("ok"))

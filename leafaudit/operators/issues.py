@@ -90,39 +90,69 @@ def repair_targets(
     )
 
 
-def verify_rollup(books: DataFrame, issues: DataFrame, assembly: DataFrame, *, shown: int = 10) -> DataFrame:
-    """Per book: missing and invalid counts, first missing pages, broken pages, ready flag.
+FINDINGS = ["plan", "source", "structure", "asset"]
+
+
+def page_verdicts(expected: DataFrame, delivered: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per expected page: (book, lang, page, verdict, n_issues, layout).
+
+    delivered(book, lang, page, empty, valid) comes from the content gate; findings(book,
+    lang, page, kind) has a row per issue of the kinds in FINDINGS, or layout. A page is
+    missing, empty (one issue), refused by the gate (one issue, and nothing else of it is
+    judged), faulty (all its findings) or ok. Layout findings are counted apart: they stop the
+    book and not the page. All sources meet in one aggregation on the page's key, so no
+    table is joined and partial counts are combined before the shuffle."""
+    keys = ["book", "lang", "page"]
+    state = F.when(F.col("empty"), "empty").when(~F.col("valid"), "refused").otherwise("present")
+    marks = (
+        expected.select(*keys, F.lit("expected").alias("kind"))
+        .unionByName(delivered.select(*keys, state.alias("kind")))
+        .unionByName(findings.select(*keys, "kind"))
+    )
+    has = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    counted = marks.groupBy(*keys).agg(
+        has("expected").alias("_expected"), has("empty").alias("_empty"), has("refused").alias("_refused"),
+        has("present").alias("_present"), has(*FINDINGS).alias("_found"), has("layout").alias("layout"),
+    )
+    verdict = (
+        F.when(F.expr("_empty + _refused + _present") == 0, "missing")
+        .when(F.col("_empty") > 0, "empty").when(F.col("_refused") > 0, "refused").when(F.col("_found") > 0, "faulty").otherwise("ok")
+    )
+    issues = F.when(verdict.isin("empty", "refused"), F.lit(1)).when(verdict == "faulty", F.col("_found")).otherwise(0)
+    return counted.filter("_expected > 0").select(*keys, verdict.alias("verdict"), issues.cast("bigint").alias("n_issues"), "layout")
+
+
+def broken_pages(verdicts: DataFrame) -> DataFrame:
+    """Every page that is missing or has an issue in some language; the list behind verify_rollup's count."""
+    missing = F.count_if(F.col("verdict") == "missing")
+    return verdicts.filter("verdict <> 'ok'").groupBy("book", "page").agg(missing.alias("missing"), F.sum("n_issues").alias("n_issues"))
 
-    The summary names the first `shown` missing pages; broken_pages lists them all. issues(book, page, lang, kind) with kind missing or invalid; assembly(book, ok)."""
-    counts = issues.groupBy("book").agg(
-        F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "invalid").alias("invalid")
+
+def verify_rollup(verdicts: DataFrame, assembly: DataFrame, *, shown: int = 10) -> DataFrame:
+    """Per book: missing pages, issues, broken pages, layout findings, assembly and whether it is ready.
+
+    A book is ready if no page is missing or has an issue, no page fails its layout, and every
+    language was assembled; assembly(book, lang, ok). The summary names the first `shown`
+    missing pages; broken_pages lists them all."""
+    pages = verdicts.groupBy("book", "page").agg(
+        F.count_if(F.col("verdict") == "missing").alias("_missing"), F.sum("n_issues").alias("_issues"),
+        F.bool_or(F.col("verdict") != "ok").alias("_broken"), F.sum("layout").alias("_layout"),
     )
-    broken = issues.select("book", "page").distinct().groupBy("book").agg(F.count("*").alias("broken"))
-    first = top_n(
-        issues.filter("kind = 'missing'").select("book", "page").distinct(), ["book"], [F.col("page").asc()], shown
+    books = pages.groupBy("book").agg(
+        F.sum("_missing").alias("missing"), F.sum("_issues").alias("invalid"), F.count_if("_broken").alias("broken"), F.sum("_layout").alias("layout")
     )
+    first = top_n(verdicts.filter("verdict = 'missing'").select("book", "page").distinct(), ["book"], [F.col("page").asc()], shown)
     first = first.groupBy("book").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ",").alias("first_missing")
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    ready = F.col("missing").isNull() & F.coalesce(F.col("ok"), F.lit(False))
+    built = assembly.groupBy("book").agg(F.bool_and("ok").alias("assembled"))
+    sound = (F.col("missing") == 0) & (F.col("invalid") == 0) & (F.col("layout") == 0)
+    assembled = F.coalesce("assembled", F.lit(False))
     return (
-        books.select("book")
-        .join(counts, "book", "left")
-        .join(broken, "book", "left")
-        .join(first, "book", "left")
-        .join(assembly.select("book", "ok"), "book", "left")
+        books.join(first, "book", "left")
+        .join(built, "book", "left")
         .select(
-            "book",
-            zero("missing"),
-            zero("invalid"),
-            zero("broken"),
-            F.coalesce("first_missing", F.lit("")).alias("first_missing"),
-            ready.alias("ready"),
+            "book", "missing", "invalid", "broken", "layout", F.coalesce("first_missing", F.lit("")).alias("first_missing"),
+            assembled.alias("assembled"), (sound & assembled).alias("ready"),
         )
     )
-
-
-def broken_pages(issues: DataFrame) -> DataFrame:
-    """Every page with at least one issue; the full list behind verify_rollup's count."""
-    return issues.groupBy("book", "page").agg(F.count("*").alias("n_issues"))

@@ -61,6 +61,31 @@ def published(d) -> str:
     FROM ({corpus(d)}) c"""
 
 
+def delivered(d) -> str:
+    """Published pages as they arrive: some never do, are empty, lose their title or gain a rule."""
+    return f"""
+    SELECT book, lang, page, CASE WHEN page % 19 = 4 THEN '' WHEN page % 23 = 6 THEN {d.replace_all("html", "<h1>[^<]*</h1>", "<h1>x</h1>")}
+             WHEN page % 11 = 7 THEN replace(html, '</h1>', '</h1><hr>') ELSE html END AS html
+    FROM ({published(d)}) p WHERE num % 7 <> 3"""
+
+
+def page_plans(d) -> str:
+    """A plan document per page; some are no object or name another page."""
+    return f"""
+    SELECT book, lang, page, CASE WHEN page % 16 = 5 THEN '[1]' WHEN page % 16 = 11 THEN '{{"page": -1, "figures": []}}'
+             ELSE concat('{{"page": ', {d.ntext('page')}, ', "figures": []}}') END AS json
+    FROM ({corpus(d)}) c"""
+
+
+def delivered_assets(d) -> str:
+    """Asset references of the delivered pages; every third page has some."""
+    return f"SELECT book, lang, page, base_dir, CASE WHEN page % 3 = 0 THEN html ELSE '' END AS html FROM ({asset_pages(d)}) a"
+
+
+def layout_findings(d) -> str:
+    return f"SELECT book, lang, page, 'layout' AS kind FROM ({corpus(d)}) c WHERE page % 37 = 9"
+
+
 def paginated(d) -> str:
     """pages whose articles hold, by id, lists, a running head, paragraphs left open (as given),
     lists in lists, a quotation of nested sections, or sections with notes."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafaudit.operators import corpus, issues
+from leafaudit.operators import assembly, assets, corpus, fidelity, issues, visual_plans
 from leafaudit.plans import derived as dv
 from leafaudit.plans.corpus_jobs import gate_sql
-from leafaudit.plans.registry import Inputs, job
+from leafaudit.plans import asset_jobs  # noqa: F401  (its check is part of the one of page_verdicts)
+from leafaudit.plans.registry import CHECKS, Inputs, job
 from leafaudit.session import scratch_path
 from leafaudit.sources import sinks
 
@@ -78,47 +79,67 @@ def blocker_classify(inp: Inputs):
     return events.select("book", "page", "seq", issues.blocker_class(F.col("error")).alias("blocker"))
 
 
-def page_issues(inp: Inputs):
-    """Missing rendered pages and published pages that fail the content gate."""
-    pages = inp.derive(dv.corpus).select("book", "lang", "page")
-    missing = pages.join(inp.derive(dv.rendered).select("book", "page"), ["book", "page"], "left_anti")
-    gate = corpus.content_gate(inp.derive(dv.published), ["book", "lang", "page"])
-    invalid = gate.filter("not valid").select("book", "lang", "page")
-    found = missing.withColumn("kind", F.lit("missing")).unionByName(invalid.withColumn("kind", F.lit("invalid")))
-    return inp.keep(found, "page-issues")
+PAGE = ["book", "lang", "page"]
 
 
-def _page_issues(d) -> str:
-    return f"""
-    SELECT book, lang, page, 'missing' AS kind FROM ({dv.corpus(d)}) c
-    WHERE NOT EXISTS (SELECT 1 FROM ({dv.rendered(d)}) r WHERE r.book = c.book AND r.page = c.page)
-    UNION ALL SELECT p.book, p.lang, p.page, 'invalid' FROM ({dv.published(d)}) p
-    JOIN ({gate_sql(d)}) g ON g.book = p.book AND g.page = p.page WHERE NOT g.valid"""
+def verdicts(inp: Inputs):
+    """What verification says of every page, and whether its books can be assembled."""
+    pages = inp.stored(dv.delivered, "delivered")
+    source = inp.derive(dv.corpus).select(*PAGE, "html")
+    gate = corpus.content_gate(pages, PAGE).select(*PAGE, "valid").join(pages.select(*PAGE, (F.col("html") == "").alias("empty")), PAGE)
+    gate = inp.keep(gate, "gate")
+    lost = fidelity.token_loss(source, pages.filter("html <> ''"), PAGE).select(*PAGE).distinct()
+    moved = fidelity.structure_divergence(inp.derive(dv.published).filter("lang <> 'en'"), pages, PAGE)
+    plans = inp.derive(dv.page_plans)
+    planned = visual_plans.plan_problems(plans).select(*PAGE, F.explode("problems"))
+    gaps = assets.asset_gaps(inp.derive(dv.delivered_assets), inp.derive(dv.inventory), PAGE)
+    findings = inp.derive(dv.layout_findings)
+    for kind, found in (("source", lost), ("structure", moved), ("plan", planned), ("asset", gaps)):
+        findings = findings.unionByName(found.select(*PAGE, F.lit(kind).alias("kind")))
+    judged = issues.page_verdicts(source.select(*PAGE), gate, findings)
+    return inp.keep(judged, "page-verdicts"), assembly.assembly_verdicts(source, gate)
 
 
-def _page_books(d) -> str:
-    return f"SELECT book, count(*) AS page_count FROM ({dv.corpus(d)}) c GROUP BY book"
+def _verdicts(d) -> str:
+    """Page by page from the rules of the inputs; text loss by multisets of tokens."""
+    count = lambda view, cond="true": f"coalesce((SELECT count(*) FROM ({view}) v WHERE v.book = c.book AND v.page = c.page AND {cond}), 0)"
+    lost = f"SELECT DISTINCT book, page FROM (SELECT * FROM ({dv.tokens(d, dv.corpus(d))}) s EXCEPT ALL SELECT * FROM ({dv.tokens(d, dv.delivered(d))}) r) m"
+    return f"""
+    SELECT book, lang, page, CASE WHEN num % 7 = 3 THEN 'missing' WHEN page % 19 = 4 THEN 'empty' WHEN NOT valid THEN 'refused' WHEN found > 0 THEN 'faulty' ELSE 'ok' END AS verdict,
+           CAST(CASE WHEN num % 7 = 3 THEN 0 WHEN page % 19 = 4 OR NOT valid THEN 1 ELSE found END AS BIGINT) AS n_issues, CAST(layout AS BIGINT) AS layout
+    FROM (SELECT c.book, c.lang, c.page, c.num, g.valid, CASE WHEN c.page % 37 = 9 THEN 1 ELSE 0 END AS layout,
+                 {count(lost)} + {count(CHECKS['asset_gaps'](d), 'v.page % 3 = 0')} + CASE WHEN c.page % 16 IN (5, 11) THEN 1 ELSE 0 END
+                 + CASE WHEN c.lang <> 'en' AND c.page % 11 = 7 AND c.page % 23 <> 6 THEN 1 ELSE 0 END AS found
+          FROM ({dv.corpus(d)}) c JOIN ({gate_sql(d)}) g ON g.book = c.book AND g.page = c.page) q"""
 
 
-def _assembly(d) -> str:
-    return f"SELECT book, page_count % 3 <> 0 AS ok FROM ({_page_books(d)}) b"
+@job("page_verdicts", _verdicts)
+def page_verdicts(inp: Inputs):
+    return verdicts(inp)[0]
 
 
 @job(
     "verify_rollup",
     lambda d: f"""
-    WITH i AS ({_page_issues(d)}),
-    m AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page) rk FROM (SELECT DISTINCT book, page FROM i WHERE kind = 'missing') x)
-    SELECT b.book, count(*) FILTER (WHERE kind = 'missing') AS missing, count(*) FILTER (WHERE kind = 'invalid') AS invalid,
-           count(DISTINCT i.page) AS broken,
-           coalesce((SELECT string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FROM m WHERE m.book = b.book AND rk <= 10), '') AS first_missing,
-           count(i.page) = 0 AND any_value(a.ok) AS ready
-    FROM ({_page_books(d)}) b LEFT JOIN i ON i.book = b.book LEFT JOIN ({_assembly(d)}) a ON a.book = b.book GROUP BY b.book""",
+    WITH v AS MATERIALIZED ({_verdicts(d)}),
+    m AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page) rk FROM (SELECT DISTINCT book, page FROM v WHERE verdict = 'missing') x),
+    a AS (SELECT book, bool_and(ok) AS ok FROM (
+            SELECT book, lang, coalesce(bool_and(verdict NOT IN ('empty', 'refused')) FILTER (WHERE verdict <> 'missing'), false) AS ok FROM v GROUP BY book, lang) l GROUP BY book)
+    SELECT v.book, CAST(count(*) FILTER (WHERE verdict = 'missing') AS BIGINT) AS missing, CAST(sum(n_issues) AS BIGINT) AS invalid,
+           count(DISTINCT page) FILTER (WHERE verdict <> 'ok') AS broken, CAST(sum(layout) AS BIGINT) AS layout,
+           coalesce((SELECT string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FROM m WHERE m.book = v.book AND rk <= 10), '') AS first_missing,
+           any_value(a.ok) AS assembled, any_value(a.ok) AND bool_and(verdict = 'ok' AND layout = 0) AS ready
+    FROM v JOIN a ON a.book = v.book GROUP BY v.book""",
 )
 def verify_rollup(inp: Inputs):
-    return issues.verify_rollup(inp.derive(_page_books), page_issues(inp), inp.derive(_assembly))
+    return issues.verify_rollup(*verdicts(inp))
 
 
-@job("verify_broken_pages", lambda d: f"SELECT book, page, count(*) AS n_issues FROM ({_page_issues(d)}) i GROUP BY book, page")
+@job(
+    "verify_broken_pages",
+    lambda d: f"""
+    SELECT book, page, count(*) FILTER (WHERE verdict = 'missing') AS missing, CAST(sum(n_issues) AS BIGINT) AS n_issues
+    FROM ({_verdicts(d)}) v WHERE verdict <> 'ok' GROUP BY book, page""",
+)
 def verify_broken_pages(inp: Inputs):
-    return issues.broken_pages(page_issues(inp))
+    return issues.broken_pages(verdicts(inp)[0])
