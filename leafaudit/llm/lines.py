@@ -5,11 +5,15 @@ line ids. Prefix doubling ranks its suffixes: at depth 2^k the rank of a positio
 place of the first position whose next 2^k lines are the same; ranks at depth 2^(k+1)
 come from pairs of ranks at depth 2^k. Positions of equal rank form an interval of the
 suffix array whose longest common prefix is at least that deep, and positions alone in
-their interval drop out. Depth beyond what a run of min_words words needs can't change
-which lines go, so doubling ends there (a non-blank line has a word at least, so after
-log2(min_words) rounds). Without a floor (min_words 1, the default) each line of a
-maximal repeated run is a repeated run itself, and ranks at depth 1 tell which lines go.
+their interval drop out. Doubling ends when no interval of two positions is left.
 
+A position that is not the first of its interval begins a later copy of that many lines.
+A maximal repeated run of n lines is the union of its first and its last 2^k lines, for the
+largest 2^k within n, and both are such copies; so the lines that copies of all depths
+cover, joined where they touch, are all later copies of maximal repeated runs.
+
+With a floor (min_words above 1) depth beyond what a run of min_words words needs can't
+change which lines go, so doubling ends there (a non-blank line has a word at least).
 A run of lines of min_words words that also begins at an earlier place is a later copy.
 Every such run is the union of its least runs (those that reach min_words first from a
 start, or last before an end), and a run of m lines is named by two ranks at the largest
@@ -19,6 +23,8 @@ all lines of all maximal repeated runs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +49,24 @@ def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """Rows that share their keys with another row, with the least pos of those as rank."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("rank")).filter("n > 1").drop("n")
-    return rows.join(groups, keys).select("pos", "doc", *extra, "rank")
+    """Rows that share their keys with another row, with the least pos of those as rank.
+
+    A common line may hold much of the rows: the ranks of keys with more than a thousandth of
+    them (at most a thousand keys) are broadcast, and their rows are dealt out by pos."""
+    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("rank")).filter("n > 1"), "line-groups")
+    large = F.col("n") > max(1000, (groups.agg(F.sum("n")).first()[0] or 0) // 1000)
+    known = F.broadcast(groups.filter(large).select(*keys, F.col("rank").alias("known")))
+    dealt = rows.join(known, keys, "left").withColumn("part", F.when(F.col("known").isNotNull(), F.col("pos") + 1).otherwise(0))
+    rest = groups.filter(~large).select(*keys, F.lit(0).cast("bigint").alias("part"), "rank")
+    out = dealt.join(rest, [*keys, "part"], "left").withColumn("rank", F.coalesce("known", "rank"))
+    return out.filter("rank is not null").select("pos", "doc", *extra, "rank")
+
+
+def doubled(live: DataFrame, depth: int) -> DataFrame:
+    """Ranks at twice the depth, from those at this depth: (pos, doc, rank)."""
+    after = Window.partitionBy("doc").orderBy("pos").rangeBetween(depth, depth)
+    pairs = live.select("pos", "doc", F.col("rank").alias("left"), F.max("rank").over(after).alias("right")).filter("right is not null")
+    return stored(ranked(pairs, ["left", "right"], []), f"line-ranks-{2 * depth}")
 
 
 def least_run(ahead: bool, min_words: int) -> Column:
@@ -64,15 +85,31 @@ def least_run(ahead: bool, min_words: int) -> Column:
 
 
 def repeated_runs(docs: DataFrame, *, min_words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal runs of lines that are later copies: (doc_id, text_hash, first, last), in line
-    numbers from 0 within the text. See drop_repeated_lines for what counts."""
+    """Maximal runs of lines that are later copies: (doc_id, text_hash, first, last, depth), in line
+    numbers from 0 within the text. Depth is the most lines, as a power of two, that one
+    earlier place shares with the run (null with a floor). See drop_repeated_lines for what counts."""
     lines = stored(line_rows(docs, doc_id, text), "line-ids")
     if min_words > 1:
-        gone = lines_of_later_runs(lines, min_words)
+        gone = lines_of_later_runs(lines, min_words).withColumn("depth", F.lit(None).cast("bigint"))
     else:
-        gone = ranked(lines, ["a", "b"], ["doc_id", "text_hash", "line"]).filter("pos > rank")
-    island = gone.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
-    return island.groupBy("doc", "island").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text_hash").alias("text_hash"), F.min("line").alias("first"), F.max("line").alias("last")).drop("doc", "island")
+        gone = later_copies(lines)
+    ahead = Window.partitionBy("doc").orderBy("pos", F.desc("depth"))
+    reach = F.max(F.col("pos") + F.coalesce("depth", F.lit(1)) - 1).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("pos") > reach + 1).cast("int"), F.lit(1))
+    island = gone.withColumn("begins", begins).withColumn("island", F.sum("begins").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = [F.any_value(c, True).alias(c) for c in ("doc_id", "text_hash")]
+    return island.groupBy("doc", "island").agg(*whole, F.min("line").alias("first"), F.max("line").alias("last"), F.max("depth").alias("depth")).drop("doc", "island")
+
+
+def later_copies(lines: DataFrame) -> DataFrame:
+    """Positions that begin a later copy of `depth` lines, for every depth 2^k to the deepest
+    interval: (doc, pos, depth), and at depth 1 the line's number and document too. Each line of
+    a copy begins one of depth 1."""
+    live, depth, found = stored(ranked(lines, ["a", "b"], ["doc_id", "text_hash", "line"]), "line-ranks-1"), 1, []
+    while not live.isEmpty():
+        found.append(live.filter("pos > rank").withColumn("depth", F.lit(depth).cast("bigint")).drop("rank"))
+        live, depth = doubled(live, depth), depth * 2
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found or [live.withColumn("depth", F.lit(depth).cast("bigint")).drop("rank")])
 
 
 def lines_of_later_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -84,10 +121,7 @@ def lines_of_later_runs(lines: DataFrame, min_words: int) -> DataFrame:
     runs = stored(runs.withColumn("k", F.floor(F.log2("m")).cast("int")), "line-runs")
     ranks, depth = live.select("pos", F.lit(0).alias("k"), "rank"), 1
     while depth * 2 <= min_words:
-        after = Window.partitionBy("doc").orderBy("pos").rangeBetween(depth, depth)
-        pairs = live.select("pos", "doc", F.col("rank").alias("left"), F.max("rank").over(after).alias("right")).filter("right is not null")
-        depth *= 2
-        live = stored(ranked(pairs, ["left", "right"], []), f"line-ranks-{depth}")
+        live, depth = doubled(live, depth), depth * 2
         ranks = ranks.unionByName(live.select("pos", F.lit(depth.bit_length() - 1).alias("k"), "rank"))
     power = F.expr("shiftleft(1L, k)")
     named = runs.withColumn("end", F.col("start") + F.col("m") - power)

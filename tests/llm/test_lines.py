@@ -1,6 +1,8 @@
 import random
 
-from leafaudit.llm.lines import drop_repeated_lines
+from pyspark.sql import functions as F
+
+from leafaudit.llm.lines import drop_repeated_lines, repeated_runs
 
 
 def expected(rows, min_words):
@@ -73,3 +75,40 @@ def test_query_and_pipeline_stage_leave_no_short_repeated_line(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_removed) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("two", 1), 3: ("", 1)}
     assert sorted(map(tuple, corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect())) == [rows[0], (2, "two", 3)]
+
+
+def test_runs_come_from_the_deepest_intervals(spark):
+    rnd = random.Random(8)
+    pool = [f"line {i}" for i in range(9)] + ["", " "]
+    docs = [(i, [rnd.choice(pool) for _ in range(rnd.randrange(30))]) for i in range(40)]
+    docs += [(50, [f"own {i}" for i in range(70)]), (51, ["new"] + [f"own {i}" for i in range(70)]), (52, ["z"] * 21), (53, [f"own {i}" for i in range(9, 30)])]
+    seq = [(d, i, x.strip()) for d, ls in docs for i, x in enumerate(ls) if x.strip()]
+    best = []
+    for p in range(len(seq)):
+        n = 0
+        for q in range(p):
+            k = 0
+            while p + k < len(seq) and seq[p + k][0] == seq[p][0] and seq[q + k][0] == seq[q][0] and seq[p + k][2] == seq[q + k][2]:
+                k += 1
+            n = max(n, k)
+        best.append(n)
+    want, p = [], 0
+    while p < len(seq):
+        if best[p]:
+            end, most, at = p + best[p], best[p], p
+            while at < len(seq) and seq[at][0] == seq[p][0] and at <= end and best[at]:
+                end, most, at = max(end, at + best[at]), max(most, best[at]), at + 1
+            want.append((seq[p][0], seq[p][1], seq[at - 1][1], 1 << (most.bit_length() - 1)))
+            p = at
+        else:
+            p += 1
+    table = spark.createDataFrame([(d, "\n".join(ls)) for d, ls in docs], "doc_id long, text string").repartition(3)
+    got = repeated_runs(table)
+    assert sorted(tuple(r) for r in got.select("doc_id", "first", "last", "depth").collect()) == sorted(want)
+    assert {64, 16} <= {r.depth for r in got.collect()}
+
+
+def test_a_line_of_a_third_of_all_rows(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common\n"), F.col("id"), F.lit("\nmore "), F.col("id")).alias("text")).repartition(3)
+    out = drop_repeated_lines(rows)
+    assert out.agg(F.sum("n_removed")).first()[0] == 3999 and out.filter("text like 'common%'").count() == 1
