@@ -3,7 +3,8 @@
 Each text block passes points for its length and commas to its parent, half of them to
 the grandparent and shares of a third, a fourth, ... to those above. A container's score
 is discounted by its link density; the best container is kept, with those of its
-siblings that score well or read like prose.
+siblings that score well or read like prose. Elements called noise by their class or id
+are left out first, but only where they are a small part of the page's prose.
 """
 
 from __future__ import annotations
@@ -26,23 +27,52 @@ ENDS_P = BLOCKS | {"hr", "form", "nav", "header", "footer", "aside", "figure"}
 #: An open element of the left kind ends when one of the right kinds begins inside it.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
+#: Words of a class or id that only describe a layout or a state: has-sidebar, tag-python.
+STATE_NAME = re.compile(r"(has|no|with|without|is|tag|category|js)[-_].*|.*[-_](open|closed|enabled|disabled|on|off)$", re.IGNORECASE)
+COMMENT_NAME = re.compile(r"(^|[\s_-])(comments?|comment-\w+|disqus|replies|respond)(?=$|[\s_-])", re.IGNORECASE)
+RELATED_NAME = re.compile(r"(^|[\s_-])(related\w*|recommend\w*)(?=$|[\s_-])", re.IGNORECASE)
 NOISE = re.compile(
     r"(^|[\s_-])(ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav\w*|navbar|menu\w*|breadcrumbs?|header|masthead|footer\w*|side-?bar\w*|aside|widget\w*|cookie\w*|consent|notice\w*|"
-    r"popup|modal|overlay|newsletter|subscribe\w*|signup|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?|comment-\w+|disqus|replies|respond|login|toolbar|pagination|pager|"
-    r"tags?|tag-?cloud|alert|gdpr|outbrain|taboola)(?=$|[\s_-])",
+    r"popup|modal|overlay|newsletter|subscribe\w*|signup|share\w*|sharing|social\w*|login|toolbar|pagination|pager|tags?|tag-?cloud|alert|gdpr|outbrain|taboola)(?=$|[\s_-])",
     re.IGNORECASE,
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACES = re.compile(r"\s+")
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Shares of points below a hundredth are not passed on.
+FARTHEST = 100
+
+
+def rank_name(attrs: dict[str, str]) -> str:
+    """What the class and id of an element promise: comment, related, noise, or nothing."""
+    names = " ".join(n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not STATE_NAME.fullmatch(n))
+    for kind, pattern in (("comment", COMMENT_NAME), ("noise", NOISE), ("related", RELATED_NAME)):
+        if pattern.search(names):
+            return kind
+    return ""
+
+
+def without_loose_ends(html: str) -> str:
+    """The page up to a comment or tag that never ends, which a browser drops with the rest."""
+    at = html.find("<!--")
+    while at >= 0:
+        end = html.find("-->", at + 4)
+        if end < 0:
+            html = html[:at]
+            break
+        at = html.find("<!--", end)
+    loose = re.compile(r"<[a-zA-Z/!?]").search(html, html.rfind(">") + 1)
+    return html[: loose.start()] if loose else html
 
 
 class Node:
-    __slots__ = ("bits", "children", "kept", "links", "parent", "score", "size", "tag")
+    __slots__ = ("bits", "children", "link", "links", "named", "parent", "score", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, kept: bool):
-        self.tag, self.parent, self.kept = tag, parent, kept
+    def __init__(self, tag: str, parent: Node | None, named: str = "", link: int = 0):
+        self.tag, self.parent, self.named, self.link = tag, parent, named, link
         self.children: list[Node] = []
-        self.bits: list[tuple[int, str, bool]] = []  # place, text, inside a link
+        self.bits: list[tuple[int, str, int]] = []  # place, text, the link it is inside of
         self.score = 0.0
         self.size = self.links = 0
 
@@ -52,19 +82,22 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None, True)
-        self.place = self.linked = self.hidden = 0
+        self.root = self.at = Node("html", None)
+        self.place = self.link = 0
+        self.opened: list[Node] = [self.root]  # by link, the block in which it begins
+        self.ended: set[int] = set()
         self.skipped: list[str] = []
 
-    def noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "header" and self.inside(KEEPS_HEADER):
-            return False
-        if tag == "figure":
+    def noise(self, tag: str, a: dict[str, str]) -> bool:
+        """Elements that are left out unread, by kind, role or style; names only count later."""
+        if tag == "figure" or tag == "header" and self.inside(KEEPS_HEADER):
             return False
-        named = tag not in ("body", "html", "article", "main") and NOISE.search(f"{a.get('class', '')} {a.get('id', '')}")
-        unseen = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))
-        return bool(tag in DROPPED or a.get("role", "").lower() in NOISE_ROLES or named or unseen)
+        unseen = "hidden" in a or a.get("aria-hidden") == "true" or UNSEEN.search(a.get("style", ""))
+        return bool(tag in DROPPED or a.get("role", "").lower() in NOISE_ROLES or unseen)
+
+    def leave(self, node: Node) -> None:
+        """Close a block; a link that began inside it ends with it."""
+        self.at, self.link = node.parent, node.link
 
     def inside(self, tags: frozenset[str]) -> bool:
         node: Node | None = self.at
@@ -79,7 +112,7 @@ class Tree(HTMLParser):
         node = self.at
         while node.parent and node.tag not in fence:
             if node.tag in tags:
-                self.at, self.linked = node.parent, 0
+                self.leave(node)
                 return
             node = node.parent
 
@@ -104,14 +137,17 @@ class Tree(HTMLParser):
         if tag == "body":
             self.at = self.root
             return
-        if self.noise(tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        named = rank_name(a) if tag not in ("html", "article", "main") and ("class" in a or "id" in a) else ""
+        if self.noise(tag, a) or (named and tag in INLINE):
             self.skipped = [tag]
-        elif tag in BLOCKS and tag != "html":
-            node = Node(tag, self.at, True)
+        elif (tag in BLOCKS or named) and tag != "html":
+            node = Node(tag, self.at, named, self.link)
             self.at.children.append(node)
-            self.at, self.linked = node, 0
+            self.at = node
         elif tag == "a":
-            self.linked = 1
+            self.link = len(self.opened)
+            self.opened.append(self.at)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -130,13 +166,14 @@ class Tree(HTMLParser):
                 self.handle_endtag(tag)
             return
         if tag == "a":
-            self.linked = 0
-        elif tag in BLOCKS and tag not in ("html", "body"):
+            self.ended.add(self.link)
+            self.link = 0
+        elif tag not in INLINE and tag not in ("html", "body"):
             node = self.at
-            while node.parent and node.tag != tag:
+            while node.parent and node.tag != tag and (tag in BLOCKS or node.tag not in BLOCKS):
                 node = node.parent
-            if node.parent:
-                self.at, self.linked = node.parent, 0
+            if node.parent and node.tag == tag:
+                self.leave(node)
 
     def handle_data(self, data):
         if not self.skipped:
@@ -144,22 +181,57 @@ class Tree(HTMLParser):
 
     def text(self, data: str) -> None:
         self.place += 1
-        self.at.bits.append((self.place, data, bool(self.linked)))
+        self.at.bits.append((self.place, data, self.link))
         if self.at.children and data.strip() == "" and not any(t.strip() for _, t, _ in self.at.bits):
             self.at.bits.pop()
 
+    def blocks(self) -> list[Node]:
+        """All blocks, parents first, with the links settled: a link that never ends reaches to
+        the end of the block it begins in."""
+        order, stack = [], [self.root]
+        while stack:
+            n = stack.pop()
+            order.append(n)
+            stack += n.children
+            n.bits = [(p, t, bool(k) and (k in self.ended or self.opened[k] is n)) for p, t, k in n.bits]
+        return order
+
+    def drop_named(self) -> list[Node]:
+        """Leave out what names call comments or noise, unless it is no small part of the page:
+        it holds an article, or half the prose that is not comments. Parts called related stay
+        inside an article if they read like prose. Gives the blocks that stay, parents first."""
+        order = self.blocks()
+        prose = {id(n): [sum(len(t.strip()) for _, t, k in n.bits if not k), sum(len(t.strip()) for _, t, k in n.bits if k)] for n in order}
+        holds = {id(n): n.tag in ("article", "main") for n in order}
+        for n in reversed(order):
+            if n.parent and n.named != "comment":
+                holds[id(n.parent)] |= holds[id(n)]
+                for i in (0, 1):
+                    prose[id(n.parent)][i] += prose[id(n)][i]
+        whole, kept, within, stack = prose[id(self.root)][0], [], {id(self.root): False}, [self.root]
+        while stack:
+            n = stack.pop()
+            kept.append(n)
+            inner = within[id(n)] or n.tag in ("article", "main")
+
+            def stays(c: Node) -> bool:
+                own, linked = prose[id(c)]
+                if not c.named or c.named == "comment":
+                    return not c.named
+                return holds[id(c)] or 2 * own > whole or (c.named == "related" and inner and own > 2 * linked)
+
+            n.children = [c for c in n.children if stays(c)]
+            within |= {id(c): inner for c in n.children}
+            stack += n.children
+        return kept
+
 
 def main_text(html: str, *, link_limit: float = 0.5, sibling_share: float = 0.2) -> str:
     """The article of a page; blocks joined by an empty line, and empty if there is none."""
     tree = Tree()
-    tree.feed(html)
+    tree.feed(without_loose_ends(html))
     tree.close()
-    order: list[Node] = []
-    stack = [tree.root]
-    while stack:
-        n = stack.pop()
-        order.append(n)
-        stack += n.children
+    order = tree.drop_named()
     blocks: dict[int, list[tuple[int, str, int]]] = {}
     first: dict[int, list[int]] = {}
     for n in reversed(order):
@@ -175,7 +247,7 @@ def main_text(html: str, *, link_limit: float = 0.5, sibling_share: float = 0.2)
                 continue
             points = 1 + text.count(",") + min(len(text) / 100, 3)
             up, level = (n if n.tag in ("div", "section", "article", "main", "body", "html") else n.parent or n), 1
-            while up:
+            while up and level <= FARTHEST:
                 up.score += points / level
                 up, level = up.parent, level + 1
     rated = {id(n): n.score * (1 - n.links / n.size if n.size else 0) + 25 * (n.tag in ("article", "main") and n.size > 0) for n in order}
@@ -195,10 +267,13 @@ def main_text(html: str, *, link_limit: float = 0.5, sibling_share: float = 0.2)
     elif best.parent:
         picked += [s for s in best.parent.children if s is not best and s.tag == best.tag and rated[id(s)] - 25 >= max(10, sibling_share * (rated[id(best)] - 25))]
     out: list[tuple[int, str]] = []
-    stack = list(picked)
+    stack, chosen, inside = list(picked), {id(n) for n in picked}, best
+    while inside and inside.tag not in ("article", "main"):
+        inside = inside.parent
     while stack:
         n = stack.pop()
-        menu = n.tag in ("ul", "ol", "table", "div", "section") and n not in picked and n.size and n.links > link_limit * n.size
+        # Inside an article, lists and tables of links are references; elsewhere they are menus.
+        menu = not inside and n.tag in ("ul", "ol", "table", "div", "section") and id(n) not in chosen and n.size and n.links > link_limit * n.size
         if not menu:
             out += [(p, t) for p, t, _ in blocks[id(n)]]
             stack += n.children
@@ -228,7 +303,7 @@ def cut_blocks(node: Node, cuts: list[int]) -> list[tuple[int, str, int]]:
 def extract_main_text(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Main text of every page: the kept columns, text and n_chars (code points).
 
-    A null page counts as empty and gives an empty text, as does a page without an
+    Other columns take no part, whatever they are called. A null page counts as empty and gives an empty text, as does a page without an
     article; repeated rows each give a row; pages are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

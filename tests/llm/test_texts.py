@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -180,3 +181,43 @@ def test_few_labels_of_both_kinds_train(spark):
         labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
         got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
         assert all(got[i] > 0.6 if i % 2 else got[i] < 0.4 for i in range(30))
+
+
+PROSE = "".join(f"<p>Part {i}, with commas, and words enough to read like the prose of an article.</p>" for i in range(4))
+TEXT = "\n\n".join(f"Part {i}, with commas, and words enough to read like the prose of an article." for i in range(4))
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post tag-python", "share-page", "main no-sidebar", "header-layout", "post comments-open", "page-ads"])
+def test_html_wrappers_called_noise_are_kept(name):
+    menu = '<div class="menu"><a href="/a">One</a> <a href="/b">Two</a></div><div class="ad">Buy this, now.</div>'
+    for tag in ("div", "section", "x-page"):
+        assert html.main_text(f'<body>{menu}<{tag} class="{name}">{PROSE}</{tag}></body>') == TEXT
+        assert html.main_text(f'<body>{menu}<main><{tag} id="{name}">{PROSE}</{tag}></main></body>') == TEXT
+
+
+def test_html_parts_of_an_article():
+    remarks = "".join(f'<article class="comment"><p>Remark {i}, by a reader, longer than you think it would be, and more.</p></article>' for i in range(40))
+    for extra in (f'<div id="comments">{remarks}</div>', '<div class="ad">Buy, now.</div>', '<section class="related-posts"><ul><li><a href="/x">Other story</a></li></ul></section>'):
+        assert html.main_text(f"<article>{PROSE}{extra}</article>") == TEXT
+    kept = html.main_text(f'<article>{PROSE}<section id="related-work"><p>Prior work, in prose.</p></section><ul><li><a href="/r">Reference one</a></li></ul></article>')
+    assert kept == TEXT + "\n\nPrior work, in prose.\n\nReference one"
+    cards = "".join(f'<a href="/{i}"><div><p>Card {i}, with commas, and words enough to read like the prose of an article.</p></div></a>' for i in range(9))
+    assert html.main_text(f"<body><div>{cards}</div><div>{PROSE}</div></body>") == TEXT
+
+
+@pytest.mark.parametrize("bad", ["<p " * 20000, "<!--" * 20000, '<a href="' * 20000, "</" * 20000, "<![CDATA[" * 20000, "<div>" * 4000 + "x", "<div>x" * 4000, "<a><div>" * 2000 + "x", "&" * 60000])
+def test_html_malformed_pages_take_no_long(bad):
+    began = time.time()
+    html.main_text(f"<article>{PROSE}</article>" + bad)
+    assert time.time() - began < 5
+
+
+def test_html_rows(spark):
+    page = f"<article>{PROSE}</article>"
+    rows = [(1, "u", page, "own"), (1, "u", page, "own"), (2, None, None, None), (3, "v", "", ""), (None, "w", "<!-- never ends " + page, "x"), (4, "z", "<article><p>" + "long, " * 50000 + "</p></article>", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    got = html.extract_main_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    found = sorted(((r.page_id or 0, r.n_chars) for r in got.collect()))
+    assert found == [(0, 0), (1, len(TEXT)), (1, len(TEXT)), (2, 0), (3, 0), (4, 6 * 50000 - 1)]
+    assert html.extract_main_text(pages.limit(0)).count() == 0
