@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,51 +80,59 @@ def recent_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.withWatermark("created_at", "24 hours").dropDuplicatesWithinWatermark(["job_id"])
 
 
-def job_retention_stream(records: DataFrame, *, seconds: int = 86400, delay: str = "0 seconds") -> DataFrame:
+HELD = np.dtype([("job_id", "<i8"), ("created", "<i8"), ("seen", "<i8"), ("running", "?")])
+
+
+def job_retention_stream(records: DataFrame, *, seconds: int = 86400, delay: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """Changes to the set of retained jobs: (job_id, created_at, action), action kept or dropped.
 
     records(job_id, created_at, seen_at, running): what was heard of a job and when;
-    seen_at drives the clock, and the record seen last tells whether the job runs. Each
-    job sets a timer at the end of its time; a job that still runs has none and is held
-    until it is heard to have ended. Dropped jobs leave the state. Records without an id
-    only move the clock. Records later than `delay` behind the clock are ignored."""
+    seen_at drives the clock, and the record seen last tells whether the job runs. Jobs are
+    kept in buckets of ids, so that one call judges all jobs of a bucket at once; a bucket
+    sets a timer at the earliest end among its jobs. A job that still runs has no end and is
+    held until it is heard to have ended. Dropped jobs leave the state, and a bucket without
+    jobs does too. Records without an id only move the clock. Records later than `delay`
+    behind the clock are ignored. `buckets` belongs to the checkpoint: it must not change
+    between runs; results do not depend on it."""
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def say(created: pd.Timestamp, action: str) -> pd.DataFrame:
-            return pd.DataFrame({"job_id": [key[0]], "created_at": [created], "action": [action]})
-
-        if state.hasTimedOut:
-            created, _, _ = state.get
+        held = pd.DataFrame(np.frombuffer(bytes(state.get[0]), HELD)) if state.exists else pd.DataFrame(np.empty(0, HELD))
+        clock, first, said = state.getCurrentWatermarkMs(), held["created"].iloc[:0], []
+        if not state.hasTimedOut:
+            heard = pd.concat([f.loc[f["named"], ["job_id", "created", "seen", "running"]] for f in frames], ignore_index=True)
+            by_job = heard.groupby("job_id")
+            newest = heard.loc[by_job["seen"].idxmax()].set_index("job_id")
+            held = held.set_index("job_id")
+            first = by_job["created"].min()
+            first = first[~first.index.isin(held.index)]
+            said.append((first, "kept"))
+            before = held["seen"].reindex(newest.index)
+            newest = newest[before.isna() | (newest["seen"] >= before)]
+            newest["created"] = pd.concat([held["created"], first]).loc[newest.index]
+            held = pd.concat([held[~held.index.isin(newest.index)], newest[held.columns]]).reset_index()
+        ends = (held["created"] // 1_000_000 + seconds + 1) * 1000 - 1
+        over = ~held["running"].astype(bool) & (ends < clock)
+        said.append((held[over].set_index("job_id")["created"], "dropped"))
+        held, ends = held[~over], ends[~over & ~held["running"].astype(bool)]
+        if len(held):
+            state.update((held[list(HELD.names)].to_records(index=False, column_dtypes={n: HELD[n] for n in HELD.names}).tobytes(),))
+            if len(ends):
+                state.setTimeoutTimestamp(max(int(ends.min()), clock + 1))
+        elif state.exists:
             state.remove()
-            yield say(created, "dropped")
-            return
-        heard = pd.concat(list(frames))
-        if pd.isna(key[0]):
-            return
-        created, running, seen = state.get if state.exists else (None, False, None)
-        if not state.exists:
-            created = heard["created_at"].min()
-            yield say(created, "kept")
-        newest = heard.loc[heard["seen_at"].idxmax()]
-        if seen is None or newest["seen_at"] >= seen:
-            running, seen = bool(newest["running"]), newest["seen_at"]
-        ends = (int(created.timestamp() // 1) + seconds + 1) * 1000 - 1
-        if not running and ends < state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield say(created, "dropped")
-            return
-        state.update((created, running, seen))
-        if not running:
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        for jobs, action in said:
+            if len(jobs):
+                yield pd.DataFrame({"job_id": jobs.index, "created": jobs.to_numpy(), "action": action})
 
-    return (
+    micros = {n: F.unix_micros(f"{n}_at") for n in ("created", "seen")}
+    changes = (
         records.withWatermark("seen_at", delay)
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            follow, "job_id long, created_at timestamp, action string", "created_at timestamp, running boolean, seen_at timestamp", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .withColumns({"named": F.col("job_id").isNotNull(), "bucket": F.pmod(F.xxhash64("job_id"), F.lit(buckets)), **micros})
+        .select("bucket", "seen_at", "named", F.coalesce("job_id", F.lit(0)).alias("job_id"), "created", "seen", F.coalesce("running", F.lit(False)).alias("running"))
+        .groupBy("bucket")
+        .applyInPandasWithState(follow, "job_id long, created long, action string", "jobs binary", "append", GroupStateTimeout.EventTimeTimeout)
     )
+    return changes.select("job_id", F.timestamp_micros("created").alias("created_at"), "action")
 
 
 def retained_jobs(changes: DataFrame) -> DataFrame:

@@ -83,6 +83,29 @@ def test_jobs_leave_after_a_day_unless_they_run(spark, tmp_path):
     assert sizes == [4, 4, 2, 1]  # the state shrinks with the set
 
 
+def test_jobs_are_held_in_buckets_of_ids(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    big = 2**53 + 1
+    jobs = [(big + i, at(i % 40), at(i % 40), i % 7 == 0) for i in range(400)]
+    ended = [(j, c, c + timedelta(hours=30), False) for j, c, _, runs in jobs if runs and j % 2]
+    parts = [[r for r in jobs + ended if low <= r[2] < high] + [(None, at(high_h), at(high_h), False)] for low, high, high_h in ((at(0), at(20), 19), (at(20), at(80), 50))]
+    now = at(50).timestamp()
+    last = {j: (c, s, runs) for j, c, s, runs in sorted(jobs + ended, key=lambda r: r[2]) if s <= at(50)}
+    parts[1] = [r for r in parts[1] if r[2] <= at(50)]
+    want = sorted(j for j, (c, _, runs) in last.items() if runs or now - c.timestamp() <= 86400)
+    for buckets in (1, 3, 1024):
+        root = tmp_path / str(buckets)
+        for part in parts:
+            spark.createDataFrame(part, RECORDS).coalesce(1).write.mode("append").parquet(str(root / "in"))
+            stream = spark.readStream.schema(RECORDS).parquet(str(root / "in"))
+            query = logs.append_log_stream(status.job_retention_stream(stream, buckets=buckets), str(root / "out"), str(root / "ck"))
+            query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= buckets
+        got = status.retained_jobs(spark.read.parquet(str(root / "out"))).collect()
+        assert sorted(r.job_id for r in got) == want
+        assert all(r.created_at == last[r.job_id][0] for r in got)
+
+
 def test_log_stream_reads_each_line_once(spark, tmp_path):
     lines = events(spark, range(30)).select("book", "page", "seq", "ts", "chunk")
     for part in (F.col("seq") < 9, F.col("seq") >= 9):
