@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafaudit.session import shared_table
+
 
 @dataclass(frozen=True)
 class Box:
@@ -124,29 +126,46 @@ def _in_cells(df: DataFrame, box: Box, tiles: tuple[float, ...], meets: tuple[in
     return rows.drop("_x0", "_x1", "_y0", "_y1")
 
 
+#: Boxes of a page on either side up to which its pairs are formed without tiles; results don't depend on it.
+FEW_ON_PAGE = 256
+
+
+def _crowded_pages(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the pages that hold more than a few boxes on either side."""
+    ones = [df.select(*keys, F.lit(i).alias("_side")) for i, df in enumerate((left, right))]
+    counts = ones[0].unionByName(ones[1]).groupBy(*keys).agg(F.sum("_side").alias("_r"), F.count("*").alias("_n"))
+    return shared_table(counts.filter(F.greatest(F.col("_r"), F.col("_n") - F.col("_r")) > FEW_ON_PAGE).select(*keys), "crowded-pages")
+
+
 def near_pairs(
     left: DataFrame, right: DataFrame, keys: list[str], gap: float | Column, *, lp: str = "l_", rp: str = "r_", tiles: tuple[float, ...] = TILES
 ) -> DataFrame:
     """Pairs of boxes on the same page whose extents, grown by gap, meet.
 
-    A box belongs to the grid level of its size and covers at most four tiles there. Two
-    boxes meet on the coarser of their levels: each looks up (role 0 or 1) the other side's
-    boxes of coarser levels, and only boxes of one level are compared tile by tile. So
-    small boxes of a crowded page meet in small tiles, however large other boxes or the
-    page are. A pair that shares several tiles is kept in the tile of its lower common
-    corner. left and right carry prefixed x0..y1 columns; a box with x1 < x0 or y1 < y0
-    after growing meets nothing."""
+    Pages with few boxes are joined whole, one row per box. On a crowded page a box belongs
+    to the grid level of its size and covers at most four tiles there. Two boxes meet on the
+    coarser of their levels: each looks up (role 0 or 1) the other side's boxes of coarser
+    levels, and only boxes of one level are compared tile by tile. So small boxes of a
+    crowded page meet in small tiles, however large other boxes or the page are. A pair that
+    shares several tiles is kept in the tile of its lower common corner. left and right carry
+    prefixed x0..y1 columns and are read more than once; a box with x1 < x0 or y1 < y0 after
+    growing meets nothing."""
     grown, other = Box.of(lp).grow(gap), Box.of(rp)
     sound = lambda box: (box.x0 <= box.x1) & (box.y0 <= box.y1)
-    cell = ["_level", "_role", "_tx", "_ty"]
-    a = _in_cells(left.filter(sound(grown)), grown, tiles, meets=(0, 1), probes=(0,))
-    b = _in_cells(right.filter(sound(other)), other, tiles, meets=(0,), probes=(1,))
+    left, right = left.filter(sound(grown)), right.filter(sound(other))
     corner_x, corner_y = F.greatest(grown.x0, other.x0), F.greatest(grown.y0, other.y0)
+    meet = (corner_x <= F.least(grown.x1, other.x1)) & (corner_y <= F.least(grown.y1, other.y1))
+    crowded = _crowded_pages(left, right, keys)
+    if crowded.isEmpty():
+        return left.join(right, keys).filter(meet)
+    cell = ["_level", "_role", "_tx", "_ty"]
+    a = _in_cells(left.join(crowded, keys, "left_semi"), grown, tiles, meets=(0, 1), probes=(0,))
+    b = _in_cells(right.join(crowded, keys, "left_semi"), other, tiles, meets=(0,), probes=(1,))
     here = F.col("_level") == len(tiles)
     for i, t in enumerate(tiles):
         here = here | ((F.col("_level") == i) & (tile_of(corner_x, t) == F.col("_tx")) & (tile_of(corner_y, t) == F.col("_ty")))
-    meet = (corner_x <= F.least(grown.x1, other.x1)) & (corner_y <= F.least(grown.y1, other.y1))
-    return a.join(b, [*keys, *cell]).filter(meet & here).drop(*cell)
+    tiled = a.join(b, [*keys, *cell]).filter(meet & here).drop(*cell)
+    return left.join(crowded, keys, "left_anti").join(right, keys).filter(meet).unionByName(tiled)
 
 
 def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from leafaudit.functions import geometry
 from leafaudit.functions.text import canonical_id
 from leafaudit.operators import boxes, figures
 from leafaudit.plans import box_jobs, derived
@@ -297,3 +298,17 @@ def test_the_band_job_takes_every_drawing(spark):
     assert rows(box_jobs.band_union(inp), *cols) == rows(every, *cols)
     painted = boxes.band_union(found, inp.derive(box_jobs._painted_objects))
     assert rows(painted, *cols) != rows(every, *cols)
+
+
+def test_pages_with_few_boxes_meet_without_tiles(spark, monkeypatch):
+    some = spark.createDataFrame(scene(5, crowd=150, sparse=25), SCHEMA)
+    left, right = (geometry.prefixed(some.select("book", "page", "obj_id", *boxes.BOX), boxes.PAGE, p) for p in ("l_", "r_"))
+    pairs = lambda: geometry.near_pairs(left, right, boxes.PAGE, 9.0)
+    whole = pairs()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    want = rows(whole, *boxes.PAGE, "l_obj_id", "r_obj_id")
+    for few in (0, 60):
+        monkeypatch.setattr(geometry, "FEW_ON_PAGE", few)
+        assert "Generate" in pairs()._jdf.queryExecution().executedPlan().toString()
+        assert rows(pairs(), *boxes.PAGE, "l_obj_id", "r_obj_id") == want
