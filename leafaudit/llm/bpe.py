@@ -34,11 +34,14 @@ CACHE_WORDS = 700_000
 CACHES: dict[tuple[str, str], dict] = {}
 #: Marks of parts, lone surrogates that no text holds: a first part, a single word, a special string.
 FIRST, WORD, SPECIAL = "\ud800", "\ud801", "\udfff"
-#: White space of str.split() that the patterns don't know; white space beside a blank.
+#: White space of str.split() that the patterns don't know; white space but single blanks; white space beside a blank.
 CONTROLS = re.compile("[\x1c-\x1f]")
-SPACES = regex.compile(rf"{SPACE}+")
+SPACES = regex.compile(rf"{SPACE}{{2,}}|(?! ){SPACE}")
 MIXED_SPACE = re.compile(r" \s|\s ")
 LONG_WORD = 4096
+NO_RANK = np.iinfo(np.int64).max
+#: Stands between parts in an array of ids; no id is as large.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 def byte_alphabet() -> list[str]:
@@ -123,6 +126,10 @@ class Vocabulary:
     def split_special(self):
         return regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True)))
 
+    @cached_property
+    def words_and_blanks(self):
+        return regex.compile(f"{self.word_pattern}| ").findall
+
     def normalize(self, text: str) -> str:
         """NFC, white space to one blank, lower case letter by letter (a final sigma too)."""
         if not self.normalized:
@@ -169,6 +176,19 @@ class Vocabulary:
         symbols, ends = self.merge_flat(words)
         return np.split(symbols, ends[:-1]) if len(words) else []
 
+    @cached_property
+    def made(self) -> np.ndarray:
+        """The symbol that the merge of each rank makes."""
+        return self.products[np.argsort(self.ranks)]
+
+    def pair_ranks(self, symbols: np.ndarray, word: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Rank of the pair of the symbol at each place and the next of its word, or NO_RANK."""
+        after = np.minimum(places + 1, len(symbols) - 1)
+        key = (symbols[places] << 32) | symbols[after]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[at] == key) & (word[places] == word[after]) & (after > places)
+        return np.where(known, self.ranks[at], NO_RANK)
+
     def merge_flat(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one array, and where each word's end."""
         done_symbols, done_words = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -179,33 +199,31 @@ class Vocabulary:
         word = np.repeat(np.arange(len(words)), size)
         ends = np.cumsum(size)[size > 0] - 1
         symbols[ends] = self.last[flat[ends]]
+        rank = self.pair_ranks(symbols, word, np.arange(len(symbols)))
         while len(symbols):
-            key = (symbols[:-1] << 32) | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.where(known, self.ranks[at], np.iinfo(np.int64).max)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(np.r_[rank, np.iinfo(np.int64).max], starts)
+            least = np.minimum.reduceat(rank, starts)
             spans = np.diff(np.r_[starts, len(word)])
-            done = least == np.iinfo(np.int64).max
+            done = least == NO_RANK
+            keep = ~np.repeat(done, spans)
             if done.any():
-                over = np.repeat(done, spans)
-                done_symbols.append(symbols[over])
-                done_words.append(word[over])
+                done_symbols.append(symbols[~keep])
+                done_words.append(word[~keep])
                 if done.all():
                     break
-            hit = known & (rank == np.repeat(least, spans)[:-1])
-            places = np.flatnonzero(hit)
+            places = np.flatnonzero(keep & (rank == np.repeat(least, spans)))
             # of a run of overlapping places (a pair of equal symbols) every second one merges
             run = np.flatnonzero(np.r_[True, np.diff(places) != 1])
             step = np.arange(len(places)) - np.repeat(run, np.diff(np.r_[run, len(places)]))
             equal = symbols[places] == symbols[places + 1]
             places = places[~equal | (step % 2 == 0)]
-            symbols = symbols.copy()
-            symbols[places] = self.products[at[places]]
-            keep = ~np.repeat(done, spans)
+            symbols[places] = self.made[rank[places]]
             keep[places + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            changed = (np.cumsum(keep) - 1)[places]
+            symbols, word, rank = symbols[keep], word[keep], rank[keep]
+            # only pairs with a merged symbol have a new rank
+            changed = np.concatenate([changed, changed[changed > 0] - 1])
+            rank[changed] = self.pair_ranks(symbols, word, changed)
         word = np.concatenate(done_words)
         order = np.argsort(word, kind="stable")
         return np.concatenate(done_symbols)[order], np.cumsum(np.bincount(word, minlength=len(words)))
@@ -258,8 +276,11 @@ class Vocabulary:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = list(keys)
-        words = {k: self.words_in(k) for k in new if k[:1] != SPECIAL}
-        every = set(chain.from_iterable(words.values()))
+        # plain parts hold no white space, so blanks between them part their words too
+        plain = [k for k in new if self.normalized and k[:1] not in (WORD, SPECIAL)]
+        found = self.words_and_blanks(self.normalize(" ".join(plain)))
+        words = {k: self.words_in(k) for k in new if k[:1] == WORD or not self.normalized and k[:1] != SPECIAL}
+        every = {*found} - {" "} | {*chain.from_iterable(words.values())}
         missing = every - known.keys()
         if len(known) + len(missing) > CACHE_WORDS:
             known.clear()
@@ -268,6 +289,12 @@ class Vocabulary:
             raw = symbols.astype("<u4").tobytes()
             known.update((w, raw[4 * at : 4 * end]) for w, at, end in zip(part, [0, *ends], ends, strict=False))
         get = known.__getitem__
+        if plain:
+            known[" "] = BETWEEN
+            raw = b"".join(map(get, found))
+            del known[" "]
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist()
+            cache.update((k, raw[at:end]) for k, at, end in zip(plain, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True))
         cache.update((k, b"".join(map(get, ws))) for k, ws in words.items())
         cache.update((k, np.array([self.special[k[1:]]], "<u4").tobytes()) for k in new if k[:1] == SPECIAL)
         return cache

@@ -33,6 +33,27 @@ def test_encoding_and_counts_match_the_library(spark):
         assert counts[i].n_tokens == len(tok2.encode(t or "", add_special_tokens=False).ids)
 
 
+def test_merging_looks_up_only_changed_pairs(monkeypatch):
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join(chr(97 + (i * j + j * j) % 26) for j in range(5 + i % 12)) for i in range(2000)] + ["ababab", "aaaaa"]
+    looked, search_of = [], np.searchsorted
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda keys, key: looked.append(len(key)) or search_of(keys, key))
+    ids = vocabulary.merge(words)
+    symbols = sum(map(len, words))
+    assert sum(looked) <= symbols + 2 * (symbols - sum(map(len, ids)))
+
+
+def test_ids_of_parts_match_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, vocabulary = Tokenizer.from_file(path), bpe.Vocabulary.read(path)
+    for text in [t or "" for t in TEXTS] + ["a\x1cb c", "e\u0301 \u0301x ΑΣ Σ", "don't,'re !!x 12a"]:
+        keys = vocabulary.keys_of(text)
+        table = vocabulary.encode_ids(set(keys))
+        assert np.frombuffer(b"".join([table[k] for k in keys]), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_a_cut_of_all_ids(spark):
     word = public_tokenizers.path("word_bpe_49k.json")
     docs = frame(spark)
