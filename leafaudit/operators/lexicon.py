@@ -35,13 +35,16 @@ PUNCTUATION = r"[^a-zA-Z'\s]"
 GAP = rf"(?:\s|{PUNCTUATION}++(?![a-zA-Z']))*+"
 WORD_WITH_PARTS = rf"({PUNCTUATION}*+)([a-zA-Z']++)({PUNCTUATION}*+)({GAP})"
 MAPS = 16
+#: Unicode white space but the blank; runs of white space that are not one blank.
+ODD_SPACE = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+LONG_SPACE = rf" [ {ODD_SPACE}]++|[{ODD_SPACE}][ {ODD_SPACE}]*+"
 
 
 def lexicon_scan(lines: DataFrame) -> DataFrame:
     """Base lexicon from tab-separated lines (seq, line): two fields, first pronunciation,
-    slashes removed, last duplicate wins."""
+    slashes removed, last duplicate wins. Equal lines are one before they are parsed."""
     fields = F.split(F.btrim("line", F.lit(" \t\r\n")), "\t")
-    rows = lines.withColumn("_f", fields).filter(F.size("_f") == 2)
+    rows = lines.groupBy("line").agg(F.max("seq").alias("seq")).withColumn("_f", fields).filter(F.size("_f") == 2)
     word = F.lower(F.trim(F.get("_f", F.lit(0))))
     first = F.btrim(F.trim(F.get(F.split(F.trim(F.get("_f", F.lit(1))), ","), F.lit(0))), F.lit("/"))
     return rows.groupBy(word.alias("word")).agg(F.max_by(first, "seq").alias("ipa"))
@@ -53,6 +56,12 @@ def effective_lexicon(base: DataFrame, overrides: DataFrame) -> DataFrame:
     return base.select(F.lit(None).cast("string").alias("book"), "word", "ipa").unionByName(own)
 
 
+def _straight(text: Column) -> Column:
+    for sign in "’‘`":
+        text = F.replace(text, F.lit(sign), F.lit("'"))
+    return text
+
+
 def run_parts(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, parts): for each word of a run, in one string with tabs between them, the
     punctuation taken before it, the word, the punctuation taken after it, and the gap up
@@ -61,7 +70,7 @@ def run_parts(runs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     Punctuation right after a word belongs to that word; otherwise one token right before a
     word belongs to it; anything else lies in a gap. Runs are flattened to single blanks
     first, so that line feed and tab can separate what one pattern finds."""
-    flat = F.translate(F.regexp_replace(F.col(text), r"(?U)\s+", " "), "’‘`", "'" * 3)
+    flat = _straight(F.regexp_replace(F.col(text), LONG_SPACE, " "))
     worded = F.regexp_replace(flat, f"^{GAP}", "")
     marked = F.regexp_replace(worded, WORD_WITH_PARTS, "$1\t$2\t$3\t$4\n")
     # no filter here: it would be pushed below and find the words a second time
@@ -119,10 +128,10 @@ def lexicon_lookup(words: DataFrame, lexicon: DataFrame, *, book: str | None = N
     values = [c for c in lexicon.columns if c not in ("book", "word")]
     entry = F.struct(*values)
     base = lexicon.filter("book is null").select(F.col("word").alias("_key"), entry.alias("_e"))
-    out = join_unique(words.withColumn("_key", F.lower("word")), base, "_key")
+    out = join_unique(words.withColumn("_key", F.lower("word")), base.hint("shuffle_hash"), "_key")
     if book:
         own = lexicon.filter("book is not null").select(F.col("book").alias("_b"), F.col("word").alias("_w"), entry.alias("_own"))
-        out = out.join(own, (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
+        out = out.join(own.hint("shuffle_hash"), (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
         out = out.withColumn("_e", F.coalesce("_own", "_e"))
     return out.select(*words.columns, "_e.*")
 
@@ -147,6 +156,25 @@ def annotated_runs(runs: DataFrame, lexicon: DataFrame, keys: list[str], *, book
     return rows.select(*keys, "parts", F.transform("parts", entry).alias("entries"))
 
 
+def word_counts(runs: DataFrame, keys: list[str], words: str = "_words") -> DataFrame:
+    """(keys, word, n): each distinct word of an array of words and how often it is there."""
+    ordered = runs.select(*keys, F.sort_array(words).alias("_o"))
+    opens = lambda i: (i == 0) | (F.get("_o", i) != F.get("_o", i - 1))
+    # no filter here: it would be pushed below and sort the words a second time
+    starts = ordered.select(*keys, "_o", F.when(F.size("_o") > 0, F.filter(F.sequence(F.lit(0), F.size("_o") - 1), opens)).alias("_s"))
+    upto = lambda j: F.coalesce(F.get("_s", j + 1), F.size("_o"))
+    return starts.select(*keys, F.inline(F.transform("_s", lambda s, j: F.struct(F.get("_o", s).alias("word"), (upto(j) - s).alias("n")))))
+
+
+def word_coverage(runs: DataFrame, lexicon: DataFrame, keys: list[str], *, book: str | None = None, text: str = "text") -> DataFrame:
+    """What coverage() gives for annotated runs, from the counts of each run's words alone."""
+    split = F.array_remove(F.split(_straight(F.col(text)), "[^a-zA-Z']++"), "")
+    words = word_counts(runs.select(*keys, split.alias("_words")), keys).withColumnRenamed("n", "_n")
+    found = lexicon_lookup(shared_table(words, "run-words"), lexicon.select("book", "word", "ipa"), book=book)
+    known = F.coalesce(F.sum(F.when(F.col("ipa").isNotNull(), F.col("_n"))), F.lit(0))
+    return found.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias("words"), known.cast("bigint").alias("known"))
+
+
 def coverage(looked_up: DataFrame, keys: list[str]) -> DataFrame:
     """Words and known words of annotated runs, summed by key."""
     known = F.size(F.filter("entries", lambda e: e["ipa"].isNotNull()))

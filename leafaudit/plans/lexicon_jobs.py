@@ -19,7 +19,10 @@ def _base(d) -> str:
 
 
 def table(inp: Inputs):
-    return lexicon.effective_lexicon(lexicon.lexicon_scan(inp.derive(dv.lexicon_lines)), inp.derive(dv.overrides))
+    rows = inp.keep(inp.derive(dv.latest_words), "latest-words")
+    rows.createOrReplaceTempView("latest_words")
+    view = lambda make: inp.derive(make, "SELECT * FROM latest_words")
+    return lexicon.effective_lexicon(lexicon.lexicon_scan(view(dv.lexicon_lines)), view(dv.overrides))
 
 
 @job(
@@ -68,8 +71,7 @@ def looked_up_sql(d) -> str:
 
 @job("lexicon_lookup", lambda d: f"SELECT book, doc_id, count(*) AS words, count(ipa) AS known FROM ({looked_up_sql(d)}) l GROUP BY book, doc_id")
 def lexicon_lookup(inp: Inputs):
-    found = lexicon.annotated_runs(inp.derive(dv.prose), inp.keep(table(inp), "lexicon"), KEYS, book="book")
-    return lexicon.coverage(found, KEYS)
+    return lexicon.word_coverage(inp.derive(dv.prose), inp.keep(table(inp), "lexicon"), KEYS, book="book")
 
 
 @job(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leafaudit.operators import lexicon
 from leafaudit.operators.ordered import join_unique
+from leafaudit.plans import derived, lexicon_jobs, registry
 
 
 def brute(text):
@@ -86,6 +87,26 @@ def test_vowel_start_and_liaison(spark):
     assert rows(lexicon.coverage(spoken, ["id"])) == [(1, 8, 6), (2, 3, 3)]
 
 
+def test_coverage_from_counts_of_words(spark):
+    texts = [*TEXTS, None, "an An’s \u212aegg İs egg\u00a0egg\u2029is", "egg" + " egg" * 50]
+    runs = spark.createDataFrame([(f"b{i % 2}", i // 2, t) for i, t in enumerate(texts)], "book string, id long, text string")
+    words = [(None, w, w) for w in ("an", "egg", "is", "the", "a")] + [("b1", "an's", "x"), ("b0", "egg", None)]
+    table = spark.createDataFrame(words, "book string, word string, ipa string")
+    want = lexicon.coverage(lexicon.annotated_runs(runs, table, ["book", "id"], book="book"), ["book", "id"])
+    assert rows(lexicon.word_coverage(runs, table, ["book", "id"], book="book")) == rows(want) != []
+
+
+def test_words_are_cut_once_for_the_lexicon(spark, tmp_path):
+    documents = [(1, "Sing on\u212aing", "s"), (3, "sing b", "s"), (2, "sing", "t"), (4, None, "t")]
+    spark.createDataFrame(documents, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    inp = registry.Inputs(spark, str(tmp_path))
+    d = inp.dialect
+    for view in (derived.lexicon_lines, derived.overrides):
+        assert set(spark.sql(view(d, derived.latest_words(d))).collect()) <= set(spark.sql(view(d)).collect())
+    want = lexicon.effective_lexicon(lexicon.lexicon_scan(spark.sql(derived.lexicon_lines(d))), spark.sql(derived.overrides(d)))
+    assert rows(lexicon_jobs.table(inp)) == rows(want)
+
+
 def test_lookup_of_a_hot_word(spark):
     words = spark.range(300).select(F.when(F.col("id") % 3 > 0, "the").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("word"))
     table = spark.createDataFrame([("the", 1), ("w3", 2)], "word string, n int")
