@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafaudit.operators.ordered import top_n
@@ -100,3 +100,30 @@ def layout_metric_issues(metrics: DataFrame, keys: list[str], *, scale_range: tu
 def issue_cap(issues: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
     """The first n issues of each page, in order."""
     return top_n(issues, keys, [F.col("seq").asc()], n)
+
+
+def has_issue() -> Column:
+    """Whether a measured page has an issue at all, without its messages."""
+    one, tall = F.col("sheet_count") == 1, F.col("allow_vertical")
+    off_height = F.least(*[F.abs(F.col("height") - x) for x in HEIGHTS])
+    true = lambda c: F.coalesce(c, F.lit(False))
+    clipped = F.exists(F.coalesce("clipped", F.array()), lambda c: true(c["x"] > CONTENT_TOLERANCE) | true(~tall & (c["y"] > CONTENT_TOLERANCE)))
+    return (
+        true(~one)
+        | true(one & (F.abs(F.col("width") - WIDTH) > SHELL_TOLERANCE))
+        | true(one & ~tall & (off_height > SHELL_TOLERANCE))
+        | true(one & (F.greatest("o_left", "o_right") > CONTENT_TOLERANCE))
+        | true(one & ~tall & (F.greatest("o_top", "o_bottom") > CONTENT_TOLERANCE))
+        | true(one & clipped)
+    )
+
+
+def first_issues(metrics: DataFrame, keys: list[str], order: str, n: int = 6) -> DataFrame:
+    """The first n issues of each page over its measured sheets, in order.
+
+    Each sheet with an issue gives one at least, so messages are written for the first n
+    such sheets of a page alone."""
+    place = Window.partitionBy(*keys).orderBy(order)
+    sheets = metrics.filter(has_issue()).withColumn("_place", F.rank().over(place)).filter(F.col("_place") <= n).drop("_place")
+    found = layout_metric_issues(sheets, [*keys, order])
+    return issue_cap(found.withColumn("seq", F.struct(order, "seq")), keys, n)

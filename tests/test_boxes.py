@@ -337,3 +337,17 @@ def test_kept_objects_serve_later_views(spark):
     later = inp.derive(derived.plan_figures)
     assert rows(later, "obj_id", "figure_id") == before
     assert all("lineitem" not in f for f in later.inputFiles())
+
+
+def test_first_issues_are_those_of_all_messages(spark):
+    from leafaudit.operators import layout
+    from leafaudit.plans import figure_jobs
+
+    every = figure_jobs.measured(Inputs(spark, "/root/testdata/sf0.001")).limit(2000)
+    blank = every.limit(60).select(*[F.lit(None).cast(t).alias(c) if c in ("width", "o_left", "sheet_count", "clip_x") else F.col(c) for c, t in every.dtypes])
+    mixed = every.unionByName(blank).unionByName(every.limit(9))
+    m = spark.createDataFrame(mixed.collect(), mixed.schema)
+    keys = ["book", "page", "sheet"]
+    assert m.filter(layout.has_issue()).count() == layout.layout_metric_issues(m.withColumn("n", F.monotonically_increasing_id()), [*keys, "n"]).select("n").distinct().count()
+    want = layout.issue_cap(layout.layout_metric_issues(m, keys).withColumn("seq", F.struct("sheet", "seq")), keys[:2])
+    assert rows(layout.first_issues(m, keys[:2], "sheet"), *keys, "rk") == rows(want, *keys, "rk") != []
