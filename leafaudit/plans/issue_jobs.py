@@ -82,12 +82,17 @@ def blocker_classify(inp: Inputs):
 PAGE = ["book", "lang", "page"]
 
 
+def gated(pages):
+    """(book, lang, page, valid, empty) of delivered pages, each decided in its row."""
+    marked = pages.withColumn("empty", F.col("html") == "")
+    return corpus.content_gate(marked, [*PAGE, "empty"]).select(*PAGE, "valid", "empty")
+
+
 def verdicts(inp: Inputs):
     """What verification says of every page, and whether its books can be assembled."""
     pages = inp.stored(dv.delivered, "delivered")
     source = inp.derive(dv.corpus).select(*PAGE, "html")
-    gate = corpus.content_gate(pages, PAGE).select(*PAGE, "valid").join(pages.select(*PAGE, (F.col("html") == "").alias("empty")), PAGE)
-    gate = inp.keep(gate, "gate")
+    gate = inp.keep(gated(pages), "gate")
     lost = fidelity.token_loss(source, pages.filter("html <> ''"), PAGE).select(*PAGE).distinct()
     moved = fidelity.structure_divergence(inp.derive(dv.published).filter("lang <> 'en'"), pages, PAGE)
     plans = inp.derive(dv.page_plans)

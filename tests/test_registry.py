@@ -6,7 +6,7 @@ from conftest import ROOT
 
 import __spark_entry__ as entry
 from leafaudit.plans import derived as dv
-from leafaudit.plans import registry
+from leafaudit.plans import issue_jobs, registry
 from leafaudit.plans.library_jobs import page_listing
 from leafaudit.plans.registry import Inputs
 from leafaudit.operators import fidelity, library, state
@@ -67,3 +67,10 @@ def test_token_loss_joins_no_token_tables(spark):
 def test_no_names_that_do_not_belong():
     for path in ROOT.rglob("*.py"):
         assert "localCheckpoint" not in path.read_text(encoding="utf-8") or path.name == "test_registry.py"
+
+
+def test_gate_of_verdicts_takes_no_join(spark):
+    pages = Inputs(spark, SF).derive(dv.delivered)
+    got = issue_jobs.gated(pages)
+    assert "Join" not in plan_of(got) and got.columns == ["book", "lang", "page", "valid", "empty"]
+    assert got.filter("empty").count() == pages.filter("html = ''").count() > 0
