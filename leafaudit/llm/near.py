@@ -7,7 +7,10 @@ keys, so that two sets that link share a key:
   must have;
 - a large set under its least hashed shingles, as many as a partner can't all miss; the
   inverted list of such a key is scanned. The size where scanning gets cheaper than
-  enumerating is the boundary.
+  enumerating is the boundary. Where parts (below) would be thin, shingles are counted
+  first and those of long lists come last in every set, so that a passage which many
+  documents share files none of them that has enough shingles besides. Any order that all
+  sets share is exact, so counts and their filter may be off without losing a link.
 
 Short lists give their pairs. Long lists (of a shingle that many documents have) are not
 paired: their nodes are filed anew under the parts of a partition of their set, with one
@@ -42,6 +45,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CACHE_WORDS = 400_000
 #: Mean members of a chunk of a group.
 CHUNK = 400
+#: Parts of fewer shingles than this on average are thin: many hold just common shingles.
+THIN = 6
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -128,7 +133,13 @@ class Scheme:
     def part_count(self, last: int) -> int:
         return 2 * last * (self.den - self.num) // (self.den + self.num) + 1
 
+    @property
+    def thin(self) -> bool:
+        """Whether the parts of a set hold few shingles each."""
+        return self.den + self.num < 2 * THIN * (self.den - self.num)
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
+        """Keys of a set whose shingles come in an order that all sets share."""
         s = len(tokens)
         out = []
         if s and s <= self.boundary:
@@ -169,8 +180,65 @@ def node_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))).view(np.int64))
 
 
-def signatures(docs: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """(doc_id, row, n, node, last, keys, own, up) of each row; row is a hash of id and text."""
+def filled_filter(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter, and its size in bits, of a table's one column of integers. The size is bounded."""
+    bits = filter_bits(rows.count())
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+        if seen.any():
+            packed = np.packbits(seen)
+            step = 1 << 15
+            for at in range(0, len(packed), step):
+                if packed[at : at + step].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([packed[at : at + step].tobytes()], pa.binary())], ["at", "part"])
+
+    filled = np.zeros(bits // 8, np.uint8)
+    for r in rows.coalesce(4).mapInArrow(marks, "at long, part binary").toLocalIterator():
+        part = np.frombuffer(r.part, np.uint8)
+        filled[r.at : r.at + len(part)] |= part
+    return filled, bits
+
+
+def passes(filled: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through: all it was filled with, and a few others."""
+    at = places(hashes, bits)
+    return ((filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def frequent_filter(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, int]:
+    """Filter of the shingles, named by 32 bits, that more than most rows have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in each_batch(batches, 256):
+            tokens = np.concatenate([*shingler.sets(batch.column(0).to_pylist()), np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.uint32).view(np.int32))], ["shingle"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(names.astype(np.uint64)).view(np.int64))], ["hash"])
+
+    counts = docs.select("text").mapInArrow(run, "shingle int").groupBy("shingle").agg(F.count("*").alias("c"))
+    frequent = counts.filter(F.col("c") > most).select("shingle").mapInArrow(spread, "hash long")
+    return filled_filter(stored(frequent, "near-frequent"))
+
+
+def signatures(docs: DataFrame, scheme: Scheme, width: int, frequent: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(doc_id, row, n, node, last, keys, own, up) of each row; row is a hash of id and text.
+    Keys come from sets in the order of their hashes, with those that the filter of
+    frequent shingles lets through last."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def ordered(sets: list[np.ndarray]) -> list[np.ndarray]:
+        if shared.value is None or not any(map(len, sets)):
+            return sets
+        tokens = np.concatenate(sets)
+        late = np.split(passes(*shared.value, mix(tokens & np.uint64(0xFFFFFFFF))), np.cumsum([len(t) for t in sets])[:-1])
+        return [np.concatenate([t[~f], t[f]]) if f.any() else t for t, f in zip(sets, late, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -181,7 +249,7 @@ def signatures(docs: DataFrame, scheme: Scheme, width: int) -> DataFrame:
                 [
                     batch.column(0), batch.column(1), pa.array([len(t) for t in sets], pa.int64()), pa.array([node_of(t) for t in sets], pa.int64()),
                     pa.array([scheme.size_class(len(t))[2] if len(t) else 0 for t in sets], pa.int64()),
-                    list_array([scheme.keys(t) for t in sets]), list_array([p[0] for p in pairs]), list_array([p[1] for p in pairs]),
+                    list_array([scheme.keys(t) for t in ordered(sets)]), list_array([p[0] for p in pairs]), list_array([p[1] for p in pairs]),
                 ],
                 ["doc_id", "row", "n", "node", "last", "keys", "own", "up"],
             )
@@ -212,7 +280,8 @@ class Joiner:
         key = F.xxhash64(*document_key(doc_id, text))
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("row"), text_or_empty(text).alias("text"))
         self.scheme, self.width, self.most = scheme, width, most
-        self.signed = stored(signatures(self.docs, scheme, width), "near-signatures")
+        frequent = frequent_filter(self.docs, width, most) if scheme.thin else None
+        self.signed = stored(signatures(self.docs, scheme, width, frequent), "near-signatures")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and parts allow a link."""
@@ -237,31 +306,14 @@ class Joiner:
         their row keys lets through; a false hit only adds a row. The filter is bounded."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         rows = stored(self.signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row"), "near-rows")
-        bits = filter_bits(rows.count())
-
-        def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(bits, bool)
-            for batch in batches:
-                seen[places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
-            if seen.any():
-                packed = np.packbits(seen)
-                step = 1 << 15
-                for at in range(0, len(packed), step):
-                    if packed[at : at + step].any():
-                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([packed[at : at + step].tobytes()], pa.binary())], ["at", "part"])
-
-        filled = np.zeros(bits // 8, np.uint8)
-        for r in rows.coalesce(4).mapInArrow(marks, "at long, part binary").toLocalIterator():
-            part = np.frombuffer(r.part, np.uint8)
-            filled[r.at : r.at + len(part)] |= part
+        filled, bits = filled_filter(rows)
         shared = self.docs.sparkSession.sparkContext.broadcast(filled)
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(width)
             for batch in each_batch(batches, 1024):
-                at = places(batch.column(0).to_numpy(zero_copy_only=False), bits)
-                hit = np.flatnonzero(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
+                hit = np.flatnonzero(passes(shared.value, bits, batch.column(0).to_numpy(zero_copy_only=False)))
                 tokens = shingler.sets(batch.column(1).take(pa.array(hit)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "tokens"])
 

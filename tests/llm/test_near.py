@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from leafaudit.llm import near
 from leafaudit.llm.near import near_components
 
 
@@ -56,3 +57,21 @@ def test_components_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_shared_passage_compares_no_unrelated_documents(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"d{i}w{j}" for j in range(90))) for i in range(80)]
+    rows += [(100 + i, t + " more") for i, t in rows[:3]]
+    seen, kept = {}, near.stored
+
+    def counted(df, label):
+        out = kept(df, label)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near.near_components(docs, width=5, num=8, den=10).collect()
+    assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, 5, 8, 10)
+    assert seen["near-pairs"] < 10 and seen["near-stars"] == 0
