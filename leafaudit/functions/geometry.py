@@ -130,7 +130,7 @@ def _in_cells(df: DataFrame, box: Box, tiles: tuple[float, ...], meets: tuple[in
 FEW_ON_PAGE = 256
 
 
-def _crowded_pages(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def crowded_pages(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the pages that hold more than a few boxes on either side."""
     ones = [df.select(*keys, F.lit(i).alias("_side")) for i, df in enumerate((left, right))]
     counts = ones[0].unionByName(ones[1]).groupBy(*keys).agg(F.sum("_side").alias("_r"), F.count("*").alias("_n"))
@@ -155,7 +155,7 @@ def near_pairs(
     left, right = left.filter(sound(grown)), right.filter(sound(other))
     corner_x, corner_y = F.greatest(grown.x0, other.x0), F.greatest(grown.y0, other.y0)
     meet = (corner_x <= F.least(grown.x1, other.x1)) & (corner_y <= F.least(grown.y1, other.y1))
-    crowded = _crowded_pages(left, right, keys)
+    crowded = crowded_pages(left, right, keys)
     if crowded.isEmpty():
         return left.join(right, keys).filter(meet)
     cell = ["_level", "_role", "_tx", "_ty"]

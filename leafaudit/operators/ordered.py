@@ -83,6 +83,26 @@ def ordered_columns(
     return out.select(*[F.col(c) for c in df.columns], *added)
 
 
+def whole_columns(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    *,
+    lags: dict[str, str] | None = None,
+    leads: dict[str, str] | None = None,
+    lasts: dict[str, str] | None = None,
+) -> DataFrame:
+    """The same columns for groups known to be small: one plain window, one shuffle."""
+    along = Window.partitionBy(*keys).orderBy(*order)
+    sofar = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(
+        "*",
+        *[F.lag(c).over(along).alias(n) for n, c in (lags or {}).items()],
+        *[F.lead(c).over(along).alias(n) for n, c in (leads or {}).items()],
+        *[F.last(c, ignorenulls=True).over(sofar).alias(n) for n, c in (lasts or {}).items()],
+    )
+
+
 def trailing_window(
     df: DataFrame, keys: list[str], rank: str, depth: int, build, *, block: int = 4096
 ) -> DataFrame:

@@ -351,3 +351,27 @@ def test_first_issues_are_those_of_all_messages(spark):
     assert m.filter(layout.has_issue()).count() == layout.layout_metric_issues(m.withColumn("n", F.monotonically_increasing_id()), [*keys, "n"]).select("n").distinct().count()
     want = layout.issue_cap(layout.layout_metric_issues(m, keys).withColumn("seq", F.struct("sheet", "seq")), keys[:2])
     assert rows(layout.first_issues(m, keys[:2], "sheet"), *keys, "rk") == rows(want, *keys, "rk") != []
+
+
+def test_bands_are_equal_on_sparse_and_crowded_pages(spark, monkeypatch):
+    df = spark.createDataFrame(scene(4, crowd=60), SCHEMA)
+    found = []
+    for few in (256, 40, 0):  # no page, one page, every page is crowded
+        monkeypatch.setattr(geometry, "FEW_ON_PAGE", few)
+        bands = boxes.caption_bands(boxes.captions(df), df)
+        unions = boxes.band_union(bands, df)
+        found.append([rows(out) for out in (bands, unions, boxes.caption_crop_window(bands, unions))])
+    assert found[0] == found[1] == found[2] and all(found[0])
+
+
+def test_sparse_pages_are_not_bucketed_and_unions_read_once(spark, tmp_path):
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame(scene(4, crowd=60), SCHEMA)
+    bands = boxes.caption_bands(boxes.captions(df), df)
+    assert "_bucket" not in plan(bands)
+    bands.write.parquet(f"{tmp_path}/bands")
+    bands = spark.read.parquet(f"{tmp_path}/bands")
+    unions = boxes.band_union(bands, df)
+    assert "sequence(" not in plan(unions)
+    unions.write.parquet(f"{tmp_path}/unions")
+    assert plan(boxes.caption_crop_window(bands, spark.read.parquet(f"{tmp_path}/unions"))).count("Relation ") == 2
