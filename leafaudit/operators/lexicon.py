@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafaudit.operators.ordered import join_unique
 from leafaudit.session import shared_table
@@ -34,7 +39,9 @@ PUNCTUATION = r"[^a-zA-Z'\s]"
 #: Blanks, and punctuation that no word follows.
 GAP = rf"(?:\s|{PUNCTUATION}++(?![a-zA-Z']))*+"
 WORD_WITH_PARTS = rf"({PUNCTUATION}*+)([a-zA-Z']++)({PUNCTUATION}*+)({GAP})"
-MAPS = 16
+#: Bytes of text whose runs share one copy of their lexicon entries; results don't depend
+#: on it. Small inputs are cut into SPREAD blocks, but not below LEAST_BLOCK.
+BLOCK, LEAST_BLOCK, SPREAD = 1 << 23, 1 << 16, 64
 #: Unicode white space but the blank; runs of white space that are not one blank.
 ODD_SPACE = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 LONG_SPACE = rf" [ {ODD_SPACE}]++|[{ODD_SPACE}][ {ODD_SPACE}]*+"
@@ -128,32 +135,123 @@ def lexicon_lookup(words: DataFrame, lexicon: DataFrame, *, book: str | None = N
     values = [c for c in lexicon.columns if c not in ("book", "word")]
     entry = F.struct(*values)
     base = lexicon.filter("book is null").select(F.col("word").alias("_key"), entry.alias("_e"))
-    out = join_unique(words.withColumn("_key", F.lower("word")), base.hint("shuffle_hash"), "_key")
+    keyed = asked = words.withColumn("_key", F.lower("word"))
     if book:
+        # first, as few words have entries of their own that go on to the next shuffle
         own = lexicon.filter("book is not null").select(F.col("book").alias("_b"), F.col("word").alias("_w"), entry.alias("_own"))
-        out = out.join(own.hint("shuffle_hash"), (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
+        asked = keyed.join(own.hint("shuffle_hash"), (F.col("_key") == F.col("_w")) & (F.col(book) == F.col("_b")), "left")
+    out = join_unique(asked, base.hint("shuffle_hash"), "_key", counted=keyed)
+    if book:
         out = out.withColumn("_e", F.coalesce("_own", "_e"))
     return out.select(*words.columns, "_e.*")
 
 
+def run_blocks(runs: DataFrame, keys: list[str], *, book: str | None = None, text: str = "text") -> DataFrame:
+    """(keys, text, _block) of the runs that hold words, as a table: runs dealt to blocks of about BLOCK bytes.
+
+    A book of more than a block's size gets blocks of its own, by the place of its runs in
+    the input; smaller books share blocks. The driver sees the large books alone."""
+    worded = runs.select(*keys, F.col(text).alias("_text")).filter(F.col(text).rlike("[a-zA-Z'’‘`]"))
+    owner = F.col(book) if book else F.lit(None).cast("string")
+    sizes = shared_table(worded.groupBy(owner.alias("_owner")).agg(F.sum(F.octet_length("_text")).alias("_size")), "run-sizes")
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    size = min(BLOCK, max(LEAST_BLOCK, total // SPREAD))
+    large = sizes.filter(F.col("_size") > size).collect()
+    common = (total - sum(r["_size"] for r in large)) // size + 1
+    own, at = [], common
+    for r in large:
+        own.append((r["_owner"], at, -(-r["_size"] // size)))
+        at += own[-1][2]
+    blocks = T.StructType([sizes.schema["_owner"], T.StructField("_first", T.LongType()), T.StructField("_share", T.LongType())])
+    table = F.broadcast(runs.sparkSession.createDataFrame(own, blocks))
+    placed = worded.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())).join(table, owner.eqNullSafe(F.col("_owner")), "left")
+    block = F.coalesce(F.col("_first") + F.pmod("_at", "_share"), F.pmod(F.xxhash64(owner), F.lit(common)))
+    return shared_table(placed.select(*keys, "_text", block.alias("_block")), "runs")
+
+
+def _word_finder():
+    """Function of a text in bytes (only ASCII counts): its lowercase words, the same as in
+    run_parts. A nested one, as those go to workers whole, without an import there."""
+    found = re.compile(rb"[a-z']+").findall
+    signs = [sign.encode() for sign in "’‘`"]
+
+    def words(text: bytes) -> list[bytes]:
+        text = text.lower()
+        for sign in signs:
+            text = text.replace(sign, b"'")
+        return found(text)
+
+    return words
+
+
+def words_of_blocks(book: str | None, most: int = 1 << 19):
+    """Function of Arrow batches of run_blocks(): distinct words per block (and book), as far
+    as they meet among the last `most` ones."""
+    words_of = _word_finder()
+
+    def table(held: dict, kinds: pa.Schema) -> pa.RecordBatch:
+        words = pa.array([w for found in held.values() for w in found], pa.binary()).cast(pa.string())
+        columns = [pa.array([at[i] for at, found in held.items() for _ in found], kind.type) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns, words], names=[*kinds.names, "word"])
+
+    def run(batches):
+        held, n = {}, 0
+        for batch in batches:
+            owners = batch[book].to_pylist() if book else repeat(None)
+            kinds = pa.schema([batch.schema.field(c) for c in ["_block", *([book] if book else [])]])
+            for block, owner, text in zip(batch["_block"].to_pylist(), owners, batch["_text"].cast(pa.binary()), strict=False):
+                found = held.setdefault((block, owner), set())
+                n -= len(found)
+                found.update(words_of(text.as_py()))
+                n += len(found)
+                if n >= most:
+                    yield table(held, kinds)
+                    held, n = {}, 0
+        if held:
+            yield table(held, kinds)
+
+    return run
+
+
+def entries_of_words(keys: list[str], values: list[str], book: str | None):
+    """Function of the runs of a block and the entries found for its words: the runs with the
+    entry of each word, null for unknown ones."""
+    words_of = _word_finder()
+
+    def run(runs: pa.Table, found: pa.Table) -> pa.Table:
+        places: dict = {}
+        owners = found[book].to_pylist() if book else repeat(None)
+        for i, (owner, word) in enumerate(zip(owners, found["word"].cast(pa.binary()).to_pylist(), strict=False)):
+            places.setdefault(owner, {})[word] = i
+        picked, ends = [], [0]
+        owners = runs[book].to_pylist() if book else repeat(None)
+        for owner, text in zip(owners, runs["_text"].cast(pa.binary()), strict=False):
+            picked += map(places.get(owner, {}).get, words_of(text.as_py()))
+            ends.append(len(picked))
+        entries = pa.StructArray.from_arrays([found[v].combine_chunks() for v in values], names=values)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries.take(pa.array(picked, pa.int32())))
+        return runs.select([*keys, "_text"]).append_column("entries", lists)
+
+    return run
+
+
 def annotated_runs(runs: DataFrame, lexicon: DataFrame, keys: list[str], *, book: str | None = None, text: str = "text") -> DataFrame:
     """(keys, parts, entries): the words of each run and, at the same places, their lexicon
     entries (null for unknown words).
 
-    Each distinct word of a run is looked up once. What is found comes back to the run as
-    maps, one for each of MAPS hash values, as a look-up goes through a map's keys in turn."""
+    Each distinct word of a block of runs is looked up once, and its entry is sent to the
+    block once; what is shuffled by run is its text alone."""
     values = [c for c in lexicon.columns if c not in ("book", "word")]
-    staged = shared_table(run_parts(runs, keys, text).withColumn("_run", F.monotonically_increasing_id()), "runs").filter(F.size("parts") > 0)
-    words = F.array_distinct(F.transform("parts", lambda p: F.lower(_word(p))))
-    asked = shared_table(staged.select("_run", *([book] if book else []), F.explode(words).alias("word")), "run-words")
-    found = lexicon_lookup(asked, lexicon, book=book).filter(F.col("ipa").isNotNull())
-    place = lambda word: F.pmod(F.xxhash64(word), F.lit(MAPS)).cast("int")
-    listed = found.groupBy("_run").agg(F.collect_list(F.struct("word", F.struct(*values).alias("entry"), place(F.col("word")).alias("at"))).alias("_found"))
-    own = lambda i: F.filter("_found", lambda x: x["at"] == i)
-    maps = F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda i: F.map_from_entries(F.transform(own(i), lambda x: F.struct(x["word"], x["entry"]))))
-    rows = staged.join(listed.select("_run", maps.alias("_maps")), "_run", "left")
-    entry = lambda p: F.try_element_at(F.get("_maps", place(F.lower(_word(p)))), F.lower(_word(p)))
-    return rows.select(*keys, "parts", F.transform("parts", entry).alias("entries"))
+    of = [book] if book else []
+    staged = run_blocks(runs, keys, book=book, text=text)
+    place = [staged.schema[c] for c in ["_block", *of]]
+    words = staged.select("_block", *of, "_text").mapInArrow(words_of_blocks(book), T.StructType([*place, T.StructField("word", T.StringType())]))
+    found = lexicon_lookup(shared_table(words.distinct(), "run-words"), lexicon, book=book).dropna("all", subset=values)
+    fields = [staged.schema[c] for c in [*keys, "_text"]]
+    entry = T.StructType([found.schema[c] for c in values])
+    placed = staged.groupBy("_block").cogroup(found.groupBy("_block"))
+    rows = placed.applyInArrow(entries_of_words(keys, values, book), T.StructType([*fields, T.StructField("entries", T.ArrayType(entry))]))
+    return run_parts(rows, [*keys, "entries"], "_text").select(*keys, "parts", "entries")
 
 
 def word_counts(runs: DataFrame, keys: list[str], words: str = "_words") -> DataFrame:

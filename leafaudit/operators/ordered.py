@@ -168,12 +168,14 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, *, floor: int = 10_000) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, *, floor: int = 10_000, counted: DataFrame | None = None) -> DataFrame:
     """Left join to a table with one row per key, when some keys may hold much of the left side.
 
     Keys of more than a thousandth of the rows (and of the floor) are at most a thousand;
-    their rows of the right side are broadcast, all other keys are joined by shuffle."""
-    counts = shared_table(left.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    their rows of the right side are broadcast, all other keys are joined by shuffle.
+    counted: rows with the keys of the left side, if those are had with less work."""
+    counted = left if counted is None else counted
+    counts = shared_table(counted.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = [r[0] for r in counts.filter(F.col("_n") > max(floor, total // 1000)).select(key).collect() if r[0] is not None]
     if not hot:

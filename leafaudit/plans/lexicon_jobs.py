@@ -82,6 +82,6 @@ def lexicon_lookup(inp: Inputs):
     SELECT book, doc_id, k, pre || coalesce(regexp_replace(tied, '\\b(d|r|b)i', '\\1ɪ', 'g'), ' ') || post AS ipa_text FROM t""",
 )
 def liaison_link(inp: Inputs):
-    entries = inp.keep(lexicon.pronunciations(table(inp)), "pronunciations")
+    entries = inp.keep(lexicon.pronunciations(table(inp)).drop("ipa"), "pronunciations")
     spoken = lexicon.annotated_runs(inp.derive(dv.prose), entries, KEYS, book="book")
     return lexicon.liaison_link(spoken, KEYS)

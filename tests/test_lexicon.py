@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -96,6 +97,48 @@ def test_coverage_from_counts_of_words(spark):
     assert rows(lexicon.word_coverage(runs, table, ["book", "id"], book="book")) == rows(want) != []
 
 
+def test_blocks_of_runs_look_a_word_up_once(spark, monkeypatch):
+    looked_up, asked = lexicon.lexicon_lookup, []
+    monkeypatch.setattr(lexicon, "lexicon_lookup", lambda words, *a, **b: asked.append(words.count()) or looked_up(words, *a, **b))
+    names = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    runs = spark.createDataFrame([(i % 2, i, " ".join(names)) for i in range(80)], "book int, id long, text string")
+    table = spark.createDataFrame([(None, w, w) for w in names[::2]], "book int, word string, ipa string")
+    spoken = lexicon.annotated_runs(runs, table, ["book", "id"], book="book")
+    # one block a book at this size, not one look-up a run (16,000)
+    assert asked == [400]
+    assert rows(lexicon.coverage(spoken, ["book"])) == [(0, 8000, 4000), (1, 8000, 4000)]
+
+
+@pytest.mark.parametrize("size", [1, 700, 1 << 20])
+def test_entries_do_not_depend_on_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(lexicon, "BLOCK", size)
+    monkeypatch.setattr(lexicon, "LEAST_BLOCK", size)
+    texts = [*TEXTS, None, "’", "An’s \u212aegg İs egg\u00a0EGG\u2029is", "egg " * 50, "an\u200aegg", "é an’egg"]
+    books = ["big"] * 6 + ["b1", "b2", "b3", None]
+    placed = [(books[i % len(books)], i // 9, t) for i, t in enumerate(texts * 5)]
+    runs = spark.createDataFrame(placed, "book string, id long, text string")
+    known = {(None, w): w for w in ("an", "egg", "is", "the", "a", "'", "b1")}
+    known |= {("big", "egg"): "big", ("b2", "an's"): "two", ("b1", "is"): "one", ("b3", "egg"): None}
+    table = spark.createDataFrame([(*k, v) for k, v in known.items()], "book string, word string, ipa string")
+    cut = lambda t: re.findall("[a-zA-Z']+", re.sub("[’‘`]", "'", t or ""))
+    entry = lambda book, w: known[book, w] if (book, w) in known else known.get((None, w))
+    want = [(b, i, tuple(cut(t)), tuple(entry(b, w.lower()) for w in cut(t))) for b, i, t in placed if cut(t)]
+    got = lexicon.annotated_runs(runs, table, ["book", "id"], book="book")
+    got = got.select("book", "id", F.transform("parts", lexicon._word), F.transform("entries", lambda e: e["ipa"])).collect()
+    assert sorted(((b, i, tuple(p), tuple(e)) for b, i, p, e in got), key=str) == sorted(want, key=str) != []
+    # without books
+    got = lexicon.annotated_runs(runs, table, ["id"])
+    assert got.select(F.sum(F.size("parts"))).first()[0] == got.select(F.sum(F.size("entries"))).first()[0] == sum(len(cut(t)) for t in texts) * 5
+
+
+def test_words_of_a_block_come_out_when_they_are_many(spark):
+    runs = spark.createDataFrame([(1, "b", "An an egg"), (1, "b", "egg is"), (2, None, "an")], "_block long, book string, _text string")
+    kinds = "_block long, book string, word string"
+    for most in (1, 3, 100):
+        got = runs.coalesce(1).mapInArrow(lexicon.words_of_blocks("book", most), kinds).distinct()
+        assert rows(got) == [(1, "b", "an"), (1, "b", "egg"), (1, "b", "is"), (2, None, "an")]
+
+
 def test_words_are_cut_once_for_the_lexicon(spark, tmp_path):
     documents = [(1, "Sing on\u212aing", "s"), (3, "sing b", "s"), (2, "sing", "t"), (4, None, "t")]
     spark.createDataFrame(documents, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
