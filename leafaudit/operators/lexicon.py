@@ -35,10 +35,12 @@ REWRITES = [
 ]
 LIAISON = "‿"
 RUN_TOKEN = r"[a-zA-Z']+|\s+|[^a-zA-Z'\s]+"
-PUNCTUATION = r"[^a-zA-Z'\s]"
+#: Patterns on runs flattened to single blanks, which hold no other white space.
+PUNCTUATION = "[^a-zA-Z' ]"
 #: Blanks, and punctuation that no word follows.
-GAP = rf"(?:\s|{PUNCTUATION}++(?![a-zA-Z']))*+"
-WORD_WITH_PARTS = rf"({PUNCTUATION}*+)([a-zA-Z']++)({PUNCTUATION}*+)({GAP})"
+GAP = rf" *+(?:{PUNCTUATION}++(?![a-zA-Z']) *+)*+"
+#: Classes are united and groups optional as that is quicker than the plain form.
+WORD_WITH_PARTS = rf"((?:{PUNCTUATION}++)?+)([a-z[A-Z']]++)((?:{PUNCTUATION}++)?+)({GAP})"
 #: Bytes of text whose runs share one copy of their lexicon entries; results don't depend
 #: on it. Small inputs are cut into SPREAD blocks, but not below LEAST_BLOCK.
 BLOCK, LEAST_BLOCK, SPREAD = 1 << 23, 1 << 16, 64
@@ -298,10 +300,10 @@ def liaison_link(annotated: DataFrame, keys: list[str]) -> DataFrame:
     A word is tied to the next one if that starts with a vowel and no pause lies between;
     both are in the same row."""
 
-    def speak(part: Column, k: Column) -> Column:
-        entry, after = F.get("entries", k), F.get("entries", k + 1)
-        tie = ~F.coalesce(_pause(part, F.get("parts", k + 1)), F.lit(True)) & F.coalesce(after["vowel"], F.lit(False))
-        spoken = F.when(tie, entry["tied"]).otherwise(entry["spoken"])
-        return F.struct(k.cast("bigint").alias("k"), F.concat(_pre(part), F.coalesce(spoken, F.lit(" ")), _post(part)).alias("ipa_text"))
-
-    return annotated.select(*keys, F.inline(F.transform("parts", speak)))
+    both = F.arrays_zip("parts", "entries", F.slice("parts", 2, 1 << 30).alias("next"), F.slice("entries", 2, 1 << 30).alias("after"))
+    # exploded before the rest is computed, as functions of array items are not compiled
+    words = annotated.select(*keys, F.posexplode(both).alias("k", "_w"))
+    part, entry = F.col("_w.parts"), F.col("_w.entries")
+    tie = F.coalesce(F.col("_w.after.vowel"), F.lit(False)) & ~F.coalesce(_pause(part, F.col("_w.next")), F.lit(True))
+    spoken = F.coalesce(F.when(tie, entry["tied"]).otherwise(entry["spoken"]), F.lit(" "))
+    return words.select(*keys, F.col("k").cast("bigint").alias("k"), F.concat(_pre(part), spoken, _post(part)).alias("ipa_text"))

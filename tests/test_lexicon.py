@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -55,6 +56,26 @@ def test_punctuation_and_pauses(spark):
     assert got == sorted(want, key=lambda r: tuple((v is None, v) for v in r))
 
 
+def test_random_runs_are_cut_like_the_brute_force(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abZ'’`  \t\n\u00a0\u2003.,(!1–") for _ in range(draw.randrange(40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = rows(lexicon.words_with_punctuation(df, ["id"]), "id", "k", "word", "pre", "post", "pause")
+    want = [(i, *w) for i, t in enumerate(texts) for w in brute(t)]
+    assert got == sorted(want, key=lambda r: tuple((v is None, v) for v in r)) != []
+    table = spark.createDataFrame([(None, w, i) for w, i in (("a", "æ"), ("b", "bi"), ("z", "ɑ"))], "book string, word string, ipa string")
+    got = rows(lexicon.liaison_link(lexicon.annotated_runs(df, lexicon.pronunciations(table), ["id"]), ["id"]))
+    plain, vowel = {"a": "æ", "b": "bɪ", "z": "ɑ"}, {"a", "z"}
+    said = []
+    for i, t in enumerate(texts):
+        found = brute(t)
+        for (k, w, pre, post, pause), nxt in zip(found, [*found[1:], (0, "")], strict=False):
+            ipa = plain.get(w.lower())
+            tie = "‿" if ipa and pause is False and nxt[1].lower() in vowel else ""
+            said.append((i, k, pre + (ipa + tie if ipa else " ") + post))
+    assert got == sorted(said)
+
+
 def test_lexicon_scan_and_override(spark):
     lines = spark.createDataFrame(
         [(1, "Apple\t/ˈæpəl/, /x/"), (2, "bad line"), (3, "a\tb\tc"), (4, "apple\t/new/"), (5, " the \t/ðə/")], "seq long, line string"
